@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from corpuloom.llm.minhash_dedup import op3_minhash_dedup
+from corpuloom.llm.quality_rules import OP4_SQL, op4_quality_rules
 
 
 def queries() -> dict:
-    return {"op3_minhash_dedup": op3_minhash_dedup}
+    return {f.__name__: f for f in (op3_minhash_dedup, op4_quality_rules)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op4_quality_rules": OP4_SQL}
