@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from corpuloom.llm.bpe import op6_bpe
 from corpuloom.llm.minhash_dedup import op3_minhash_dedup
 from corpuloom.llm.quality_rules import OP4_SQL, op4_quality_rules
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_minhash_dedup, op4_quality_rules)}
+    return {f.__name__: f for f in (op3_minhash_dedup, op4_quality_rules, op6_bpe)}
 
 
 def oracle_sql() -> dict:
