@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from corpuloom.llm.bpe import op6_bpe
+from corpuloom.llm.embedding_dedup import op2_embedding_dedup
 from corpuloom.llm.minhash_dedup import op3_minhash_dedup
+from corpuloom.llm.mixing import op10_mixing
 from corpuloom.llm.quality_rules import OP4_SQL, op4_quality_rules
 from corpuloom.llm.token_store import op5_token_store
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_minhash_dedup, op4_quality_rules, op5_token_store, op6_bpe)}
+    return {f.__name__: f for f in (op2_embedding_dedup, op3_minhash_dedup, op4_quality_rules, op5_token_store, op6_bpe, op10_mixing)}
 
 
 def oracle_sql() -> dict:
