@@ -49,7 +49,7 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST)
         "level",
         (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))),
     ).withColumn("stopped", F.col("cap") <= F.col("level") * F.col("weight"))
-    level = F.min(F.when(~F.col("stopped"), F.col("level"))).over(every)
+    level = F.max(F.when(~F.col("stopped"), F.col("level"))).over(every)
     target = F.when(F.col("stopped"), F.col("cap").cast("double")).otherwise(level * F.col("weight"))
     return per.select("source", "n", "source_size", target.alias("target"))
 
