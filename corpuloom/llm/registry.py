@@ -4,15 +4,31 @@ from __future__ import annotations
 
 from corpuloom.llm.bpe import op6_bpe
 from corpuloom.llm.embedding_dedup import op2_embedding_dedup
+from corpuloom.llm.kneser_ney import op9_quality_lm
+from corpuloom.llm.language_id import op7_language_id
+from corpuloom.llm.license_scan import OP1_SQL, op1_license_scan
 from corpuloom.llm.minhash_dedup import op3_minhash_dedup
 from corpuloom.llm.mixing import op10_mixing
 from corpuloom.llm.quality_rules import OP4_SQL, op4_quality_rules
 from corpuloom.llm.token_store import op5_token_store
+from corpuloom.llm.toxicity import op8_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_embedding_dedup, op3_minhash_dedup, op4_quality_rules, op5_token_store, op6_bpe, op10_mixing)}
+    ops = (
+        op1_license_scan,
+        op2_embedding_dedup,
+        op3_minhash_dedup,
+        op4_quality_rules,
+        op5_token_store,
+        op6_bpe,
+        op7_language_id,
+        op8_toxicity,
+        op9_quality_lm,
+        op10_mixing,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict:
-    return {"op4_quality_rules": OP4_SQL}
+    return {"op1_license_scan": OP1_SQL, "op4_quality_rules": OP4_SQL}
