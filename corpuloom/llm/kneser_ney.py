@@ -1,6 +1,8 @@
 """Quality classifier: interpolated modified Kneser-Ney n-grams of trusted text, perplexity thresholds by language.
 
-The n-grams are of characters. Counts are sharded by key: partial counts from every batch of
+The n-grams are of characters. Documents are in two folds by hash of their id, and each is
+scored by the model of the other fold's trusted text, so that trusted documents, whose quantiles give
+the thresholds, are scored as any other. Counts are sharded by key: partial counts from every batch of
 trusted text are summed, and continuation counts, discounts and interpolated
 probabilities follow from joins of the sharded tables, order by order. The model
 is then split by the two characters before the predicted one, so that each shard
@@ -26,7 +28,9 @@ BITS = 12
 #: Rows of a broadcast shard of the model at most (12 bytes each).
 SHARD_ROWS = 2_500_000
 #: Perplexity of a kept document lies between these quantiles of trusted documents of its language, widened by the factor.
-LOW, HIGH, MARGIN = 0.002, 0.995, 1.05
+LOW, HIGH, MARGIN = 0.002, 0.99, 1.02
+#: The bit of a key that tells the fold.
+FOLD = 1 << 61
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -35,6 +39,20 @@ def codes_of(text: str) -> np.ndarray:
     return np.where(cps < 0xF00, np.maximum(cps, 1), 0xF00 + cps % 255).astype(np.int64)
 
 
+def tail(keys, n: int):
+    """The last n characters of n-grams, with the fold."""
+    return (keys & ((1 << (BITS * n)) - 1)) | (keys & FOLD)
+
+
+def context(keys, n: int):
+    """All but the last of the n characters of n-grams, with the fold."""
+    return ((keys & ((1 << (BITS * n)) - 1)) >> BITS) | (keys & FOLD)
+
+
+def fold_of(doc_id: str = "doc_id"):
+    return F.pmod(F.xxhash64(F.col(doc_id), F.lit(9)), F.lit(2)).cast("int")
+
+
 def ngram_keys(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the n-gram that ends at each character, all texts in a row, and each text's length."""
     parts, sizes = [], []
@@ -57,7 +75,7 @@ def ngram_keys(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_ngrams(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """key, c: how often each n-gram occurs in all texts (nulls and empty texts have none)."""
+    """key, c: how often each n-gram occurs in all texts of a fold (columns text, fold; nulls and empty texts have none)."""
     ship(texts.sparkSession)
 
     def run(batches):
@@ -69,8 +87,9 @@ def count_ngrams(texts: DataFrame, order: int = ORDER) -> DataFrame:
 
         for whole in batches:
             for b in slices(whole, "text", 2 << 20):
-                keys, _ = ngram_keys([t for t in b.column("text").to_pylist() if t], order)
-                k, c = np.unique(keys, return_counts=True)
+                texts_ = [t or "" for t in b.column("text").to_pylist()]
+                keys, sizes = ngram_keys(texts_, order)
+                k, c = np.unique(keys | np.repeat(b.column("fold").to_numpy(zero_copy_only=False).astype(np.int64) * FOLD, sizes), return_counts=True)
                 held_k.append(k)
                 held_c.append(c)
                 size += len(k)
@@ -84,7 +103,7 @@ def count_ngrams(texts: DataFrame, order: int = ORDER) -> DataFrame:
             k, c = total()
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["key", "c"])
 
-    return texts.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return texts.select("text", "fold").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def discounts(counts: DataFrame) -> list[float]:
@@ -98,24 +117,29 @@ def discounts(counts: DataFrame) -> list[float]:
     return [min(max(d, 0.05), k - 0.05) for d, k in zip(raw, (1, 2, 3), strict=True)]
 
 
+def _tail(key: str, n: int):
+    return F.col(key).bitwiseAND(((1 << (BITS * n)) - 1) | FOLD)
+
+
 def train(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """The model: kind (2n: probability of an n-gram, 2n + 1: back-off weight of a context of n characters), key, value, spot (hash that shards it, null: in all shards)."""
+    """The models of both folds' texts (columns text, fold): kind (2n: probability of an n-gram, 2n + 1: back-off weight of a context of n characters), key, value, spot (hash that shards it, null: in all shards)."""
     grams = {order: cut(count_ngrams(texts, order), "ngrams")}
     for n in range(order - 1, 0, -1):
         # Continuation counts: how many different characters precede.
-        grams[n] = cut(grams[n + 1].groupBy(F.col("key").bitwiseAND((1 << (BITS * n)) - 1).alias("key")).agg(F.count(F.lit(1)).alias("c")), "ngrams")
+        grams[n] = cut(grams[n + 1].groupBy(_tail("key", n).alias("key")).agg(F.count(F.lit(1)).alias("c")), "ngrams")
     model, lower = None, None
     for n in range(1, order + 1):
         d = discounts(grams[n])
         over = Window.partitionBy("ctx")
         disc = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        rows = grams[n].withColumn("ctx", F.shiftright("key", BITS)).withColumn("disc", disc)
+        ctx = F.shiftright(F.col("key").bitwiseAND(FOLD - 1), BITS).bitwiseOR(F.col("key").bitwiseAND(FOLD))
+        rows = grams[n].withColumn("ctx", ctx).withColumn("disc", disc)
         rows = rows.select("key", "ctx", ((F.col("c") - F.col("disc")) / F.sum("c").over(over)).alias("own"), (F.sum("disc").over(over) / F.sum("c").over(over)).alias("gamma"))
         if n == 1:
             rows = rows.withColumn("p", F.col("own") + F.col("gamma") / (1 << BITS))
         else:
             suffix = lower.select(F.col("key").alias("suffix"), F.col("p").alias("low"))
-            rows = rows.withColumn("suffix", F.col("key").bitwiseAND((1 << (BITS * (n - 1))) - 1)).join(suffix, "suffix")
+            rows = rows.withColumn("suffix", _tail("key", n - 1)).join(suffix, "suffix")
             rows = rows.withColumn("p", F.col("own") + F.col("gamma") * F.col("low"))
         lower = cut(rows.select("key", "ctx", "gamma", "p"), "probabilities")
         pair = lambda key: F.when(F.lit(n) >= 3, F.xxhash64(F.col(key).bitwiseAND((1 << (2 * BITS)) - 1)))  # noqa: E731, B023
@@ -177,14 +201,14 @@ def log_probabilities(keys: np.ndarray, tables: dict[int, Lookup], order: int) -
     for n in range(order - 1, 0, -1):
         if not len(left):
             return np.log(p)
-        high = keys[left] & ((1 << (BITS * (n + 1))) - 1)
-        gamma, seen = tables[2 * n + 1].get(high >> BITS)
+        high = keys[left]
+        gamma, seen = tables[2 * n + 1].get(context(high, n + 1))
         weight = weight * np.where(seen, gamma, 1.0)
-        q, found = tables[2 * n].get(high & ((1 << (BITS * n)) - 1))
+        q, found = tables[2 * n].get(tail(high, n))
         p[left[found]] = weight[found] * q[found]
         left, weight = left[~found], weight[~found]
     if len(left):
-        gamma, seen = tables[1].get(np.zeros(len(left), np.int64))
+        gamma, seen = tables[1].get(keys[left] & FOLD)
         p[left] = weight * np.where(seen, gamma, 1.0) / (1 << BITS)
     return np.log(np.maximum(p, 1e-30))
 
@@ -201,7 +225,7 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_ro
     spark = docs.sparkSession
     ship(spark)
     shards = max(1, -(-model.where("spot is not null").count() // shard_rows))
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text", (1 - fold_of()).alias("fold"))
     if shards > 1:
         picked = picked.withColumn("row", F.monotonically_increasing_id())
     else:
@@ -220,6 +244,7 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_ro
             for whole in batches:
                 for b in slices(whole, "text", 2 << 20):
                     keys, sizes = ngram_keys([t or "" for t in b.column("text").to_pylist()], order)
+                    keys |= np.repeat(b.column("fold").to_numpy(zero_copy_only=False).astype(np.int64) * FOLD, sizes)
                     ends = np.concatenate([[0], np.cumsum(sizes)])
                     logs = np.zeros(len(keys))
                     mine = slice(None) if shards == 1 else np.flatnonzero(_shard_of(keys, shards) == s)
@@ -260,7 +285,7 @@ def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, **params) ->
     kept. Repeated rows are scored again; extra columns are ignored.
     """
     trust = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(trust, "doc_id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(trust, "doc_id", "left_semi").select("text", fold_of().alias("fold"))
     model = train(texts, order)
     scored = perplexities(docs, model, order).join(trust.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     scored = cut(scored, "perplexities")
