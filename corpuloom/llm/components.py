@@ -21,13 +21,13 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
     for _ in range(rounds):
         near = (
-            both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("c")), "b")
+            both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("c")).hint("merge"), "b")
             .groupBy(F.col("a").alias("id"))
             .agg(F.min("c").alias("c"))
         )
-        own = labels.join(near, "id").select("id", F.least("component", "c").alias("c"), F.col("component").alias("was"))
+        own = labels.join(near.hint("merge"), "id").select("id", F.least("component", "c").alias("c"), F.col("component").alias("was"))
         jump = labels.select(F.col("id").alias("c"), F.col("component").alias("up"))
-        labels = cut(own.join(jump, "c").select("id", F.least("c", "up").alias("component"), "was"), "labels")
+        labels = cut(own.join(jump.hint("merge"), "c").select("id", F.least("c", "up").alias("component"), "was"), "labels")
         if labels.where("component <> was").isEmpty():
             return labels.select("id", "component")
         labels = labels.select("id", "component")

@@ -163,8 +163,18 @@ def _alike(threshold: float, coords: int):
     return run
 
 
-def _star(reps, sets, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links from members to the first member they are connected to at num/den or more.
+def _shared(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of one sorted set with others."""
+    part = np.concatenate(others)
+    at = np.searchsorted(own, part)
+    at[at == len(own)] = len(own) - 1
+    hit = np.concatenate([[0], np.cumsum(own[at] == part)])
+    ends = np.cumsum([len(o) for o in others])
+    return np.diff(hit[np.concatenate([[0], ends])])
+
+
+def _star(reps, comps, sets, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect at num/den or more those members of a group that have different components so far.
 
     A pair is compared on full sets unless its members are connected already, their
     sizes exclude it, or it is out of reach by the triangle inequality of Jaccard
@@ -172,9 +182,11 @@ def _star(reps, sets, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """
     n = len(reps)
     sizes = np.array([len(s) for s in sets])
-    root = np.arange(n)
+    _, first, inv = np.unique(comps, return_index=True, return_inverse=True)
+    root = first[inv]
     far = np.ones((0, n))
     slack = 1 - num / den + 1e-9
+    a, b = [], []
     for i in range(n - 1):
         todo = np.flatnonzero((root != root[i]) & (np.arange(n) > i) & (np.minimum(sizes, sizes[i]) * den >= num * np.maximum(sizes, sizes[i])))
         if len(far) and len(todo):
@@ -183,21 +195,16 @@ def _star(reps, sets, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
             continue
         pivot = len(far) < 8 and len(todo) > 32
         look = np.arange(n) if pivot else todo
-        part = np.concatenate([sets[j] for j in look])
-        at = np.searchsorted(sets[i], part)
-        at[at == sizes[i]] = sizes[i] - 1
-        hit = np.concatenate([[0], np.cumsum(sets[i][at] == part)])
-        cuts = np.concatenate([[0], np.cumsum(sizes[look])])
-        inter = hit[cuts[1:]] - hit[cuts[:-1]]
+        inter = _shared(sets[i], [sets[j] for j in look])
         union = sizes[look] + sizes[i] - inter
         if pivot:
             far = np.vstack([far, 1 - inter / union])
-        linked = look[(inter * den >= num * union) & (look > i)]
-        if len(linked):
-            old = np.unique(np.append(root[linked], root[i]))
-            root[np.isin(root, old)] = old[0]
-    loose = root != np.arange(n)
-    return reps[loose], reps[root[loose]]
+        for j in look[(inter * den >= num * union) & (look > i)].tolist():
+            if root[j] != root[i]:
+                a.append(reps[j])
+                b.append(reps[i])
+                root[root == root[j]] = root[i]
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
 def _confirm(num: int, den: int):
@@ -207,12 +214,12 @@ def _confirm(num: int, den: int):
             offsets, flat = nodes.offsets.to_numpy(), nodes.values
             if not len(flat):
                 continue
-            reps, sets = flat.field(0).to_numpy(), flat.field(1)
+            reps, comps, sets = flat.field(0).to_numpy(), flat.field(1).to_numpy(), flat.field(2)
             a, b = [], []
             for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 if hi - lo > 1:
                     own = [np.frombuffer(x, np.uint64) for x in sets.slice(lo, hi - lo).to_pylist()]
-                    x, y = _star(reps[lo:hi], own, num, den)
+                    x, y = _star(reps[lo:hi], comps[lo:hi], own, num, den)
                     a.append(x)
                     b.append(y)
             if a:
@@ -221,6 +228,30 @@ def _confirm(num: int, den: int):
     return run
 
 
+def _to_pivot(num: int, den: int):
+    """From chunks of classes with their pivot, links of those that reach num/den with it."""
+
+    def run(batches):
+        for batch in batches:
+            pivots, lists = batch.column(0).to_pylist(), batch.column(1)
+            offsets, flat = lists.offsets.to_numpy(), lists.values
+            reps = flat.field(0).to_numpy()
+            a, b = [], []
+            for pivot, lo, hi in zip(pivots, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                own = [np.frombuffer(x, np.uint64) for x in flat.field(1).slice(lo, hi - lo).to_pylist()]
+                ids = reps[lo:hi]
+                at = int(np.flatnonzero(ids == pivot)[0])
+                inter = _shared(own[at], own)
+                union = np.array([len(o) for o in own]) + len(own[at]) - inter
+                linked = (inter * den >= num * union) & (ids != pivot)
+                a.append(ids[linked])
+                b.append(np.full(int(linked.sum()), pivot, np.int64))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return run
+
+
 def _sets(k: int):
     def run(batches):
         for whole in batches:
@@ -248,17 +279,20 @@ def similar_groups(classes: DataFrame, threshold: float, trees: int = TREES, coo
     found = None
     for level in range(1, depth + 1):
         thin = rows.select("node", "rep")
-        counts = thin.groupBy("node").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-        kept = thin.join(counts, "node")
+        counts = thin.groupBy("node").agg(F.count(F.lit(1)).alias("many"), F.min("rep").alias("low")).where("many > 1")
+        kept = thin.join(counts.hint("merge"), "node")
         if level < depth:
             kept = kept.select("node", "rep", "many", F.lit(0).alias("tile"))
         else:
             blocks = F.ceil(F.col("many") / leaf).cast("int")
             own = F.pmod(F.xxhash64("rep", F.lit(11)), blocks).cast("int")
             kept = kept.withColumn("of", blocks).withColumn("own", own)
-            tiles = F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda j: F.least(j, F.col("own")) * F.col("of") + F.greatest(j, F.col("own")))
-            kept = kept.select("node", "rep", "many", F.explode(tiles).alias("tile"))
-        kept = cut(kept.join(classes, "rep"), "nodes")
+            upto = F.sequence(F.lit(0), F.col("of") - 1)
+            tiles = F.transform(upto, lambda j: F.least(j, F.col("own")) * F.col("of") + F.greatest(j, F.col("own")))
+            # The node's smallest class joins every tile, as the pivot that its groups share.
+            every = F.flatten(F.transform(upto, lambda i: F.transform(F.sequence(i, F.col("of") - 1), lambda j: i * F.col("of") + j)))
+            kept = kept.select("node", "rep", "many", F.explode(F.when(F.col("rep") == F.col("low"), every).otherwise(tiles)).alias("tile"))
+        kept = cut(kept.join(classes.hint("merge"), "rep"), "nodes")
         small = kept if level == depth else kept.where(F.col("many") <= leaf)
         lists = small.groupBy("node", "tile").agg(F.collect_list(F.struct("rep", "n_shingles", "sk")).alias("m")).select("m")
         groups = lists.mapInArrow(compare, "members array<long>")
@@ -270,15 +304,42 @@ def similar_groups(classes: DataFrame, threshold: float, trees: int = TREES, coo
     return found.groupBy(F.xxhash64("members").alias("gid")).agg(F.first("members").alias("members"))
 
 
-def minhash_links(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, **params) -> DataFrame:
-    """a, b: links that span every group of classes connected at num/den or more."""
+def pivot_links(groups: DataFrame, sets: DataFrame, num: int, den: int, chunk: int = LEAF) -> DataFrame:
+    """a, b: confirmed links of groups' members to two pivots, the smallest and the smallest by hash, which groups that overlap share."""
+    by_hash = lambda seed: F.array_min(F.transform("members", lambda x: F.struct(F.xxhash64(x, F.lit(seed)).alias("h"), x.alias("x"))))["x"]
+    pivots = F.array_distinct(F.array(F.get("members", F.lit(0)), by_hash(21)))
+    pairs = groups.select("members", F.explode(pivots).alias("pivot")).select("pivot", F.explode("members").alias("rep")).where("rep <> pivot").distinct()
+    pairs = cut(pairs, "pairs")
+    chunks = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
+    rows = pairs.join(chunks.hint("merge"), "pivot").select("pivot", F.pmod(F.xxhash64("rep", F.lit(23)), F.col("chunks")).cast("int").alias("chunk"), "rep")
+    own = rows.select("pivot", "chunk").distinct().select("pivot", "chunk", F.col("pivot").alias("rep"))
+    lists = rows.union(own).join(sets.hint("merge"), "rep").groupBy("pivot", "chunk").agg(F.collect_list(F.struct("rep", "shingles")).alias("m")).select("pivot", "m")
+    return lists.mapInArrow(_to_pivot(num, den), "a long, b long")
+
+
+def minhash_components(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, **params) -> DataFrame:
+    """id, component of the classes that have a link at num/den or more.
+
+    Groups are linked to pivots first; only groups that stay in several components are then
+    compared in full, and of those only pairs across components.
+    """
     groups = cut(similar_groups(classes, num / den, **params), "groups")
     members = groups.select("gid", F.explode("members").alias("rep"))
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets(k), "rep long, shingles binary")
-    lists = members.join(sets, "rep").groupBy("gid").agg(F.collect_list(F.struct("rep", "shingles")).alias("m")).select("m")
-    return lists.mapInArrow(_confirm(num, den), "a long, b long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left_semi")
+    sets = cut(texts.mapInArrow(_sets(k), "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
+    links = cut(pivot_links(groups, sets, num, den), "links")
+    first = cut(connected_components(links), "components")
+    placed = members.join(first.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("gid", "rep", F.coalesce("component", "rep").alias("comp"))
+    placed = cut(placed, "placed")
+    open_ = placed.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
+    left = placed.join(open_.hint("merge"), "gid", "left_semi").join(sets.hint("merge"), "rep")
+    lists = left.groupBy("gid").agg(F.collect_list(F.struct("rep", "comp", "shingles")).alias("m")).select("m")
+    rest = cut(lists.mapInArrow(_confirm(num, den), "a long, b long"), "links")
+    if rest.isEmpty():
+        return first
+    # Stars of the components so far with the links across them.
+    return connected_components(rest.union(first.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
 
 def minhash_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, **params) -> DataFrame:
@@ -297,12 +358,11 @@ def minhash_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, **
         .agg(F.min("doc_id").alias("rep"), F.first("sk").alias("sk")),
         "classes",
     )
-    links = minhash_links(docs, classes.select("rep", "n_shingles", "sk"), k, num, den, **params)
-    comp = connected_components(links)
-    final = classes.select("d1", "d2", "n_shingles", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select(
+    comp = minhash_components(docs, classes.select("rep", "n_shingles", "sk"), k, num, den, **params)
+    final = classes.select("d1", "d2", "n_shingles", "rep").join(comp.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select(
         "d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id")
     )
-    out = sig.select("doc_id", "n_shingles", "d1", "d2").join(final, ["d1", "d2", "n_shingles"], "left")
+    out = sig.select("doc_id", "n_shingles", "d1", "d2").join(final.hint("merge"), ["d1", "d2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
