@@ -30,7 +30,7 @@ END_ID = 2
 #: Ids in a shard, but that a document is never split.
 SHARD_IDS = 1_500_000
 #: Passes over a shard, and the most pairs that one pass replaces.
-ROUNDS, PAIRS = 4, 2048
+ROUNDS, PAIRS = 3, 4096
 #: A pair is replaced only if it occurs so often in the shard.
 LEAST = 24
 SHARD_SCHEMA = (
@@ -45,48 +45,81 @@ _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)
 _UNSURE = re.compile("[\x1c-\x1f\x80-\xa0²³¹¼-¾ɐ-\U0010ffff]|<\\|")
 
 
+#: The same characters below U+0100 as bytes of Latin-1.
+_UNSURE_BYTES = bytes([*range(0x1C, 0x20), *range(0x80, 0xA1), 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE])
+
+
+def unsure(text: str) -> bool:
+    """Whether a text has a character of _UNSURE; texts of Latin-1, the most, are told without a pattern."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _UNSURE.search(text) is not None
+    return len(raw.translate(None, _UNSURE_BYTES)) != len(raw) or b"<|" in raw
+
+
 class LibraryEncoder:
     """The tokenizers library, remembering the ids of pieces that it has encoded.
 
     The library encodes the pieces of its pre-tokenisation independently, so a text's ids
     are its pieces' ids in a row. Texts with uncommon characters go to the library whole.
+    The memo has two generations of bounded size; pieces that are met again move to the new one.
     """
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 350_000):
         from tokenizers import Tokenizer
 
-        self.tok, self.bound, self.memo = Tokenizer.from_file(path), memo, {}
+        self.tok, self.bound, self.memo, self.old = Tokenizer.from_file(path), memo, {}, {}
+        vocabulary = self.tok.get_vocab()
+        #: Bytes of each token; in a byte-level vocabulary a character stands for a byte.
+        self.token_size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.token_size[i] = len(token)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        memo = self.memo
-        pieces = [None if _UNSURE.search(t) else _PIECES.findall(t) for t in texts]
-        new = list({p for x in pieces if x for p in x if p not in memo})
-        if new:
-            if len(memo) + len(new) > self.bound:
-                memo.clear()
-                new = list({p for x in pieces if x for p in x})
-            self._learn(new)
-        get = memo.__getitem__
-        return [
-            np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() if x is None else b"".join(map(get, x))
-            for t, x in zip(texts, pieces, strict=True)
-        ]
-
+        if len(self.memo) > self.bound:
+            self.old, self.memo = self.memo, {}
+        memo, old = self.memo, self.old
+        pieces = [None if unsure(t) else _PIECES.findall(t) for t in texts]
+        values = [None if x is None else list(map(memo.get, x)) for x in pieces]
+        gaps = [[i for i, v in enumerate(vs) if v is None] if vs is not None and None in vs else () for vs in values]
+        new = {}
+        for x, missing in zip(pieces, gaps, strict=True):
+            for i in missing:
+                p = x[i]
+                if p not in memo:
+                    v = old.get(p)
+                    if v is None:
+                        new[p] = None
+                    else:
+                        memo[p] = v
+        self._learn(list(new))
+        out = []
+        for t, x, vs, missing in zip(texts, pieces, values, gaps, strict=True):
+            if vs is None:
+                out.append(np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32).tobytes())
+                continue
+            for i in missing:
+                vs[i] = memo[x[i]]
+            out.append(b"".join(vs))
+        return out
 
     def _learn(self, new: list[str]) -> None:
         """Have the library encode pieces. Those led by a space part by themselves in a row, so many are encoded as one text."""
         led = [p for p in new if len(p) > 1 and p[0] == " " and not p[1].isspace()]
         rest = [p for p in new if not (len(p) > 1 and p[0] == " " and not p[1].isspace())]
-        for at in range(0, len(led), 2000):
-            part = led[at : at + 2000]
-            e = self.tok.encode("".join(part), add_special_tokens=False)
-            ids, word = np.array(e.ids, np.uint32), np.array(e.word_ids, np.int64)
-            cuts = np.flatnonzero(np.diff(word, prepend=-1))
-            if len(cuts) != len(part):
+        parts = [led[at : at + 10_000] for at in range(0, len(led), 10_000)]
+        for part, e in zip(parts, self.tok.encode_batch_fast(["".join(x) for x in parts], add_special_tokens=False), strict=True):
+            # Tokens never span pieces, so their lengths in bytes tell where each piece ends.
+            ids = np.array(e.ids, np.uint32)
+            ends = np.cumsum(self.token_size[ids])
+            piece_ends = np.cumsum([len(p.encode()) for p in part])
+            cuts = np.searchsorted(ends, piece_ends) + 1
+            if ends[-1] != piece_ends[-1] or (ends[cuts - 1] != piece_ends).any():
                 rest += part
                 continue
-            raw, cuts = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+            raw, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
             self.memo.update((p, raw[a:b]) for p, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
         for p, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.memo[p] = np.array(e.ids, np.uint32).tobytes()
@@ -106,13 +139,16 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS, p
     last: which ids end a document; no pair spans two documents. All pairs of a pass are
     counted over the whole shard, and the most frequent ones are replaced left to right.
     """
+    bits = 16 if base + rounds * pairs <= 0x10000 else 32
     seq, last = ids.astype(np.uint32), last.copy()
+    kind = np.uint32 if bits == 16 else np.uint64
+    shift, low = kind(bits), kind((1 << bits) - 1)
     rules = np.empty((0, 2), np.uint32)
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        inside = keys[~last[:-1]]
+        inside = (seq[:-1].astype(kind, copy=False) << shift) | seq[1:]
+        inside = inside[~last[:-1]]
         inside.sort()
         edges = np.flatnonzero(np.concatenate([[True], inside[1:] != inside[:-1]])) if len(inside) else np.empty(0, np.int64)
         counts = np.diff(np.append(edges, len(inside)))
@@ -123,7 +159,7 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS, p
             often = often[np.argpartition(-counts[often], pairs)[:pairs]]
         chosen = np.sort(inside[edges[often]])
         # A table over the pairs' first and second symbols finds the rule of a place at once.
-        first, second = (chosen >> np.uint64(32)).astype(np.int64), (chosen & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        first, second = (chosen >> shift).astype(np.int64), (chosen & low).astype(np.int64)
         heads, tails = np.zeros((2, base + len(rules)), np.int32)
         (h, t) = np.unique(first), np.unique(second)
         heads[h], tails[t] = np.arange(1, len(h) + 1), np.arange(1, len(t) + 1)
@@ -142,7 +178,7 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS, p
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, last = seq[keep], last[keep]
-        rules = np.vstack([rules, np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)])
+        rules = np.vstack([rules, np.stack([first, second], axis=1).astype(np.uint32)])
     return rules, seq, last
 
 
