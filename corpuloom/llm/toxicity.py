@@ -7,7 +7,6 @@ selected words a text holds.
 
 from __future__ import annotations
 
-from collections import Counter
 from itertools import chain
 
 import numpy as np
@@ -20,7 +19,7 @@ from corpuloom.llm.common import slices, utf8
 from corpuloom.session import ship, table
 
 #: Labelled rows that the model is fitted on at most, chosen by hash of doc_id.
-FIT_ROWS = 16_000
+FIT_ROWS = 12_000
 #: Words that become features at most, texts that must hold one, and the least chi-square of one.
 FEATURES, LEAST_TEXTS, LEAST_CHI2 = 4096, 4, 20.0
 #: Ridge penalty of the weights, and steps of the fit.
@@ -89,25 +88,16 @@ def fit_cumulative(x: list[np.ndarray], y: np.ndarray, n_features: int, grades:
     return theta[:n_features], np.concatenate([theta[n_features : n_features + 1], theta[n_features] + np.cumsum(gaps)])
 
 
-def select_features(texts: list[frozenset], toxic: np.ndarray, most: int = FEATURES) -> list[bytes]:
-    """Words whose presence depends on the label by chi-square, strongest first."""
+def select_features(texts: list[np.ndarray], toxic: np.ndarray, names: list[bytes], most: int = FEATURES) -> list[int]:
+    """Features whose presence depends on the label by chi-square, strongest first; texts hold numbers of `names`."""
     n, pos = len(texts), int(toxic.sum())
-    every, bad = Counter(), Counter()
-    for words, t in zip(texts, toxic.tolist(), strict=True):
-        every.update(words)
-        if t:
-            bad.update(words)
-    scored = []
-    for w, c in every.items():
-        if c < LEAST_TEXTS or c == n:
-            continue
-        a = bad[w]
-        expected = c * pos / n
-        spread = expected * (1 - c / n) * (1 - pos / n)
-        chi2 = (a - expected) ** 2 / spread if spread > 0 else 0.0
-        if chi2 >= LEAST_CHI2:
-            scored.append((-chi2, w))
-    return [w for _, w in sorted(scored)[:most]]
+    every = np.bincount(np.concatenate(texts), minlength=len(names))
+    bad = np.bincount(np.concatenate([t for t, x in zip(texts, toxic.tolist(), strict=True) if x]), minlength=len(names))
+    expected = every * pos / n
+    spread = expected * (1 - every / n) * (1 - pos / n)
+    chi2 = np.where(spread > 0, (bad - expected) ** 2 / np.maximum(spread, 1e-12), 0.0)
+    fit_ = np.flatnonzero((every >= LEAST_TEXTS) & (chi2 >= LEAST_CHI2))
+    return sorted(fit_.tolist(), key=lambda i: (-chi2[i], names[i]))[:most]
 
 
 class Model:
@@ -122,18 +112,16 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds - z, -60, 60)))
 
 
-def grades_of(toxic: np.ndarray, texts: list[frozenset], words: list[bytes]) -> np.ndarray:
+def grades_of(toxic: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """Severity grades of labels. Labels of more than two levels are the grades.
 
-    Where they only say toxic or not, toxic texts that hold two or more of the words that
-    mark toxic texts get grade 2, the others grade 1.
+    Where they only say toxic or not, toxic texts that hold two or more of the features that
+    mark toxic texts (marks: how many each text holds) get grade 2, the others grade 1.
     """
     levels = np.unique(toxic)
-    if len(levels) > 2 or len(levels) < 2:
+    if len(levels) != 2:
         return np.searchsorted(levels, toxic)
-    marks = set(words)
-    many = np.array([len(marks & t) for t in texts])
-    return np.where(toxic > levels[0], 1 + (many >= 2), 0)
+    return np.where(toxic > levels[0], 1 + (marks >= 2), 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = FIT_ROWS) -> Model:
@@ -153,23 +141,34 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = FI
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(found, pa.binary())], ["doc_id", "label", "words"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id").select("doc_id", "label", "text")
+    number: dict[bytes, int] = {}
+    found = []
+    for r in rows.mapInArrow(run, "doc_id long, label int, words binary").toLocalIterator():
+        found.append((r.doc_id, r.label, np.array([number.setdefault(w, len(number)) for w in bytes(r.words).split(b"\n") if w], np.int32)))
+    # Numbers by name, so that nothing depends on the order of arrival.
+    names = sorted(number)
+    to = np.empty(len(names), np.int32)
+    to[[number[w] for w in names]] = np.arange(len(names), dtype=np.int32)
     held: dict[bytes, int] = {}
-    for r in sorted(rows.mapInArrow(run, "doc_id long, label int, words binary").toLocalIterator(), key=lambda r: r.doc_id):
-        held[bytes(r.words)] = max(r.label, held.get(bytes(r.words), r.label))
-    texts = [frozenset(k.split(b"\n")) - {b""} for k in held]
+    for _, level, ids in sorted(found, key=lambda x: x[:2]):
+        key = np.sort(to[ids]).tobytes()
+        held[key] = max(level, held.get(key, level))
+    texts = [np.frombuffer(k, np.int32) for k in held]
     y = np.array(list(held.values()), np.int64)
     if not len(y) or y.min() == y.max():
         return Model([], np.empty(0), np.array([60.0]))
     toxic = y > y.min()
-    words = select_features(texts, toxic)
-    up = Counter(w for t, bad in zip(texts, toxic.tolist(), strict=True) if bad for w in t)
-    every = Counter(w for t in texts for w in t)
-    grade = grades_of(y, texts, [w for w in words if up[w] / every[w] > 0.5])
+    chosen = select_features(texts, toxic, names)
+    at = np.full(len(names), -1, np.int64)
+    at[chosen] = np.arange(len(chosen))
+    x = [np.sort(at[t][at[t] >= 0]) for t in texts]
+    up = np.bincount(np.concatenate([r for r, bad in zip(x, toxic.tolist(), strict=True) if bad]), minlength=len(chosen))
+    every = np.bincount(np.concatenate(x), minlength=len(chosen))
+    marking = up > 0.5 * every
+    grade = grades_of(y, np.array([int(marking[r].sum()) for r in x]))
     grade = np.searchsorted(np.unique(grade), grade)
-    at = {w: i for i, w in enumerate(words)}
-    x = [np.array(sorted(at[w] for w in t if w in at), np.int64) for t in texts]
-    weights, thresholds = fit_cumulative(x, grade, len(words), int(grade.max()) + 1)
-    return Model(words, weights, thresholds)
+    weights, thresholds = fit_cumulative(x, grade, len(chosen), int(grade.max()) + 1)
+    return Model([names[i] for i in chosen], weights, thresholds)
 
 
 _NAMES = ("_tox_severity", "_tox_grade", "_tox_probability")
