@@ -27,6 +27,8 @@ ORDER = 5
 BITS = 12
 #: Rows of a broadcast shard of the model at most (12 bytes each).
 SHARD_ROWS = 2_500_000
+#: Trusted document ids (8 bytes each) that are broadcast at most.
+BROADCAST_IDS = 1_500_000
 #: Perplexity of a kept document lies between these quantiles of trusted documents of its language, widened by the factor.
 LOW, HIGH, MARGIN = 0.002, 0.99, 1.02
 #: The bit of a key that tells the fold.
@@ -285,7 +287,10 @@ def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, **params) ->
     kept. Repeated rows are scored again; extra columns are ignored.
     """
     trust = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(trust, "doc_id", "left_semi").select("text", fold_of().alias("fold"))
+    trust = cut(trust, "trusted")
+    # Up to a fixed number of ids the texts stay where they are; beyond it both sides are shuffled.
+    small = trust.count() <= BROADCAST_IDS
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(trust.hint("broadcast" if small else "merge"), "doc_id", "left_semi").select("text", fold_of().alias("fold"))
     model = train(texts, order)
     scored = perplexities(docs, model, order).join(trust.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     scored = cut(scored, "perplexities")
