@@ -153,7 +153,7 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     left = left.withColumn("_mix_row", F.row_number().over(same))
     right = plan.select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), "copies")
     right = right.withColumn("_mix_row", F.row_number().over(same)).select(F.col("_mix_id").alias("_mix_to"), F.col("_mix_row").alias("_mix_at"), F.col("copies").alias("_mix_copies"))
-    both = left.join(right, F.col("_mix_id").eqNullSafe(F.col("_mix_to")) & (F.col("_mix_row") == F.col("_mix_at"))).where("_mix_copies > 0")
+    both = left.join(right.hint("merge"), F.col("_mix_id").eqNullSafe(F.col("_mix_to")) & (F.col("_mix_row") == F.col("_mix_at"))).where("_mix_copies > 0")
     return both.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -15,7 +15,7 @@ from corpuloom.session import cut, scratch_path, table
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The documents whose doc_id is not in `gone` (doc_id); null ids stay."""
-    return docs.join(gone.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone.select(F.col("doc_id").alias("_gone")).distinct().hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
