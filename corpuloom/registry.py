@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from corpuloom.session import table
+from corpuloom.plans import analytics, views
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    """Headline calibration metrics by model and condition."""
+    return analytics.headline_metrics(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(views.QUERIES) | analytics.NO_SQL
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(views.SQL)
