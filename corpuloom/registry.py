@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuloom.plans import analytics, views
+from corpuloom.plans import analytics, construction, views
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,7 +13,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return dict(views.QUERIES) | analytics.NO_SQL
+    return dict(views.QUERIES) | analytics.NO_SQL | construction.NO_SQL
 
 
 def oracle_sql() -> dict:
