@@ -113,7 +113,7 @@ def test_quality_rules_edges(edge, empty):
 
 
 def test_license_scan_edges(spark, empty):
-    df = spark.createDataFrame([(1, "Some prose.\nReleased under the MIT License."), (2, None), (3, "mit"), (4, "All Rights Reserved")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "Some prose that goes on for a good while before the notice comes.\nReleased under the MIT License."), (2, None), (3, "mit"), (4, "All Rights Reserved")], "doc_id long, text string")
     got = {r.doc_id: [(m.unit, m.license) for m in r.matches] for r in license_scan.license_matches(df).collect()}
     assert got == {1: [("line", "MIT")], 2: [], 3: [], 4: [("line", "Proprietary")]}
     assert license_scan.license_matches(empty).collect() == []
