@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from functools import lru_cache
 
@@ -41,7 +42,13 @@ def pieces(path: str) -> dict[str, int]:
     return {p: i for i, p in enumerate(sorted(p for p in found if p == "▁" or p.lstrip("▁").isalpha()))}
 
 
-def lattice(words: list[str], vocabulary: dict[str, int], longest: int) -> np.ndarray:
+@lru_cache(maxsize=1)
+def beginnings(path: str) -> frozenset[str]:
+    """All beginnings of pieces: where a run of characters is none, no longer one is a piece."""
+    return frozenset(p[:k] for p in pieces(path) for k in range(1, len(p) + 1))
+
+
+def lattice(words: list[str], vocabulary: dict[str, int], longest: int, starts: frozenset[str] | None = None) -> np.ndarray:
     """For words of one length (with the start mark): the piece number of each [word, start, length - 1], -1 for none."""
     n, size = len(words), len(words[0])
     out = np.full((n, size, min(longest, size)), -1, np.int32)
@@ -49,9 +56,12 @@ def lattice(words: list[str], vocabulary: dict[str, int], longest: int) -> np.nd
     for i, w in enumerate(words):
         for s in range(size):
             for k in range(1, min(longest, size - s) + 1):
-                p = get(w[s : s + k])
+                part = w[s : s + k]
+                p = get(part)
                 if p is not None:
                     out[i, s, k - 1] = p
+                elif starts is not None and part not in starts:
+                    break
     return out
 
 
@@ -137,7 +147,7 @@ class Model:
                 continue
             for j in range(0, len(at), 20_000):
                 part = at[j : j + 20_000]
-                out[part] = np.log(np.maximum(forward(lattice([marked[i] for i in part], vocabulary, longest), self.prob)[:, size], 1e-300))
+                out[part] = np.log(np.maximum(forward(lattice([marked[i] for i in part], vocabulary, longest, beginnings(self.path)), self.prob)[:, size], 1e-300))
         return out
 
 
@@ -151,7 +161,7 @@ def fit_pieces(counts: list[Counter], path: str = VOCABULARY, passes: int = PASS
     for size, at in sorted(by_length(words).items()):
         for j in range(0, len(at), 20_000):
             part = at[j : j + 20_000]
-            groups.append((lattice(["▁" + words[i] for i in part], vocabulary, longest), weight[part]))
+            groups.append((lattice(["▁" + words[i] for i in part], vocabulary, longest, beginnings(path)), weight[part]))
     # Longer pieces start less likely, so that the first pass does not prefer single characters.
     prob = np.repeat(np.array([[0.1 ** min(4, len(p))] for p in vocabulary]), langs, axis=1)
     prob = prob / prob.sum(axis=0)
@@ -246,6 +256,9 @@ class Scorer:
         return out
 
 
+_SCORERS: dict = {}
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score (the probability of that language among the learned ones, equal before seeing the text).
 
@@ -255,8 +268,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # pieces times at most LANGUAGES
 
-    def run(batches):
-        scorer = Scorer(shared.value)
+    def run(batches, name=uuid.uuid4().hex):
+        # A worker keeps what it has learned from one task to the next.
+        if name not in _SCORERS:
+            _SCORERS.clear()
+            _SCORERS[name] = Scorer(shared.value)
+        scorer = _SCORERS[name]
         for whole in batches:
             for b in slices(whole, "text", 2 << 20):
                 found = scorer(b.column("text").to_pylist())
