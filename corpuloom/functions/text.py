@@ -103,3 +103,105 @@ def size_bucket(c: Column) -> Column:
 def label_profile(labels: Column) -> Column:
     """Sorted distinct labels, joined."""
     return F.array_join(F.array_sort(F.array_distinct(labels)), "+")
+
+
+def contains_cjk(c: Column) -> Column:
+    return F.coalesce(c, F.lit("")).rlike("[㐀-鿿]")
+
+
+def asks(c: Column, intent: str) -> Column:
+    """A question mark, or a hit of the pattern."""
+    return c.contains("?") | F.lower(c).rlike(intent)
+
+
+def grounded(evidence: Column, source: Column) -> Column:
+    """Whether the evidence is in the source, white space and case aside; empty evidence isn't."""
+    e = F.lower(normalise(evidence))
+    return (e != "") & F.lower(normalise(source)).contains(e)
+
+
+def grounded_in_order(quote: Column, source: Column, least: int = 4) -> Column:
+    """Whether the parts of a quote between ellipses, each of `least` characters or more, follow each other in the source."""
+    parts = F.filter(F.transform(F.split(F.lower(normalise(quote)), r"\.\.\.|…"), F.trim), lambda p: F.length(p) >= least)
+    text = F.lower(normalise(source))
+
+    def step(at, part):
+        found = F.position(part, text, at)
+        return F.when(at < 1, at).when(found > 0, found + F.length(part)).otherwise(F.lit(0))
+
+    return (F.size(parts) > 0) & (F.aggregate(parts, F.lit(1), step) > 0)
+
+
+def lexical_leak(question: Column, memory: Column, n: int = 5, coverage: float = 0.65, least: int = 4) -> Column:
+    """Whether a question gives a memory away: it holds it whole, shares n words in a row, or covers most of its distinct words."""
+    q, m = tokens(question), tokens(memory)
+    shared = F.size(F.array_intersect(q, m)) / F.size(F.array_distinct(m))
+    return grounded(memory, question) | (F.size(F.array_intersect(grams(q, n), grams(m, n))) > 0) | ((F.size(F.array_distinct(m)) >= least) & (shared >= coverage))
+
+
+def critical_tokens(c: Column) -> Column:
+    """Numbers and capitalised short forms, distinct and sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"([0-9]+(?:[.,][0-9]+)*|\b[A-Z]{2,}\b)"), 1)))
+
+
+def sentences(c: Column) -> Column:
+    """Parts that end in a full stop, question or exclamation mark before white space; trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(F.regexp_replace(c, r"([.!?])\s+", "$1\u0001"), "\u0001"), F.trim), lambda s: s != "")
+
+
+def spans(parts: Column, longest: int = 3) -> Column:
+    """Distinct runs of one to `longest` sentences, by start, then length."""
+    starts = F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.size(parts))).otherwise(F.array().cast("array<int>"))
+    runs = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(parts) - i + 1)), lambda n: F.array_join(F.slice(parts, i, n), " "))
+    return F.array_distinct(F.flatten(F.transform(starts, runs)))
+
+
+def best_span(evidence: Column, parts: Column) -> Column:
+    """The span that shares most with the evidence by F1 of distinct tokens, the first among equals; null without a shared token."""
+    e = F.array_distinct(tokens(evidence))
+
+    def score(s):
+        t = F.array_distinct(tokens(s))
+        both = F.size(F.array_intersect(e, t))
+        return F.struct(F.when(F.size(e) + F.size(t) > 0, 2 * both / (F.size(e) + F.size(t))).otherwise(0.0).alias("score"), s.alias("span"))
+
+    ranked = F.transform(spans(parts), score)
+    top = F.array_max(F.transform(ranked, lambda r: r["score"]))
+    return F.when(top > 0, F.get(F.filter(ranked, lambda r: r["score"] == top), F.lit(0))["span"])
+
+
+def without_overlap(parts: Column, phrase: Column, most: float = 0.34) -> Column:
+    """Sentences whose share of the phrase's distinct tokens is below `most`."""
+    p = F.array_distinct(tokens(phrase))
+    return F.filter(parts, lambda s: directed_overlap(tokens(s), p) < most)
+
+
+def content_tokens(c: Column, stop: list[str]) -> Column:
+    """Distinct tokens that aren't stop words."""
+    return F.array_except(tokens(c), F.array(*map(F.lit, stop)).cast("array<string>"))
+
+
+def json_object(c: Column) -> Column:
+    """The text of a JSON object: inside a code fence, or from the first brace to the last; null if it doesn't parse."""
+    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1)
+    bare = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
+    pick = F.when(fenced != "", fenced).otherwise(bare)
+    return F.when(F.try_parse_json(pick).isNotNull(), pick)
+
+
+def reasoning_trace(c: Column) -> Column:
+    return F.lower(F.coalesce(c, F.lit(""))).contains("<think>")
+
+
+def first_hit(c: Column, rules: list[tuple[str, str]], other: str) -> Column:
+    """The first pattern, in order, that the lower-cased text matches."""
+    out = None
+    for name, pattern in rules:
+        hit = F.lower(c).rlike(pattern)
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return F.lit(other) if out is None else out.otherwise(other)
+
+
+def signal_families(c: Column, families: dict[str, str]) -> Column:
+    """Names of the patterns that the lower-cased text matches."""
+    return F.array_compact(F.array(*[F.when(F.lower(c).rlike(p), F.lit(n)) for n, p in families.items()]))
