@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuloom.llm.common import WordHash, mix, slices, utf8, window_hashes
@@ -27,8 +27,12 @@ COORDS = 32
 TREES = 10
 #: Levels of branching.
 DEPTH = 3
-#: Classes in a node that is compared exhaustively.
-LEAF = 192
+#: Classes in a node that is compared exhaustively, by sketches only.
+LEAF = 1024
+#: Classes whose full sets are compared at once.
+CHUNK = 192
+#: Pairs of sketches that are compared at once.
+PAIRS = 400_000
 _HASH = WordHash()
 
 
@@ -122,18 +126,23 @@ def _alike(threshold: float, coords: int):
         """Groups among members offsets[0] to offsets[-1] of the nodes that offsets separate."""
         base, counts = offsets[0], np.diff(offsets)
         n = offsets[-1] - base
-        # All pairs of a node: each member with every later one.
+        # All pairs of a node: each member with every later one, a bounded number at a time.
         later = np.repeat(offsets[1:], counts) - np.arange(base, offsets[-1]) - 1
-        i = np.repeat(np.arange(n), later)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
-        a, b = sizes[base + i], sizes[base + j]
-        fit = np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9
-        i, j = i[fit], j[fit]
-        ok = np.zeros(len(i), bool)
-        for at in range(0, len(i), 100_000):
-            part = slice(at, at + 100_000)
-            ok[part] = (sk[base + i[part]] == sk[base + j[part]]).sum(axis=1) >= least
-        root = _labels(n, i[ok], j[ok])
+        upto = np.cumsum(later)
+        left, right, at = [], [], 0
+        while at < n:
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+            own = later[at:end]
+            i = np.repeat(np.arange(at, end), own)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
+            x, y = sizes[base + i], sizes[base + j]
+            fit = np.minimum(x, y) >= threshold * np.maximum(x, y) - 1e-9
+            i, j = i[fit], j[fit]
+            ok = (sk[base + i] == sk[base + j]).sum(axis=1) >= least
+            left.append(i[ok])
+            right.append(j[ok])
+            at = end
+        root = _labels(n, np.concatenate(left), np.concatenate(right)) if left else np.arange(n)
         order = np.lexsort((reps[base : base + n], root))
         bounds = np.flatnonzero(np.diff(root[order], prepend=-1))
         for part in np.split(order, bounds[1:]):
@@ -153,7 +162,7 @@ def _alike(threshold: float, coords: int):
             for k in range(len(offsets) - 1):
                 m = offsets[k + 1] - offsets[k]
                 pairs += m * (m - 1) // 2
-                if pairs > 400_000 or k == len(offsets) - 2:
+                if pairs > PAIRS or k == len(offsets) - 2:
                     out += groups(reps, sizes, sk, offsets[start : k + 2])
                     start, pairs = k + 1, 0
             if out:
@@ -264,6 +273,35 @@ def _sets(k: int):
     return run
 
 
+def _tiles(many: str, side: int, everywhere: Column) -> Column:
+    """Explodes members into square tiles of their node, so that any two members share a tile of at most twice `side`.
+
+    A member for which `everywhere` holds joins every tile.
+    """
+    of = F.ceil(F.col(many) / side).cast("int")
+    own = F.pmod(F.xxhash64("rep", F.lit(11)), of).cast("int")
+    upto = F.sequence(F.lit(0), of - 1)
+    tiles = F.transform(upto, lambda j: F.least(j, own) * of + F.greatest(j, own))
+    every = F.flatten(F.transform(upto, lambda i: F.transform(F.sequence(i, of - 1), lambda j: i * of + j)))
+    return F.explode(F.when(everywhere, every).otherwise(tiles)).alias("tile")
+
+
+def _rectangles(side: int) -> Column:
+    """Explodes a group's members into tiles in which each member outside the component `main` meets all others.
+
+    Blocks of such members times blocks of all; squares of all members where most are outside.
+    """
+    block = lambda seed, of: F.pmod(F.xxhash64("rep", F.lit(seed)), of).cast("int")
+    rows, columns = F.ceil(F.col("others") / side).cast("int"), F.ceil(F.col("many") / side).cast("int")
+    i, j = block(12, rows), block(13, columns)
+    down = F.transform(F.sequence(F.lit(0), rows - 1), lambda r: r * columns + j)
+    along = F.transform(F.sequence(F.lit(0), columns - 1), lambda c: i * columns + c)
+    rectangles = F.when(F.col("comp") == F.col("main"), down).otherwise(F.array_distinct(F.concat(down, along)))
+    own = block(11, columns)
+    squares = F.transform(F.sequence(F.lit(0), columns - 1), lambda c: F.least(c, own) * columns + F.greatest(c, own))
+    return F.explode(F.when(2 * F.col("others") <= F.col("many"), rectangles).otherwise(squares)).alias("tile")
+
+
 def similar_groups(classes: DataFrame, threshold: float, trees: int = TREES, coords: int = COORDS, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """members (array of rep): groups of classes whose sketches may reach the threshold.
 
@@ -284,14 +322,8 @@ def similar_groups(classes: DataFrame, threshold: float, trees: int = TREES, coo
         if level < depth:
             kept = kept.select("node", "rep", "many", F.lit(0).alias("tile"))
         else:
-            blocks = F.ceil(F.col("many") / leaf).cast("int")
-            own = F.pmod(F.xxhash64("rep", F.lit(11)), blocks).cast("int")
-            kept = kept.withColumn("of", blocks).withColumn("own", own)
-            upto = F.sequence(F.lit(0), F.col("of") - 1)
-            tiles = F.transform(upto, lambda j: F.least(j, F.col("own")) * F.col("of") + F.greatest(j, F.col("own")))
             # The node's smallest class joins every tile, as the pivot that its groups share.
-            every = F.flatten(F.transform(upto, lambda i: F.transform(F.sequence(i, F.col("of") - 1), lambda j: i * F.col("of") + j)))
-            kept = kept.select("node", "rep", "many", F.explode(F.when(F.col("rep") == F.col("low"), every).otherwise(tiles)).alias("tile"))
+            kept = kept.select("node", "rep", "many", _tiles("many", leaf, F.col("rep") == F.col("low")))
         kept = cut(kept.join(classes.hint("merge"), "rep"), "nodes")
         small = kept if level == depth else kept.where(F.col("many") <= leaf)
         lists = small.groupBy("node", "tile").agg(F.collect_list(F.struct("rep", "n_shingles", "sk")).alias("m")).select("m")
@@ -304,7 +336,7 @@ def similar_groups(classes: DataFrame, threshold: float, trees: int = TREES, coo
     return found.groupBy(F.xxhash64("members").alias("gid")).agg(F.first("members").alias("members"))
 
 
-def pivot_links(groups: DataFrame, sets: DataFrame, num: int, den: int, chunk: int = LEAF) -> DataFrame:
+def pivot_links(groups: DataFrame, sets: DataFrame, num: int, den: int, chunk: int = CHUNK) -> DataFrame:
     """a, b: confirmed links of groups' members to two pivots, the smallest and the smallest by hash, which groups that overlap share."""
     by_hash = lambda seed: F.array_min(F.transform("members", lambda x: F.struct(F.xxhash64(x, F.lit(seed)).alias("h"), x.alias("x"))))["x"]
     pivots = F.array_distinct(F.array(F.get("members", F.lit(0)), by_hash(21)))
@@ -332,9 +364,11 @@ def minhash_components(docs: DataFrame, classes: DataFrame, k: int, num: int, de
     first = cut(connected_components(links), "components")
     placed = members.join(first.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("gid", "rep", F.coalesce("component", "rep").alias("comp"))
     placed = cut(placed, "placed")
-    open_ = placed.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
-    left = placed.join(open_.hint("merge"), "gid", "left_semi").join(sets.hint("merge"), "rep")
-    lists = left.groupBy("gid").agg(F.collect_list(F.struct("rep", "comp", "shingles")).alias("m")).select("m")
+    # Of a group in several components, every pair to compare has a member outside the largest one.
+    parts = placed.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("n"))
+    open_ = parts.groupBy("gid").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("many"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    tiles = placed.join(open_.hint("merge"), "gid").select("gid", "rep", "comp", _rectangles(CHUNK))
+    lists = tiles.join(sets.hint("merge"), "rep").groupBy("gid", "tile").agg(F.collect_list(F.struct("rep", "comp", "shingles")).alias("m")).select("m")
     rest = cut(lists.mapInArrow(_confirm(num, den), "a long, b long"), "links")
     if rest.isEmpty():
         return first

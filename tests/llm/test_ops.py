@@ -79,6 +79,20 @@ def test_minhash_large_nodes_and_tiles(spark):
     assert got == brute(rows, 4)
 
 
+def test_minhash_groups_with_outsiders(spark, monkeypatch):
+    """Chains of edits leave members whose links lead to no pivot; small tiles must still join them."""
+    monkeypatch.setattr(minhash_dedup, "CHUNK", 4)
+    rng, rows, words = np.random.default_rng(5), [], [f"v{i}" for i in range(80)]
+    for i in range(60):
+        rows.append((i, " ".join(words)))
+        words[int(rng.integers(80))] = f"n{i}"
+        if i % 5 == 0:
+            words[int(rng.integers(80))] = f"m{i}"
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.minhash_dedup(df, 4).collect()}
+    assert got == brute(rows, 4)
+
+
 def test_minhash_edges(edge, empty):
     got = [(r.doc_id, r.component_id, r.kept) for r in minhash_dedup.minhash_dedup(edge, 4).collect()]
     assert len(got) == len(EDGE)
