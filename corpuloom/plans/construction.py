@@ -242,13 +242,16 @@ def record_validation(spark, d):
 
 
 def near_duplicate_clusters(spark, d):
-    """Exact groups first, then greedy clusters of their representatives by length as quality."""
+    """One row per document: exact groups first, then greedy clusters of their representatives by length as quality. A null text counts as empty."""
     from corpuloom.operators import clustering as K
 
-    s = sources(spark, d).select("id", F.lower(X.normalise(F.col("raw_question"))).alias("key"), "raw_question")
-    firsts = s.groupBy("key").agg(F.min_by(F.struct("id", "raw_question"), F.col("id")).alias("r")).select("r.*")
-    items = firsts.select("id", F.length("raw_question").alias("quality"))
-    return K.greedy_clusters(items, K.similar_pairs(K.signatures(firsts, "id", "raw_question")))
+    s = sources(spark, d).select("id", F.md5(F.lower(X.normalise(F.col("raw_question"))).cast("binary")).alias("key"), "raw_question")
+    firsts = s.groupBy("key").agg(F.min_by(F.struct("id", "raw_question"), F.col("id")).alias("r")).select("key", "r.*")
+    items = firsts.select("id", F.length(F.coalesce("raw_question", F.lit(""))).alias("quality"))
+    found = K.greedy_clusters(items, K.similar_pairs(K.signatures(firsts, "id", "raw_question")))
+    # The copies take the verdict of their group's first document; one side has a row per key.
+    groups = firsts.select("key", F.col("id").alias("first")).join(found.withColumnRenamed("id", "first"), "first")
+    return s.select("id", "key").join(groups, "key").select("id", (F.col("kept") & (F.col("id") == F.col("first"))).alias("kept"), "representative")
 
 
 def near_duplicate_candidates(spark, d):

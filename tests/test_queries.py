@@ -82,3 +82,12 @@ def test_greedy_clusters_attach_to_kept(spark):
     links = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.9)], "a long, b long, similarity double")
     got = {r.id: (r.kept, r.representative) for r in greedy_clusters(items, links).collect()}
     assert got == {1: (True, 1), 2: (False, 1), 3: (True, 3)}
+
+
+def test_near_duplicate_clusters_have_every_document(spark, tmp_path):
+    long = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    texts = {1: "Some  short text", 2: "some short TEXT", 3: None, 4: "", 5: None, 6: long, 7: long + " more", 8: long.upper(), 9: "other words"}
+    rows = [(i, t, "en", "a") for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.id: (r.kept, r.representative) for r in registry.queries()["near_duplicate_clusters"](spark, str(tmp_path)).collect()}
+    assert got == {1: (True, 1), 2: (False, 1), 3: (True, 3), 4: (False, 3), 5: (False, 3), 6: (False, 7), 7: (True, 7), 8: (False, 7), 9: (True, 9)}
