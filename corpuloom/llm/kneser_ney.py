@@ -271,11 +271,34 @@ def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def thresholds(scored: DataFrame, low: float = LOW, high: float = HIGH, margin: float = MARGIN) -> DataFrame:
-    """lang, lo, hi: bounds of perplexity from trusted documents of each language, exact to a thousandth of log perplexity; lang null holds those of all trusted documents."""
+    """lang, lo, hi: bounds of perplexity from trusted documents of each language, exact to a thousandth of log perplexity; lang null holds those of all trusted documents.
+
+    With n trusted documents a tail of share q is seen in full from n q = 1 on. Below that, a language's bound moves
+    by 1 - n q toward a wide one: the outermost of its own, that of all, and its median with the spread that
+    the languages have about theirs, widened for the error of a median of n. The bounds of few documents in
+    all move outwards by their range; a single one tells of no spread and bounds nothing.
+    """
     rounded = scored.where("trusted and perplexity is not null").groupBy("lang", F.round(F.log("perplexity"), 3).alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    sides = [F.exp(F.percentile("x", q, F.col("n")) + s * np.log(margin)).alias(k) for q, s, k in ((low, -1, "lo"), (high, 1, "hi"))]
-    whole = rounded.groupBy("x").agg(F.sum("n").alias("n")).agg(*sides).select(F.lit(None).cast("string").alias("lang"), "lo", "hi")
-    return rounded.where("lang is not null").groupBy("lang").agg(*sides).union(whole)
+    tails = (("lo", low, low, F.least, -1), ("hi", high, 1 - high, F.greatest, 1))
+    quantiles = [F.percentile("x", q, F.col("n")).alias(k) for k, q, *_ in tails]
+    whole = rounded.groupBy("x").agg(F.sum("n").alias("n")).agg(*quantiles, F.sum("n").alias("docs"), (F.max("x") - F.min("x")).alias("range"))
+    own = rounded.where("lang is not null").groupBy("lang").agg(*quantiles, F.percentile("x", 0.5, F.col("n")).alias("mid"), F.sum("n").alias("docs"))
+    # A document's distance from a median that it helped to make is short by this factor.
+    away = rounded.join(own.where("docs > 1").select("lang", "mid", "docs"), "lang").select(((F.col("x") - F.col("mid")) * F.sqrt(F.col("docs") / (F.col("docs") - 1))).alias("x"), "n")
+    spread = away.groupBy(F.round("x", 3).alias("x")).agg(F.sum("n").alias("n")).agg(*[F.percentile("x", q, F.col("n")).alias(f"off_{k}") for k, q, *_ in tails])
+    every = whole.select(*[F.col(k).alias(f"all_{k}") for k, *_ in tails]).join(F.broadcast(spread))
+    own = own.join(F.broadcast(every))
+
+    def bounds(frame, wide):
+        missing = lambda tail: F.greatest(F.lit(0.0), 1 - F.col("docs") * tail)
+        return [F.exp(F.col(k) + missing(tail) * (wide(k, outer, s) - F.col(k)) + s * np.log(margin)).alias(k) for k, _, tail, outer, s in tails]
+
+    error = F.sqrt(1 + 1 / F.col("docs"))
+    own = own.select("lang", *bounds(own, lambda k, outer, s: outer(F.col(k), F.col(f"all_{k}"), F.col("mid") + F.col(f"off_{k}") * error)), F.col("docs"))
+    far = whole.select(F.lit(None).cast("string").alias("lang"), *bounds(whole, lambda k, outer, s: F.col(k) + s * F.col("range")), "docs")
+    one = F.broadcast(whole.select((F.col("docs") < 2).alias("single")))
+    both = own.union(far).join(one).withColumns({"lo": F.when(F.col("single"), 0.0).otherwise(F.col("lo")), "hi": F.when(F.col("single"), float("inf")).otherwise(F.col("hi"))})
+    return both.select("lang", "lo", "hi")
 
 
 def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, **params) -> DataFrame:

@@ -248,6 +248,33 @@ def test_kneser_ney_shards_agree(spark, docs, labels, edge, empty):
     assert kneser_ney.quality(empty, labels).collect() == []
 
 
+def test_quality_bounds_of_rare_languages(spark):
+    rng = np.random.default_rng(5)
+    many = rng.normal(1.5, 0.1, 2000)
+    few = {"one": rng.normal(3.0, 0.1, 1), "five": rng.normal(2.0, 0.1, 5)}
+    rows = [(lang, float(np.exp(x)), True) for lang, xs in (("en", many), *few.items()) for x in xs]
+    bounds = lambda rows: {r.lang: (np.log(r.lo), np.log(r.hi)) for r in kneser_ney.thresholds(spark.createDataFrame(rows, "lang string, perplexity double, trusted boolean")).collect()}
+    got = bounds(rows)
+    for lang, mid in (("one", 3.0), ("five", 2.0)):
+        clean = rng.normal(mid, 0.1, 1000)
+        assert np.mean((clean >= got[lang][0]) & (clean <= got[lang][1])) > 0.97
+        assert got[lang][1] < mid + 1
+    # Enough documents bound themselves.
+    assert abs(got["en"][0] - (np.quantile(many, 0.002) - np.log(1.02))) < 2e-3 and abs(got["en"][1] - (np.quantile(many, 0.99) + np.log(1.02))) < 2e-3
+    assert bounds([("en", 5.0, True)])["en"] == (-np.inf, np.inf)
+
+
+def test_quality_keeps_clean_documents_of_a_rare_language(spark):
+    words = {"en": "the river house green walks over under small garden bright morning people".split(), "xx": "ñandú žluť kůň œuvre ßtraß łódź ærø ðan þorn ğül".split()}
+    rng = np.random.default_rng(6)
+    text = lambda lang: " ".join(rng.choice(words[lang], 80))
+    rows = [(i, text("en"), "en") for i in range(60)] + [(100 + i, text("xx"), "xx") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(60)] + [(100, 1)], "doc_id long, quality int")
+    got = {r.doc_id: r.kept for r in kneser_ney.quality(df, labels).collect()}
+    assert all(got[i] for i in range(100, 108))
+
+
 def test_mixing_meets_targets(spark, docs, edge, empty):
     rows = mixing.mix(docs, bucket=4, fan=2).collect()
     by = {}
