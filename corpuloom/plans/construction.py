@@ -59,6 +59,16 @@ def richest_record_dedup(spark, d):
     return M.richest(c, ["head"], [F.desc("chars"), F.asc("id")])
 
 
+@query(f"""WITH {V_SOURCES}, c AS (SELECT *, md5(lower({_WS.format('raw_question')})) AS key, length(raw_question) AS chars FROM v_source)
+SELECT id, key, chars, copies FROM (SELECT *, count(*) OVER (PARTITION BY key) AS copies, row_number() OVER (PARTITION BY key ORDER BY chars DESC, id) AS i FROM c) WHERE i = 1""")
+def richest_question_dedup(spark, d):
+    """As richest_record_dedup, by the whole normalised text."""
+    c = sources(spark, d).select("id", F.md5(F.lower(X.normalise(F.col("raw_question"))).cast("binary")).alias("key"), F.length("raw_question").cast("long").alias("chars"))
+    # An aggregation with partial sums, so that no task holds a large group.
+    best = F.min_by(F.struct("id", "chars"), F.struct(F.coalesce(-F.col("chars"), F.lit(1)).alias("n"), "id")).alias("b")
+    return c.groupBy("key").agg(best, F.count(F.lit(1)).alias("copies")).select("b.id", "key", "b.chars", "copies")
+
+
 @query(f"""WITH {V_SOURCES}, w AS (SELECT id, {_TOK.format('raw_question')} AS t FROM v_source),
 g AS (SELECT id, unnest(list_distinct(list_transform(range(1, len(t) - 8), lambda i: array_to_string(t[i:i+9], ' ')))) AS g FROM w WHERE len(t) >= 10),
 b AS (SELECT item_id, {_TOK.format('text')} AS t FROM benchmark), h AS (SELECT DISTINCT unnest(list_transform(range(1, len(t) - 8), lambda i: array_to_string(t[i:i+9], ' '))) AS g FROM b WHERE len(t) >= 10)

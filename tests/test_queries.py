@@ -91,3 +91,11 @@ def test_near_duplicate_clusters_have_every_document(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.id: (r.kept, r.representative) for r in registry.queries()["near_duplicate_clusters"](spark, str(tmp_path)).collect()}
     assert got == {1: (True, 1), 2: (False, 1), 3: (True, 3), 4: (False, 3), 5: (False, 3), 6: (False, 7), 7: (True, 7), 8: (False, 7), 9: (True, 9)}
+
+
+def test_richest_question_dedup_keeps_texts_that_share_an_opening(spark, tmp_path):
+    head = "the same opening of more than forty characters in all of them"
+    rows = [(1, head + " a", "en", "a"), (2, head + " b", "en", "a"), (3, head + "  A", "en", "a"), (4, "other", "en", "a")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.id: r.copies for r in registry.queries()["richest_question_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {2: 1, 3: 2, 4: 1}
