@@ -151,6 +151,13 @@ def request_result_status(spark, d):
     return M.reconcile(requests(spark, d).where("request_id % 7 <> 0"), attempts(spark, d).where("attempt = 1"), "request_id")
 
 
+@query(f"""WITH {V_ATTEMPTS}, g AS (SELECT DISTINCT request_id FROM v_attempts WHERE attempt = 1)
+SELECT coalesce(a.request_id, g.request_id) AS request_id, CASE WHEN a.request_id IS NULL THEN 'unexpected' WHEN g.request_id IS NULL THEN 'missing' ELSE 'ok' END AS status FROM v_requests a FULL JOIN g ON a.request_id = g.request_id""")
+def every_request_status(spark, d):
+    """As request_result_status, of all requests."""
+    return M.reconcile(requests(spark, d), attempts(spark, d).where("attempt = 1"), "request_id")
+
+
 @query(f"""WITH {V_ATTEMPTS}, b AS (SELECT request_id, state, tokens FROM v_attempts WHERE attempt = 1), n AS (SELECT request_id, state, tokens FROM v_attempts WHERE attempt = 2 AND state = 'valid')
 SELECT * FROM b WHERE request_id NOT IN (SELECT request_id FROM n) UNION ALL SELECT * FROM n""")
 def overlay_merge(spark, d):

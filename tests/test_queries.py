@@ -99,3 +99,13 @@ def test_richest_question_dedup_keeps_texts_that_share_an_opening(spark, tmp_pat
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.id: r.copies for r in registry.queries()["richest_question_dedup"](spark, str(tmp_path)).collect()}
     assert got == {2: 1, 3: 2, 4: 1}
+
+
+def test_every_request_has_a_status(spark):
+    got = {r.request_id: r.status for r in registry.queries()["every_request_status"](spark, D).collect()}
+    assert got.keys() == {r.o_orderkey for r in spark.read.parquet(f"{D}/orders.parquet").select("o_orderkey").collect()}
+
+
+def test_reconcile_tells_unexpected_ids(spark):
+    asked, came = spark.createDataFrame([(7,), (8,)], "k long"), spark.createDataFrame([(8,), (9,)], "k long")
+    assert {r.k: r.status for r in merges.reconcile(asked, came, "k").collect()} == {7: "missing", 8: "ok", 9: "unexpected"}
