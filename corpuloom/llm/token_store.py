@@ -10,6 +10,7 @@ format works on every file system that Spark can reach and survives lost executo
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from functools import lru_cache
@@ -29,8 +30,8 @@ DEFAULT_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 #: Ids in a shard, but that a document is never split.
 SHARD_IDS = 1_500_000
-#: Passes over a shard, and the most pairs that one pass replaces.
-ROUNDS, PAIRS = 3, 4096
+#: The most pairs that one pass over a shard replaces; passes go on until no pair is frequent.
+PAIRS = 4096
 #: A pair is replaced only if it occurs so often in the shard.
 LEAST = 24
 SHARD_SCHEMA = (
@@ -133,20 +134,20 @@ def _library(path: str) -> LibraryEncoder:
 # --- the grammar -------------------------------------------------------------------------
 
 
-def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int | None = None, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Compress ids; returns rules (pairs of symbols, the first is symbol `base`), the sequence, and which of its symbols end a document.
 
     last: which ids end a document; no pair spans two documents. All pairs of a pass are
-    counted over the whole shard, and the most frequent ones are replaced left to right.
+    counted over the whole shard, and the most frequent ones are replaced left to right, until
+    no pair occurs `least` times or `rounds` passes are done.
     """
-    bits = 16 if base + rounds * pairs <= 0x10000 else 32
     seq, last = ids.astype(np.uint32), last.copy()
-    kind = np.uint32 if bits == 16 else np.uint64
-    shift, low = kind(bits), kind((1 << bits) - 1)
     rules = np.empty((0, 2), np.uint32)
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         if len(seq) < 2:
             break
+        bits, kind = (16, np.uint32) if base + len(rules) <= 0x10000 else (32, np.uint64)
+        shift, low = kind(bits), kind((1 << bits) - 1)
         inside = (seq[:-1].astype(kind, copy=False) << shift) | seq[1:]
         inside = inside[~last[:-1]]
         inside.sort()

@@ -168,6 +168,19 @@ def test_automaton_numbers_words():
         assert x["final"][state] and value == i
 
 
+def test_repair_leaves_no_frequent_pair():
+    rng = np.random.default_rng(8)
+    for base, size in ((50257, 700), (65530, 700), (4, 1)):
+        one = rng.integers(0, base if size > 1 else 1, 700).astype(np.uint32)
+        ids, last = np.tile(one, 40), np.tile(np.arange(700) == 699, 40)
+        rules, seq, ends = token_store.repair(ids, last, base)
+        lengths = token_store.lengths_of(rules, base)
+        assert (token_store.expand(seq, rules, lengths, base) == ids).all()
+        pairs = np.stack([seq[:-1], seq[1:]])[:, ~ends[:-1]]
+        assert not pairs.size or np.unique(pairs, axis=1, return_counts=True)[1].max() < token_store.LEAST
+        assert lengths.max() > 8
+
+
 def test_token_store_round_trip(spark, edge, empty, tmp_path):
     _, want = library([r[1] for r in EDGE])
     order = sorted(range(len(EDGE)), key=lambda i: (EDGE[i][0] is not None, EDGE[i][0] or 0))
