@@ -23,14 +23,16 @@ from corpuloom.session import cut, ship, table
 
 #: Minwise coordinates of a sketch.
 COORDS = 32
-#: Independent trees; a pair at the threshold survives one level of one tree with probability 0.84 and so misses all ten, at depth 2, with probability under 1e-5.
+#: Trees. They draw from the same coordinates, so a pair's misses depend on how many of its coordinates agree; the tests measure what is found.
 TREES = 10
 #: Levels of branching.
 DEPTH = 3
 #: Classes in a node that is compared exhaustively, by sketches only.
 LEAF = 1024
-#: Classes whose full sets are compared at once.
+#: Classes that are compared with one pivot at once.
 CHUNK = 192
+#: Shingles in one side of a tile of a group whose full sets are compared at once (8 bytes each).
+TILE = 1 << 19
 #: Pairs of sketches that are compared at once.
 PAIRS = 400_000
 _HASH = WordHash()
@@ -58,34 +60,38 @@ def sketch(s: np.ndarray, mult: np.ndarray) -> np.ndarray:
     return best
 
 
+def digests(s: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit digests of a set."""
+    if not len(s):
+        return 0, 0
+    with np.errstate(over="ignore"):
+        pair = np.array([np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))), np.bitwise_xor.reduce(mix(s + np.uint64(0x14057B7EF767814F)))], np.uint64)
+    return tuple(pair.view(np.int64).tolist())
+
+
 def _signatures(k: int, coords: int):
     def run(batches):
         mult = _multipliers(coords)
         for whole in batches:
             for b in slices(whole, "text"):
-                sizes, d1, d2, rows = [], [], [], []
-                for text in b.column("text").to_pylist():
-                    s = shingle_set(text, k, _HASH)
-                    sizes.append(len(s))
-                    with np.errstate(over="ignore"):
-                        d1.append(int(np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)))) if len(s) else 0)
-                        d2.append(int(np.bitwise_xor.reduce(mix(s + np.uint64(0x14057B7EF767814F)))) if len(s) else 0)
-                        rows.append(sketch(mix(s), mult))
-                flat = np.concatenate(rows).view(np.int32)
+                sets = [shingle_set(t, k, _HASH) for t in b.column("text").to_pylist()]
+                d1, d2 = zip(*map(digests, sets), strict=True)
+                with np.errstate(over="ignore"):
+                    flat = np.concatenate([sketch(mix(s), mult) for s in sets]).view(np.int32)
                 sk = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, coords, dtype=np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(np.array(d1, np.uint64).view(np.int64)), pa.array(np.array(d2, np.uint64).view(np.int64)), sk],
-                    ["doc_id", "n_shingles", "d1", "d2", "sk"],
+                    [b.column("doc_id"), b.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), sk],
+                    ["doc_id", "text_hash", "n_shingles", "d1", "d2", "sk"],
                 )
 
     return run
 
 
 def signatures(docs: DataFrame, k: int = 4, coords: int = COORDS) -> DataFrame:
-    """doc_id, n_shingles, two digests of the set, and its sketch."""
+    """doc_id, text_hash (xxhash64 of the text), n_shingles, two digests of the set, and its sketch."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _signatures(k, coords), "doc_id long, n_shingles long, d1 long, d2 long, sk array<int>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        _signatures(k, coords), "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, sk array<int>"
     )
 
 
@@ -182,38 +188,53 @@ def _shared(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.diff(hit[np.concatenate([[0], ends])])
 
 
-def _star(reps, comps, sets, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect at num/den or more those members of a group that have different components so far.
-
-    A pair is compared on full sets unless its members are connected already, their
-    sizes exclude it, or it is out of reach by the triangle inequality of Jaccard
-    distance to a common pivot.
-    """
-    n = len(reps)
+def _pairs_within(counts: np.ndarray, starts: np.ndarray):
+    """Places (i, j), i before j, of all pairs within runs of `counts` places from `starts`, a bounded number at a time."""
+    at = 0
+    upto = np.cumsum(counts * (counts - 1) // 2)
+    while at < len(counts):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 4 * PAIRS, "right")))
+        c, s = counts[at:end], starts[at:end]
+        left = np.repeat(s, c) + np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+        later = np.repeat(s + c, c) - left - 1
+        i = np.repeat(left, later)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+        at = end
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of any two sets: hashes of many sets by matrix products, those of few by their pairs."""
+    n = len(sets)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    counts = np.diff(np.append(starts, len(flat)))
+    out = np.zeros((n, n), np.float32)
+    few = (counts > 1) & (counts <= max(8, n // 8))
+    for i, j in _pairs_within(counts[few], starts[few]):
+        out += np.bincount(owner[i] * n + owner[j], minlength=n * n).reshape(n, n)
+    out = out + out.T
+    many = np.flatnonzero(counts > max(8, n // 8))
+    for k in range(0, len(many), 2048):
+        own = many[k : k + 2048]
+        places = np.repeat(starts[own], counts[own]) + np.arange(int(counts[own].sum())) - np.repeat(np.cumsum(counts[own]) - counts[own], counts[own])
+        marks = np.zeros((n, len(own)), np.float32)
+        marks[owner[places], np.repeat(np.arange(len(own)), counts[own])] = 1
+        out += marks @ marks.T
+    out[np.arange(n), np.arange(n)] = [len(s) for s in sets]
+    return out.astype(np.int64)
+
+
+def _across(reps, comps, sets, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the components of a group which have a pair at num/den or more between them."""
     sizes = np.array([len(s) for s in sets])
+    inter = intersections(sets)
+    i, j = np.nonzero(np.triu(inter * den >= num * (sizes[:, None] + sizes[None, :] - inter), 1))
     _, first, inv = np.unique(comps, return_index=True, return_inverse=True)
-    root = first[inv]
-    far = np.ones((0, n))
-    slack = 1 - num / den + 1e-9
-    a, b = [], []
-    for i in range(n - 1):
-        todo = np.flatnonzero((root != root[i]) & (np.arange(n) > i) & (np.minimum(sizes, sizes[i]) * den >= num * np.maximum(sizes, sizes[i])))
-        if len(far) and len(todo):
-            todo = todo[(np.abs(far[:, todo] - far[:, [i]]) <= slack).all(axis=0)]
-        if not len(todo):
-            continue
-        pivot = len(far) < 8 and len(todo) > 32
-        look = np.arange(n) if pivot else todo
-        inter = _shared(sets[i], [sets[j] for j in look])
-        union = sizes[look] + sizes[i] - inter
-        if pivot:
-            far = np.vstack([far, 1 - inter / union])
-        for j in look[(inter * den >= num * union) & (look > i)].tolist():
-            if root[j] != root[i]:
-                a.append(reps[j])
-                b.append(reps[i])
-                root[root == root[j]] = root[i]
-    return np.array(a, np.int64), np.array(b, np.int64)
+    root = _labels(len(sets), np.concatenate([i, np.arange(len(sets))]), np.concatenate([j, first[inv]]))
+    moved = first[root[first] != first]
+    return reps[moved], reps[root[moved]]
 
 
 def _confirm(num: int, den: int):
@@ -227,8 +248,7 @@ def _confirm(num: int, den: int):
             a, b = [], []
             for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 if hi - lo > 1:
-                    own = [np.frombuffer(x, np.uint64) for x in sets.slice(lo, hi - lo).to_pylist()]
-                    x, y = _star(reps[lo:hi], comps[lo:hi], own, num, den)
+                    x, y = _across(reps[lo:hi], comps[lo:hi], [np.frombuffer(x, np.uint64) for x in sets.slice(lo, hi - lo).to_pylist()], num, den)
                     a.append(x)
                     b.append(y)
             if a:
@@ -265,9 +285,11 @@ def _sets(k: int):
     def run(batches):
         for whole in batches:
             for b in slices(whole, "text"):
+                sets = [shingle_set(t, k, _HASH) for t in b.column("text").to_pylist()]
+                d1, d2 = zip(*map(digests, sets), strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array([shingle_set(t, k, _HASH).tobytes() for t in b.column("text").to_pylist()], pa.binary())],
-                    ["rep", "shingles"],
+                    [b.column("doc_id"), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    ["doc_id", "d1", "d2", "size", "shingles"],
                 )
 
     return run
@@ -286,20 +308,18 @@ def _tiles(many: str, side: int, everywhere: Column) -> Column:
     return F.explode(F.when(everywhere, every).otherwise(tiles)).alias("tile")
 
 
-def _rectangles(side: int) -> Column:
+def _rectangles() -> Column:
     """Explodes a group's members into tiles in which each member outside the component `main` meets all others.
 
-    Blocks of such members times blocks of all; squares of all members where most are outside.
+    `rows` blocks of such members times `columns` blocks of all. A group within the bound is one tile, so that its
+    rows are its members; only groups of very long texts have more.
     """
     block = lambda seed, of: F.pmod(F.xxhash64("rep", F.lit(seed)), of).cast("int")
-    rows, columns = F.ceil(F.col("others") / side).cast("int"), F.ceil(F.col("many") / side).cast("int")
+    rows, columns = F.col("rows"), F.col("columns")
     i, j = block(12, rows), block(13, columns)
     down = F.transform(F.sequence(F.lit(0), rows - 1), lambda r: r * columns + j)
     along = F.transform(F.sequence(F.lit(0), columns - 1), lambda c: i * columns + c)
-    rectangles = F.when(F.col("comp") == F.col("main"), down).otherwise(F.array_distinct(F.concat(down, along)))
-    own = block(11, columns)
-    squares = F.transform(F.sequence(F.lit(0), columns - 1), lambda c: F.least(c, own) * columns + F.greatest(c, own))
-    return F.explode(F.when(2 * F.col("others") <= F.col("many"), rectangles).otherwise(squares)).alias("tile")
+    return F.explode(F.when(columns == 1, F.array(F.lit(0))).when(F.col("comp") == F.col("main"), down).otherwise(F.array_distinct(F.concat(down, along)))).alias("tile")
 
 
 def similar_groups(classes: DataFrame, threshold: float, trees: int = TREES, coords: int = COORDS, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
@@ -317,7 +337,8 @@ def similar_groups(classes: DataFrame, threshold: float, trees: int = TREES, coo
     found = None
     for level in range(1, depth + 1):
         thin = rows.select("node", "rep")
-        counts = thin.groupBy("node").agg(F.count(F.lit(1)).alias("many"), F.min("rep").alias("low")).where("many > 1")
+        # A table of its own, so that a node with many rows is an ordinary skewed join.
+        counts = cut(thin.groupBy("node").agg(F.count(F.lit(1)).alias("many"), F.min("rep").alias("low")).where("many > 1"), "counts")
         kept = thin.join(counts.hint("merge"), "node")
         if level < depth:
             kept = kept.select("node", "rep", "many", F.lit(0).alias("tile"))
@@ -342,33 +363,37 @@ def pivot_links(groups: DataFrame, sets: DataFrame, num: int, den: int, chunk: i
     pivots = F.array_distinct(F.array(F.get("members", F.lit(0)), by_hash(21)))
     pairs = groups.select("members", F.explode(pivots).alias("pivot")).select("pivot", F.explode("members").alias("rep")).where("rep <> pivot").distinct()
     pairs = cut(pairs, "pairs")
-    chunks = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
+    chunks = cut(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")), "chunks")
     rows = pairs.join(chunks.hint("merge"), "pivot").select("pivot", F.pmod(F.xxhash64("rep", F.lit(23)), F.col("chunks")).cast("int").alias("chunk"), "rep")
-    own = rows.select("pivot", "chunk").distinct().select("pivot", "chunk", F.col("pivot").alias("rep"))
+    own = chunks.select("pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("pivot").alias("rep"))
     lists = rows.union(own).join(sets.hint("merge"), "rep").groupBy("pivot", "chunk").agg(F.collect_list(F.struct("rep", "shingles")).alias("m")).select("pivot", "m")
     return lists.mapInArrow(_to_pivot(num, den), "a long, b long")
 
 
-def minhash_components(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, **params) -> DataFrame:
-    """id, component of the classes that have a link at num/den or more.
+def minhash_components(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, tile: int = TILE, **params) -> DataFrame:
+    """id, component of the classes (rep, low, d1, d2, n_shingles, sk) that have a link at num/den or more.
 
     Groups are linked to pivots first; only groups that stay in several components are then
     compared in full, and of those only pairs across components.
     """
-    groups = cut(similar_groups(classes, num / den, **params), "groups")
+    groups = cut(similar_groups(classes.select("rep", "n_shingles", "sk"), num / den, **params), "groups")
     members = groups.select("gid", F.explode("members").alias("rep"))
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left_semi")
-    sets = cut(texts.mapInArrow(_sets(k), "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
-    links = cut(pivot_links(groups, sets, num, den), "links")
+    wanted = cut(members.select("rep").distinct().join(classes.select("rep", F.col("low").alias("doc_id"), "d1", "d2").hint("merge"), "rep"), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_sets(k), "doc_id long, d1 long, d2 long, size long, shingles binary").join(wanted.hint("merge"), ["doc_id", "d1", "d2"])
+    sets = cut(sets.select("rep", "size", "shingles").dropDuplicates(["rep"]), "sets")
+    links = cut(pivot_links(groups, sets.select("rep", "shingles"), num, den), "links")
     first = cut(connected_components(links), "components")
-    placed = members.join(first.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("gid", "rep", F.coalesce("component", "rep").alias("comp"))
-    placed = cut(placed, "placed")
+    placed = members.join(first.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").join(sets.select("rep", "size").hint("merge"), "rep")
+    placed = cut(placed.select("gid", "rep", "size", F.coalesce("component", "rep").alias("comp")), "placed")
     # Of a group in several components, every pair to compare has a member outside the largest one.
-    parts = placed.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("n"))
-    open_ = parts.groupBy("gid").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("many"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
-    tiles = placed.join(open_.hint("merge"), "gid").select("gid", "rep", "comp", _rectangles(CHUNK))
-    lists = tiles.join(sets.hint("merge"), "rep").groupBy("gid", "tile").agg(F.collect_list(F.struct("rep", "comp", "shingles")).alias("m")).select("m")
+    parts = placed.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    largest = F.max(F.struct("n", "comp", "size"))
+    blocks = lambda size: F.ceil(size / tile).cast("int")
+    open_ = parts.groupBy("gid").agg(largest.alias("top"), F.count(F.lit(1)).alias("components"), F.sum("size").alias("all")).where("components > 1")
+    open_ = cut(open_.select("gid", F.col("top.comp").alias("main"), blocks(F.col("all") - F.col("top.size")).alias("rows"), blocks(F.col("all")).alias("columns")), "open")
+    tiles = placed.join(open_.hint("merge"), "gid").select("gid", "rep", "comp", _rectangles())
+    lists = tiles.join(sets.select("rep", "shingles").hint("merge"), "rep").groupBy("gid", "tile").agg(F.collect_list(F.struct("rep", "comp", "shingles")).alias("m")).select("m")
     rest = cut(lists.mapInArrow(_confirm(num, den), "a long, b long"), "links")
     if rest.isEmpty():
         return first
@@ -379,27 +404,26 @@ def minhash_components(docs: DataFrame, classes: DataFrame, k: int, num: int, de
 def minhash_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, **params) -> DataFrame:
     """Near-duplicate components of documents by Jaccard similarity of k-word shingle sets.
 
-    Returns one row per input row: doc_id, n_shingles, component_id, kept.
-    Texts that are null, empty or without a word have an empty set and link with
-    nothing; fewer than k words make one shingle. A repeated row (same doc_id and text)
-    is returned again with the same component; a null doc_id stays alone, with a null component_id, and is
+    Returns one row per input row: doc_id, n_shingles, component_id, kept
+    and text_hash, which tells rows of one doc_id apart. Texts that are null, empty or without a word have
+    an empty set and link with nothing; fewer than k words make one shingle. A repeated row (same
+    doc_id and text) is returned again with the same component. Rows of one doc_id with different texts are
+    documents of their own and are linked by their sets alone. A null doc_id stays alone, with a null component_id, and is
     kept. Extra columns are ignored; an empty table gives an empty result.
     """
     sig = cut(signatures(docs, k), "signatures")
-    classes = cut(
-        sig.where("n_shingles > 0 and doc_id is not null")
-        .groupBy("d1", "d2", "n_shingles")
-        .agg(F.min("doc_id").alias("rep"), F.first("sk").alias("sk")),
-        "classes",
-    )
-    comp = minhash_components(docs, classes.select("rep", "n_shingles", "sk"), k, num, den, **params)
-    final = classes.select("d1", "d2", "n_shingles", "rep").join(comp.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select(
-        "d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id")
-    )
-    out = sig.select("doc_id", "n_shingles", "d1", "d2").join(final.hint("merge"), ["d1", "d2", "n_shingles"], "left")
+    classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("low"), F.first("sk").alias("sk"))
+    # Numbers that hold once they are written; the smallest doc_id may belong to several classes.
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    comp = cut(minhash_components(docs, classes, k, num, den, **params).join(classes.select(F.col("rep").alias("id"), "low").hint("merge"), "id"), "components")
+    lowest = cut(comp.groupBy("component").agg(F.min("low").alias("component_id")), "lowest")
+    named = comp.select("id", "component").join(lowest.hint("merge"), "component").select(F.col("id").alias("rep"), "component_id")
+    final = classes.select("d1", "d2", "n_shingles", "rep", "low").join(named.hint("merge"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component_id", "low").alias("component_id"))
+    out = sig.select("doc_id", "text_hash", "n_shingles", "d1", "d2").join(final.hint("merge"), ["d1", "d2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup(table(spark, sf_dir, "documents"), k=4, num=80, den=100)
+    """Per document: its set's size, its component by four-word shingles at Jaccard 0.8, and whether it is the component's smallest id."""
+    return minhash_dedup(table(spark, sf_dir, "documents"), k=4, num=80, den=100).drop("text_hash")
