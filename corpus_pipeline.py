@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuloom.llm.bpe import bpe_digest
@@ -15,7 +15,8 @@ from corpuloom.session import cut, scratch_path, table
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The documents whose doc_id is not in `gone` (doc_id); null ids stay."""
-    return docs.join(gone.select(F.col("doc_id").alias("_gone")).distinct().hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    ids = gone.select(F.col("doc_id").alias("_gone")).distinct().alias("gone")
+    return docs.join(ids.hint("merge"), docs["doc_id"] == F.col("gone._gone"), "left_anti")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,15 +29,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates by five-word shingles; of repeated rows one."""
+    """One document of each group of near-duplicates by five-word shingles; of repeated rows one.
+
+    Rows are told apart by doc_id and text, so one id with different texts loses only the rows that are copies.
+    """
     found = cut(minhash_dedup(docs, k=5, num=80, den=100), "verdicts")
-    left = without(docs, found.where("not kept"))
-    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    hashed, gone = F.xxhash64("text"), found.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_hash")).distinct().alias("gone")
+    left = docs.join(gone.hint("merge"), (docs["doc_id"] == F.col("gone._gone")) & (hashed == F.col("gone._gone_hash")), "left_anti")
+    again = found.where("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if again.isEmpty():
         return left
-    order = Window.partitionBy("doc_id").orderBy(*[c for c in left.columns if c != "doc_id"])
-    numbered = left.withColumn("_row", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(order)))
-    return numbered.where("_row = 1").drop("_row")
+    # Of rows that agree in doc_id and text, the first by the other columns; groups are rows, not windows.
+    numbered = left.withColumn("_hash", hashed)
+    others = [F.col(f"`{c}`") for c in left.columns]
+    one = numbered.where("doc_id is not null").groupBy("doc_id", "_hash").agg(F.min(F.struct(*others)).alias("_row")).select("_row.*")
+    return one.unionByName(left.where("doc_id is null"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
