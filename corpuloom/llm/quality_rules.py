@@ -2,7 +2,8 @@
 
 Rolling hashes of several n-gram lengths over a text's words, in numpy, give the
 characters inside duplicated n-grams; the share of the commonest short n-gram and of
-duplicated lines completes the rules.
+duplicated lines completes the rules. Hashes roll on from n to n + 1 words, and a window can only
+repeat where both windows inside it do.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuloom.llm.common import WordHash, slices, utf8, window_hashes
+from corpuloom.llm.common import M1, WordHash, mix, slices, utf8
 from corpuloom.session import ship, table
 
 #: Fixed values of the published repetition rules: most characters inside duplicated n-grams, by n.
 DUP_NGRAM_CHARS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: Most characters inside the commonest n-gram, by n.
 TOP_NGRAM_CHARS = {2: 0.20, 3: 0.18, 4: 0.16}
+TOP_LEAST = 3
 MOST_DUP_LINES, MOST_DUP_LINE_CHARS = 0.30, 0.20
 #: Symbols per word, and characters of a mean word.
 MOST_SYMBOLS, WORD_LENGTH = 0.10, (2.0, 14.0)
@@ -37,8 +39,8 @@ class Rules:
     dup_line_chars: float = MOST_DUP_LINE_CHARS
     symbols: float = MOST_SYMBOLS
     word_length: tuple = WORD_LENGTH
-    #: The top n-gram rule needs some words: in a short text one repeated pair is already a large share.
-    top_from_words: int = 100
+    #: Occurrences that the commonest n-gram has at least: in a short text one repeated pair is already a large share.
+    top_least: int = TOP_LEAST
 
 
 def code_points(words: list[bytes]) -> np.ndarray:
@@ -51,24 +53,36 @@ def code_points(words: list[bytes]) -> np.ndarray:
     return np.diff(heads[np.concatenate([[0], ends])])
 
 
-def repeated(h: np.ndarray) -> np.ndarray:
-    """Of each hash, whether it occurs twice or more."""
-    if len(h) < 2:
-        return np.zeros(len(h), bool)
-    order = np.argsort(h, kind="stable")
-    same = h[order][1:] == h[order][:-1]
-    out = np.zeros(len(h), bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
-    return out
+def repeats(h: np.ndarray, longest: int):
+    """For n from 1 to `longest`: n, the places of the windows of n words that occur twice or more, and a number of each one's content.
 
-
-def covered(windows: np.ndarray, n: int, words: int) -> np.ndarray:
-    """Words inside the windows of n words that are marked."""
+    h: the words' hashes. A window's hash is that of the window one word shorter, mixed with its last word.
+    """
+    at, rolled = np.arange(len(h)), mix(h)
+    for n in range(1, longest + 1):
+        if n > 1:
+            # Only where the windows inside it, from this word and from the next, repeat.
+            inside = np.zeros(len(h) + 1, bool)
+            inside[at] = True
+            go = inside[at + 1]
+            at, rolled = at[go], rolled[go]
+            rolled = (rolled ^ h[at + n - 1]) * M1
+            rolled = rolled ^ (rolled >> np.uint64(29))
+        order = np.argsort(rolled, kind="stable")
+        by = rolled[order]
+        first = np.concatenate([np.ones(min(1, len(by)), bool), by[1:] != by[:-1]])
+        content = np.empty(len(at), np.int64)
+        content[order] = np.cumsum(first) - 1
+        often = np.bincount(content, minlength=1)[content] > 1
+        at, rolled, content = at[often], rolled[often], content[often]
+        yield n, at, content
+
+
+def covered(at: np.ndarray, n: int, words: int) -> np.ndarray:
+    """Words inside the windows of n words that begin at `at`."""
     marks = np.zeros(words + 1, np.int64)
-    at = np.flatnonzero(windows)
-    np.add.at(marks, at, 1)
-    np.add.at(marks, at + n, -1)
+    marks[at] += 1
+    marks[at + n] -= 1
     return np.cumsum(marks[:-1]) > 0
 
 
@@ -93,29 +107,24 @@ def measure(text: str | None, rules: Rules, hashes: WordHash) -> tuple:
                 dup_line_chars += int(code_points(line.split()).sum())
             else:
                 seen.add(line)
-    h = hashes.array(words)
-    dup, repeat5 = [], 0
-    for k in dup_ns:
-        marked = repeated(window_hashes(h, k)) if n > k else np.zeros(0, bool)
-        inside = covered(marked, k, n) if marked.any() else None
-        dup.append(0 if inside is None else int(chars[inside].sum()))
-        if k == 5 and inside is not None:
-            repeat5 = int(inside.sum())
-    if 5 not in rules.dup_ngram_chars:
-        marked = repeated(window_hashes(h, 5))
-        repeat5 = int(covered(marked, 5, n).sum()) if marked.any() else 0
-    top = []
-    for k in top_ns:
-        best = 0
-        if n >= max(k + 1, rules.top_from_words):
-            w = window_hashes(h, k)
-            _, first, counts = np.unique(w, return_index=True, return_counts=True)
-            many = counts.max()
-            if many > 1:
+    dup, top, repeat5 = dict.fromkeys(dup_ns, 0), dict.fromkeys(top_ns, 0), 0
+    for k, at, content in repeats(hashes.array(words), max(5, *dup_ns, *top_ns)):
+        if not len(at):
+            break
+        if k in dup or k == 5:
+            inside = covered(at, k, n)
+            if k in dup:
+                dup[k] = int(chars[inside].sum())
+            if k == 5:
+                repeat5 = int(inside.sum())
+        if k in top:
+            _, first, counts = np.unique(content, return_index=True, return_counts=True)
+            many = int(counts.max())
+            if many >= rules.top_least:
                 # Of the commonest n-grams, the one with the most characters.
-                size = max(int(chars[i : i + k].sum()) for i in first[counts == many].tolist())
-                best = min(total, size * int(many))
-        top.append(best)
+                size = max(int(chars[i : i + k].sum()) for i in at[first[counts == many]].tolist())
+                top[k] = min(total, size * many)
+    dup, top = list(dup.values()), list(top.values())
     return n, total, len(SYMBOLS.findall(text)), dup_lines, repeat5, lines, dup_line_chars, dup, top
 
 
@@ -166,6 +175,7 @@ def quality_rules(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the measures of the base, whether it fails, and the verdict of all rules."""
     return quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
@@ -196,7 +206,7 @@ grams AS ("""
 tops AS (SELECT doc_id, n, max(c * size) AS chars FROM (
     SELECT *, max(c) OVER (PARTITION BY doc_id, n) AS most FROM (
       SELECT g.doc_id, n, gram, count(*) AS c, any_value(length(replace(gram, ' ', ''))) AS size
-      FROM grams g JOIN base b ON b.doc_id = g.doc_id AND len(b.ws) >= 100 WHERE n <= 4 GROUP BY g.doc_id, n, gram)) WHERE c = most AND c > 1 GROUP BY doc_id, n),
+      FROM grams g WHERE n <= 4 GROUP BY g.doc_id, n, gram)) WHERE c = most AND c >= 3 GROUP BY doc_id, n),
 lines AS (SELECT doc_id, l, count(*) - 1 AS again FROM (SELECT doc_id, unnest(ls) AS l FROM base) GROUP BY ALL),
 dl AS (SELECT doc_id, sum(again) AS n_dup_lines, sum(again * length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g'))) AS dup_line_chars FROM lines GROUP BY doc_id),
 m AS (
