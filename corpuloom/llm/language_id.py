@@ -8,7 +8,6 @@ the piece probabilities are fitted by expectation maximisation with the same sum
 from __future__ import annotations
 
 import math
-import re
 import uuid
 from collections import Counter
 from functools import lru_cache
@@ -16,6 +15,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,13 +23,16 @@ from corpuloom.llm.common import slices
 from corpuloom.session import ship, table
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
-#: Documents of each language that the model is fitted on at most, chosen by hash, languages at most, and passes of the fit.
-FIT_DOCS, LANGUAGES, PASSES = 1200, 400, 3
+#: Documents of each language that the model is fitted on at most, chosen by hash, and passes of the fit.
+FIT_DOCS, PASSES = 1200, 3
+#: Languages whose sums are computed at once.
+BLOCK = 64
 #: Probability of a character that begins no piece, the same in every language.
 UNKNOWN = 1e-7
-#: Longer words go through a scaled forward pass of their own.
+#: Longer words go through a scaled forward pass of their own; the fit takes them in parts.
 LONG = 24
-_RUNS = re.compile(r"[^\W\d_]+")
+#: Runs of letters, by Unicode category: numerals are none.
+_RUNS = regex.compile(r"\p{L}+")
 
 
 @lru_cache(maxsize=1)
@@ -140,28 +143,48 @@ class Model:
         longest = max(map(len, vocabulary))
         out = np.zeros((len(words), len(self.languages)))
         marked = ["▁" + w for w in words]
+        blocks = range(0, len(self.languages), BLOCK)
         for size, at in by_length(marked).items():
             if size > LONG:
                 for i in at:
-                    out[i] = long_word(marked[i], vocabulary, self.prob, longest)
+                    for k in blocks:
+                        out[i, k : k + BLOCK] = long_word(marked[i], vocabulary, self.prob[:, k : k + BLOCK], longest)
                 continue
             for j in range(0, len(at), 20_000):
                 part = at[j : j + 20_000]
-                out[part] = np.log(np.maximum(forward(lattice([marked[i] for i in part], vocabulary, longest, beginnings(self.path)), self.prob)[:, size], 1e-300))
+                lat = lattice([marked[i] for i in part], vocabulary, longest, beginnings(self.path))
+                for k in blocks:
+                    out[part, k : k + BLOCK] = np.log(np.maximum(forward(lat, self.prob[:, k : k + BLOCK])[:, size], 1e-300))
         return out
 
 
+def parts_of(word: str) -> list[str]:
+    """A word with the start mark, in parts of at most LONG characters: so a run without spaces takes part in the fit in full, but for pieces across its cuts."""
+    marked = "▁" + word
+    return [marked[i : i + LONG] for i in range(0, len(marked), LONG)]
+
+
 def fit_pieces(counts: list[Counter], path: str = VOCABULARY, passes: int = PASSES) -> np.ndarray:
-    """prob[piece, language] from each language's word counts by expectation maximisation, smoothed."""
+    """prob[piece, language] from each language's word counts by expectation maximisation, smoothed; a block of languages at a time."""
+    blocks = [_fit_block(counts[k : k + BLOCK], path, passes) for k in range(0, len(counts), BLOCK)]
+    return np.concatenate(blocks, axis=1)
+
+
+def _fit_block(words_of: list[Counter], path: str, passes: int) -> np.ndarray:
     vocabulary = pieces(path)
+    counts = [Counter() for _ in words_of]
+    for own, given in zip(counts, words_of, strict=True):
+        for w, c in given.items():
+            for part in parts_of(w):
+                own[part] += c
     longest, n, langs = max(map(len, vocabulary)), len(vocabulary), len(counts)
-    words = sorted({w for c in counts for w in c if len(w) < LONG})
+    words = sorted({w for c in counts for w in c})
     weight = np.array([[c[w] for c in counts] for w in words], np.float64).reshape(len(words), langs)
     groups = []
     for size, at in sorted(by_length(words).items()):
         for j in range(0, len(at), 20_000):
             part = at[j : j + 20_000]
-            groups.append((lattice(["▁" + words[i] for i in part], vocabulary, longest, beginnings(path)), weight[part]))
+            groups.append((lattice([words[i] for i in part], vocabulary, longest, beginnings(path)), weight[part]))
     # Longer pieces start less likely, so that the first pass does not prefer single characters.
     prob = np.repeat(np.array([[0.1 ** min(4, len(p))] for p in vocabulary]), langs, axis=1)
     prob = prob / prob.sum(axis=0)
@@ -189,11 +212,13 @@ def fit(docs: DataFrame, most: int = FIT_DOCS, path: str = VOCABULARY) -> Model:
     """A model from text and lang of documents that are not held out: at most `most` of each language, by hash of the id."""
     ship(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not sizes:
+    # One row for each language, all of which are learned; the model has one column for each.
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    languages = sorted(r.lang for r in sizes.select("lang").collect())
+    if not languages:
         return Model([], np.empty((0, 0)), path)
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1 << 30, int((1 << 30) * most / n)))])
-    few = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < share[F.col("lang")])
+    shares = sizes.select("lang", F.least(F.lit(1.0), most / F.col("n")).alias("share"))
+    few = known.join(shares.hint("broadcast"), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < F.col("share") * (1 << 30))
 
     def run(batches):
         for whole in batches:
@@ -206,7 +231,6 @@ def fit(docs: DataFrame, most: int = FIT_DOCS, path: str = VOCABULARY) -> Model:
                 lang, w, n = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(w, pa.string()), pa.array(n, pa.int64())], ["lang", "w", "n"])
 
-    languages = sorted(sizes)
     counts = {k: Counter() for k in languages}
     for r in few.select("lang", "text").mapInArrow(run, "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r.lang][r.w] = r.n
@@ -262,11 +286,11 @@ _SCORERS: dict = {}
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score (the probability of that language among the learned ones, equal before seeing the text).
 
-    A null text, or one without a letter, gives `und` and 0. Texts are read whole; repeated
+    A null text, or one without a letter (Unicode category L), gives `und` and 0. Texts are read whole; repeated
     rows are scored again; extra columns are ignored; an empty table gives an empty result.
     """
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # pieces times at most LANGUAGES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # pieces times languages, whatever the number of documents
 
     def run(batches, name=uuid.uuid4().hex):
         # A worker keeps what it has learned from one task to the next.
@@ -283,5 +307,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: whether it is held out, its predicted language (`und` without a letter), and the probability of that language."""
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
