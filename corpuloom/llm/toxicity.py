@@ -2,7 +2,8 @@
 
 P(grade > k) = sigmoid(w x - t_k) with ordered thresholds t_k and one weight vector for all
 of them; the expected severity is the sum of these probabilities. x marks which of the
-selected words a text holds.
+selected words a text holds. Grades come from the labels alone: the levels of the toxic label, and
+between two levels the texts whose copies are labelled with both.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuloom.llm.common import slices, utf8
-from corpuloom.session import ship, table
+from corpuloom.session import cut, ship, table
 
 #: Labelled rows that the model is fitted on at most, chosen by hash of doc_id.
 FIT_ROWS = 12_000
@@ -88,18 +89,6 @@ def fit_cumulative(x: list[np.ndarray], y: np.ndarray, n_features: int, grades:
     return theta[:n_features], np.concatenate([theta[n_features : n_features + 1], theta[n_features] + np.cumsum(gaps)])
 
 
-def select_features(texts: list[np.ndarray], toxic: np.ndarray, names: list[bytes], most: int = FEATURES) -> list[int]:
-    """Features whose presence depends on the label by chi-square, strongest first; texts hold numbers of `names`."""
-    n, pos = len(texts), int(toxic.sum())
-    every = np.bincount(np.concatenate(texts), minlength=len(names))
-    bad = np.bincount(np.concatenate([t for t, x in zip(texts, toxic.tolist(), strict=True) if x]), minlength=len(names))
-    expected = every * pos / n
-    spread = expected * (1 - every / n) * (1 - pos / n)
-    chi2 = np.where(spread > 0, (bad - expected) ** 2 / np.maximum(spread, 1e-12), 0.0)
-    fit_ = np.flatnonzero((every >= LEAST_TEXTS) & (chi2 >= LEAST_CHI2))
-    return sorted(fit_.tolist(), key=lambda i: (-chi2[i], names[i]))[:most]
-
-
 class Model:
     """Weights by word, thresholds, and their predictions."""
 
@@ -112,76 +101,73 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds - z, -60, 60)))
 
 
-def grades_of(toxic: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Severity grades of labels. Labels of more than two levels are the grades.
+def graded(level: str = "level"):
+    """The level of labels of one text: twice the label where all agree, an odd number between where they don't."""
+    mean = F.avg(level)
+    return (F.floor(mean) + F.ceil(mean)).cast("int")
 
-    Where they only say toxic or not, toxic texts that hold two or more of the features that
-    mark toxic texts (marks: how many each text holds) get grade 2, the others grade 1.
-    """
-    levels = np.unique(toxic)
-    if len(levels) != 2:
-        return np.searchsorted(levels, toxic)
-    return np.where(toxic > levels[0], 1 + (marks >= 2), 0)
+
+def chi_square(words: DataFrame, most: int = FEATURES) -> list[bytes]:
+    """Features (column words of each text, level) whose presence depends on being toxic, strongest first; at most `most`."""
+    n, pos = words.agg(F.count(F.lit(1)), F.sum((F.col("level") > 0).cast("long"))).first()
+    every, bad = F.col("every"), F.col("bad")
+    expected = every * pos / n
+    spread = expected * (1 - every / n) * (1 - pos / n)
+    counts = words.select(F.explode("words").alias("word"), (F.col("level") > 0).cast("long").alias("hit")).groupBy("word").agg(F.count(F.lit(1)).alias("every"), F.sum("hit").alias("bad"))
+    strong = counts.where(every >= LEAST_TEXTS).withColumn("chi2", F.when(spread > 0, (bad - expected) ** 2 / spread).otherwise(0.0)).where(F.col("chi2") >= LEAST_CHI2)
+    return [bytes(r.word) for r in strong.orderBy(F.desc("chi2"), "word").limit(most).collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = FIT_ROWS) -> Model:
-    """The model of labelled documents: at most `most` of them, by hash; exact copies count once."""
+    """The model of labelled documents: at most `most` of them, by hash; texts of equal words count once.
+
+    Words are counted by Spark; the driver receives the chosen features and, of each fitted text, which of them it holds.
+    """
     spark = docs.sparkSession
     ship(spark)
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("level")).where("doc_id is not null and level is not null")
     total = known.count()
     share = min(1.0, 0.95 * most / max(1, total))
-    few = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).groupBy("doc_id").agg(F.max("label").alias("label")).limit(most)
+    few = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).groupBy("doc_id").agg(F.avg("level").alias("level")).limit(most)
 
     def run(batches):
         words = Words(None)
         for whole in batches:
             for b in slices(whole, "text"):
-                found = [b"\n".join(sorted(words.of(t))) for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(found, pa.binary())], ["doc_id", "label", "words"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id").select("doc_id", "label", "text")
-    number: dict[bytes, int] = {}
-    found = []
-    for r in rows.mapInArrow(run, "doc_id long, label int, words binary").toLocalIterator():
-        found.append((r.doc_id, r.label, np.array([number.setdefault(w, len(number)) for w in bytes(r.words).split(b"\n") if w], np.int32)))
-    # Numbers by name, so that nothing depends on the order of arrival.
-    names = sorted(number)
-    to = np.empty(len(names), np.int32)
-    to[[number[w] for w in names]] = np.arange(len(names), dtype=np.int32)
-    held: dict[bytes, int] = {}
-    for _, level, ids in sorted(found, key=lambda x: x[:2]):
-        key = np.sort(to[ids]).tobytes()
-        held[key] = max(level, held.get(key, level))
-    texts = [np.frombuffer(k, np.int32) for k in held]
-    y = np.array(list(held.values()), np.int64)
-    if not len(y) or y.min() == y.max():
+                yield pa.RecordBatch.from_arrays([b.column("level"), pa.array([sorted(words.of(t)) for t in b.column("text").to_pylist()], pa.list_(pa.binary()))], ["level", "words"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id").select("level", "text")
+    held = cut(rows.mapInArrow(run, "level double, words array<binary>").groupBy("words").agg(graded().alias("level")), "labelled")
+    levels = sorted(r.level for r in held.select("level").distinct().collect())
+    if len(levels) < 2:
+        return Model([], np.empty(0), np.array([60.0]))
+    names = chi_square(held)
+    if not names:
         return Model([], np.empty(0), np.array([60.0]))
-    toxic = y > y.min()
-    chosen = select_features(texts, toxic, names)
-    at = np.full(len(names), -1, np.int64)
-    at[chosen] = np.arange(len(chosen))
-    x = [np.sort(at[t][at[t] >= 0]) for t in texts]
-    up = np.bincount(np.concatenate([r for r, bad in zip(x, toxic.tolist(), strict=True) if bad]), minlength=len(chosen))
-    every = np.bincount(np.concatenate(x), minlength=len(chosen))
-    marking = up > 0.5 * every
-    grade = grades_of(y, np.array([int(marking[r].sum()) for r in x]))
-    grade = np.searchsorted(np.unique(grade), grade)
-    weights, thresholds = fit_cumulative(x, grade, len(chosen), int(grade.max()) + 1)
-    return Model([names[i] for i in chosen], weights, thresholds)
 
+    def chosen(batches):
+        at = {w: i for i, w in enumerate(names)}
+        for b in batches:
+            own = [sorted(at[w] for w in x if w in at) for x in b.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("level"), pa.array(own, pa.list_(pa.int32()))], ["level", "features"])
 
-_NAMES = ("_tox_severity", "_tox_grade", "_tox_probability")
+    texts = sorted((r.level, r.features) for r in held.select("level", "words").mapInArrow(chosen, "level int, features array<int>").collect())
+    grade = np.searchsorted(levels, [x[0] for x in texts])
+    weights, thresholds = fit_cumulative([np.array(x[1], np.int64) for x in texts], grade, len(names), len(levels))
+    return Model(names, weights, thresholds)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with _tox_severity (expected grade), _tox_grade (likeliest) and _tox_probability (of any grade above 0).
+def score(docs: DataFrame, model: Model) -> tuple[DataFrame, list[str]]:
+    """docs with the expected grade, the likeliest grade and the probability of any grade above 0, and the names of these columns.
 
     A null or empty text has no features and gets the base rate. Texts are read whole.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES words
-    schema = T.StructType([*docs.schema.fields, T.StructField(_NAMES[0], T.DoubleType()), T.StructField(_NAMES[1], T.IntegerType()), T.StructField(_NAMES[2], T.DoubleType())])
+    names = ["severity", "grade", "probability"]
+    while {n.lower() for n in names} & {c.lower() for c in docs.columns}:
+        names = [f"_{n}" for n in names]
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType()), T.StructField(names[2], T.DoubleType())])
 
     def run(batches):
         m = shared.value
@@ -191,26 +177,28 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 over = [m.over(words.of(t)) for t in b.column("text").to_pylist()]
                 grade = [int(np.argmax(-np.diff(np.concatenate([[1.0], o, [0.0]])))) for o in over]
                 extra = [pa.array([float(o.sum()) for o in over]), pa.array(grade, pa.int32()), pa.array([float(o[0]) for o in over])]
-                yield pa.RecordBatch.from_arrays([*b.columns, *extra], [*b.schema.names, *_NAMES])
+                yield pa.RecordBatch.from_arrays([*b.columns, *extra], [*b.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema), names
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, severity, grade, probability, rejected for each document.
 
-    Rows with null doc_ids or labels are not used for fitting; with labels of one level, or
-    none, nothing is rejected. Repeated rows are scored again; extra columns are ignored;
-    an empty table gives an empty result.
+    Rows with null doc_ids or labels are not used for fitting; with labels of one level or
+    none, or no word that tells them apart, nothing is rejected. A document is rejected if P(grade > 0) reaches REJECT. Repeated rows
+    are scored again; extra columns are ignored; an empty table gives an empty result.
     """
-    out = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels))
-    return out.select("doc_id", F.col(_NAMES[0]).alias("severity"), F.col(_NAMES[1]).alias("grade"), F.col(_NAMES[2]).alias("probability"), (F.col(_NAMES[2]) >= REJECT).alias("rejected"))
+    out, _ = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels))
+    return out.select("doc_id", "severity", "grade", "probability", (F.col("probability") >= REJECT).alias("rejected"))
 
 
 def keep_harmless(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not rejected, with their own columns."""
-    return score(docs, fit(docs, labels)).where(F.col(_NAMES[2]) < REJECT).drop(*_NAMES)
+    """The documents that are not rejected, with their own columns, whatever their names."""
+    out, names = score(docs, fit(docs, labels))
+    return out.where(F.col(names[2]) < REJECT).drop(*names)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: expected severity, likeliest grade, probability of a grade above 0, and whether it is rejected."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
