@@ -18,8 +18,8 @@ def clean_source(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Lower-case English words with an inner apostrophe, or numbers."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"([a-z]+(?:'[a-z]+)?|[0-9]+)"), 1)
+    """Lower-case English words with an inner apostrophe, or numbers with decimals."""
+    return F.regexp_extract_all(F.lower(c), F.lit(r"([a-z]+(?:'[a-z]+)?|[0-9]+(?:\.[0-9]+)?)"), 1)
 
 
 def english_ratio(c: Column) -> Column:
@@ -29,12 +29,15 @@ def english_ratio(c: Column) -> Column:
 
 
 def punctuation_ratio(c: Column) -> Column:
-    return F.when(F.length(c) > 0, F.length(F.regexp_replace(c, r"[A-Za-z0-9\s\p{L}]", "")) / F.length(c)).otherwise(0.0)
+    """Characters that are no letters or digits among those that are no white space; 0 without any."""
+    solid = F.regexp_replace(c, r"\s+", "")
+    return F.when(F.length(solid) > 0, F.length(F.regexp_replace(solid, r"[\p{L}\p{N}]", "")) / F.length(solid)).otherwise(0.0)
 
 
 def noisy(c: Column, most: float = 0.18) -> Column:
-    """A character six times in a row, or too much punctuation."""
-    return c.rlike(r"(?s)(.)\1{5,}") | (punctuation_ratio(c) > most)
+    """A character six times in a row, case aside, too much punctuation, or nothing but white space."""
+    c = F.coalesce(c, F.lit(""))
+    return c.rlike(r"(?i)(.)\1{5,}") | (punctuation_ratio(c) > most) | ~c.rlike(r"\S")
 
 
 def grams(words: Column, n: int) -> Column:

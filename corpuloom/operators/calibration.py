@@ -66,9 +66,10 @@ def condition_metrics(j: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 def panel_rollup(j: DataFrame) -> DataFrame:
     """Accuracy by model, block and condition with subtotals over blocks; `all` marks a subtotal."""
     right = (F.col("g") == F.col("p")).cast("int")
-    out = j.groupBy("model", "condition").agg(F.sum(right).alias("k"), F.count(F.lit(1)).alias("n")).withColumn("panel", F.lit("all"))
     by = j.groupBy("model", "condition", F.col("block").cast("string").alias("panel")).agg(F.sum(right).alias("k"), F.count(F.lit(1)).alias("n"))
-    return out.select("model", "condition", "panel", "k", "n").union(by.select("model", "condition", "panel", "k", "n")).withColumn("accuracy", F.col("k") / F.col("n"))
+    # Subtotals are sums over the blocks' few rows: each goes to its own panel and to `all`.
+    both = by.withColumn("panel", F.explode(F.array("panel", F.lit("all")))).groupBy("model", "condition", "panel").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
+    return both.withColumn("accuracy", F.col("k") / F.col("n"))
 
 
 def paired_delta(j: DataFrame) -> DataFrame:
@@ -84,7 +85,7 @@ def paired_delta(j: DataFrame) -> DataFrame:
 def mixed_blocks(j: DataFrame) -> DataFrame:
     """Of blocks whose atoms have different gold labels: how many have all atoms right."""
     right = (F.col("g") == F.col("p")).cast("int")
-    block = j.groupBy("model", "condition", "sample_id", "block").agg(F.min(right).alias("strict"), F.min("gold").alias("lo"), F.max("gold").alias("hi")).where("lo <> hi")
+    block = j.groupBy("model", "condition", "sample_id", "block").agg(F.min(right).alias("strict"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi")
     return block.groupBy("model", "condition").agg(F.count(F.lit(1)).alias("mixed"), F.sum("strict").alias("right"), F.avg(F.col("strict").cast("double")).alias("accuracy"))
 
 
@@ -105,20 +106,31 @@ def headline(scores: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return out.withColumn("sh", harmonic(1 - F.col("sopb"), 1 - F.col("supb")))
 
 
-def nearest_rank(column: str, q: float, keys: list[str], order: str | None = None):
-    """Whether a row is the nearest-rank quantile of its group: index round((n - 1) q), half to even."""
+def value_counts(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """keys, value_, k_, before_, n_: how many rows have each value, how many have a smaller one, and all rows of the group.
+
+    Order statistics follow from the counts, so no task sorts the rows of a group.
+    """
     w = Window.partitionBy(*keys)
-    rank = F.row_number().over(w.orderBy(column, *([order] if order else []))) - 1
-    return rank == F.bround((F.count(F.lit(1)).over(w) - 1) * q).cast("long")
+    counts = df.groupBy(*keys, F.col(column).alias("value_")).agg(F.count(F.lit(1)).alias("k_"))
+    before = F.coalesce(F.sum("k_").over(w.orderBy("value_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counts.withColumn("before_", before).withColumn("n_", F.sum("k_").over(w))
+
 
+def nearest_rank(q: float) -> Column:
+    """Of value_counts, the value if it is the nearest-rank quantile of its group: index round((n - 1) q), half to even."""
+    at = F.bround((F.col("n_") - 1) * q).cast("long")
+    return F.when((F.col("before_") <= at) & (at < F.col("before_") + F.col("k_")), F.col("value_"))
 
-def score_summary(scores: DataFrame, column: str = "scs_50", keys: list[str] = KEYS) -> DataFrame:
-    """Mean, population deviation and nearest-rank deciles of a score."""
-    for q in (10, 50, 90):
-        scores = scores.withColumn(f"is_{q}", nearest_rank(column, q / 100, keys))
-    return scores.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("sd"), F.min(column).alias("min"), F.max(column).alias("max"),
-        *[F.max(F.when(F.col(f"is_{q}"), F.col(column))).alias(f"p{q}") for q in (10, 50, 90)],
+
+def score_summary(scores: DataFrame, column: str = "scs_50", keys: list[str] = KEYS, quantiles: tuple = (10, 50, 90)) -> DataFrame:
+    """Mean, population deviation and nearest-rank quantiles of a score."""
+    v = value_counts(scores, column, keys)
+    mean = F.sum(F.col("value_") * F.col("k_")).over(Window.partitionBy(*keys)) / F.col("n_")
+    v = v.withColumn("mean", mean)
+    return v.groupBy(*keys).agg(
+        F.first("n_").alias("n"), F.first("mean").alias("mean"), F.sqrt(F.sum(F.col("k_") * (F.col("value_") - F.col("mean")) ** 2) / F.first("n_")).alias("sd"),
+        F.min("value_").alias("min"), F.max("value_").alias("max"), *[F.max(nearest_rank(q / 100)).alias(f"p{q}") for q in quantiles],
     )
 
 
@@ -130,10 +142,23 @@ def budget_distribution(scores: DataFrame) -> DataFrame:
 
 def tail_mean(df: DataFrame, column: str, alpha: float, keys: list[str]) -> DataFrame:
     """Mean of the worst ceil((1 - alpha) n) values, at least one. The product is taken in double on purpose: n = 20 at 0.95 gives 2."""
-    w = Window.partitionBy(*keys)
-    take = F.greatest(F.lit(1), F.ceil((F.lit(1.0) - F.lit(alpha)) * F.count(F.lit(1)).over(w)))
-    ranked = df.withColumn("rank_", F.row_number().over(w.orderBy(F.desc(column)))).withColumn("take_", take)
-    return ranked.where("rank_ <= take_").groupBy(*keys).agg(F.avg(column).alias("cvar"), F.count(F.lit(1)).alias("taken"))
+    v = value_counts(df, column, keys)
+    take = F.greatest(F.lit(1), F.ceil((F.lit(1.0) - F.lit(alpha)) * F.col("n_")))
+    # Of the rows with a value, those that are left after all larger values.
+    own = F.greatest(F.lit(0), F.least(F.col("k_"), take - (F.col("n_") - F.col("before_") - F.col("k_"))))
+    v = v.withColumn("own", own).where("own > 0")
+    return v.groupBy(*keys).agg((F.sum(F.col("value_") * F.col("own")) / F.sum("own")).alias("cvar"), F.sum("own").alias("taken"))
+
+
+def quantile_curve(df: DataFrame, column: str, keys: list[str], least: int = 70) -> DataFrame:
+    """keys, pct, value: for each whole percentage of rank that occurs, from `least` on, the largest value at it."""
+    v = value_counts(df, column, keys)
+    pct = v.select(*keys, "n_").distinct().withColumn("pct", F.explode(F.sequence(F.lit(least), F.lit(100))))
+    near = F.floor((F.col("pct") + 0.5) * F.col("n_") / 100)
+    pct = pct.withColumn("rank", F.explode(F.array(near - 1, near, near + 1, F.col("n_")))).where((F.col("rank").between(1, F.col("n_"))) & (F.round(F.lit(100.0) * F.col("rank") / F.col("n_"), 0).cast("long") == F.col("pct")))
+    last = pct.groupBy(*keys, "pct").agg(F.max("rank").alias("rank"))
+    # A value holds a range of ranks; the groups' percentages are few.
+    return v.join(F.broadcast(last), keys).where("rank > before_ and rank <= before_ + k_").select(*keys, F.col("pct").cast("long").alias("pct"), F.col("value_").alias(column))
 
 
 def classification(wide: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -213,7 +238,11 @@ def pareto(d: DataFrame, cost: list[str], by: list[str]) -> DataFrame:
 
 def agreement(a: DataFrame, b: DataFrame, on: list[str], by: list[str]) -> DataFrame:
     """Exact agreement, Cohen's kappa and linear kappa of two raters' ordinal levels p, by group."""
-    both = a.join(b.select(*on, F.col("p").alias("q")), on)
+    return agreement_of(a.join(b.select(*on, F.col("p").alias("q")), on), by)
+
+
+def agreement_of(both: DataFrame, by: list[str]) -> DataFrame:
+    """As agreement(), of rows that hold both raters' levels p and q."""
     cells = both.groupBy(*by).agg(*[count_if((F.col("p") == x) & (F.col("q") == y)).alias(f"n_{x}{y}") for x in range(3) for y in range(3)], F.count(F.lit(1)).alias("n"))
     k = classification(cells, [*by, "n"])
     return k.select(*by, "n", F.col("accuracy").alias("agreement"), "kappa", "linear_kappa")

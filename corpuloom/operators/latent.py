@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuloom.session import cut
@@ -21,8 +22,14 @@ def sign_test(wins: int, losses: int) -> float:
     return min(1.0, 2 * math.fsum(map(math.exp, logs)))
 
 
-def bradley_terry(pairs: DataFrame, rounds: int = 10_000, tol: float = 1e-12) -> DataFrame:
-    """model, strength (summing to 1), log_strength from left_model, right_model, wins, losses, ties (half a win each)."""
+#: Fixed values of the published estimators: rounds and tolerance of the pairwise fit; rounds, tolerance, ridge and clips of the Rasch fit; replicates and seed of the bootstrap.
+PAIR_ROUNDS, PAIR_TOLERANCE = 10_000, 1e-12
+RASCH_ROUNDS, RASCH_TOLERANCE, RASCH_RIDGE, RASCH_CLIP, RASCH_ETA = 500, 1e-8, 1e-3, 8.0, 20.0
+REPLICATES, SEED = 2000, 20260720
+
+
+def bradley_terry(pairs: DataFrame, rounds: int = PAIR_ROUNDS, tol: float = PAIR_TOLERANCE) -> DataFrame:
+    """model, ability (mean 0) and strength (its exponential) from left_model, right_model, wins, losses, ties (half a win each)."""
     rows = pairs.collect()  # models squared
     models = sorted({r.left_model for r in rows} | {r.right_model for r in rows})
     at = {m: i for i, m in enumerate(models)}
@@ -30,65 +37,80 @@ def bradley_terry(pairs: DataFrame, rounds: int = 10_000, tol: float = 1e-12) ->
     for r in rows:
         win[at[r.left_model], at[r.right_model]] += r.wins + r.ties / 2
         win[at[r.right_model], at[r.left_model]] += r.losses + r.ties / 2
-    n, s = win + win.T, np.full(len(models), 1 / max(1, len(models)))
+    n, s = win + win.T, np.ones(len(models))
     for _ in range(rounds):
-        new = win.sum(axis=1) / np.maximum((n / (s[:, None] + s[None, :])).sum(axis=1), 1e-300)
-        new /= new.sum()
-        done = np.abs(new - s).max() < tol
+        weight = (n / (s[:, None] + s[None, :])).sum(axis=1)
+        new = np.where(weight > 0, win.sum(axis=1) / np.where(weight > 0, weight, 1), 1.0)
+        new = np.maximum(new, 1e-300)
+        new /= math.exp(np.log(new).mean())
+        done = np.abs(np.log(new) - np.log(s)).max(initial=0) < tol
         s = new
         if done:
             break
-    out = [(m, float(x), math.log(max(float(x), 1e-300))) for m, x in zip(models, s, strict=True)]
-    return pairs.sparkSession.createDataFrame(out, "model string, strength double, log_strength double")
+    a = np.log(s) - np.log(s).mean() if len(s) else s
+    return pairs.sparkSession.createDataFrame([(m, float(x), math.exp(x)) for m, x in zip(models, a, strict=True)], "model string, ability double, strength double")
 
 
-def rasch(outcomes: DataFrame, rounds: int = 60, ridge: float = 1e-3, clip: float = 8.0, tol: float = 1e-8) -> DataFrame:
-    """model, ability of a one-parameter logistic model by alternating Newton steps on outcomes (model, sample_id, exact 0/1).
+def rasch(outcomes: DataFrame, item: list[str], rounds: int = RASCH_ROUNDS, ridge: float = RASCH_RIDGE, clip: float = RASCH_CLIP, tol: float = RASCH_TOLERANCE) -> DataFrame:
+    """model, theta (mean 0), standard_error, items of a one-parameter logistic model by alternating Newton steps on outcomes (model, the columns of an item, success 0/1).
 
-    Samples with the same models and as many successes have the same difficulty, so the fit runs on
-    counts by (model, set of models, successes), whose number does not grow with the samples.
+    Only items that every model has answered count. Items with as many successes share their difficulty in every
+    step, so the fit runs on counts by (model, successes of the item), whose number does not grow with the items.
     """
-    per = outcomes.groupBy("sample_id").agg(F.sort_array(F.collect_list("model")).alias("models"), F.sum("exact").alias("score"))
-    rows = outcomes.join(per, "sample_id").groupBy("model", F.concat_ws(",", "models").alias("models"), "score").agg(F.sum("exact").alias("k"), F.count(F.lit(1)).alias("n")).collect()
-    models = sorted({r.model for r in rows})
-    items = sorted({(r.models, r.score) for r in rows})
-    k, n = np.zeros((len(models), len(items))), np.zeros((len(models), len(items)))
-    for r in rows:
-        k[models.index(r.model), items.index((r.models, r.score))] += r.k
-        n[models.index(r.model), items.index((r.models, r.score))] += r.n
-    a, b = np.zeros(len(models)), np.zeros(len(items))
-    for _ in range(rounds * 10):
-        old = a.copy()
-        for axis in (1, 0):
-            p = 1 / (1 + np.exp(-(a[:, None] - b[None, :])))
-            grad, info = (k - n * p).sum(axis=axis), (n * p * (1 - p)).sum(axis=axis)
-            if axis == 1:
-                a = np.clip(a + (grad - ridge * a) / (info + ridge), -clip, clip)
-            else:
-                b = np.clip(b - (grad + ridge * b) / (info + ridge), -clip, clip)
-        if np.abs(a - old).max(initial=0) < tol:
+    models = sorted(r.model for r in outcomes.select("model").distinct().collect())
+    per = outcomes.groupBy(*item).agg(F.count(F.lit(1)).alias("answers"), *[F.max(F.when(F.col("model") == m, F.col("success"))).alias(f"m{i}") for i, m in enumerate(models)])
+    full = per.where(F.col("answers") == len(models)).dropna() if models else per
+    score = sum((F.col(f"m{i}") for i in range(len(models))), F.lit(0))
+    rows = full.groupBy(score.alias("score")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"m{i}").alias(f"k{i}") for i in range(len(models))]).collect()
+    rows = sorted(rows, key=lambda r: r.score)
+    n, score = np.array([r.n for r in rows], float), np.array([r.score for r in rows], float)
+    k = np.array([sum(r[f"k{i}"] for r in rows) for i in range(len(models))], float)
+    theta, b = np.zeros(len(models)), np.zeros(len(rows))
+    chance = lambda: 1 / (1 + np.exp(-np.clip(theta[:, None] - b[None, :], -RASCH_ETA, RASCH_ETA)))
+    for _ in range(rounds if rows else 0):
+        was = theta.copy(), b.copy()
+        p = chance()
+        theta = theta + (k - p @ n - ridge * theta) / ((p * (1 - p)) @ n + ridge)
+        p = chance()
+        b = b + (p.sum(axis=0) - score - ridge * b) / ((p * (1 - p)).sum(axis=0) + ridge)
+        shift = (b @ n) / n.sum()
+        b, theta = np.clip(b - shift, -clip, clip), np.clip(theta - shift, -clip, clip)
+        if max(np.abs(theta - was[0]).max(initial=0), np.abs(b - was[1]).max(initial=0)) < tol:
             break
-    return outcomes.sparkSession.createDataFrame([(m, float(x)) for m, x in zip(models, a, strict=True)], "model string, ability double")
+    theta = theta - theta.mean() if len(models) else theta
+    p = chance()
+    error = 1 / np.sqrt((p * (1 - p)) @ n + ridge)
+    out = [(m, float(t), float(e), int(n.sum())) for m, t, e in zip(models, theta, error, strict=True)]
+    return outcomes.sparkSession.createDataFrame(out, "model string, theta double, standard_error double, items long")
 
 
-def bootstrap_ratio(rows: DataFrame, by: list[str], cluster: str, num: str, den: str, replicates: int = 2000, seed: int = 20260720) -> DataFrame:
+def bootstrap_ratio(rows: DataFrame, by: list[str], cluster: str, num: str, den: str, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
     """Ratio of sums with a 95 % interval over resampled clusters.
 
-    Each replicate weighs a cluster by a Poisson(1) draw from a stable hash of (seed,
-    replicate, cluster): one pass, no cluster is gathered, and every group of `by` sees the
-    same resample, which pairs the comparisons.
+    Each replicate weighs a cluster by a Poisson(1) draw, the limit of drawing as many clusters as there are, from a generator that seed and cluster
+    alone start: no cluster is gathered, and every group of `by` sees the same resample, which pairs the
+    comparisons. A task adds its clusters' draws up, so one row for each group and replicate leaves it.
     """
-    bounds, p, total = [], math.exp(-1.0), 0.0
-    for i in range(12):
-        total += p
-        bounds.append(total)
-        p /= i + 1
-    u = (F.pmod(F.xxhash64(F.lit(seed), "replicate", F.col(cluster)), F.lit(1 << 52)) / float(1 << 52)).alias("u")
-    draws = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("u", u)
-    weight = sum([(F.col("u") >= b).cast("int") for b in bounds[1:]], (F.col("u") >= bounds[0]).cast("int"))
-    sums = draws.withColumn("w", weight).groupBy(*by, "replicate").agg((F.sum(F.col("w") * F.col(num)) / F.sum(F.col("w") * F.col(den))).alias("x"))
-    ends = sums.groupBy(*by).agg(F.percentile("x", 0.025).alias("lo"), F.percentile("x", 0.975).alias("hi"), F.count("x").alias("replicates"))
-    return rows.groupBy(*by).agg((F.sum(num) / F.sum(den)).alias("ratio")).join(ends, by)
+    sums = rows.groupBy(cluster, F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in by]).alias("group_")).agg(F.sum(num).cast("double").alias("num_"), F.sum(den).cast("double").alias("den_"))
+    each = sums.groupBy(cluster).agg(F.collect_list(F.struct("group_", "num_", "den_")).alias("groups_"))
+
+    def run(batches):
+        total: dict[str, np.ndarray] = {}
+        for b in batches:
+            for key, groups in zip(b.column("key_").to_pylist(), b.column("groups_").to_pylist(), strict=True):
+                w = np.random.Generator(np.random.Philox(key=[seed, key & 0xFFFFFFFFFFFFFFFF])).poisson(1.0, replicates)
+                for g in groups:
+                    own = total.setdefault(g["group_"], np.zeros((2, replicates)))
+                    own[0] += w * g["num_"]
+                    own[1] += w * g["den_"]
+        for g, own in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g] * replicates), pa.array(np.arange(replicates)), pa.array(own[0]), pa.array(own[1])], ["group_", "replicate", "num_", "den_"])
+
+    drawn = each.select(F.xxhash64(cluster).alias("key_"), "groups_").mapInArrow(run, "group_ string, replicate long, num_ double, den_ double")
+    ratios = drawn.groupBy("group_", "replicate").agg(F.try_divide(F.sum("num_"), F.sum("den_")).alias("x"))
+    ends = ratios.groupBy("group_").agg(F.percentile("x", 0.025).alias("lo"), F.percentile("x", 0.975).alias("hi"), F.count("x").alias("replicates"))
+    name = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in by])
+    return rows.groupBy(*by).agg(F.try_divide(F.sum(num), F.sum(den)).alias("ratio")).withColumn("group_", name).join(ends, "group_").drop("group_")
 
 
 def overlap_components(pairs: DataFrame) -> DataFrame:
@@ -104,7 +126,3 @@ def overlap_components(pairs: DataFrame) -> DataFrame:
             return labels.select("id", "component")
         labels = labels.select("id", "component")
 
-
-def paired_rank(df: DataFrame, by: list[str], order: str) -> DataFrame:
-    """Rank within groups, descending, ties by the next columns of `by`."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuloom.operators import calibration as C
-from corpuloom.plans.views import J, V_SAMPLES, judgments, levels, query, samples, v_judgments
+from corpuloom.plans.views import J, V_SAMPLES, judgments, level_of, levels, query, samples, v_judgments
 
 KEY = "model, condition"
 RATE = lambda top, bottom: f"count(*) FILTER ({top}) / nullif(count(*) FILTER ({bottom}), 0)"
@@ -98,11 +98,7 @@ def tail_risk(spark, d):
 @query(f"""{J}, {_S}, r AS (SELECT model, condition, budget, round(100.0 * row_number() OVER w / count(*) OVER (PARTITION BY model, condition), 0)::BIGINT AS pct FROM score WINDOW w AS (PARTITION BY model, condition ORDER BY budget))
 SELECT model, condition, pct, max(budget) AS budget FROM r WHERE pct >= 70 GROUP BY ALL""")
 def quantile_curve(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*C.KEYS)
-    s = C.sample_scores(_j(spark, d)).withColumn("pct", F.round(F.lit(100.0) * F.row_number().over(w.orderBy("budget")) / F.count(F.lit(1)).over(w), 0).cast("long"))
-    return s.where("pct >= 70").groupBy(*C.KEYS, "pct").agg(F.max("budget").alias("budget"))
+    return C.quantile_curve(C.sample_scores(_j(spark, d)), "budget", C.KEYS)
 
 
 _W = f"w AS (SELECT model, condition, count(*)::DOUBLE AS n, {', '.join(f'(count(*) FILTER (g={a} AND p={b}))::DOUBLE AS c{a}{b}' for a in range(3) for b in range(3))} FROM v_judgments GROUP BY ALL)"
@@ -169,7 +165,9 @@ w AS (SELECT model, gold, count(*)::DOUBLE AS n, {", ".join(f"(count(*) FILTER (
 
 @query(f"{J}, {v_judgments('v_second', 'second')}, {_BOTH}, k AS ({_classification_sql('w', 'model, gold, n')}) SELECT model, gold, n::BIGINT AS n, accuracy AS agreement, kappa, linear_kappa FROM k")
 def judge_agreement(spark, d):
-    return C.agreement(_j(spark, d), levels(judgments(spark, d, "second")), ["model", "condition", "sample_id", "atom_id"], ["model", "gold"])
+    # Both raters' labels come from one pass over the atoms.
+    both = levels(judgments(spark, d, also="second"))
+    return C.agreement_of(both.withColumn("q", level_of("also")), ["model", "gold"])
 
 
 _Z = "1.96::DOUBLE"
@@ -213,16 +211,64 @@ def bradley_terry(spark, d):
 
 
 def rasch_ability(spark, d):
+    """Abilities against over-use (atoms of A and B) and against under-use (B and C), with memory."""
     from corpuloom.operators.latent import rasch
 
-    return rasch(C.sample_scores(_j(spark, d)).where("condition = 'full_memory'").select("model", "sample_id", "exact"))
+    j = _j(spark, d).where("condition = 'full_memory'")
+    over = j.where("g < 2").select("model", "sample_id", "atom_id", (F.col("over") == 0).cast("int").alias("success"))
+    under = j.where("g > 0").select("model", "sample_id", "atom_id", (F.col("under") == 0).cast("int").alias("success"))
+    item = ["sample_id", "atom_id"]
+    return rasch(over, item).withColumn("direction", F.lit("over")).union(rasch(under, item).withColumn("direction", F.lit("under")))
 
 
 def cluster_bootstrap(spark, d):
+    """Accuracy by model and condition with its interval over resampled samples."""
     from corpuloom.operators.latent import bootstrap_ratio
 
     per = _j(spark, d).groupBy("model", "condition", "sample_id").agg(F.sum((F.col("g") == F.col("p")).cast("long")).alias("num"), F.count(F.lit(1)).alias("den"))
-    return bootstrap_ratio(per, ["model", "condition"], "sample_id", "num", "den", replicates=200)
+    return bootstrap_ratio(per, ["model", "condition"], "sample_id", "num", "den")
+
+
+def directional_bootstrap(spark, d):
+    """Pooled over-use and under-use rates by model and condition with their intervals over resampled samples."""
+    from corpuloom.operators.latent import bootstrap_ratio
+
+    flag = lambda c: F.sum(c.cast("long"))
+    per = _j(spark, d).groupBy("model", "condition", "sample_id").agg(
+        flag(F.col("over") > 0).alias("over_num"), flag(F.col("g") < 2).alias("over_den"), flag(F.col("under") > 0).alias("under_num"), flag(F.col("g") > 0).alias("under_den")
+    )
+    out = None
+    for metric in ("over", "under"):
+        own = bootstrap_ratio(per.withColumn("metric", F.lit(metric)), ["model", "condition", "metric"], "sample_id", f"{metric}_num", f"{metric}_den")
+        out = own if out is None else out.union(own)
+    return out
+
+
+def headline_bootstrap(spark, d):
+    """Mean sample score, and the shares of samples with over-use, with under-use and exact ones, with intervals over resampled samples."""
+    from corpuloom.operators.latent import bootstrap_ratio
+
+    s = C.sample_scores(_j(spark, d))
+    long = s.select("model", "condition", "sample_id", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(c).cast("double").alias("num")) for n, c in (("scs", "scs_50"), ("sopb", "any_over"), ("supb", "any_under"), ("exact", "exact"))])).alias("x"))
+    return bootstrap_ratio(long.select("model", "condition", "sample_id", "x.*").withColumn("den", F.lit(1)), ["model", "condition", "metric"], "sample_id", "num", "den")
+
+
+def paired_delta_bootstrap(spark, d):
+    """Accuracy with memory less that without, by model, over the same atoms, with an interval over resampled samples."""
+    from corpuloom.operators.latent import bootstrap_ratio
+
+    right = (F.col("g") == F.col("p")).cast("long")
+    gain = F.when(F.col("condition") == "full_memory", right).otherwise(-right)
+    per = _j(spark, d).groupBy("model", "sample_id").agg(F.sum(gain).alias("num"), (F.count(F.lit(1)) / 2).alias("den"))
+    return bootstrap_ratio(per, ["model"], "sample_id", "num", "den")
+
+
+def sign_tests(spark, d):
+    """Two-sided sign test of each pair of models' sample budgets."""
+    from corpuloom.operators.latent import sign_test
+
+    rows = model_pairwise(spark, d).collect()  # models squared
+    return spark.createDataFrame([(*r, sign_test(r.wins, r.losses)) for r in rows], "left_model string, right_model string, wins long, losses long, ties long, p_value double")
 
 
-NO_SQL = {f.__name__: f for f in (bradley_terry, rasch_ability, cluster_bootstrap)}
+NO_SQL = {f.__name__: f for f in (bradley_terry, rasch_ability, cluster_bootstrap, directional_bootstrap, headline_bootstrap, paired_delta_bootstrap, sign_tests)}

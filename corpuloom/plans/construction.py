@@ -11,7 +11,7 @@ from corpuloom.operators import sampling as S
 from corpuloom.plans.views import V_ATTEMPTS, V_SAMPLES, V_SOURCES, attempts, query, requests, samples, sources
 from corpuloom.session import table
 
-_TOK = r"regexp_extract_all(lower({0}), '[a-z]+(?:''[a-z]+)?|[0-9]+')"
+_TOK = r"regexp_extract_all(lower({0}), '[a-z]+(?:''[a-z]+)?|[0-9]+(?:\.[0-9]+)?')"
 _WS = r"trim(regexp_replace({0}, '[ \t\n\r\f\x0B]+', ' ', 'g'))"
 
 
@@ -29,8 +29,8 @@ c AS (SELECT topic, source_dataset, count(*) AS k FROM v_source GROUP BY ALL)
 SELECT topic, source_dataset, coalesce(k, 0) AS n, coalesce(k, 0) / sum(coalesce(k, 0)) OVER (PARTITION BY topic) AS share FROM t LEFT JOIN c USING (topic, source_dataset)""")
 def cross_table_zero_fill(spark, d):
     s = sources(spark, d)
-    grid = s.select("topic").distinct().crossJoin(F.broadcast(s.select("source_dataset").distinct()))  # labels, not rows
     c = s.groupBy("topic", "source_dataset").agg(F.count(F.lit(1)).alias("k"))
+    grid = c.select("topic").distinct().crossJoin(c.select("source_dataset").distinct())  # of labels
     n = F.coalesce("k", F.lit(0))
     return grid.join(c, ["topic", "source_dataset"], "left").select("topic", "source_dataset", n.alias("n"), (n / F.sum(n).over(Window.partitionBy("topic"))).alias("share"))
 
@@ -52,11 +52,14 @@ def exact_question_dedup(spark, d):
     return sources(spark, d).groupBy(F.md5(key.cast("binary")).alias("key")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
 
 
-@query(f"""WITH {V_SOURCES}, c AS (SELECT *, lower(left({_WS.format('raw_question')}, 40)) AS head, length(raw_question) AS chars FROM v_source)
-SELECT id, head, chars, copies FROM (SELECT *, count(*) OVER (PARTITION BY head) AS copies, row_number() OVER (PARTITION BY head ORDER BY chars DESC, id) AS i FROM c) WHERE i = 1""")
+@query(f"""WITH {V_SOURCES}, c AS (SELECT *, md5(lower({_WS.format('raw_question')})) AS key, lower(left({_WS.format('raw_question')}, 40)) AS head, length(raw_question) AS chars FROM v_source)
+SELECT id, head, chars, copies FROM (SELECT *, count(*) OVER (PARTITION BY key) AS copies, row_number() OVER (PARTITION BY key ORDER BY chars DESC, id) AS i FROM c) WHERE i = 1""")
 def richest_record_dedup(spark, d):
-    c = sources(spark, d).select("id", F.lower(F.substring(X.normalise(F.col("raw_question")), 1, 40)).alias("head"), F.length("raw_question").cast("long").alias("chars"))
-    return M.richest(c, ["head"], [F.desc("chars"), F.asc("id")])
+    """The longest record of each whole normalised text, with its first characters to look at."""
+    c = sources(spark, d).select("id", F.lower(X.normalise(F.col("raw_question"))).alias("text"), F.length("raw_question").cast("long").alias("chars"))
+    c = c.select("id", F.md5(F.col("text").cast("binary")).alias("key"), F.substring("text", 1, 40).alias("head"), "chars")
+    best = F.min_by(F.struct("id", "head", "chars"), F.struct(F.coalesce(-F.col("chars"), F.lit(1)).alias("n"), "id")).alias("b")
+    return c.groupBy("key").agg(best, F.count(F.lit(1)).alias("copies")).select("b.*", "copies")
 
 
 @query(f"""WITH {V_SOURCES}, c AS (SELECT *, md5(lower({_WS.format('raw_question')})) AS key, length(raw_question) AS chars FROM v_source)
@@ -145,10 +148,10 @@ def pending_requests(spark, d):
     return M.pending(requests(spark, d), attempts(spark, d).where("state = 'valid'"), ["request_id", "fingerprint"])
 
 
-@query(f"""WITH {V_ATTEMPTS}, g AS (SELECT DISTINCT request_id FROM v_attempts WHERE attempt = 1), a AS (SELECT request_id FROM v_requests WHERE request_id % 7 <> 0)
+@query(f"""WITH {V_ATTEMPTS}, g AS (SELECT DISTINCT request_id FROM v_attempts WHERE attempt = 1), a AS (SELECT request_id FROM v_requests)
 SELECT coalesce(a.request_id, g.request_id) AS request_id, CASE WHEN a.request_id IS NULL THEN 'unexpected' WHEN g.request_id IS NULL THEN 'missing' ELSE 'ok' END AS status FROM a FULL JOIN g ON a.request_id = g.request_id""")
 def request_result_status(spark, d):
-    return M.reconcile(requests(spark, d).where("request_id % 7 <> 0"), attempts(spark, d).where("attempt = 1"), "request_id")
+    return M.reconcile(requests(spark, d), attempts(spark, d).where("attempt = 1"), "request_id")
 
 
 @query(f"""WITH {V_ATTEMPTS}, g AS (SELECT DISTINCT request_id FROM v_attempts WHERE attempt = 1)
@@ -201,12 +204,13 @@ def construction_funnel(spark, d):
 @query(f"""WITH {V_SOURCES}, r AS (SELECT domain, length(raw_question) AS x, row_number() OVER (PARTITION BY domain ORDER BY length(raw_question)) - 1 AS i, count(*) OVER (PARTITION BY domain) AS k FROM v_source)
 SELECT domain, count(*) AS n, min(x) AS lo, max(x) AS hi, avg(x) AS mean, {", ".join(f"max(x) FILTER (i = round_even((k-1)*{q / 100}::DOUBLE, 0)) AS p{q}" for q in (50, 90, 95, 99))} FROM r GROUP BY ALL""")
 def length_summary(spark, d):
-    from corpuloom.operators.calibration import nearest_rank
+    from corpuloom.operators.calibration import score_summary
 
-    r = sources(spark, d).select("domain", F.length("raw_question").cast("long").alias("x"))
-    for q in (50, 90, 95, 99):
-        r = r.withColumn(f"is_{q}", nearest_rank("x", q / 100, ["domain"]))
-    return r.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("mean"), *[F.max(F.when(F.col(f"is_{q}"), F.col("x"))).alias(f"p{q}") for q in (50, 90, 95, 99)])
+    r = sources(spark, d).select("domain", F.length("raw_question").cast("long").alias("x")).where("x is not null")
+    s = score_summary(r, "x", ["domain"], (50, 90, 95, 99)).drop("sd").withColumnsRenamed({"min": "lo", "max": "hi"})
+    # Null texts count as rows.
+    every = sources(spark, d).groupBy("domain").agg(F.count(F.lit(1)).alias("rows"))
+    return every.join(s.drop("n"), "domain", "left").withColumnRenamed("rows", "n")
 
 
 @query("""WITH t AS (SELECT *, lag(role) OVER w AS prev_role, lag(text) OVER w AS prev_text, string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
@@ -215,7 +219,8 @@ def chat_turn_pairs(spark, d):
     """Assistant turns after a user's, with the last 6000 characters of what came before."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     line = F.concat("role", F.lit(": "), "text")
-    before = F.array_join(F.collect_list(line).over(w.rowsBetween(Window.unboundedPreceding, -2)), "\n")
+    # A line and its end have three characters at least, so 6000 characters are in the last 2000 lines.
+    before = F.array_join(F.collect_list(line).over(w.rowsBetween(-2001, -2)), "\n")
     t = table(spark, d, "conversations").withColumn("prev_role", F.lag("role").over(w)).withColumn("question", F.lag("text").over(w)).withColumn("before", before)
     return t.where("role = 'assistant' and prev_role = 'user'").select("conv_id", "turn", "question", F.col("text").alias("answer"), F.expr("right(before, 6000)").alias("context"))
 
@@ -259,22 +264,34 @@ def record_validation(spark, d):
 
 
 def near_duplicate_clusters(spark, d):
-    """One row per document: exact groups first, then greedy clusters of their representatives by length as quality. A null text counts as empty."""
+    """One row per document: exact groups by their words first, then greedy clusters of the groups' best documents by length as quality.
+
+    status: unique, representative or duplicate; match: exact or near, for duplicates; members: documents of the cluster;
+    cluster_id: of clusters of several, from the members' ids in any order. A null text has no words.
+    """
     from corpuloom.operators import clustering as K
 
-    s = sources(spark, d).select("id", F.md5(F.lower(X.normalise(F.col("raw_question"))).cast("binary")).alias("key"), "raw_question")
-    firsts = s.groupBy("key").agg(F.min_by(F.struct("id", "raw_question"), F.col("id")).alias("r")).select("key", "r.*")
-    items = firsts.select("id", F.length(F.coalesce("raw_question", F.lit(""))).alias("quality"))
-    found = K.greedy_clusters(items, K.similar_pairs(K.signatures(firsts, "id", "raw_question")))
-    # The copies take the verdict of their group's first document; one side has a row per key.
-    groups = firsts.select("key", F.col("id").alias("first")).join(found.withColumnRenamed("id", "first"), "first")
-    return s.select("id", "key").join(groups, "key").select("id", (F.col("kept") & (F.col("id") == F.col("first"))).alias("kept"), "representative")
+    words = F.coalesce(F.array_join(X.tokens(F.col("raw_question")), " "), F.lit(""))
+    s = sources(spark, d).select("id", F.md5(words.cast("binary")).alias("key"), F.coalesce(F.length("raw_question"), F.lit(0)).alias("quality"), "raw_question")
+    firsts = s.groupBy("key").agg(F.min_by(F.struct("id", "quality", "raw_question"), F.struct(-F.col("quality"), F.col("id"))).alias("r")).select("key", "r.*")
+    found = K.greedy_clusters(firsts.select("id", "quality"), K.similar_pairs(K.signatures(firsts, "id", "raw_question")))
+    # The copies take the verdict of their group's best document; one side has a row per key.
+    groups = firsts.select("key", F.col("id").alias("first")).join(found.select(F.col("id").alias("first"), "representative"), "first")
+    placed = s.select("id", "key").join(groups, "key").select("id", "first", "representative")
+    clusters = K.cluster_ids(placed, "id", "representative")
+    out = placed.join(clusters, "representative")
+    kept = F.col("id") == F.col("representative")
+    return out.select(
+        "id", kept.alias("kept"), "representative", F.when(F.col("members") == 1, "unique").when(kept, "representative").otherwise("duplicate").alias("status"),
+        F.when(~kept, F.when(F.col("first") == F.col("representative"), "exact").otherwise("near")).alias("match"), "members", F.when(F.col("members") > 1, F.col("cluster_id")).alias("cluster_id"),
+    )
 
 
 def near_duplicate_candidates(spark, d):
+    """Documents of one signature with the smallest of them (kind copy), and pairs of such smallest ones that share two signature values (kind pair)."""
     from corpuloom.operators import clustering as K
 
-    return K.candidate_pairs(K.signatures(sources(spark, d), "id", "raw_question"))
+    return K.candidates(K.signatures(sources(spark, d), "id", "raw_question"))
 
 
 NO_SQL = {f.__name__: f for f in (near_duplicate_clusters, near_duplicate_candidates)}

@@ -12,7 +12,7 @@ from corpuloom.sources import records as R
 from corpuloom.sources import sinks as K
 from corpuloom.streaming import resume as I
 
-_TOK = r"regexp_extract_all(lower({0}), '([a-z]+(?:''[a-z]+)?|[0-9]+)')"
+_TOK = r"regexp_extract_all(lower({0}), '([a-z]+(?:''[a-z]+)?|[0-9]+(?:\.[0-9]+)?)')"
 
 
 @query("""WITH RECURSIVE up AS (SELECT p_partkey AS id, nullif(p_partkey // 3, p_partkey) AS at, 0 AS depth, NULL::BIGINT AS hit FROM part
@@ -109,11 +109,21 @@ def counterfactual_rows(spark, d):
     return atoms(spark, d).select("sample_id", "atom_id", "gold", probe.alias("probe"), priority.alias("priority"))
 
 
-@query(f"""{J}, w AS (SELECT sample_id, count(DISTINCT atom_id) AS want FROM v_atoms GROUP BY ALL), g AS (SELECT sample_id, model, condition, count(*) AS n, count(DISTINCT atom_id) AS k, max(CASE WHEN h % 5 > 4 THEN 1 ELSE 0 END) AS q FROM v_judgments GROUP BY ALL)
-SELECT sample_id, model, condition, list_filter([CASE WHEN k < want THEN 'missing_atoms' END, CASE WHEN n > k THEN 'repeated_atom' END], lambda x: x IS NOT NULL) AS errors FROM g JOIN w USING (sample_id)""")
+@query(f"""{J}, w AS (SELECT sample_id, count(DISTINCT atom_id) AS want FROM v_atoms GROUP BY ALL), v_planted AS (SELECT CASE WHEN sample_id % 101 = 0 THEN -sample_id ELSE sample_id END AS sample_id, model, condition, atom_id || CASE WHEN h % 83 = 0 THEN '_x' ELSE '' END AS atom_id,
+  CASE WHEN h % 97 = 0 THEN 'X' ELSE predicted END AS predicted, CASE WHEN h % 89 = 0 THEN 7 ELSE h % 5 END AS task_quality FROM v_judgments CROSS JOIN (SELECT unnest([0, 1]) AS copy) WHERE copy = 0 OR h % 79 = 0),
+k AS (SELECT DISTINCT sample_id, atom_id, 1 AS known FROM v_atoms),
+g AS (SELECT sample_id, model, condition, count(*) AS n, count(DISTINCT atom_id) AS atoms, count(DISTINCT CASE WHEN known = 1 THEN atom_id END) AS met, count(*) FILTER (known IS NULL) AS strange,
+  count(*) FILTER (predicted NOT IN ('A', 'B', 'C')) AS bad, count(*) FILTER (task_quality NOT BETWEEN 0 AND 4) AS quality FROM v_planted LEFT JOIN k USING (sample_id, atom_id) GROUP BY ALL)
+SELECT sample_id, model, condition, list_filter([CASE WHEN want IS NULL THEN 'unknown_sample' END, CASE WHEN met < want THEN 'missing_atoms' END, CASE WHEN strange > 0 THEN 'unknown_atom' END, CASE WHEN n > atoms THEN 'repeated_atom' END,
+  CASE WHEN bad > 0 THEN 'bad_label' END, CASE WHEN quality > 0 THEN 'bad_quality' END], lambda x: x IS NOT NULL) AS errors FROM g LEFT JOIN w USING (sample_id)""")
 def judgment_validation(spark, d):
-    """Error codes of each answer's judgments; samples that lost an unscorable atom miss it."""
-    j = judgments(spark, d).withColumn("task_quality", F.pmod("h", F.lit(5)))
+    """Error codes of each answer's judgments, among which the view plants unknown samples and atoms, repeated atoms, bad labels and bad qualities; samples that lost an unscorable atom miss it."""
+    every = lambda n: F.pmod("h", F.lit(n)) == 0
+    j = judgments(spark, d).withColumn("copy", F.explode(F.when(every(79), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    j = j.withColumns({
+        "sample_id": F.when(F.col("sample_id") % 101 == 0, -F.col("sample_id")).otherwise(F.col("sample_id")), "atom_id": F.concat("atom_id", F.when(every(83), "_x").otherwise("")),
+        "predicted": F.when(every(97), "X").otherwise(F.col("predicted")), "task_quality": F.when(every(89), 7).otherwise(F.pmod("h", F.lit(5))),
+    })
     return V.judgment_codes(j, atoms(spark, d), ["sample_id", "model", "condition"])
 
 
@@ -161,9 +171,7 @@ def failure_policy(spark, d):
 @query(f"""{J}, {v_judgments("v_second", "second")}, x AS (SELECT a.model, a.condition, abs(a.p - b.p) AS apart, abs(a.p - a.g) AS first_off, abs(b.p - b.g) AS second_off FROM v_judgments a JOIN v_second b USING (sample_id, atom_id, model, condition))
 SELECT model, condition, count(*) AS atoms, sum(apart)::BIGINT AS distance, avg((apart > 0)::INT) AS disagreement, sum(first_off)::BIGINT AS first_error, sum(second_off)::BIGINT AS second_error FROM x GROUP BY ALL""")
 def review_disagreement(spark, d):
-    key = ["sample_id", "atom_id", "model", "condition"]
-    a, b = judgments(spark, d).select(*key, "gold", "predicted"), judgments(spark, d, "second").select(*key, F.col("predicted").alias("second"))
-    x = a.join(b, key).withColumn("apart", V.rank_distance(F.col("predicted"), F.col("second")))
+    x = judgments(spark, d, also="second").withColumnRenamed("also", "second").withColumn("apart", V.rank_distance(F.col("predicted"), F.col("second")))
     return x.groupBy("model", "condition").agg(
         F.count(F.lit(1)).alias("atoms"), F.sum("apart").cast("long").alias("distance"), F.avg((F.col("apart") > 0).cast("int")).alias("disagreement"),
         F.sum(V.rank_distance(F.col("predicted"), F.col("gold"))).cast("long").alias("first_error"), F.sum(V.rank_distance(F.col("second"), F.col("gold"))).cast("long").alias("second_error"),

@@ -48,20 +48,26 @@ def atoms(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def judgments(spark: SparkSession, d: str, salt: str = "") -> DataFrame:
-    """Every scorable atom judged for each model and condition; predictions follow a stable hash."""
+def judgments(spark: SparkSession, d: str, salt: str = "", also: str | None = None) -> DataFrame:
+    """Every scorable atom judged for each model and condition; predictions follow a stable hash. `also`: the salt of a second rater, whose labels become the column also."""
     base = atoms(spark, d).where(F.pmod(hash_int(F.lit("scorable"), "sample_id", "atom_id"), F.lit(20)) > 0)
     cells = base.withColumn("model", F.explode(F.array(*map(F.lit, MODELS)))).withColumn("condition", F.explode(F.array(*map(F.lit, CONDITIONS))))
-    h = hash_int(*([F.lit(salt)] if salt else []), "sample_id", "atom_id", "model", "condition")
-    cells = cells.withColumn("h", h)
-    other = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.pmod("h", F.lit(3)) + 1).cast("int"))
-    return cells.withColumn("predicted", F.when(F.pmod("h", F.lit(10)) < 6, F.col("gold")).otherwise(other))
+    def predicted(h):
+        other = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.pmod(h, F.lit(3)) + 1).cast("int"))
+        return F.when(F.pmod(h, F.lit(10)) < 6, F.col("gold")).otherwise(other)
+
+    hashed = lambda s: hash_int(*([F.lit(s)] if s else []), "sample_id", "atom_id", "model", "condition")
+    cells = cells.withColumn("h", hashed(salt)).withColumn("predicted", predicted(F.col("h")))
+    return cells if also is None else cells.withColumn("h_also", hashed(also)).withColumn("also", predicted(F.col("h_also"))).drop("h_also")
+
+
+def level_of(label: str) -> Column:
+    return F.when(F.col(label) == "A", 0).when(F.col(label) == "B", 1).otherwise(2)
 
 
 def levels(df: DataFrame) -> DataFrame:
     """Ordinal levels of labels: A 0, B 1, C 2, and over- and under-use."""
-    as_int = lambda c: F.when(F.col(c) == "A", 0).when(F.col(c) == "B", 1).otherwise(2)
-    df = df.withColumn("g", as_int("gold")).withColumn("p", as_int("predicted"))
+    df = df.withColumn("g", level_of("gold")).withColumn("p", level_of("predicted"))
     return df.withColumn("over", F.greatest(F.col("p") - F.col("g"), F.lit(0))).withColumn("under", F.greatest(F.col("g") - F.col("p"), F.lit(0)))
 
 
