@@ -23,9 +23,11 @@ from corpuloom.session import cut, ship, table
 CELL = 1024
 #: Vectors that the centroids are fitted on, over all labels; the bound of what reaches the driver.
 SAMPLE = 16_384
-#: Rows of one side of a block.
-BLOCK = 1024
+#: Rows of one side of a tile, and rows of a tile that are multiplied with it at once.
+BLOCK, STRIPE = 8192, 512
 ROUNDS = 8
+#: Cells are of no use where a vector visits more than this share of them.
+VISITED = 0.5
 
 
 def _units(batches):
@@ -92,6 +94,20 @@ def cells_of(u: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray
     return rows, cell, cell == home[rows]
 
 
+def _merged(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest index connected to each, given those so far and further pairs."""
+    i, j = np.concatenate([i, np.arange(len(root))]), np.concatenate([j, root])
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _compare(threshold: float):
     """One tile of a cell: links of home rows to others, and each row's smallest connected row of the tile."""
 
@@ -99,20 +115,21 @@ def _compare(threshold: float):
         pdf = pdf.sort_values("rep").reset_index(drop=True)
         x = np.stack([np.frombuffer(r, np.float64) for r in pdf["unit"]])
         own, n, side, reps = pdf["home"].to_numpy(), pdf["n"].to_numpy(), pdf["side"].to_numpy(), pdf["rep"].to_numpy()
-        link = (x @ x.T) >= threshold
-        np.fill_diagonal(link, False)
-        link &= own[:, None] | own[None, :]
-        if pdf["cross"].iloc[0]:
-            link &= side[:, None] != side[None, :]
-        links = link @ n
-        root = np.arange(len(x))
-        while True:
-            low = np.minimum(root, np.where(link, root[None, :], len(x)).min(axis=1))
-            low = low[low]
-            if (low == root).all():
-                break
-            root = low
-        some = link.any(axis=1)
+        cross = pdf["cross"].iloc[0]
+        root, links = np.arange(len(x)), np.zeros(len(x), np.int64)
+        for k in range(0, len(x), STRIPE):
+            here = slice(k, k + STRIPE)
+            link = (x[here] @ x.T) >= threshold
+            link[np.arange(len(link)), np.arange(k, k + len(link))] = False
+            link &= own[here, None] | own[None, :]
+            if cross:
+                link &= side[here, None] != side[None, :]
+            links[here] = link @ n
+            # Of rows that are connected already, only one link into each component is needed.
+            i, j = np.nonzero(link & (root[here, None] != root[None, :]))
+            if len(i):
+                root = _merged(root, i + k, j)
+        some = (links > 0) | (root != np.arange(len(x)))
         return pd.DataFrame({"a": reps, "b": reps[root], "links": np.where(own, links, 0)})[some]
 
     return run
@@ -128,7 +145,8 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, cell: int = CEL
     kept. Extra columns are ignored; an empty table gives an empty result.
 
     Centroids are fitted on at most `sample` distinct vectors, chosen by hash; every vector is
-    assigned and compared.
+    assigned and compared. Different vectors of one vec_id are in one component, through their id; ties
+    at the threshold are links.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -150,8 +168,10 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, cell: int = CEL
             own = [r for r in rows if (r.label, r.dim) == (lab, dim)]
             x = np.sort(np.array([np.frombuffer(r.unit, np.float64) for r in own]).view(",".join(["f8"] * dim)), axis=0).view(np.float64).reshape(len(own), dim)
             k = min(-(-own[0].many // cell), max(1, len(x) // 8))
-            if k > 1:
-                centroids[lab, dim] = spherical_kmeans(x, k)
+            c = spherical_kmeans(x, k) if k > 1 else None
+            # Vectors without clusters would visit nearly all cells: then tiles of the label are less work.
+            if c is not None and len(cells_of(x, c, threshold)[0]) <= VISITED * len(x) * k:
+                centroids[lab, dim] = c
     shared = spark.sparkContext.broadcast(centroids)
 
     def assign(batches):
@@ -206,4 +226,5 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, cell: int = CEL
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per vector: how many others of its label have a cosine of 0.93 or more, its component, and whether it is the smallest id of it."""
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
