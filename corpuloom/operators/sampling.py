@@ -123,3 +123,12 @@ def capacity_quota(counts: DataFrame, total: int, weight: Column, key: list[str]
     df = df.withColumn("order_", F.floor("raw_") - F.col("raw_"))
     more = capped_equal_quota(df, "rest_", ["order_", *key], "spare_")
     return more.withColumn("quota", (F.col("floor_") + F.col("quota")).cast("long")).drop("w_", "raw_", "floor_", "spare_", "rest_", "order_")
+
+
+def ordered_place(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with place, its number from 1 in the order of columns, by range partitions whose rows are added up."""
+    dealt = cut(df.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()), "places")
+    before = F.coalesce(F.sum("many_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = dealt.groupBy("part_").agg(F.count(F.lit(1)).alias("many_")).select("part_", before.alias("offset_"))  # one row for each partition
+    inside = F.row_number().over(Window.partitionBy("part_").orderBy(*order))
+    return dealt.withColumn("inside_", inside).join(F.broadcast(offsets), "part_").withColumn("place", F.col("inside_") + F.col("offset_")).select("place", *df.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuloom.plans import analytics, construction, records, views  # noqa: F401
+from corpuloom.plans import analytics, construction, records, selection, views  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
