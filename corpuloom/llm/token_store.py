@@ -1,8 +1,8 @@
 """Token-id output as Re-Pair compressed shards.
 
 Texts are ordered by doc_id, encoded with the tokenizers library, and each shard's id
-sequence is compressed by a grammar: again and again, frequent pairs of neighbouring
-symbols are replaced by nonterminals. A shard stores its rules, the length that each
+sequence is compressed by a grammar: again and again, the frequent pairs of neighbouring
+symbols are replaced by nonterminals, until no pair repeats. A shard stores its rules, the length that each
 symbol expands to, the final sequence and the documents' places, so any range of ids can
 be decoded alone. Shards are rows of a Parquet table, written and read by Spark, so the
 format works on every file system that Spark can reach and survives lost executors.
@@ -10,19 +10,19 @@ format works on every file system that Spark can reach and survives lost executo
 
 from __future__ import annotations
 
-import itertools
-import re
+import json
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuloom.llm.common import slices
+from corpuloom.llm.common import SLICE_BYTES, slices
 from corpuloom.session import scratch_path, ship, table
 
 DEFAULT_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,100 +30,158 @@ DEFAULT_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 #: Ids in a shard, but that a document is never split.
 SHARD_IDS = 1_500_000
-#: The most pairs that one pass over a shard replaces; passes go on until no pair is frequent.
-PAIRS = 4096
-#: A pair is replaced only if it occurs so often in the shard.
-LEAST = 24
+#: A pair is replaced if it occurs so often in the shard; 2 goes on until no pair repeats.
+LEAST = 2
 SHARD_SCHEMA = (
     "part int, shard int, n_docs int, n_ids long, base int, doc_ids array<long>, doc_tokens binary, doc_symbols binary, rules binary, lengths binary, symbols binary"
 )
 
 # --- encoding with the library -----------------------------------------------------------
 
-#: The tokenizer's pattern for texts of common characters, where Python's classes agree with it.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Characters whose class may differ between the two, and the start of a special token's string.
-_UNSURE = re.compile("[\x1c-\x1f\x80-\xa0²³¹¼-¾ɐ-\U0010ffff]|<\\|")
+#: Classes of characters in the byte-level pattern.
+_LETTER, _NUMBER, _SPACE, _OTHER = range(4)
+#: The class of each ASCII character.
+_CLASS = np.array([_LETTER if chr(c).isalpha() else _NUMBER if chr(c).isdigit() else _SPACE if chr(c) in " \t\n\x0b\x0c\r" else _OTHER for c in range(128)] + [_OTHER] * 128, np.uint8)
+#: Bytes with which an uncommon character may start: separators U+001C to U+001F, U+0080 to U+00BF, U+0250 and above; and the start of a special token's string.
+_SUSPECT = np.zeros(256, bool)
+_SUSPECT[[*range(0x1C, 0x20), 0xC2, *range(0xC9, 0x100), ord("<")]] = True
+#: Second bytes of U+0080 to U+00BF: controls and spaces, numerals, and letters.
+_RARE, _LETTERS_C2 = np.zeros((2, 256), bool)
+_RARE[[*range(0x80, 0xA1), 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = True
+_LETTERS_C2[[0xAA, 0xB5, 0xBA]] = True
 
 
-#: The same characters below U+0100 as bytes of Latin-1.
-_UNSURE_BYTES = bytes([*range(0x1C, 0x20), *range(0x80, 0xA1), 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE])
+def unsure_places(data: np.ndarray) -> np.ndarray:
+    """Where in UTF-8 bytes an uncommon character or the start of a special token's string stands; the others are classed by piece_starts."""
+    at = np.flatnonzero(_SUSPECT[data])
+    head, then = data[at], data[np.minimum(at + 1, len(data) - 1)]
+    common = ((head == 0xC2) & ~_RARE[then]) | ((head == 0xC9) & (then < 0x90)) | ((head == ord("<")) & (then != ord("|")))
+    return at[~common]
 
 
-def unsure(text: str) -> bool:
-    """Whether a text has a character of _UNSURE; texts of Latin-1, the most, are told without a pattern."""
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Marks where the byte-level pattern begins a piece: runs of letters, of numbers, of other characters, each with one space before; contractions; white space.
+
+    data: UTF-8 bytes of texts without uncommon characters, from offsets[i] to offsets[i + 1].
+    """
+    kind = _CLASS[data]
+    lead = np.flatnonzero(data >= 0xC2)
+    if len(lead):
+        head, then = data[lead], data[np.minimum(lead + 1, len(data) - 1)]
+        times = (head == 0xC3) & ((then == 0x97) | (then == 0xB7))
+        kind[lead] = np.where(times | ((head == 0xC2) & ~_LETTERS_C2[then]), _OTHER, _LETTER)
+        kind[np.minimum(lead + 1, len(data) - 1)] = kind[lead]
+    begin = offsets[:-1][offsets[:-1] < len(data)]
+    start = np.empty(len(data), bool)
+    start[1:] = kind[1:] != kind[:-1]
+    start[begin] = True
+    after = np.flatnonzero(start & (kind != _SPACE))
+    after = after[(after > 0) & ~np.isin(after, begin)]
+    spaced = after[kind[after - 1] == _SPACE]
+    # The last white space before a run is apart from those before it, and joins the run if it is a space.
+    start[spaced - 1] = True
+    start[spaced[data[spaced - 1] == 0x20]] = False
+    quote = np.flatnonzero((data[:-1] == ord("'")) & start[:-1])
+    if len(quote):
+        ends = offsets[np.searchsorted(offsets, quote, side="right")]
+        x, y = data[quote + 1], data[np.minimum(quote + 2, len(data) - 1)]
+        one, two = np.isin(x, list(b"stmd")), (np.isin(x, list(b"rv")) & (y == ord("e"))) | ((x == ord("l")) & (y == ord("l")))
+        size = np.where(one & (quote + 1 < ends), 2, np.where(two & (quote + 2 < ends), 3, 0))
+        quote, size = quote[size > 0], size[size > 0]
+        start[quote + 1] = False
+        rest = (quote + size)[quote + size < len(data)]
+        start[rest] = True
+        # A space that follows was a start, and a letter after the contraction is one now; continuation bytes are none.
+    return start
+
+
+def byte_level(tok) -> bool:
+    """Whether a tokenizer cuts by the byte-level pattern and changes no text before: then a text may be encoded in parts."""
     try:
-        raw = text.encode("latin-1")
-    except UnicodeEncodeError:
-        return _UNSURE.search(text) is not None
-    return len(raw.translate(None, _UNSURE_BYTES)) != len(raw) or b"<|" in raw
+        pre = json.loads(tok.pre_tokenizer.__getstate__())
+    except (AttributeError, TypeError, ValueError):
+        return False
+    return tok.normalizer is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
 
 
 class LibraryEncoder:
     """The tokenizers library, remembering the ids of pieces that it has encoded.
 
-    The library encodes the pieces of its pre-tokenisation independently, so a text's ids
-    are its pieces' ids in a row. Texts with uncommon characters go to the library whole.
+    The library encodes the pieces of its pre-tokenisation independently, so a text's ids are its pieces' ids
+    in a row. The distinct pieces of a batch are looked up once, and the library gets new ones. Texts with
+    uncommon characters, and all texts of a tokenizer with another pre-tokenisation, go to the library whole.
     The memo has two generations of bounded size; pieces that are met again move to the new one.
     """
 
-    def __init__(self, path: str, memo: int = 350_000):
+    def __init__(self, path: str, memo: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tok, self.bound, self.memo, self.old = Tokenizer.from_file(path), memo, {}, {}
+        self.parted = byte_level(self.tok)
         vocabulary = self.tok.get_vocab()
         #: Bytes of each token; in a byte-level vocabulary a character stands for a byte.
         self.token_size = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.token_size[i] = len(token)
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (strings without nulls) in a row, and how many each has."""
+        n = len(texts)
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        if not self.parted or not len(data):
+            ids = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([*ids, np.empty(0, np.uint32)]), np.array(list(map(len, ids)), np.int64)
+        start = piece_starts(data, offsets)
+        whole = np.unique(np.searchsorted(offsets, unsure_places(data), side="right") - 1)
+        for d in whole.tolist():
+            start[offsets[d] + 1 : offsets[d + 1]] = False
+        edges = np.append(np.flatnonzero(start), len(data))
+        pieces = pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)])
+        lone = np.searchsorted(edges, offsets[whole])
+        found = pieces.dictionary_encode()
+        values = pa.array(self._values(found.dictionary.to_pylist(), set(found.indices.to_numpy()[lone].tolist())), pa.binary())
+        out = values.take(found.indices)
+        ends = np.frombuffer(out.buffers()[1], np.int32)[: len(edges)] // 4
+        ids = np.frombuffer(out.buffers()[2], np.uint32)[: ends[-1]]
+        return ids, np.diff(ends[np.searchsorted(edges, offsets)]).astype(np.int64)
+
+    def _values(self, pieces: list[bytes], whole: set[int]) -> list[bytes]:
+        """The ids of distinct pieces as little-endian unsigned 32-bit integers; those at the places `whole` are texts."""
         if len(self.memo) > self.bound:
             self.old, self.memo = self.memo, {}
-        memo, old = self.memo, self.old
-        pieces = [None if unsure(t) else _PIECES.findall(t) for t in texts]
-        values = [None if x is None else list(map(memo.get, x)) for x in pieces]
-        gaps = [[i for i, v in enumerate(vs) if v is None] if vs is not None and None in vs else () for vs in values]
-        new = {}
-        for x, missing in zip(pieces, gaps, strict=True):
-            for i in missing:
-                p = x[i]
-                if p not in memo:
-                    v = old.get(p)
-                    if v is None:
-                        new[p] = None
-                    else:
-                        memo[p] = v
-        self._learn(list(new))
-        out = []
-        for t, x, vs, missing in zip(texts, pieces, values, gaps, strict=True):
-            if vs is None:
-                out.append(np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32).tobytes())
-                continue
-            for i in missing:
-                vs[i] = memo[x[i]]
-            out.append(b"".join(vs))
-        return out
-
-    def _learn(self, new: list[str]) -> None:
-        """Have the library encode pieces. Those led by a space part by themselves in a row, so many are encoded as one text."""
-        led = [p for p in new if len(p) > 1 and p[0] == " " and not p[1].isspace()]
-        rest = [p for p in new if not (len(p) > 1 and p[0] == " " and not p[1].isspace())]
-        parts = [led[at : at + 10_000] for at in range(0, len(led), 10_000)]
-        for part, e in zip(parts, self.tok.encode_batch_fast(["".join(x) for x in parts], add_special_tokens=False), strict=True):
+        values = list(map(self.memo.get, pieces))
+        missing = [i for i, v in enumerate(values) if v is None]
+        if self.old:
+            again = [(i, v) for i, v in zip(missing, map(self.old.get, [pieces[i] for i in missing]), strict=True) if v is not None]
+            for i, v in again:
+                values[i] = self.memo[pieces[i]] = v
+            missing = [i for i in missing if values[i] is None]
+        # Pieces led by a space part by themselves in a row, so many are encoded as one text.
+        spaces = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
+        led = [i for i in missing if pieces[i][:1] == b" " and len(pieces[i]) > 1 and pieces[i][1:2] not in spaces and i not in whole]
+        rest = sorted({*missing}.difference(led))
+        for k in range(0, len(led), 10_000):
+            part = [pieces[i] for i in led[k : k + 10_000]]
             # Tokens never span pieces, so their lengths in bytes tell where each piece ends.
-            ids = np.array(e.ids, np.uint32)
+            ids = np.array(self.tok.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.cumsum(self.token_size[ids])
-            piece_ends = np.cumsum([len(p.encode()) for p in part])
+            piece_ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))
             cuts = np.searchsorted(ends, piece_ends) + 1
             if ends[-1] != piece_ends[-1] or (ends[cuts - 1] != piece_ends).any():
-                rest += part
+                rest += led[k : k + 10_000]
                 continue
-            raw, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
-            self.memo.update((p, raw[a:b]) for p, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
-        for p, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.memo[p] = np.array(e.ids, np.uint32).tobytes()
+            raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+            own = [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+            self.memo.update(zip(part, own, strict=True))
+            for i, v in zip(led[k : k + 10_000], own, strict=True):
+                values[i] = v
+        for i, e in zip(rest, self.tok.encode_batch_fast([pieces[i].decode("utf-8", "surrogatepass") for i in rest], add_special_tokens=False), strict=True):
+            values[i] = np.array(e.ids, np.uint32).tobytes()
+            if i not in whole:
+                self.memo[pieces[i]] = values[i]
+        return values
 
 
 @lru_cache(maxsize=1)
@@ -134,100 +192,159 @@ def _library(path: str) -> LibraryEncoder:
 # --- the grammar -------------------------------------------------------------------------
 
 
-def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int | None = None, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Compress ids; returns rules (pairs of symbols, the first is symbol `base`), the sequence, and which of its symbols end a document.
 
-    last: which ids end a document; no pair spans two documents. All pairs of a pass are
-    counted over the whole shard, and the most frequent ones are replaced left to right, until
-    no pair occurs `least` times or `rounds` passes are done.
+    last: which ids end a document; no pair spans two documents. A pass counts pairs over the whole
+    shard and replaces a pair at each place where it is more frequent than the pairs that overlap it; passes go on
+    until no pair occurs `least` times. A pair of old symbols that is rare once stays rare, so
+    later passes look only at places of frequent pairs and at neighbours of replaced ones; symbols are linked to
+    the next and the previous one, and those that are gone are left out at the end.
     """
-    seq, last = ids.astype(np.uint32), last.copy()
-    rules = np.empty((0, 2), np.uint32)
-    for _ in itertools.count() if rounds is None else range(rounds):
-        if len(seq) < 2:
+    seq, last, n = ids.astype(np.uint32), last.copy(), len(ids)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    gone, mark = np.zeros(n, bool), np.zeros(n, bool)
+    # How strongly a place competes; the last one stands for no place.
+    weight = np.zeros(n + 1, np.int32)
+    rules = [np.empty((0, 2), np.uint32)]
+    named = base
+    live = np.flatnonzero(~last[:-1]).astype(np.int32)
+    while len(live):
+        at, pair, bits = _sorted_pairs(seq, live, np.take(after, live), named, n)
+        starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        counts = np.diff(np.append(starts, len(pair)))
+        often = counts >= least
+        heads, counts = pair[starts[often]], counts[often]
+        at = at[np.repeat(often, np.diff(np.append(starts, len(pair))))]
+        if not len(at):
             break
-        bits, kind = (16, np.uint32) if base + len(rules) <= 0x10000 else (32, np.uint64)
-        shift, low = kind(bits), kind((1 << bits) - 1)
-        inside = (seq[:-1].astype(kind, copy=False) << shift) | seq[1:]
-        inside = inside[~last[:-1]]
-        inside.sort()
-        edges = np.flatnonzero(np.concatenate([[True], inside[1:] != inside[:-1]])) if len(inside) else np.empty(0, np.int64)
-        counts = np.diff(np.append(edges, len(inside)))
-        often = np.flatnonzero(counts >= least)
-        if not len(often):
+        first, second = (heads >> np.uint64(bits)).astype(np.uint32), (heads & np.uint64((1 << bits) - 1)).astype(np.uint32)
+        group = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        by = np.sort((counts.astype(np.uint64) << np.uint64(32)) | np.arange(len(counts), dtype=np.uint64))
+        rank = np.empty(len(counts), np.int32)
+        rank[(by & np.uint64(0xFFFFFFFF)).astype(np.int64)] = np.arange(1, len(counts) + 1)
+        own = np.repeat(rank, counts)
+        weight[at] = own
+        follow = np.take(after, at)
+        same = first == second
+        if same.any():
+            # In a run of one symbol every second place competes, from the left.
+            twins = np.flatnonzero(np.repeat(same, counts))
+            p = at[twins]
+            run = np.flatnonzero(np.concatenate([[True], (follow[twins[:-1]] != p[1:]) | (np.diff(group[twins]) != 0)]))
+            odd = twins[(np.arange(len(p)) - np.repeat(run, np.diff(np.append(run, len(p))))) % 2 == 1]
+            weight[at[odd]] = own[odd] = 0
+        chosen = (own > np.take(weight, np.take(before, at))) & (own > np.take(weight, follow))
+        weight[at] = 0
+        good = np.bincount(group[chosen], minlength=len(counts)) >= least
+        if not good.any():
             break
-        if len(often) > pairs:
-            often = often[np.argpartition(-counts[often], pairs)[:pairs]]
-        chosen = np.sort(inside[edges[often]])
-        # A table over the pairs' first and second symbols finds the rule of a place at once.
-        first, second = (chosen >> shift).astype(np.int64), (chosen & low).astype(np.int64)
-        heads, tails = np.zeros((2, base + len(rules)), np.int32)
-        (h, t) = np.unique(first), np.unique(second)
-        heads[h], tails[t] = np.arange(1, len(h) + 1), np.arange(1, len(t) + 1)
-        rule_of = np.full((len(h) + 1, len(t) + 1), -1, np.int32)
-        rule_of[heads[first], tails[second]] = np.arange(len(chosen))
-        rule = rule_of[heads[seq[:-1]], tails[seq[1:]]]
-        rule[last[:-1]] = -1
-        at = np.flatnonzero(rule >= 0)
-        rule = rule[at]
-        # Of overlapping places every second one stays, from the left.
-        run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-        place = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
-        at, rule = at[place % 2 == 0], rule[place % 2 == 0]
-        seq[at] = base + len(rules) + rule
-        last[at] = last[at + 1]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
-        rules = np.vstack([rules, np.stack([first, second], axis=1).astype(np.uint32)])
-    return rules, seq, last
+        chosen &= np.repeat(good, counts)
+        where, second_at = at[chosen], follow[chosen]
+        seq[where] = np.repeat(np.cumsum(good) - 1 + named, np.bincount(group[chosen], minlength=len(counts)))
+        last[where] = last[second_at]
+        gone[second_at] = True
+        beyond = after[second_at]
+        after[where] = beyond
+        before[beyond[beyond < n]] = where[beyond < n]
+        mark[at] = True
+        mark[second_at] = False
+        left = before[where]
+        mark[left[left >= 0]] = True
+        mark[where] = True
+        rules.append(np.stack([first[good], second[good]], axis=1))
+        named += len(rules[-1])
+        live = np.flatnonzero(mark).astype(np.int32)
+        mark[live] = False
+        live = live[~last[live]]
+    stay = ~gone
+    return np.concatenate(rules), seq[stay], last[stay]
+
+
+def _sorted_pairs(seq: np.ndarray, live: np.ndarray, follow: np.ndarray, named: int, n: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places and pairs at `live` places by pair, then place, and the bits of a symbol in a pair."""
+    bits, place = int(named).bit_length(), int(n).bit_length()
+    both = np.take(seq, live).astype(np.uint64)
+    if 2 * bits + place > 64:
+        both <<= np.uint64(32)
+        both |= np.take(seq, follow)
+        order = np.argsort(both, kind="stable")
+        return live[order], both[order], 32
+    both <<= np.uint64(bits)
+    both |= np.take(seq, follow)
+    both <<= np.uint64(place)
+    both |= live.view(np.uint32)
+    both.sort()
+    at = both.astype(np.uint32)
+    at &= np.uint32((1 << place) - 1)
+    both >>= np.uint64(place)
+    return at.view(np.int32), both, bits
+
+
+def _levels(rules: np.ndarray, base: int):
+    """Ranges of rules, each of which uses only ids and rules of earlier ranges."""
+    newest = rules.max(axis=1).astype(np.int64) - base
+    lo = 0
+    while lo < len(rules):
+        later = newest[lo:] >= lo
+        hi = lo + int(later.argmax()) if later.any() else len(rules)
+        yield lo, hi
+        lo = hi
 
 
 def lengths_of(rules: np.ndarray, base: int) -> np.ndarray:
     """Ids that each symbol from `base` expands to; a rule uses only ids and earlier rules."""
     size = np.ones(base + len(rules), np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        size[base + i] = size[a] + size[b]
+    for lo, hi in _levels(rules, base):
+        size[base + lo : base + hi] = size[rules[lo:hi]].sum(axis=1)
     return size[base:]
 
 
+def _spread(starts: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of ranges in a row."""
+    before = np.cumsum(many) - many
+    return np.repeat(starts - before, many) + np.arange(int(many.sum()))
+
+
 def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
-    """The ids of a sequence of symbols."""
-    at = np.cumsum(lengths) - lengths
-    flat = np.empty(int(lengths.sum()), np.uint32)
-    for i, (a, b) in enumerate(rules.tolist()):
-        p = int(at[i])
-        for s in (a, b):
-            if s < base:
-                flat[p] = s
-                p += 1
-            else:
-                n, q = int(lengths[s - base]), int(at[s - base])
-                flat[p : p + n] = flat[q : q + n]
-                p += n
-    symbols = symbols.astype(np.int64)
-    table_ = np.concatenate([np.arange(base, dtype=np.uint32), flat])
+    """The ids of a sequence of symbols, by way of all rules' ids."""
     size = np.concatenate([np.ones(base, np.int64), lengths])
-    start = np.concatenate([np.arange(base), base + at])
-    many = size[symbols]
-    before = np.cumsum(many) - many
-    return table_[np.repeat(start[symbols] - before, many) + np.arange(int(many.sum()))]
+    start = np.cumsum(size) - size
+    flat = np.arange(int(size.sum()), dtype=np.uint32)
+    for lo, hi in _levels(rules, base):
+        left, right = rules[lo:hi, 0].astype(np.int64), rules[lo:hi, 1].astype(np.int64)
+        to = start[base + lo : base + hi]
+        flat[_spread(to, size[left])] = flat[_spread(start[left], size[left])]
+        flat[_spread(to + size[left], size[right])] = flat[_spread(start[right], size[right])]
+    symbols = symbols.astype(np.int64)
+    return flat[_spread(start[symbols], size[symbols])]
 
 
 def decode_range(shard: dict, doc: int, start: int = 0, stop: int | None = None) -> np.ndarray:
     """Ids [start, stop) of the doc-th document of a shard (a row as a dict), expanding only the symbols that cover them."""
     base = shard["base"]
     rules = np.frombuffer(shard["rules"], np.uint32).reshape(-1, 2)
-    lengths = np.frombuffer(shard["lengths"], np.uint32).astype(np.int64)
+    lengths = np.frombuffer(shard["lengths"], np.uint32)
     many = np.frombuffer(shard["doc_symbols"], np.uint32)
     first = int(many[:doc].sum())
-    symbols = _symbols(shard)[first : first + int(many[doc])]
-    size = np.concatenate([np.ones(base, np.int64), lengths])[symbols]
-    ends = np.cumsum(size)
-    stop = int(ends[-1]) if stop is None and len(ends) else min(stop or 0, int(ends[-1]) if len(ends) else 0)
-    lo, hi = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, stop, side="left") + 1
-    skipped = int(ends[lo - 1]) if lo else 0
-    return expand(symbols[lo:hi], rules, lengths, base)[start - skipped : stop - skipped]
+    symbols = _symbols(shard)[first : first + int(many[doc])].astype(np.int64)
+    at = 0
+    while True:
+        inner = symbols >= base
+        size = np.ones(len(symbols), np.int64)
+        size[inner] = lengths[symbols[inner] - base]
+        ends = at + np.cumsum(size)
+        if stop is None:
+            stop = int(ends[-1]) if len(ends) else 0
+        covers = (ends > start) & (ends - size < stop)
+        at = int((ends - size)[covers][0]) if covers.any() else start
+        symbols, inner = symbols[covers], inner[covers]
+        if not inner.any():
+            return symbols.astype(np.uint32)
+        # Each nonterminal that is left gives way to its two symbols.
+        pairs = np.stack([symbols, np.full(len(symbols), -1)], axis=1)
+        pairs[inner] = rules[symbols[inner] - base]
+        symbols = pairs[pairs >= 0]
 
 
 def _symbols(shard: dict) -> np.ndarray:
@@ -235,10 +352,8 @@ def _symbols(shard: dict) -> np.ndarray:
     return np.frombuffer(shard["symbols"], np.uint16 if narrow else np.uint32)
 
 
-def make_shard(part: int, shard: int, doc_ids: list, tokens: list[bytes], base: int, **params) -> dict:
-    """One row of the shard table from its documents' ids (with the end id)."""
-    many = np.array([len(t) // 4 for t in tokens], np.int64)
-    ids = np.frombuffer(b"".join(tokens), np.uint32)
+def make_shard(part: int, shard: int, doc_ids: list, ids: np.ndarray, many: np.ndarray, base: int, **params) -> dict:
+    """One row of the shard table from its documents' ids (with the end id) in a row, and how many each has."""
     last = np.zeros(len(ids), bool)
     last[np.cumsum(many) - 1] = True
     rules, seq, ends = repair(ids, last, base, **params)
@@ -273,23 +388,35 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = DEFAULT_TOKENIZER,
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = _library(tokenizer)
         base = max(encode.tok.get_vocab_size(), end_id + 1)
-        end = np.array([end_id], np.uint32).tobytes()
-        part, shard, ids, tokens, held = TaskContext.get().partitionId(), 0, [], [], 0
+        part, shard, doc_ids, held, many = TaskContext.get().partitionId(), 0, [], [], []
         for whole in batches:
-            for b in slices(whole, "text"):
-                for doc, ids_of in zip(b.column("doc_id").to_pylist(), encode([t or "" for t in b.column("text").to_pylist()]), strict=True):
-                    ids.append(doc)
-                    tokens.append(ids_of + end)
-                    held += len(ids_of) // 4 + 1
-                    if held >= shard_ids:
-                        yield pa.RecordBatch.from_pylist([make_shard(part, shard, ids, tokens, base, **params)], schema)
-                        shard, ids, tokens, held = shard + 1, [], [], 0
-        if ids:
-            yield pa.RecordBatch.from_pylist([make_shard(part, shard, ids, tokens, base, **params)], schema)
+            for b in slices(whole, "text", 2 * SLICE_BYTES):
+                ids, counts = encode(pc.fill_null(b.column("text"), ""))
+                counts, docs_ = counts + 1, b.column("doc_id").to_pylist()
+                ends = np.cumsum(counts)
+                ended = np.full(len(ids) + len(counts), end_id, np.uint32)
+                inner = np.ones(len(ended), bool)
+                inner[ends - 1] = False
+                ended[inner] = ids
+                at = 0
+                while at < len(counts):
+                    # The document that fills the shard is its last.
+                    to = min(len(counts), at + 1 + int(np.searchsorted(ends[at:] - (ends[at - 1] if at else 0), shard_ids - sum(map(len, held)))))
+                    held.append(ended[ends[at] - counts[at] : ends[to - 1]])
+                    many.append(counts[at:to])
+                    doc_ids += docs_[at:to]
+                    at = to
+                    if sum(map(len, held)) >= shard_ids:
+                        yield pa.RecordBatch.from_pylist([make_shard(part, shard, doc_ids, np.concatenate(held), np.concatenate(many), base, **params)], schema)
+                        shard, doc_ids, held, many = shard + 1, [], [], []
+        if doc_ids:
+            yield pa.RecordBatch.from_pylist([make_shard(part, shard, doc_ids, np.concatenate(held), np.concatenate(many), base, **params)], schema)
 
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, SHARD_SCHEMA).write.parquet(path)
+    # Rows of one doc_id go by their text's hash, so that a frequent id is spread too.
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
+    ordered = keyed.repartitionByRange(n, "doc_id", "hash").sortWithinPartitions("doc_id", "hash")
+    ordered.select("doc_id", "text").mapInArrow(run, SHARD_SCHEMA).write.parquet(path)
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:
@@ -326,6 +453,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document, read back from the shards: ids before it, its number of ids with the end id, and their CRC-32."""
     path = scratch_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path)
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
