@@ -125,7 +125,7 @@ def grounded(evidence: Column, source: Column) -> Column:
 
 def grounded_in_order(quote: Column, source: Column, least: int = 4) -> Column:
     """Whether the parts of a quote between ellipses, each of `least` characters or more, follow each other in the source."""
-    parts = F.filter(F.transform(F.split(F.lower(normalise(quote)), r"\.\.\.|…"), F.trim), lambda p: F.length(p) >= least)
+    parts = F.filter(F.transform(F.split(F.lower(normalise(quote)), r"\.\.\.|…"), lambda x: F.trim(x)), lambda p: F.length(p) >= least)
     text = F.lower(normalise(source))
 
     def step(at, part):
@@ -143,13 +143,16 @@ def lexical_leak(question: Column, memory: Column, n: int = 5, coverage: float =
 
 
 def critical_tokens(c: Column) -> Column:
-    """Numbers and capitalised short forms, distinct and sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"([0-9]+(?:[.,][0-9]+)*|\b[A-Z]{2,}\b)"), 1)))
+    """Numbers, short forms in capitals, words with a digit and code in backticks; normalised, lower-case, distinct and sorted."""
+    every = lambda pattern, group=0: F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
+    mixed = F.filter(every(r"\b[A-Za-z0-9_+.#/-]{2,}\b"), lambda t: t.rlike("[0-9]") & t.rlike("[^0-9]"))
+    found = F.concat(every(r"\b\d+(?:[.,:/-]\d+)*\b"), every(r"\b[A-Z]{2,}[A-Z0-9_+.#/-]*\b"), mixed, every("`([^`]+)`", 1))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(found, lambda t: F.lower(normalise(t))), lambda t: t != "")))
 
 
 def sentences(c: Column) -> Column:
     """Parts that end in a full stop, question or exclamation mark before white space; trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(F.regexp_replace(c, r"([.!?])\s+", "$1\u0001"), "\u0001"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(c, r"([.!?])\s+", "$1\u0001"), "\u0001"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def spans(parts: Column, longest: int = 3) -> Column:

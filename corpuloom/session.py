@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -43,19 +45,41 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local one serves local masters only."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = getattr(sc, "_corpuloom_scratch", None)
         if not folder:
-            folder = "file://" + tempfile.mkdtemp(prefix="corpuloom-scratch-")
-            sc._corpuloom_scratch = folder
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            local = tempfile.mkdtemp(prefix="corpuloom-scratch-")
+            atexit.register(shutil.rmtree, local, ignore_errors=True)
+            folder = sc._corpuloom_scratch = f"file://{local}"
     return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/corpuloom/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; clear_scratch() deletes what is written there."""
+    path = f"{shared_folder(spark)}/corpuloom/{name}-{uuid.uuid4().hex}"
+    scratch_paths(spark).append(path)
+    return path
+
+
+def scratch_paths(spark: SparkSession) -> list[str]:
+    """The session's scratch paths that have not been cleared, in order."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_corpuloom_paths"):
+        sc._corpuloom_paths = []
+    return sc._corpuloom_paths
+
+
+def clear_scratch(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete the scratch tables from the `since`-th on, but those to keep. Results that read them must have been written before."""
+    paths = scratch_paths(spark)
+    for path in [p for p in paths[since:] if p not in keep]:
+        drop_scratch(spark, path)
+        paths.remove(path)
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
