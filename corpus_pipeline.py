@@ -10,7 +10,7 @@ from corpuloom.llm.kneser_ney import quality
 from corpuloom.llm.minhash_dedup import minhash_dedup
 from corpuloom.llm.mixing import mixed_documents
 from corpuloom.llm.toxicity import keep_harmless
-from corpuloom.session import cut, scratch_path, table
+from corpuloom.session import clear_scratch, cut, scratch_path, scratch_paths, table
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -68,9 +68,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over the documents; each result is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), len(scratch_paths(spark))
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        # What the stage and its predecessor wrote is no longer read.
+        clear_scratch(spark, since, keep=(path,))
     return docs
