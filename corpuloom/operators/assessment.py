@@ -104,21 +104,27 @@ def complexity_points(n_families: Column, tokens: Column, n_sentences: Column, r
     return F.least(n_families, F.lit(6)) + over(tokens, 50) + over(tokens, 100) + over(n_sentences, 3) + over(relations, 2)
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """The same rows, with every column computed before what follows, which would otherwise repeat its patterns for each use."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("row_")).select("row_.*")
+
+
 def assess(df: DataFrame) -> DataFrame:
     """id, reasons, quality_score, its four components, families, complexity and its points, status.
 
     df: id, source_dataset, domain, raw_question, answer. Null texts count as empty.
     """
     q, a = F.trim(F.coalesce("raw_question", F.lit(""))), F.trim(F.coalesce("answer", F.lit("")))
-    f = df.select("id", "source_dataset", "domain", q.alias("q"), a.alias("a"))
+    f = _once(df.select("id", "source_dataset", "domain", q.alias("q"), a.alias("a")))
     f = f.withColumns({
         "qt": F.size(X.tokens(F.col("q"))), "at": F.size(X.tokens(F.col("a"))), "content": F.size(X.tokens(boilerplate(F.col("a")))), "qs": sentences(F.col("q")), "as": sentences(F.col("a")),
         "relations": F.regexp_count("q", F.lit(f"(?i){RELATION}")), "families": families(F.col("q"), F.col("domain")), "q_english": X.english_ratio(F.col("q")), "a_english": X.english_ratio(F.col("a")),
         "asks": F.col("q").contains("?") | F.col("q").rlike(f"(?i){INTENT}") | ((F.col("domain") == "coding") & F.col("q").rlike(f"(?i){INSTRUCTION}")),
     })
+    f = _once(f)
     most = F.when(F.col("domain") == "coding", MOST_PUNCTUATION_CODE).otherwise(MOST_PUNCTUATION)
     f = f.withColumn("stock", F.when(F.col("at") > 0, F.greatest(F.lit(0.0), 1 - F.col("content") / F.col("at"))).otherwise(1.0)).withColumn("noise", X.noisy(F.col("q"), most) | X.noisy(F.col("a"), most))
-    f = f.withColumn("n_families", F.size("families"))
+    f = _once(f.withColumn("contained", F.when(F.col("domain") == "coding", contained(F.col("q"), F.col("a"))))).withColumn("n_families", F.size("families"))
     size = lambda c: F.length(c)
     (q_lo, q_hi), (a_lo, a_hi) = LIMITS["question_chars"], LIMITS["answer_chars"]
     rules = {
@@ -127,7 +133,7 @@ def assess(df: DataFrame) -> DataFrame:
         "question_too_few_tokens": F.col("qt") < LIMITS["question_tokens"], "answer_too_few_tokens": F.col("at") < LIMITS["answer_tokens"],
         "question_language_mismatch": F.col("q_english") < LIMITS["english"], "answer_language_mismatch": F.col("a_english") < LIMITS["english"],
         "answer_boilerplate_dominated": F.col("stock") > LIMITS["boilerplate"], "text_noise": F.col("noise"), "no_memory_signal": F.col("n_families") == 0, "missing_question_intent": ~F.col("asks"),
-        "reference_answer_in_question": (F.col("domain") == "coding") & (contained(F.col("q"), F.col("a")) >= LEAST_CONTAINED),
+        "reference_answer_in_question": F.col("contained") >= LEAST_CONTAINED,
     }
     one = lambda c, points: F.when(c, points).otherwise(0)
     steps = None
@@ -141,6 +147,7 @@ def assess(df: DataFrame) -> DataFrame:
     }
     points = complexity_points(F.col("n_families"), F.col("qt"), F.col("qs"), F.col("relations"))
     f = f.withColumns({**parts, "reasons": F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()])), "complexity_points": points})
+    f = _once(f)
     score = F.least(F.lit(100), sum((F.col(k) for k in parts), F.lit(0)))
     f = f.withColumn("quality_score", score).withColumn("complexity", F.when(F.col("complexity_points") <= 3, "simple").when(F.col("complexity_points") <= 6, "medium").otherwise("complex"))
     status = F.when(F.size("reasons") > 0, "rejected_hard_filter").when(F.col("quality_score") < LIMITS["score"], "rejected_quality_score").otherwise("eligible")

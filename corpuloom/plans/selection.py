@@ -25,9 +25,12 @@ _DOMAINS = ("health_seed", "general", "coding")
 
 
 def pairs(spark, d):
-    """Answers with the question before them, as records of three domains."""
+    """Answers with the question before them, as records of three domains.
+
+    Letters beyond ASCII stand as x in the prose, since the engines that are compared differ on word boundaries beside them.
+    """
     w = Window.partitionBy("conv_id").orderBy("turn")
-    t = table(spark, d, "conversations").withColumn("q", F.lag("text").over(w)).withColumn("asked", F.lag("role").over(w)).where("role = 'assistant' and asked = 'user'")
+    t = table(spark, d, "conversations").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "x")).withColumn("q", F.lag("text").over(w)).withColumn("asked", F.lag("role").over(w)).where("role = 'assistant' and asked = 'user'")
     pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n + 1).cast("int"))
     by = F.col("conv_id")
     return t.select(
@@ -44,7 +47,7 @@ def _list(values) -> str:
     return "[" + ", ".join(map(_quoted, values)) + "]"
 
 
-V_PAIRS = f"""v_turns AS (SELECT *, lag(text) OVER w AS q, lag(role) OVER w AS asked FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+V_PAIRS = f"""v_plain AS (SELECT * REPLACE (regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g') AS text) FROM conversations), v_turns AS (SELECT *, lag(text) OVER w AS q, lag(role) OVER w AS asked FROM v_plain WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 v_pairs AS (SELECT concat_ws('-', conv_id, turn) AS id, CASE WHEN conv_id % 17 > 0 THEN 'chat' ELSE '' END AS source_dataset, ({_list(_DOMAINS)})[conv_id % 3 + 1] AS domain,
   q || ({_list(_QUESTIONS)})[conv_id % 5 + 1] AS raw_question, CASE WHEN conv_id % 13 > 0 THEN text || ({_list(_ANSWERS)})[conv_id // 5 % 3 + 1] END AS answer FROM v_turns WHERE role = 'assistant' AND asked = 'user')"""
 
