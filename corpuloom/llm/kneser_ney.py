@@ -1,13 +1,15 @@
 """Quality classifier: interpolated modified Kneser-Ney n-grams of trusted text, perplexity thresholds by language.
 
-The n-grams are of characters. Documents are in two folds by hash of their id, and each is
+The n-grams are of characters, all of Unicode. Documents are in two folds by hash of their id, and each is
 scored by the model of the other fold's trusted text, so that trusted documents, whose quantiles give
 the thresholds, are scored as any other. Counts are sharded by key: partial counts from every batch of
 trusted text are summed, and continuation counts, discounts and interpolated
-probabilities follow from joins of the sharded tables, order by order. The model
-is then split by the two characters before the predicted one, so that each shard
-holds all that a position in it needs and has a checked size; texts are joined with one
-shard after another, and a document's sums are added up.
+probabilities follow from joins of the sharded tables, order by order.
+
+For scoring, texts are cut into chunks of bounded size, whose distinct n-grams are looked up. Up to a fixed
+number of rows the whole model is broadcast and texts stay where they are. A larger model stays in the shared tables:
+its most frequent n-grams alone are broadcast, and a chunk's other n-grams are joined with the tables, order by
+order down for those that are unseen; their probabilities come back to the chunk, where the documents' sums are made.
 """
 
 from __future__ import annotations
@@ -19,255 +21,346 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuloom.llm.common import slices
+from corpuloom.llm.common import mix, slices
 from corpuloom.session import cut, ship, table
 
 ORDER = 5
-#: Bits of a character's code; code points from 0xF00 share the last 255 codes, 0 is the start of a text.
-BITS = 12
-#: Rows of a broadcast shard of the model at most (12 bytes each).
-SHARD_ROWS = 2_500_000
+#: An n-gram of up to five characters of 21 bits is two longs: the last three in lo, the others, right-aligned, in hi.
+BITS = 21
+CHAR = (1 << BITS) - 1
+#: Stands for the characters before a text; code points are below it.
+START = 0x110000
+#: The bit of hi that tells the fold.
+FOLD = 1 << (2 * BITS)
+#: Bytes of text in a chunk whose n-grams are looked up together.
+CHUNK = 6 << 20
+#: Rows of the model (24 bytes each) that are broadcast at most.
+BROADCAST_ROWS = 2_500_000
 #: Trusted document ids (8 bytes each) that are broadcast at most.
 BROADCAST_IDS = 1_500_000
 #: Perplexity of a kept document lies between these quantiles of trusted documents of its language, widened by the factor.
 LOW, HIGH, MARGIN = 0.002, 0.99, 1.02
-#: The bit of a key that tells the fold.
-FOLD = 1 << 61
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def codes_of(text: str) -> np.ndarray:
-    cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(cps < 0xF00, np.maximum(cps, 1), 0xF00 + cps % 255).astype(np.int64)
-
+def context(hi, lo):
+    """All but the last character of n-grams (columns or arrays), with the fold."""
+    if isinstance(hi, np.ndarray):
+        chars = hi & (FOLD - 1)
+        return (chars >> BITS) | (hi & FOLD), (lo >> BITS) | ((chars & CHAR) << (2 * BITS))
+    chars = hi.bitwiseAND(FOLD - 1)
+    return F.shiftright(chars, BITS).bitwiseOR(hi.bitwiseAND(FOLD)), F.shiftright(lo, BITS).bitwiseOR(F.shiftleft(chars.bitwiseAND(CHAR), 2 * BITS))
 
-def tail(keys, n: int):
-    """The last n characters of n-grams, with the fold."""
-    return (keys & ((1 << (BITS * n)) - 1)) | (keys & FOLD)
 
-
-def context(keys, n: int):
-    """All but the last of the n characters of n-grams, with the fold."""
-    return ((keys & ((1 << (BITS * n)) - 1)) >> BITS) | (keys & FOLD)
+def tail(hi, lo, n: int):
+    """The last n characters of n-grams (columns or arrays), with the fold."""
+    if isinstance(hi, np.ndarray):
+        return hi & (((1 << (BITS * max(0, n - 3))) - 1) | FOLD), lo & ((1 << (BITS * min(3, n))) - 1)
+    return hi.bitwiseAND(((1 << (BITS * max(0, n - 3))) - 1) | FOLD), lo.bitwiseAND((1 << (BITS * min(3, n))) - 1)
 
 
 def fold_of(doc_id: str = "doc_id"):
     return F.pmod(F.xxhash64(F.col(doc_id), F.lit(9)), F.lit(2)).cast("int")
 
 
-def ngram_keys(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the n-gram that ends at each character, all texts in a row, and each text's length."""
-    parts, sizes = [], []
-    start = np.zeros(order - 1, np.int64)
-    for t in texts:
-        parts += [start, codes_of(t)]
-        sizes.append(len(parts[-1]))
-    flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
-    if len(flat) < order:
-        return np.empty(0, np.int64), np.array(sizes, np.int64)
-    keys = np.zeros(len(flat) - order + 1, np.int64)
-    for i in range(order):
-        keys = (keys << BITS) | flat[i : i + len(keys)]
-    # Each text has order - 1 start codes before it; windows that end in them are no n-grams.
-    sizes = np.array(sizes, np.int64)
-    ends = np.cumsum(sizes + order - 1)
-    keep = np.ones(len(flat), bool)
-    keep[(ends - sizes - order + 1)[:, None] + np.arange(order - 1)] = False
-    return keys[keep[order - 1 :]], sizes
-
-
-def count_ngrams(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """key, c: how often each n-gram occurs in all texts of a fold (columns text, fold; nulls and empty texts have none)."""
-    ship(texts.sparkSession)
-
-    def run(batches):
-        held_k, held_c, size = [], [], 0
-
-        def total():
-            k, inv = np.unique(np.concatenate(held_k), return_inverse=True)
-            return k, np.bincount(inv, np.concatenate(held_c), len(k)).astype(np.int64)
+def ngrams(texts: list[str], folds: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of texts: hi, lo, how often each occurs, its number at each character (all texts in a row), and the texts' lengths.
 
-        for whole in batches:
-            for b in slices(whole, "text", 2 << 20):
-                texts_ = [t or "" for t in b.column("text").to_pylist()]
-                keys, sizes = ngram_keys(texts_, order)
-                k, c = np.unique(keys | np.repeat(b.column("fold").to_numpy(zero_copy_only=False).astype(np.int64) * FOLD, sizes), return_counts=True)
-                held_k.append(k)
-                held_c.append(c)
-                size += len(k)
-                if size > 1_000_000:
-                    k, c = total()
-                    held_k, held_c, size = [k], [c], len(k)
-                    if size > 500_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["key", "c"])
-                        held_k, held_c, size = [], [], 0
-        if size:
-            k, c = total()
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["key", "c"])
-
-    return texts.select("text", "fold").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-
-
-def discounts(counts: DataFrame) -> list[float]:
-    """Modified Kneser-Ney discounts for counts 1, 2 and more, from the numbers of n-grams that occur one to four times."""
-    n = {r[0]: r[1] for r in counts.where("c <= 4").groupBy("c").count().collect()}
-    n1, n2, n3, n4 = (n.get(i, 0) for i in (1, 2, 3, 4))
-    if not (n1 and n2):
-        return [0.5, 0.75, 0.9]
-    y = n1 / (n1 + 2 * n2)
-    raw = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 2.0]
-    return [min(max(d, 0.05), k - 0.05) for d, k in zip(raw, (1, 2, 3), strict=True)]
-
-
-def _tail(key: str, n: int):
-    return F.col(key).bitwiseAND(((1 << (BITS * n)) - 1) | FOLD)
-
-
-def train(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """The models of both folds' texts (columns text, fold): kind (2n: probability of an n-gram, 2n + 1: back-off weight of a context of n characters), key, value, spot (hash that shards it, null: in all shards)."""
-    grams = {order: cut(count_ngrams(texts, order), "ngrams")}
-    for n in range(order - 1, 0, -1):
-        # Continuation counts: how many different characters precede.
-        grams[n] = cut(grams[n + 1].groupBy(_tail("key", n).alias("key")).agg(F.count(F.lit(1)).alias("c")), "ngrams")
-    model, lower = None, None
-    for n in range(1, order + 1):
-        d = discounts(grams[n])
-        over = Window.partitionBy("ctx")
-        disc = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        ctx = F.shiftright(F.col("key").bitwiseAND(FOLD - 1), BITS).bitwiseOR(F.col("key").bitwiseAND(FOLD))
-        rows = grams[n].withColumn("ctx", ctx).withColumn("disc", disc)
-        rows = rows.select("key", "ctx", ((F.col("c") - F.col("disc")) / F.sum("c").over(over)).alias("own"), (F.sum("disc").over(over) / F.sum("c").over(over)).alias("gamma"))
-        if n == 1:
-            rows = rows.withColumn("p", F.col("own") + F.col("gamma") / (1 << BITS))
+    Within a list of texts an n-gram is a number of its characters' places among those that occur, which fits a
+    long for up to 4,096 different ones; with more, ranks of its halves do. Equal lists give equal numbers.
+    """
+    start = np.full(order - 1, START, np.int32)
+    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.int32) for t in texts]
+    sizes = np.array(list(map(len, codes)), np.int64)
+    if not sizes.sum():
+        none = np.empty(0, np.int64)
+        return none, none, none, none, sizes
+    flat = np.concatenate([x for c in codes for x in (start, c)])
+    # Where each text's characters are, after the starts before it.
+    at = np.arange(int(sizes.sum()), dtype=np.int32) + np.repeat(np.arange(1, len(sizes) + 1, dtype=np.int32) * (order - 1), sizes)
+    fold = np.repeat(np.asarray(folds, np.int64), sizes)
+    present = np.zeros(START + 1, bool)
+    present[flat] = True
+    chars = np.flatnonzero(present)
+    place = np.zeros(START + 1, np.int32)
+    place[chars] = np.arange(len(chars))
+    local, bits = place[flat], max(1, (len(chars) - 1).bit_length())
+    if order * bits < 62:
+        keys = fold
+        for j in range(order):
+            keys = (keys << bits) | local[at - (order - 1 - j)]
+        found, counts = np.unique(keys, return_counts=True)
+        of = [chars[(found >> (bits * (order - 1 - j))) & ((1 << bits) - 1)] for j in range(order)]
+        own = found >> (bits * order)
+    else:
+        first, last = fold, np.zeros(len(at), np.int64)
+        for j in range(order - 1, -1, -1):
+            if j > 2:
+                first = (first << bits) | local[at - j]
+            else:
+                last = (last << bits) | local[at - j]
+        firsts, lasts = np.unique(first), np.unique(last)
+        keys = np.searchsorted(firsts, first) * len(lasts) + np.searchsorted(lasts, last)
+        found, counts = np.unique(keys, return_counts=True)
+        one, two = firsts[found // len(lasts)], lasts[found % len(lasts)]
+        of = [chars[((one >> (bits * (order - 4 - j))) if j < order - 3 else (two >> (bits * (order - 1 - j)))) & ((1 << bits) - 1)] for j in range(order)]
+        own = one >> (bits * max(0, order - 3))
+    hi, lo = own.astype(np.int64), np.zeros(len(found), np.int64)
+    if order < 5:
+        hi = hi << (BITS * (5 - max(3, order)))
+    for j, c in enumerate(of):
+        if order - j > 3:
+            hi = (hi << BITS) | c
         else:
-            suffix = lower.select(F.col("key").alias("suffix"), F.col("p").alias("low"))
-            rows = rows.withColumn("suffix", _tail("key", n - 1)).join(suffix, "suffix")
-            rows = rows.withColumn("p", F.col("own") + F.col("gamma") * F.col("low"))
-        lower = cut(rows.select("key", "ctx", "gamma", "p"), "probabilities")
-        pair = lambda key: F.when(F.lit(n) >= 3, F.xxhash64(F.col(key).bitwiseAND((1 << (2 * BITS)) - 1)))  # noqa: E731, B023
-        part = lower.select(F.lit(2 * n).alias("kind"), "key", F.col("p").alias("value"), pair("ctx").alias("spot"))
-        weights = lower.groupBy("ctx").agg(F.first("gamma").alias("value")).select(F.lit(2 * n - 1).alias("kind"), F.col("ctx").alias("key"), "value", pair("ctx").alias("spot"))
-        part = part.union(weights)
-        model = part if model is None else model.union(part)
-    return cut(model, "model")
+            lo = (lo << BITS) | c
+    return hi, lo, counts.astype(np.int64), Lookup(found).find(keys), sizes
 
 
 class Lookup:
-    """An open-addressing table from int64 keys to float32 values, for whole arrays at once."""
+    """An open-addressing table from distinct int64 keys to their places, for whole arrays at once."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
+    def __init__(self, keys: np.ndarray):
+        self.given = keys
         self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2.5))))
         size = 1 << self.bits
-        self.keys = np.full(size, -1, np.int64)
-        self.values = np.zeros(size, np.float32)
-        slot, left = self._slot(keys), np.arange(len(keys))
-        self.probes = 1
-        while True:
-            free = left[self.keys[slot[left]] == -1]
-            self.keys[slot[free]] = keys[free]  # of several, one stays
-            placed = free[self.keys[slot[free]] == keys[free]]
-            self.values[slot[placed]] = values[placed]
-            left = left[self.keys[slot[left]] != keys[left]]
-            if not len(left):
-                break
+        self.places = np.full(size, -1, np.int32)
+        slot, left = self._slot(keys), np.arange(len(keys), dtype=np.int32)
+        while len(left):
+            free = left[self.places[slot[left]] < 0]
+            self.places[slot[free]] = free  # of several, one stays
+            left = left[self.places[slot[left]] != left]
             slot[left] = (slot[left] + 1) & (size - 1)
-            self.probes += 1
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * _ODD) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values, and which keys were found."""
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys, -1 for those that are not there."""
         slot = self._slot(keys)
-        at = self.keys[slot]
-        found = at == keys
-        out = np.where(found, self.values[slot], np.float32(0))
-        left = np.flatnonzero(~found & (at != -1))
-        for _ in range(self.probes):
-            if not len(left):
+        out = self.places[slot]
+        left = np.flatnonzero((out >= 0) & (self.given[out] != keys))
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            out[left] = self.places[slot[left]]
+            left = left[(out[left] >= 0) & (self.given[out[left]] != keys[left])]
+        return out
+
+
+class Table:
+    """Values of n-grams (hi, lo), for whole arrays at once; n-grams are told apart by both longs."""
+
+    def __init__(self, hi: np.ndarray, lo: np.ndarray, values: np.ndarray):
+        self.hi, self.lo, self.values, seed = hi, lo, values, 1
+        while True:
+            self.seed = np.uint64(2 * seed + 1)
+            mixed = self._mixed(hi, lo)
+            if len(np.unique(mixed)) == len(mixed):
                 break
-            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
-            at = self.keys[slot[left]]
-            hit = at == keys[left]
-            out[left[hit]] = self.values[slot[left[hit]]]
-            found[left[hit]] = True
-            left = left[~hit & (at != -1)]
-        return out, found
-
-
-def log_probabilities(keys: np.ndarray, tables: dict[int, Lookup], order: int) -> np.ndarray:
-    """Natural log of each n-gram's interpolated probability, backing off where it is unseen."""
-    p, found = tables[2 * order].get(keys)
-    p = p.astype(np.float64)
-    left, weight = np.flatnonzero(~found), np.ones(int((~found).sum()))
+            seed += 1
+        self.places = Lookup(mixed)
+
+    def _mixed(self, hi, lo):
+        return mix(mix(hi.astype(np.uint64) * self.seed) ^ lo.astype(np.uint64)).view(np.int64)
+
+    def get(self, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, 0 where there is none, and which n-grams were found."""
+        if not len(self.hi):
+            return np.zeros(len(hi)), np.zeros(len(hi), bool)
+        at = self.places.find(self._mixed(hi, lo))
+        found = (at >= 0) & (self.hi[at] == hi) & (self.lo[at] == lo)
+        return np.where(found, self.values[at], 0.0), found
+
+
+def count_ngrams(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """hi, lo, c: how often each n-gram occurs in all texts of a fold (columns text, fold; nulls and empty texts have none)."""
+    ship(texts.sparkSession)
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, "text", CHUNK):
+                hi, lo, c, _, _ = ngrams([t or "" for t in b.column("text").to_pylist()], b.column("fold").to_numpy(zero_copy_only=False), order)
+                yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), pa.array(c)], ["hi", "lo", "c"])
+
+    return texts.select("text", "fold").mapInArrow(run, "hi long, lo long, c long").groupBy("hi", "lo").agg(F.sum("c").alias("c"))
+
+
+def discounts(counts: DataFrame) -> list[list[float]]:
+    """Modified Kneser-Ney discounts of each fold for counts 1, 2 and more, from the numbers of n-grams that occur one to four times."""
+    fold = (F.col("hi").bitwiseAND(FOLD) != 0).cast("int")
+    n = {(r.fold, r.c): r.n for r in counts.where("c <= 4").groupBy(fold.alias("fold"), "c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = []
+    for f in (0, 1):
+        n1, n2, n3, n4 = (n.get((f, i), 0) for i in (1, 2, 3, 4))
+        if not (n1 and n2):
+            out.append([0.5, 0.75, 0.9])
+            continue
+        y = n1 / (n1 + 2 * n2)
+        raw = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 2.0]
+        out.append([min(max(d, 0.05), k - 0.05) for d, k in zip(raw, (1, 2, 3), strict=True)])
+    return out
+
+
+def train(texts: DataFrame, order: int = ORDER) -> dict:
+    """The models of both folds' texts (columns text, fold): for each n the probabilities of n-grams (hi, lo, p) and the back-off weights of their contexts (hi, lo, gamma).
+
+    Under 0 stands the number of symbols, which are equally probable before anything is counted: the
+    characters of the texts, and one for all that are not among them.
+    """
+    hi, lo = F.col("hi"), F.col("lo")
+    grams = {order: cut(count_ngrams(texts, order), "ngrams")}
     for n in range(order - 1, 0, -1):
+        # Continuation counts: how many different characters precede.
+        high, low = tail(hi, lo, n)
+        grams[n] = cut(grams[n + 1].groupBy(high.alias("hi"), low.alias("lo")).agg(F.count(F.lit(1)).alias("c")), "ngrams")
+    symbols = grams[1].select("lo").distinct().count() + 1
+    model, lower = {0: symbols}, None
+    for n in range(1, order + 1):
+        d = discounts(grams[n])
+        # A context has at most as many rows as there are characters.
+        over = Window.partitionBy("ctx_hi", "ctx_lo")
+        by_count = lambda x: F.when(F.col("c") == 1, x[0]).when(F.col("c") == 2, x[1]).otherwise(x[2])
+        disc = F.when(hi.bitwiseAND(FOLD) == 0, by_count(d[0])).otherwise(by_count(d[1]))
+        high, low = context(hi, lo)
+        rows = grams[n].withColumns({"ctx_hi": high, "ctx_lo": low, "disc": disc})
+        rows = rows.select("hi", "lo", "ctx_hi", "ctx_lo", "c", ((F.col("c") - F.col("disc")) / F.sum("c").over(over)).alias("own"), (F.sum("disc").over(over) / F.sum("c").over(over)).alias("gamma"))
+        if n == 1:
+            rows = rows.withColumn("p", F.col("own") + F.col("gamma") / symbols)
+        else:
+            high, low = tail(hi, lo, n - 1)
+            suffix = lower.select(F.col("hi").alias("s_hi"), F.col("lo").alias("s_lo"), F.col("p").alias("low"))
+            rows = rows.withColumns({"s_hi": high, "s_lo": low}).join(suffix, ["s_hi", "s_lo"]).withColumn("p", F.col("own") + F.col("gamma") * F.col("low"))
+        lower = cut(rows.select("hi", "lo", "ctx_hi", "ctx_lo", "gamma", "p", "c"), "probabilities")
+        weights = lower.groupBy("ctx_hi", "ctx_lo").agg(F.first("gamma").alias("gamma")).withColumnsRenamed({"ctx_hi": "hi", "ctx_lo": "lo"})
+        model[n] = (lower.select("hi", "lo", "p", "c"), cut(weights, "weights"))
+    return model
+
+
+def probabilities(wanted: DataFrame, model: dict, n: int) -> DataFrame:
+    """hi, lo, p of distinct n-grams (hi, lo): interpolated where seen, else the context's weight times the probability of the n-gram without its first character."""
+    hi, lo = F.col("hi"), F.col("lo")
+    looked = cut(wanted.join(model[n][0].drop("c").hint("merge"), ["hi", "lo"], "left"), "looked")
+    seen, unseen = looked.where("p is not null"), looked.where("p is null").select("hi", "lo")
+    if unseen.isEmpty():
+        return seen
+    high, low = context(hi, lo)
+    ctx = model[n][1].select(F.col("hi").alias("ctx_hi"), F.col("lo").alias("ctx_lo"), "gamma")
+    unseen = unseen.withColumns({"ctx_hi": high, "ctx_lo": low}).join(ctx.hint("merge"), ["ctx_hi", "ctx_lo"], "left").select("hi", "lo", F.coalesce("gamma", F.lit(1.0)).alias("gamma"))
+    if n == 1:
+        return seen.union(unseen.select("hi", "lo", F.col("gamma") / model[0]))
+    high, low = tail(hi, lo, n - 1)
+    unseen = unseen.withColumns({"s_hi": high, "s_lo": low})
+    short = probabilities(unseen.select(F.col("s_hi").alias("hi"), F.col("s_lo").alias("lo")).distinct(), model, n - 1).select(F.col("hi").alias("s_hi"), F.col("lo").alias("s_lo"), "p")
+    return seen.union(unseen.join(short.hint("merge"), ["s_hi", "s_lo"]).select("hi", "lo", F.col("gamma") * F.col("p")))
+
+
+def local_probabilities(hi: np.ndarray, lo: np.ndarray, tables: dict, symbols: int, order: int) -> np.ndarray:
+    """As probabilities(), from tables that hold the whole model."""
+    p, found = tables[order, "p"].get(hi, lo)
+    left, weight = np.flatnonzero(~found), np.ones(int((~found).sum()))
+    h, o = hi[left], lo[left]
+    for n in range(order, 0, -1):
         if not len(left):
-            return np.log(p)
-        high = keys[left]
-        gamma, seen = tables[2 * n + 1].get(context(high, n + 1))
+            break
+        gamma, seen = tables[n, "gamma"].get(*context(h, o))
         weight = weight * np.where(seen, gamma, 1.0)
-        q, found = tables[2 * n].get(tail(high, n))
+        if n == 1:
+            p[left] = weight / symbols
+            break
+        h, o = tail(h, o, n - 1)
+        q, found = tables[n - 1, "p"].get(h, o)
         p[left[found]] = weight[found] * q[found]
-        left, weight = left[~found], weight[~found]
-    if len(left):
-        gamma, seen = tables[1].get(keys[left] & FOLD)
-        p[left] = weight * np.where(seen, gamma, 1.0) / (1 << BITS)
-    return np.log(np.maximum(p, 1e-30))
+        left, weight, h, o = left[~found], weight[~found], h[~found], o[~found]
+    return p
 
 
+def _collected(df: DataFrame, value: str) -> tuple:
+    rows = df.select("hi", "lo", value).toArrow()
+    return tuple(rows.column(i).to_numpy() for i in range(3))
+
+
+#: The tables of the model that a worker has built last.
 _TABLES: dict = {}
 
 
-def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """doc_id, lang, n_chars, perplexity by character of each row (null for a null or empty text).
+def _tables(shared, name: str) -> dict:
+    if name not in _TABLES:
+        _TABLES.clear()
+        _TABLES[name] = {k: Table(*v) for k, v in shared.value.items()}
+    return _TABLES[name]
 
-    One pass over the texts for each shard of the model, so what is broadcast has at most about
-    `shard_rows` rows beside the n-grams of one and two characters, whatever the corpus.
-    """
+
+def _packed(b: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(b)
+    return sink.getvalue().to_pybytes()
+
+
+def _sums(b: pa.RecordBatch, log: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    sums = np.diff(np.concatenate([[0.0], np.cumsum(log[at])])[np.concatenate([[0], np.cumsum(sizes)])])
+    return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(sizes), pa.array(sums)], ["doc_id", "lang", "n_chars", "total"])
+
+
+_SUMS = "doc_id long, lang string, n_chars long, total double"
+
+
+def perplexities(docs: DataFrame, model: dict, order: int = ORDER, chunk: int = CHUNK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, lang, n_chars, perplexity by character of each row (null for a null or empty text)."""
     spark = docs.sparkSession
     ship(spark)
-    shards = max(1, -(-model.where("spot is not null").count() // shard_rows))
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text", (1 - fold_of()).alias("fold"))
-    if shards > 1:
-        picked = picked.withColumn("row", F.monotonically_increasing_id())
-    else:
-        picked = picked.withColumn("row", F.lit(0).cast("long"))
-    found = None
-    for s in range(shards):
-        part = model.where(F.col("spot").isNull() | (F.pmod("spot", F.lit(shards)) == s)).select("kind", "key", F.col("value").cast("float").alias("value")).toArrow()
-        kinds, keys, values = (part.column(i).to_numpy() for i in range(3))
-        shared = spark.sparkContext.broadcast({k: (keys[kinds == k], values[kinds == k]) for k in range(1, 2 * order + 1)})
-
-        def run(batches, s=s, shared=shared, name=uuid.uuid4().hex):
-            if name not in _TABLES:
-                _TABLES.clear()
-                _TABLES[name] = {k: Lookup(*v) for k, v in shared.value.items()}
-            tables = _TABLES[name]
-            for whole in batches:
-                for b in slices(whole, "text", 2 << 20):
-                    keys, sizes = ngram_keys([t or "" for t in b.column("text").to_pylist()], order)
-                    keys |= np.repeat(b.column("fold").to_numpy(zero_copy_only=False).astype(np.int64) * FOLD, sizes)
-                    ends = np.concatenate([[0], np.cumsum(sizes)])
-                    logs = np.zeros(len(keys))
-                    mine = slice(None) if shards == 1 else np.flatnonzero(_shard_of(keys, shards) == s)
-                    logs[mine] = log_probabilities(keys[mine], tables, order)
-                    sums = np.diff(np.concatenate([[0.0], np.cumsum(logs)])[ends])
-                    yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("lang"), pa.array(sizes), pa.array(sums)], ["row", "doc_id", "lang", "n_chars", "total"])
-
-        got = picked.mapInArrow(run, "row long, doc_id long, lang string, n_chars long, total double")
-        found = got if found is None else found.union(got)
-    if shards > 1:
-        found = found.groupBy("row", "doc_id", "lang", "n_chars").agg(F.sum("total").alias("total"))
-    return found.select("doc_id", "lang", "n_chars", F.when(F.col("n_chars") > 0, F.exp(-F.col("total") / F.col("n_chars"))).alias("perplexity"))
 
+    def distinct(b: pa.RecordBatch):
+        return ngrams([t or "" for t in b.column("text").to_pylist()], b.column("fold").to_numpy(zero_copy_only=False), order)
+
+    rows = sum(df.count() for n in range(1, order + 1) for df in model[n])
+    name = uuid.uuid4().hex
+    if rows <= broadcast_rows:
+        held = {(n, kind): _collected(df, kind) for n in range(1, order + 1) for kind, df in zip(("p", "gamma"), model[n], strict=True)}
+        shared, symbols = spark.sparkContext.broadcast(held), model[0]
+
+        def whole_model(batches):
+            tables = _tables(shared, name)
+            for whole in batches:
+                for b in slices(whole, "text", chunk):
+                    hi, lo, _, at, sizes = distinct(b)
+                    yield _sums(b, np.log(np.maximum(local_probabilities(hi, lo, tables, symbols, order), 1e-300)), at, sizes)
 
-def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of the two characters before the last one, as Spark's xxhash64 of a long gives it."""
-    import xxhash
+        found = picked.mapInArrow(whole_model, _SUMS)
+    else:
+        top = model[order][0].orderBy(F.desc("c"), "hi", "lo").limit(broadcast_rows)
+        shared = spark.sparkContext.broadcast({"top": _collected(top, "p")})
 
-    pairs, inv = np.unique((keys >> BITS) & ((1 << (2 * BITS)) - 1), return_inverse=True)
-    own = np.array([xxhash.xxh64_intdigest(int(k).to_bytes(8, "little"), 42) for k in pairs], np.uint64).view(np.int64)
-    return np.mod(own, shards)[inv]
+        def pack(batches):
+            top_ = _tables(shared, name)["top"]
+            for whole in batches:
+                for b in slices(whole, "text", chunk):
+                    hi, lo, _, _, _ = distinct(b)
+                    ask = np.flatnonzero(~top_.get(hi, lo)[1])
+                    lists = [pa.array([x[ask]], pa.list_(pa.int64())) for x in (hi, lo)]
+                    yield pa.RecordBatch.from_arrays([pa.array([_packed(b)], pa.binary()), *lists], ["texts", "hi", "lo"])
+
+        # Numbers of chunks hold once they are written.
+        chunks = cut(picked.mapInArrow(pack, "texts binary, hi array<long>, lo array<long>").withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+        asked = chunks.select("chunk", F.posexplode(F.arrays_zip("hi", "lo")).alias("at", "g")).select("chunk", "at", "g.hi", "g.lo")
+        known = cut(probabilities(asked.select("hi", "lo").distinct(), model, order), "known").withColumn("p", F.log(F.greatest("p", F.lit(1e-300))).cast("float"))
+        back = asked.join(known.hint("merge"), ["hi", "lo"]).groupBy("chunk").agg(F.collect_list(F.struct("at", "p")).alias("logs"))
+        joined = chunks.select("chunk", "texts").join(back.hint("merge"), "chunk", "left").select("texts", "logs")
+
+        def score(batches):
+            top_ = _tables(shared, name)["top"]
+            for whole in batches:
+                for texts, logs in zip(whole.column("texts"), whole.column("logs"), strict=True):
+                    b = pa.ipc.open_stream(texts.as_py()).read_next_batch()
+                    hi, lo, _, at, sizes = distinct(b)
+                    p, common = top_.get(hi, lo)
+                    log, rest = np.log(np.maximum(p, 1e-300)), np.flatnonzero(~common)
+                    if logs.is_valid:
+                        log[rest[logs.values.field(0).to_numpy()]] = logs.values.field(1).to_numpy()
+                    yield _sums(b, log, at, sizes)
+
+        found = joined.mapInArrow(score, _SUMS)
+    return found.select("doc_id", "lang", "n_chars", F.when(F.col("n_chars") > 0, F.exp(-F.col("total") / F.col("n_chars"))).alias("perplexity"))
 
 
 def thresholds(scored: DataFrame, low: float = LOW, high: float = HIGH, margin: float = MARGIN) -> DataFrame:
@@ -327,4 +420,5 @@ def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, **params) ->
 
 
 def op9_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: language, characters, perplexity by the other fold's trusted text, its language's bounds, and whether it is kept."""
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
