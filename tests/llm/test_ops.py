@@ -79,9 +79,9 @@ def test_minhash_large_nodes_and_tiles(spark):
     assert got == brute(rows, 4)
 
 
-def test_minhash_groups_with_outsiders(spark, monkeypatch):
-    """Chains of edits leave members whose links lead to no pivot; small tiles must still join them."""
-    monkeypatch.setattr(minhash_dedup, "CHUNK", 4)
+@pytest.mark.parametrize("tile", [minhash_dedup.TILE, 400])
+def test_minhash_groups_with_outsiders(spark, tile):
+    """Chains of edits leave members whose links lead to no pivot; whole groups, and small tiles of them, must still join them."""
     rng, rows, words = np.random.default_rng(5), [], [f"v{i}" for i in range(80)]
     for i in range(60):
         rows.append((i, " ".join(words)))
@@ -89,10 +89,23 @@ def test_minhash_groups_with_outsiders(spark, monkeypatch):
         if i % 5 == 0:
             words[int(rng.integers(80))] = f"m{i}"
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.minhash_dedup(df, 4).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.minhash_dedup(df, 4, tile=tile).collect()}
     assert got == brute(rows, 4)
 
 
+def test_intersections_of_few_and_many():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 300 if i % 2 else 90, 60).astype(np.uint64)) for i in range(90)] + [np.array([10**6], np.uint64)]
+    assert (minhash_dedup.intersections(sets) == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]).all()
+
+
+def test_minhash_one_id_with_two_texts(spark):
+    a, b = "a b c d e f g h i j k l", "m n o p q r s t u v w x"
+    df = spark.createDataFrame([(7, a), (7, b), (3, a), (9, b), (5, "alone in here as it is")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash_dedup.minhash_dedup(df, 4).collect())
+    assert got == [(3, 3, True), (5, 5, True), (7, 3, False), (7, 7, True), (9, 7, False)]
+
+
 def test_minhash_edges(edge, empty):
     got = [(r.doc_id, r.component_id, r.kept) for r in minhash_dedup.minhash_dedup(edge, 4).collect()]
     assert len(got) == len(EDGE)
@@ -112,12 +125,34 @@ def test_embeddings_equal_brute_force(spark):
     for _ in rows:
         comp = {i: min([comp[i], *(comp[j] for j in near.get(i, ()))]) for i in comp}
     want = {i: (len(near.get(i, ())), comp[i]) for i, _, _ in rows}
-    for params in ({}, {"cell": 16, "block": 10}):
+    for params in ({}, {"cell": 16, "block": 10}, {"cell": 8, "block": 400}):
         got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_dedup(df, **params).collect()}
         assert got == want
     assert embedding_dedup.embedding_dedup(df.limit(0)).collect() == []
 
 
+def test_embedding_cells_and_stripes(spark, monkeypatch):
+    """Clustered vectors in cells, several stripes of a tile, null ids and components, repeated rows, clashing columns and a tie at the threshold."""
+    monkeypatch.setattr(embedding_dedup, "STRIPE", 7)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(6, 16)) * 3
+    rows = [(i, (base[i % 6] + rng.normal(size=16) * (0.9 if i % 4 else 0.2)).tolist(), 1) for i in range(240)]
+    rows += [(300, [3.0, 4.0] + [0.0] * 14, 2), (301, [1.0, 0.0] + [0.0] * 14, 2), (302, [None, 1.0] + [0.0] * 14, 2), (5, rows[5][1], 1), (None, rows[5][1], 1)]
+    df = spark.createDataFrame([(*r, 9, 9) for r in rows], "vec_id long, embedding array<double>, label int, rep int, unit int")
+    for threshold in (0.93, 0.6):
+        ok = [(k, i, np.array(v) / np.linalg.norm(v), lab) for k, (i, v, lab) in enumerate(rows) if None not in v and i is not None]
+        at = lambda v, w: v @ w >= threshold or abs(v @ w - threshold) < 1e-15  # noqa: B023, E731
+        near = {k: [j for j, _, w, b in ok if j != k and a == b and at(v, w)] for k, _, v, a in ok}
+        comp = {k: i for k, (i, _, _) in enumerate(rows)}
+        for _ in range(40):
+            comp = {k: min([c, *(comp[j] for j in near.get(k, ()))]) if c is not None else None for k, c in comp.items()}
+        want = sorted((i, len(near.get(k, ())), comp[k]) for k, (i, _, _) in enumerate(rows) if i is not None)
+        for cell in (1024, 24):
+            got = [(r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.embedding_dedup(df, threshold, cell=cell).collect()]
+            assert sorted(g for g in got if g[0] is not None) == want
+            assert (None, 0, None) in got
+
+
 def test_quality_rules_edges(edge, empty):
     got = {r.doc_id: r for r in quality_rules.quality_rules(edge).collect()}
     assert got[3].n_words == 0 and got[3].base_failed and not got[3].kept
@@ -126,10 +161,53 @@ def test_quality_rules_edges(edge, empty):
     assert quality_rules.quality_rules(empty).collect() == []
 
 
+def sql_rows(sql, rows):
+    """What DuckDB gives for (doc_id, text) rows as the table documents."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    cur = con.execute(sql)
+    return [c[0] for c in cur.description], sorted(cur.fetchall(), key=repr)
+
+
+def test_quality_rules_equal_sql(spark, docs):
+    """Ties of commonest n-grams, short texts with one repeated pair, texts at lengths where windows just fit, repeated lines, very long texts."""
+    rng = np.random.default_rng(2)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    rows += [(10_000 + i, " ".join(f"{'abcdefgh'[int(x)]}" * (1 + i % 3) for x in rng.integers(0, 3 + i % 5, 3 + i))) for i in range(60)]
+    rows += [(20_000, "cheap pills A cheap pills B cheap pills C cheap pills D and more words to come"), (20_001, "x y x y z w z w a b c d e f"), (20_002, None), (20_003, ""), (20_004, " \n\t "), (20_005, LONG)]
+    rows += [(20_006, "same line\nsame line\nother\nsame line \n\n# * $"), (20_007, "a\x0bb a\x0bb ß漢 ß漢"), (20_008, " ".join(f"w{i}" for i in range(99))), (20_009, " ".join(["in fact"] * 3 + [f"w{i}" for i in range(95)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    names, want = sql_rows(quality_rules.OP4_SQL, rows)
+    got = quality_rules.quality_rules(df).select(*names).collect()
+    assert sorted(map(tuple, got), key=repr) == want
+
+
+def test_license_scan_equals_sql(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(10_000 + i, t) for i, (_, t) in enumerate(license_scan.TEMPLATES.values())]
+    mit = license_scan.TEMPLATES["mit-text"][1]
+    comment = "\n".join([" * Copyright (c) 2020 Some One", " *", *(f" * {mit[i : i + 70]}" for i in range(0, len(mit), 70)), " */", "int main() {}"])
+    inside = "Some prose before it. This project is licensed under the terms of the MIT license. More prose follows here, on the same line, for a while."
+    rows += [(20_010, comment), (20_011, inside), (20_012, inside + "\n" + comment), (20_013, "all rights reserved all rights reserved"), (20_014, "漢字 All ß rights reserved. é")]
+    rows += [(20_000, None), (20_001, ""), (20_002, "MIT"), (20_003, LONG), (20_004, "All rights reserved.\nReleased under the MIT License.\n\nall RIGHTS reserved"), (20_005, "Licensed under the MIT License. ß")]
+    names, want = sql_rows(license_scan.OP1_SQL, rows)
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, matches int")
+    got = license_scan.scan_result(license_scan.license_matches(df)).select(*names).collect()
+    assert sorted(map(tuple, got), key=repr) == want
+    found = {r.doc_id: r for r in got}
+    assert found[20_010].license == "MIT" and found[20_010].n_windows > 0
+    assert "mit-text" in {m.template for r in license_scan.license_matches(df.where("doc_id = 20010")).collect() for m in r.matches}
+    assert found[20_011].template == "mit-project" and found[20_011].dice == 1.0 and found[20_011].n_matches == 0
+    spans = {r.doc_id: r.matches for r in license_scan.license_matches(df.where("doc_id = 20011")).collect()}[20_011]
+    assert [inside[m.start : m.end] for m in spans if m.template == "mit-project"] == ["This project is licensed under the terms of the MIT license"]
+
+
 def test_license_scan_edges(spark, empty):
     df = spark.createDataFrame([(1, "Some prose that goes on for a good while before the notice comes.\nReleased under the MIT License."), (2, None), (3, "mit"), (4, "All Rights Reserved")], "doc_id long, text string")
     got = {r.doc_id: [(m.unit, m.license) for m in r.matches] for r in license_scan.license_matches(df).collect()}
-    assert got == {1: [("line", "MIT")], 2: [], 3: [], 4: [("line", "Proprietary")]}
+    assert got == {1: [("line", "MIT"), ("window", "MIT"), ("window", "MIT")], 2: [], 3: [], 4: [("line", "Proprietary"), ("window", "Proprietary")]}
     assert license_scan.license_matches(empty).collect() == []
 
 
@@ -168,6 +246,32 @@ def test_automaton_numbers_words():
         assert x["final"][state] and value == i
 
 
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "other"])
+def test_encoder_equals_the_library(file, tmp_path):
+    """Random texts of contractions, spaces, letters, numerals and uncommon characters; a tokenizer of another kind is not taken apart."""
+    import json
+    import random
+
+    import pyarrow as pa
+
+    path = bpe.DEFAULT_TOKENIZER
+    if file == "other":
+        rules = json.load(open(path))
+        rules["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}
+        path = str(tmp_path / "other.json")
+        json.dump(rules, open(path, "w"))
+    e, rng = token_store.LibraryEncoder(path), random.Random(4)
+    assert e.parted == (file != "other")
+    common = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'l", "'", "'S", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x00", "a", "Don", "7", "42", ".", "!", "é", "×", "÷", "ª", "º", "µ", "«", "Ā", "ɏ", "_", "<", "don't"]
+    rare = ["<|", "<|endoftext|>", "½", "²", "\xa0", "\x85", "\u2003", "漢", "ɐ", "\x1c", "😀"]
+    for few in (common, common + rare):
+        texts = ["".join(rng.choice(few) for _ in range(rng.choice([0, 1, 2, 3, 5, 9, 20]))) for _ in range(1500)]
+        ids, many = e(pa.array(texts))
+        ends = many.cumsum()
+        want = [x.ids for x in e.tok.encode_batch(texts, add_special_tokens=False)]
+        assert [ids[b - n : b].tolist() for n, b in zip(many.tolist(), ends.tolist(), strict=True)] == want
+
+
 def test_repair_leaves_no_frequent_pair():
     rng = np.random.default_rng(8)
     for base, size in ((50257, 700), (65530, 700), (4, 1)):
@@ -176,7 +280,7 @@ def test_repair_leaves_no_frequent_pair():
         rules, seq, ends = token_store.repair(ids, last, base)
         lengths = token_store.lengths_of(rules, base)
         assert (token_store.expand(seq, rules, lengths, base) == ids).all()
-        pairs = np.stack([seq[:-1], seq[1:]])[:, ~ends[:-1]]
+        pairs = np.stack([seq[:-1], seq[1:]])[:, ~ends[:-1] & (seq[:-1] != seq[1:])]
         assert not pairs.size or np.unique(pairs, axis=1, return_counts=True)[1].max() < token_store.LEAST
         assert lengths.max() > 8
 
@@ -185,7 +289,7 @@ def test_token_store_round_trip(spark, edge, empty, tmp_path):
     _, want = library([r[1] for r in EDGE])
     order = sorted(range(len(EDGE)), key=lambda i: (EDGE[i][0] is not None, EDGE[i][0] or 0))
     path = f"file://{tmp_path}/tokens"
-    token_store.write_tokens(edge, path, shard_ids=50, rounds=3, least=2)
+    token_store.write_tokens(edge, path, shard_ids=50)
     got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_store.read_tokens(spark, path).collect()), key=lambda r: r[1])
     start = 0
     for i, r in zip(order, got, strict=True):
@@ -193,7 +297,7 @@ def test_token_store_round_trip(spark, edge, empty, tmp_path):
         assert r == (EDGE[i][0], start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     ids = [np.array([*x, 2], np.uint32) for x in want]
-    shard = token_store.make_shard(0, 0, list(range(len(ids))), [x.tobytes() for x in ids], 50257, least=2)
+    shard = token_store.make_shard(0, 0, list(range(len(ids))), np.concatenate(ids), np.array(list(map(len, ids))), 50257)
     for k, x in enumerate(ids):
         for lo, hi in ((0, None), (1, 5), (len(x) // 2, len(x))):
             assert token_store.decode_range(shard, k, lo, hi).tolist() == x[lo:hi].tolist()
@@ -212,6 +316,58 @@ def test_language_id_held_out_accuracy(spark, docs, edge, empty):
     assert language_id.identify(empty, language_id.fit(empty)).collect() == []
 
 
+def test_language_id_equals_brute_force(spark, docs):
+    """Each text's sums over all segmentations, term by term, give the same language and score; numerals are no letters; runs without spaces take part in the fit."""
+    import math
+
+    import regex
+
+    rows = [(r.doc_id, r.text[:600], r.lang) for r in docs.where("text is not null").limit(24).collect()]
+    rows += [(900, "½ ② ² 12", "es"), (901, "漢字仮名交文" * 9, "ja"), (902, "かなばかりのながいぶんしょう" * 4, "ja"), (903, "Łódź ǅ x", "pl"), (904, "  ", "pl"), (905, None, "pl"), (906, "x" * 70, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    assert {"ja", "pl"} <= set(model.languages) and model.prob.shape[1] == len(model.languages)
+    vocabulary = language_id.pieces(model.path)
+    longest = max(map(len, vocabulary))
+    known = {}
+
+    def sums(word):
+        if word not in known:
+            total = [[1.0] * len(model.languages)]
+            for e in range(1, len(word) + 1):
+                here = [0.0] * len(model.languages)
+                for s in range(max(0, e - longest), e):
+                    p = vocabulary.get(word[s:e])
+                    each = model.prob[p] if p is not None else [language_id.UNKNOWN * (e - s == 1)] * len(here)
+                    here = [h + total[s][k] * float(each[k]) for k, h in enumerate(here)]
+                total.append(here)
+            known[word] = [math.log(x) for x in total[-1]]
+        return known[word]
+
+    for r in language_id.identify(df, model).collect():
+        words = regex.findall(r"\p{L}+", ((dict((x[0], x[1]) for x in rows)[r.doc_id]) or "").lower())
+        if not words:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        logs = [sum(sums("▁" + w)[k] for w in words) for k in range(len(model.languages))]
+        top = max(logs)
+        assert model.languages[logs.index(top)] == r.lang_pred
+        assert abs(r.score - 1 / sum(math.exp(x - top) for x in logs)) < 1e-6
+    found = {r.doc_id: r.lang_pred for r in language_id.identify(df, model).collect()}
+    assert found[900] == found[904] == found[905] == "und"
+
+
+def test_language_blocks_agree(monkeypatch):
+    from collections import Counter
+
+    counts = [Counter({"haus": 3, "und": 5}), Counter({"house": 3, "and": 4}), Counter({"casa": 2})]
+    whole = language_id.Model(["a", "b", "c"], language_id.fit_pieces(counts))
+    logs = whole.log_words(["haus", "and", "x" * 40])
+    monkeypatch.setattr(language_id, "BLOCK", 2)
+    parts = language_id.Model(["a", "b", "c"], language_id.fit_pieces(counts))
+    assert np.allclose(whole.prob, parts.prob) and np.allclose(logs, parts.log_words(["haus", "and", "x" * 40]))
+
+
 def test_forward_sums_all_segmentations():
     vocabulary = {"a": 0, "b": 1, "ab": 2}
     prob = np.array([[0.5], [0.2], [0.3]])
@@ -236,29 +392,128 @@ def test_toxicity_finds_marked_documents(spark, docs, labels, edge, empty):
     assert sum(got[i] for i, t in known.items() if not t) == 0
     assert len(toxicity.toxicity(edge, labels).collect()) == len(EDGE)
     assert toxicity.toxicity(empty, labels).collect() == []
+    assert toxicity.toxicity(edge, labels.limit(0)).where("rejected").isEmpty()
 
 
-def test_kneser_ney_probabilities_sum_to_one(spark):
-    df = spark.createDataFrame([("abracadabra abba", 0), ("banana band", 0)], "text string, fold int")
-    model = kneser_ney.train(df, 3)
-    p = {(r.kind, r.key): r.value for r in model.collect()}
-    keys = {k: (np.array([a for (kind, a) in p if kind == k], np.int64), np.array([p[x] for x in p if x[0] == k], np.float32)) for k in range(1, 7)}
-    tables = {k: kneser_ney.Lookup(*v) for k, v in keys.items()}
-    for ctx in ("ab", "zz", "an"):
-        a, b = map(ord, ctx)
-        every = (np.int64(a) << 24) | (np.int64(b) << 12) | np.arange(1 << 12)
-        assert abs(np.exp(kneser_ney.log_probabilities(every, tables, 3)).sum() - 1) < 1e-3
-
-
-def test_kneser_ney_shards_agree(spark, docs, labels, edge, empty):
-    texts = docs.join(labels.where("quality = 1"), "doc_id", "left_semi").withColumn("fold", kneser_ney.fold_of())
-    model = kneser_ney.train(texts, 4)
-    one = {r.doc_id: r.perplexity for r in kneser_ney.perplexities(docs, model, 4).collect()}
-    many = {r.doc_id: r.perplexity for r in kneser_ney.perplexities(docs, model, 4, shard_rows=9000).collect()}
-    assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-6 * one[k] for k in one)
-    got = {r.doc_id: r for r in kneser_ney.quality(edge, labels).collect()}
+def test_toxicity_catches_labelled_and_unlabelled(spark):
+    """Toxic texts are caught whether labelled or not, clean ones stay; grades follow the labels; clashing columns stay as they are."""
+    rng = np.random.default_rng(6)
+    words, bad = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)], ["zork", "blarg", "quux"]
+    rows, marks = [], []
+    for i in range(500):
+        own = [words[int(k)] for k in rng.integers(0, 200, 30)]
+        toxic = i % 5 == 0
+        if toxic:
+            own[i % 14], own[15 + i % 14] = bad[i // 5 % 3], bad[(i // 5 + 1) % 3]
+        rows.append((i, " ".join(own), "x", 7))
+        marks.append((i, int(i % 3 > 0), int(toxic)))
+    df = spark.createDataFrame([*rows, (None, "zork blarg", "x", 7)], "doc_id long, text string, severity string, _grade int")
+    labels_ = spark.createDataFrame([m for m in marks if m[0] < 250] + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(df, labels_).collect()}
+    assert {i for i, r in got.items() if r.rejected} == {None, *(i for i in range(500) if i % 5 == 0)}
+    assert all(0 <= r.severity <= 2 and r.grade in (0, 1, 2) for r in got.values())
+    kept = toxicity.keep_harmless(df, labels_)
+    assert kept.columns == df.columns and kept.count() == 400 and kept.where("severity <> 'x' or _grade <> 7").isEmpty()
+    levels = spark.createDataFrame([(1, 0), (1, 0), (2, 1), (3, 0), (3, 1), (3, 1), (4, 2), (5, 1), (5, 2)], "k int, level int").groupBy("k").agg(toxicity.graded().alias("g"))
+    assert sorted(map(tuple, levels.collect())) == [(1, 0), (2, 2), (3, 1), (4, 4), (5, 3)]
+
+
+def test_toxicity_recall_of_labels(spark):
+    """Of labelled toxic rows most are caught, though some labels are wrong; of the others none is."""
+    d = D.replace("0.001", "0.01")
+    marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    got = {r.doc_id: r.rejected for r in toxicity.op8_toxicity(spark, d).collect()}
+    assert sum(got[i] for i, t in marks.items() if t) >= 0.7 * sum(marks.values())
+    assert sum(got[i] for i, t in marks.items() if not t) <= 0.01 * len(marks)
+
+
+class BruteKneserNey:
+    """Interpolated modified Kneser-Ney over characters, by plain counting."""
+
+    def __init__(self, texts, order, symbols):
+        self.symbols = symbols
+        from collections import Counter, defaultdict
+
+        self.order, grams = order, {order: Counter()}
+        for t in texts:
+            padded = [-1] * (order - 1) + [ord(c) for c in t]
+            grams[order].update(tuple(padded[i : i + order]) for i in range(len(t)))
+        for n in range(order - 1, 0, -1):
+            grams[n] = Counter(g[1:] for g in grams[n + 1])
+        self.grams, self.total, self.disc, self.kinds = grams, defaultdict(Counter), {}, {}
+        for n, c in grams.items():
+            many = Counter(c.values())
+            n1, n2, n3, n4 = (many[i] for i in (1, 2, 3, 4))
+            d = [0.5, 0.75, 0.9]
+            if n1 and n2:
+                y = n1 / (n1 + 2 * n2)
+                d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 2.0]
+                d = [min(max(x, 0.05), k - 0.05) for x, k in zip(d, (1, 2, 3), strict=True)]
+            self.disc[n] = lambda k, d=d: d[min(k, 3) - 1]
+            self.kinds[n] = Counter()
+            for g, k in c.items():
+                self.total[n][g[:-1]] += k
+                self.kinds[n][g[:-1]] += self.disc[n](k)
+
+    def p(self, g):
+        if not g:
+            return 1 / self.symbols
+        n, ctx = len(g), g[:-1]
+        if not self.total[n][ctx]:
+            return self.p(g[1:])
+        k = self.grams[n][g]
+        return (k - self.disc[n](k) if k else 0) / self.total[n][ctx] + self.kinds[n][ctx] / self.total[n][ctx] * self.p(g[1:])
+
+    def perplexity(self, t):
+        padded = [-1] * (self.order - 1) + [ord(c) for c in t or ""]
+        return float(np.exp(-np.mean([np.log(self.p(tuple(padded[i : i + self.order]))) for i in range(len(t))]))) if t else None
+
+
+@pytest.mark.parametrize("order", [5, 3])
+def test_kneser_ney_equals_brute_force(spark, order):
+    """All characters of Unicode are told apart; chunks of any size, null and empty texts, rows of one id, null ids."""
+    rng = np.random.default_rng(12)
+    words = "river house ñandú 漢字 仮名 한국 😀 the and with\x00nul ￿".split()
+    rows = [(i, " ".join(rng.choice(words, int(rng.integers(1, 30))))) for i in range(60)] + [(60, None), (61, ""), (62, "漢漢字字"), (5, "another text of five"), (None, "no id 漢"), (63, "ξένο κείμενο")]
+    df = spark.createDataFrame([(*r, None, 1, 2) for r in rows], "doc_id long, text string, lang string, hi int, p int")
+    folds = {r.doc_id: r.fold for r in df.select("doc_id", kneser_ney.fold_of().alias("fold")).collect()}
+    model = kneser_ney.train(df.withColumn("fold", kneser_ney.fold_of()).where("doc_id < 40"), order)
+    trusted = [[t for i, t in rows if i is not None and i < 40 and t and folds[i] == f] for f in (0, 1)]
+    known = {c for ts in trusted for t in ts for c in t}
+    brute = [BruteKneserNey(ts, order, len(known) + 1) for ts in trusted]
+    want = sorted(((i or -1, brute[1 - folds[i]].perplexity(t)) for i, t in rows), key=repr)
+    assert model[0] == len(known) + 1
+    assert abs(sum(brute[0].p((ord("r"), c)) for c in [-9, *map(ord, known)]) - 1) < 1e-6
+    for chunk, most in ((kneser_ney.CHUNK, 10**6), (300, 10**6), (kneser_ney.CHUNK, 0), (300, 40)):
+        got = sorted(((r.doc_id or -1, r.perplexity) for r in kneser_ney.perplexities(df, model, order, chunk, most).collect()), key=repr)
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert all((g is None) == (w is None) and (g is None or abs(g - w) < 1e-4 * w) for (_, g), (_, w) in zip(got, want, strict=True))
+
+
+def test_ngrams_of_many_characters():
+    """Over 4,096 different characters numbers are ranks; keys are the same."""
+    rng = np.random.default_rng(1)
+    wide = "".join(chr(int(c)) for c in rng.integers(0x4E00, 0x9000, 9000))
+    for texts in ([wide, "ab\x00", "", wide[:50]], ["abc", "", "bca" * 50]):
+        for order in (5, 4, 3, 2):
+            hi, lo, counts, at, sizes = kneser_ney.ngrams(texts, np.array([1, 0, 1, 0][: len(texts)]), order)
+            assert sizes.tolist() == list(map(len, texts)) and (np.bincount(at) == counts).all()
+            want = []
+            for fold, t in zip((1, 0, 1, 0), texts, strict=False):
+                padded = [kneser_ney.START] * (order - 1) + [ord(c) for c in t]
+                want += [(fold, *padded[i : i + order]) for i in range(len(t))]
+            got = [(hi[i] >> 42, *[(int(hi[i]) >> (21 * k)) & kneser_ney.CHAR for k in range(order - 4, -1, -1)], *[(int(lo[i]) >> (21 * k)) & kneser_ney.CHAR for k in range(min(order, 3) - 1, -1, -1)]) for i in at]
+            assert got == want and len(set(want)) == len(hi)
+
+
+def test_quality_edges(edge, empty, labels, spark):
+    rows = kneser_ney.quality(edge, labels).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == len(EDGE) and [r.doc_id for r in rows].count(6) == 2
     assert got[3].perplexity is None and not got[3].kept and not got[4].kept
     assert kneser_ney.quality(empty, labels).collect() == []
+    # Without trusted text everything with text is kept.
+    assert {r.doc_id for r in kneser_ney.quality(edge, labels.limit(0)).where("kept").collect()} == {i for i, t, _, _ in EDGE if t}
 
 
 def test_quality_bounds_of_rare_languages(spark):
@@ -302,6 +557,61 @@ def test_mixing_meets_targets(spark, docs, edge, empty):
     assert mixing.mix(empty).collect() == []
 
 
+def filled(sizes):
+    """Targets by turns of sharing: sources by code point, null last, weigh 1, 2, 3 in turn; who is above three times its words stops there."""
+    order = sorted(sizes, key=lambda x: (x is None, (x or "").encode("utf-32-be")))
+    weight = {x: 1 + i % 3 for i, x in enumerate(order)}
+    target, left = {}, set(order)
+    while left:
+        rest = sum(sizes.values()) - sum(target.values())
+        share = {x: rest * weight[x] / sum(weight[y] for y in left) for x in left}
+        above = [x for x in left if share[x] >= 3 * sizes[x]]
+        if not above:
+            return target | share
+        target |= {x: 3 * sizes[x] for x in above}
+        left -= set(above)
+    return target
+
+
+def test_mixing_equals_brute_force_targets(spark):
+    """Sources that stop one after another, an empty one, one of null and one beyond the basic plane; rows of one id, of none, and equal rows."""
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 40))), s) for s, n in (("a", 3), ("b", 60), ("c", 9), ("\uffff", 40), ("\U0001f600", 25), ("z", 2), (None, 30)) for i in range(n)]
+    rows += [(1, None, "e"), (2, "", "e"), *[(7, "same words here", "b")] * 400, *[(None, "no id", "b")] * 90, (8, "one id", "b"), (8, "two texts now", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "5 AS size")
+    got = mixing.mix(df, bucket=16, fan=3).collect()
+    words = lambda t: len((t or "").split())
+    sizes = {s: sum(words(t) for _, t, x in rows if x == s) for s in {r[2] for r in rows}}
+    want = filled(sizes)
+    assert sorted((r.doc_id or -1, r.source or "", r.size) for r in got) == sorted((i or -1, s or "", words(t)) for i, t, s in rows)
+    for s in sizes:
+        own = [r for r in got if r.source == s]
+        assert all(abs(r.target - want[s]) < 1e-6 and r.source_size == sizes[s] and 0 <= r.copies <= 3 for r in own)
+        assert abs(sum(r.copies * r.size for r in own) - want[s]) <= max(r.size for r in own)
+    # The documents come back as often as the plan takes them, with their own columns.
+    out = mixing.mixed_documents(df, bucket=16, fan=3)
+    assert out.columns == df.columns
+    from collections import Counter
+
+    plan = Counter()
+    for r in got:
+        plan[r.doc_id, r.source, r.size] += r.copies
+    taken = Counter((r.doc_id, r.source, words(r.text)) for r in out.collect())
+    assert +plan == taken
+
+
+def test_mixing_many_rows_of_one_id(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(50_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("three words here").alias("text"), F.when(F.col("id") % 3 > 0, "a").otherwise("b").alias("source"))
+    rows = mixing.numbered(mixing.sized(df), block=1000)
+    assert rows.count() == 50_000 and rows.select("row_hash", "again").distinct().count() == 50_000
+    m = mixing.mix(df)
+    assert m.count() == 50_000
+    off = m.groupBy("source").agg(F.abs(F.sum(F.col("copies") * F.col("size")) - F.first("target")).alias("off"))
+    assert off.agg(F.max("off")).first()[0] <= 3
+
+
 def test_pipeline_runs_and_filters(spark, docs, labels):
     import corpus_pipeline
 
@@ -312,3 +622,34 @@ def test_pipeline_runs_and_filters(spark, docs, labels):
         kept = stage(spark, kept, D)
         assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(r.doc_id for r in out.collect())
+
+
+def test_pipeline_edges(spark, docs, labels, empty, tmp_path):
+    """Nulls in any column, empty and repeated rows, one id with two texts, clashing columns, an empty table."""
+    import corpus_pipeline
+
+    d = f"{tmp_path}/sf"
+    base = docs.where("text is not null and length(text) > 200").orderBy("doc_id").limit(60)
+    rows = base.collect()
+    odd = [(90_000, None, None, None, None), (90_001, "", "en", "a", 0), (90_002, rows[0].text, None, None, None), (None, rows[1].text, "en", "a", 1), (rows[2].doc_id, rows[2].text, rows[2].lang, rows[2].source, rows[2].n_chars)]
+    more = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long")
+    table_ = base.select("doc_id", "text", "lang", "source", "n_chars").union(more).selectExpr("*", "1 AS _row", "2 AS _gone", "'x' AS severity", "3 AS mix_n")
+    table_.write.parquet(f"{d}/documents.parquet")
+    labels.write.parquet(f"{d}/labels.parquet")
+    left = spark.read.parquet(f"{d}/documents.parquet")
+    names = left.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, d)
+        assert left.columns == names
+        if name == "minhash":
+            got = left.collect()
+            texts = [r.text for r in got]
+            # Copies are gone but for one, and only rows without an id may repeat a text.
+            assert all(texts.count(t) == 1 for t in {r.text for r in got if r.doc_id is not None} if t != rows[1].text)
+            assert all(r._row == 1 and r._gone == 2 and r.severity == "x" and r.mix_n == 3 for r in got)
+    out = corpus_pipeline.run(spark, d)
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 20
+    e = f"{tmp_path}/none"
+    docs.limit(0).write.parquet(f"{e}/documents.parquet")
+    labels.limit(0).write.parquet(f"{e}/labels.parquet")
+    assert corpus_pipeline.run(spark, e).collect() == []
