@@ -76,3 +76,32 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
             start, total = i, 0
         total += s
     yield batch.slice(start, n - start)
+
+
+def vectors_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a column of lists of doubles: which rows hold a vector of finite numbers, their lengths, and all rows' places (offsets) in the flat values that `gathered` reads.
+
+    Null and empty lists and lists with a null, NaN or infinite entry hold no vector.
+    """
+    if len(column) == 0:
+        return np.empty(0, bool), np.empty(0, np.int64), np.empty(0, np.int64)
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    flat = column.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    bad = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
+    sizes = np.diff(offsets)
+    there = np.ones(len(column), bool) if column.null_count == 0 else column.is_valid().to_numpy(zero_copy_only=False)
+    return there & (sizes > 0) & (bad[offsets[1:]] == bad[offsets[:-1]]), sizes, offsets[:-1]
+
+
+def gathered(column: pa.Array, starts: np.ndarray, dim: int) -> np.ndarray:
+    """The vectors of `dim` entries that begin at these places of a column's flat values, as a matrix."""
+    flat = column.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return flat[starts[:, None] + np.arange(dim)] if len(starts) else np.empty((0, dim))
+
+
+def binaries(matrix: np.ndarray) -> pa.Array:
+    """The rows of a matrix as a column of bytes."""
+    matrix = np.ascontiguousarray(matrix)
+    width = matrix.shape[1] * matrix.itemsize
+    offsets = (np.arange(len(matrix) + 1, dtype=np.int64) * width).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(matrix), [None, pa.py_buffer(offsets), pa.py_buffer(matrix.tobytes())]).cast(pa.binary())

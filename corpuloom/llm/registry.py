@@ -12,6 +12,7 @@ from corpuloom.llm.mixing import op10_mixing
 from corpuloom.llm.quality_rules import OP4_SQL, op4_quality_rules
 from corpuloom.llm.token_store import op5_token_store
 from corpuloom.llm.toxicity import op8_toxicity
+from corpuloom.llm.whitening import op11_whitening
 
 
 def queries() -> dict:
@@ -26,6 +27,7 @@ def queries() -> dict:
         op8_toxicity,
         op9_quality_lm,
         op10_mixing,
+        op11_whitening,
     )
     return {f.__name__: f for f in ops}
 
