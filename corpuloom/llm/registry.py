@@ -10,6 +10,7 @@ from corpuloom.llm.license_scan import OP1_SQL, op1_license_scan
 from corpuloom.llm.minhash_dedup import op3_minhash_dedup
 from corpuloom.llm.mixing import op10_mixing
 from corpuloom.llm.quality_rules import OP4_SQL, op4_quality_rules
+from corpuloom.llm.spelling import OP12_SQL, op12_spelling_variants
 from corpuloom.llm.token_store import op5_token_store
 from corpuloom.llm.toxicity import op8_toxicity
 from corpuloom.llm.whitening import op11_whitening
@@ -28,9 +29,10 @@ def queries() -> dict:
         op9_quality_lm,
         op10_mixing,
         op11_whitening,
+        op12_spelling_variants,
     )
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict:
-    return {"op1_license_scan": OP1_SQL, "op4_quality_rules": OP4_SQL}
+    return {"op1_license_scan": OP1_SQL, "op4_quality_rules": OP4_SQL, "op12_spelling_variants": OP12_SQL}

@@ -197,7 +197,7 @@ def _intersect(shared):
     def run(batches):
         tries = [Trie(words, np.array(n)) for words, n in shared.value]
         for b in batches:
-            words = b.column("word").to_pylist()
+            words = sorted(b.column("word").to_pylist())
             at = 0
             while at < len(words):
                 to, size = at, 0
@@ -220,13 +220,13 @@ def _intersect(shared):
 def neighbours(words: DataFrame, shard: int = SHARD_CHARS, wave: int = WAVE_CHARS) -> DataFrame:
     """word, n_near, form_n, form: of each word that has others at distance one, how many, and the one of largest n (ties: smallest).
 
-    words: word, n, distinct. The driver holds the words of one wave of shards at a time, `wave` code points or one shard.
+    words: word, n, distinct; a table, since each wave reads it again. The driver holds the words of one wave of shards at a time, `wave` code points or one shard.
     """
     spark = words.sparkSession
     ship(spark)
-    n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    held = cut(words.repartitionByRange(n_parts, "word").sortWithinPartitions("word"), "words")
-    shards = cut(held.coalesce(max(1, n_parts // 4)).mapInArrow(_shards(shard), "chars long, words array<string>, counts array<long>"), "shards")
+    chars = words.agg(F.sum(F.length("word"))).first()[0] or 0
+    ordered = words.repartitionByRange(max(1, -(-chars // shard)), "word").sortWithinPartitions("word")
+    shards = cut(ordered.mapInArrow(_shards(shard), "chars long, words array<string>, counts array<long>"), "shards")
     # Which shards make up a wave is told from their sizes alone.
     sizes = shards.select(F.element_at("words", 1).alias("first"), "chars").orderBy("first").toLocalIterator()
     waves: list[list] = []
@@ -241,7 +241,7 @@ def neighbours(words: DataFrame, shard: int = SHARD_CHARS, wave: int = WAVE_CHAR
     for lo, hi in waves:
         few = shards.where(F.element_at("words", 1).between(lo, hi)).select("words", "counts").collect()
         shared = spark.sparkContext.broadcast([(list(r.words), list(r.counts)) for r in sorted(few, key=lambda r: r.words[0])])
-        found.append(cut(held.select("word").mapInArrow(_intersect(shared), "word string, n_near long, form_n long, form string"), "near"))
+        found.append(cut(words.select("word").mapInArrow(_intersect(shared), "word string, n_near long, form_n long, form string"), "near"))
         shared.destroy()
     if not found:
         return words.select("word", F.lit(0).cast("long").alias("n_near"), F.lit(None).cast("long").alias("form_n"), F.lit(None).cast("string").alias("form")).limit(0)
@@ -307,7 +307,7 @@ gaps AS (SELECT word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS
 pairs AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM gaps a JOIN gaps b ON a.gap = b.gap AND a.word <> b.word
   UNION SELECT a.word, a.n, b.word, b.n FROM gaps a JOIN words b ON a.shorter = b.word
   UNION SELECT b.word, b.n, a.word, a.n FROM gaps a JOIN words b ON a.shorter = b.word),
-ranked AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near COLLATE "C") AS r FROM pairs),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS r FROM pairs),
 forms AS (SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.near_n >= 2 * w.n THEN r.near END AS form, CASE WHEN r.near_n >= 2 * w.n THEN r.near_n END AS form_n
   FROM words w LEFT JOIN ranked r ON w.word = r.word AND r.r = 1),
 chains AS (SELECT word, word AS root, form AS up FROM forms UNION ALL SELECT c.word, f.word, f.form FROM chains c JOIN forms f ON c.up = f.word)
