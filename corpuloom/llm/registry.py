@@ -9,6 +9,7 @@ from corpuloom.llm.language_id import op7_language_id
 from corpuloom.llm.license_scan import OP1_SQL, op1_license_scan
 from corpuloom.llm.minhash_dedup import op3_minhash_dedup
 from corpuloom.llm.mixing import op10_mixing
+from corpuloom.llm.permutation_index import op13_permutation_index
 from corpuloom.llm.quality_rules import OP4_SQL, op4_quality_rules
 from corpuloom.llm.spelling import OP12_SQL, op12_spelling_variants
 from corpuloom.llm.token_store import op5_token_store
@@ -30,6 +31,7 @@ def queries() -> dict:
         op10_mixing,
         op11_whitening,
         op12_spelling_variants,
+        op13_permutation_index,
     )
     return {f.__name__: f for f in ops}
 
