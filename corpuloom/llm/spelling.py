@@ -83,7 +83,7 @@ class Trie:
         codes, starts, sizes = code_points(words)
         live, at, same = np.arange(len(words)), np.zeros(len(words), np.int64), np.ones(len(words), bool)
         same[:1] = False
-        keys, final, total, depth = [], [np.full(1, -1, np.int32)], 0, 0
+        keys, final, total, depth = [], [np.full(1, 0 if words and not words[0] else -1, np.int32)], 0, 0
         while len(live := live[sizes[live] > depth]):
             c, before = codes[starts[live] + depth], live - 1
             goes_on = sizes[before] > depth
