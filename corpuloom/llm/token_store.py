@@ -197,7 +197,7 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST) ->
 
     last: which ids end a document; no pair spans two documents. A pass counts pairs over the whole
     shard and replaces a pair at each place where it is more frequent than the pairs that overlap it; passes go on
-    until no pair occurs `least` times. A pair of old symbols that is rare once stays rare, so
+    until no pair occurs `least` times without overlap. A pair of old symbols that is rare once stays rare, so
     later passes look only at places of frequent pairs and at neighbours of replaced ones; symbols are linked to
     the next and the previous one, and those that are gone are left out at the end.
     """
@@ -220,24 +220,27 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST) ->
             break
         first, second = (heads >> np.uint64(bits)).astype(np.uint32), (heads & np.uint64((1 << bits) - 1)).astype(np.uint32)
         group = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-        by = np.sort((counts.astype(np.uint64) << np.uint64(32)) | np.arange(len(counts), dtype=np.uint64))
-        rank = np.empty(len(counts), np.int32)
-        rank[(by & np.uint64(0xFFFFFFFF)).astype(np.int64)] = np.arange(1, len(counts) + 1)
-        own = np.repeat(rank, counts)
-        weight[at] = own
-        follow = np.take(after, at)
+        follow, odd = np.take(after, at), np.empty(0, np.int64)
         same = first == second
         if same.any():
-            # In a run of one symbol every second place competes, from the left.
+            # In a run of one symbol every second place counts and competes, from the left.
             twins = np.flatnonzero(np.repeat(same, counts))
             p = at[twins]
             run = np.flatnonzero(np.concatenate([[True], (follow[twins[:-1]] != p[1:]) | (np.diff(group[twins]) != 0)]))
             odd = twins[(np.arange(len(p)) - np.repeat(run, np.diff(np.append(run, len(p))))) % 2 == 1]
-            weight[at[odd]] = own[odd] = 0
+        apart = counts - np.bincount(group[odd], minlength=len(counts))
+        by = np.sort((apart.astype(np.uint64) << np.uint64(32)) | np.arange(len(counts), dtype=np.uint64))
+        rank = np.empty(len(counts), np.int32)
+        rank[(by & np.uint64(0xFFFFFFFF)).astype(np.int64)] = np.arange(1, len(counts) + 1)
+        rank[apart < least] = 0
+        own = np.repeat(rank, counts)
+        own[odd] = 0
+        weight[at] = own
         chosen = (own > np.take(weight, np.take(before, at))) & (own > np.take(weight, follow))
         weight[at] = 0
         good = np.bincount(group[chosen], minlength=len(counts)) >= least
         if not good.any():
+            # The most frequent pair wins at all of its places, so now none is frequent.
             break
         chosen &= np.repeat(good, counts)
         where, second_at = at[chosen], follow[chosen]
