@@ -1,8 +1,8 @@
 """Quality classifier: interpolated modified Kneser-Ney n-grams of trusted text, perplexity thresholds by language.
 
-The n-grams are of characters, all of Unicode. Documents are in two folds by hash of their id, and each is
-scored by the model of the other fold's trusted text, so that trusted documents, whose quantiles give
-the thresholds, are scored as any other. Counts are sharded by key: partial counts from every batch of
+The n-grams are of characters, all of Unicode. Documents are in two folds, and each is scored by the
+model of the other fold's trusted text, so that trusted documents, whose quantiles give the
+thresholds, are scored as any other. The folds are even in every language. Counts are sharded by key: partial counts from every batch of
 trusted text are summed, and continuation counts, discounts and interpolated
 probabilities follow from joins of the sharded tables, order by order.
 
@@ -18,7 +18,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuloom.llm.common import mix, slices
@@ -38,6 +38,8 @@ CHUNK = 6 << 20
 BROADCAST_ROWS = 2_500_000
 #: Trusted document ids (8 bytes each) that are broadcast at most.
 BROADCAST_IDS = 1_500_000
+#: Trusted documents of a language up to which its folds are dealt out in turn; with more, hashes alone make them even.
+DEALT = 1000
 #: Perplexity of a kept document lies between these quantiles of trusted documents of its language, widened by the factor.
 LOW, HIGH, MARGIN = 0.002, 0.99, 1.02
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -298,17 +300,20 @@ def _packed(b: pa.RecordBatch) -> bytes:
 
 def _sums(b: pa.RecordBatch, log: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
     sums = np.diff(np.concatenate([[0.0], np.cumsum(log[at])])[np.concatenate([[0], np.cumsum(sizes)])])
-    return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(sizes), pa.array(sums)], ["doc_id", "lang", "n_chars", "total"])
+    return pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "lang", "text_hash")), pa.array(sizes), pa.array(sums)], ["doc_id", "lang", "text_hash", "n_chars", "total"])
 
 
-_SUMS = "doc_id long, lang string, n_chars long, total double"
+_SUMS = "doc_id long, lang string, text_hash long, n_chars long, total double"
 
 
-def perplexities(docs: DataFrame, model: dict, order: int = ORDER, chunk: int = CHUNK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, lang, n_chars, perplexity by character of each row (null for a null or empty text)."""
+def perplexities(docs: DataFrame, model: dict, order: int = ORDER, chunk: int = CHUNK, broadcast_rows: int = BROADCAST_ROWS, fold: Column | None = None) -> DataFrame:
+    """doc_id, lang, text_hash (xxhash64), n_chars, perplexity by character of each row (null for a null or empty text).
+
+    fold: whose model scores a row, by default the one that the hash of its id is not in.
+    """
     spark = docs.sparkSession
     ship(spark)
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text", (1 - fold_of()).alias("fold"))
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text").alias("text_hash"), (1 - fold_of() if fold is None else fold).alias("fold"))
 
     def distinct(b: pa.RecordBatch):
         return ngrams([t or "" for t in b.column("text").to_pylist()], b.column("fold").to_numpy(zero_copy_only=False), order)
@@ -360,7 +365,7 @@ def perplexities(docs: DataFrame, model: dict, order: int = ORDER, chunk: int =
                     yield _sums(b, log, at, sizes)
 
         found = joined.mapInArrow(score, _SUMS)
-    return found.select("doc_id", "lang", "n_chars", F.when(F.col("n_chars") > 0, F.exp(-F.col("total") / F.col("n_chars"))).alias("perplexity"))
+    return found.select("doc_id", "lang", "text_hash", "n_chars", F.when(F.col("n_chars") > 0, F.exp(-F.col("total") / F.col("n_chars"))).alias("perplexity"))
 
 
 def thresholds(scored: DataFrame, low: float = LOW, high: float = HIGH, margin: float = MARGIN) -> DataFrame:
@@ -379,11 +384,11 @@ def thresholds(scored: DataFrame, low: float = LOW, high: float = HIGH, margin:
     # A document's distance from a median that it helped to make is short by this factor.
     away = rounded.join(own.where("docs > 1").select("lang", "mid", "docs"), "lang").select(((F.col("x") - F.col("mid")) * F.sqrt(F.col("docs") / (F.col("docs") - 1))).alias("x"), "n")
     spread = away.groupBy(F.round("x", 3).alias("x")).agg(F.sum("n").alias("n")).agg(*[F.percentile("x", q, F.col("n")).alias(f"off_{k}") for k, q, *_ in tails])
-    every = whole.select(*[F.col(k).alias(f"all_{k}") for k, *_ in tails]).join(F.broadcast(spread))
+    missing = lambda tail: F.greatest(F.lit(0.0), 1 - F.col("docs") * tail)
+    every = whole.select(*[(F.col(k) + s * missing(tail) * F.col("range")).alias(f"all_{k}") for k, _, tail, _, s in tails]).join(F.broadcast(spread))
     own = own.join(F.broadcast(every))
 
     def bounds(frame, wide):
-        missing = lambda tail: F.greatest(F.lit(0.0), 1 - F.col("docs") * tail)
         return [F.exp(F.col(k) + missing(tail) * (wide(k, outer, s) - F.col(k)) + s * np.log(margin)).alias(k) for k, _, tail, outer, s in tails]
 
     error = F.sqrt(1 + 1 / F.col("docs"))
@@ -394,21 +399,46 @@ def thresholds(scored: DataFrame, low: float = LOW, high: float = HIGH, margin:
     return both.select("lang", "lo", "hi")
 
 
+def folds(docs: DataFrame, trust: DataFrame, most: int = DEALT) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, own_fold) of the trusted documents of languages that have at most `most`, and (language, use) of those languages.
+
+    Hashes may put all of a few documents in one fold, so these are dealt out in turn, and documents without
+    trust use the fold that has more of their language's. A document whose rows have several languages counts
+    for the smallest, null for one of its own; both tables are bounded by the number of languages.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("_"), F.col("lang").cast("string")), F.lit("")).alias("language"))
+    known = cut(rows.join(trust.hint("broadcast" if trust.count() <= BROADCAST_IDS else "merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("language").alias("language")), "languages")
+    few = known.groupBy("language").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most).select("language")
+    turn = F.row_number().over(Window.partitionBy("language").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id"))
+    # Languages begin in either fold by hash, so that many with one document each are spread too.
+    dealt = cut(known.join(few, "language").withColumn("own_fold", F.pmod(turn + F.xxhash64("language"), F.lit(2)).cast("int")), "folds")
+    more = dealt.groupBy("language").agg(F.sum(2 * F.col("own_fold") - 1).alias("lead"), F.count(F.lit(1)).alias("n")).where("lead <> 0")
+    return dealt.select("doc_id", "own_fold"), more.select("language", (F.col("lead") > 0).cast("int").alias("use"))
+
+
 def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, **params) -> DataFrame:
-    """doc_id, lang, n_chars, perplexity, trusted, lo, hi, kept for each document.
+    """doc_id, lang, n_chars, perplexity, trusted, lo, hi, kept, text_hash for each document.
 
     Trusted documents have label quality 1. A document is kept if its perplexity is within its
     language's bounds; a language without trusted documents, or null, takes the bounds of all. A null or
     empty text has no perplexity and is not kept. Without trusted text everything with text is
-    kept. Repeated rows are scored again; extra columns are ignored.
+    kept. Few trusted documents of a language are dealt out evenly between the folds; a single one
+    is scored without its language, and the others of its language with it. Repeated rows are scored
+    again; very long texts are scored whole; extra columns are ignored.
     """
     trust = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     trust = cut(trust, "trusted")
     # Up to a fixed number of ids the texts stay where they are; beyond it both sides are shuffled.
     small = trust.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(trust.hint("broadcast" if small else "merge"), "doc_id", "left_semi").select("text", fold_of().alias("fold"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    dealt, leads = folds(rows, trust)
+    near = lambda df: df.hint("broadcast" if df.count() <= BROADCAST_IDS else "merge")
+    rows = rows.withColumn("language", F.coalesce(F.concat(F.lit("_"), F.col("lang")), F.lit(""))).join(near(dealt), "doc_id", "left").join(near(leads), "language", "left")
+    own = F.coalesce("own_fold", fold_of())
+    texts = rows.join(trust.hint("broadcast" if small else "merge"), "doc_id", "left_semi").select("text", own.alias("fold"))
     model = train(texts, order)
-    scored = perplexities(docs, model, order).join(trust.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    used = F.coalesce(1 - F.col("own_fold"), "use", 1 - fold_of())
+    scored = perplexities(rows, model, order, fold=used).join(trust.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     scored = cut(scored, "perplexities")
     bounds = cut(thresholds(scored, **params), "bounds")
     own = bounds.where("lang is not null").select(F.col("lang").alias("l"), F.col("lo").alias("own_lo"), F.col("hi").alias("own_hi"))
@@ -416,9 +446,9 @@ def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, **params) ->
     out = scored.join(own, F.col("lang") == F.col("l"), "left").join(F.broadcast(every))
     out = out.withColumn("lo", F.coalesce("own_lo", "all_lo")).withColumn("hi", F.coalesce("own_hi", "all_hi"))
     kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity").between(F.col("lo"), F.col("hi")), F.lit(True))
-    return out.select("doc_id", "lang", "n_chars", "perplexity", "trusted", "lo", "hi", kept.alias("kept"))
+    return out.select("doc_id", "lang", "n_chars", "perplexity", "trusted", "lo", "hi", kept.alias("kept"), "text_hash")
 
 
 def op9_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: language, characters, perplexity by the other fold's trusted text, its language's bounds, and whether it is kept."""
-    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
