@@ -559,4 +559,5 @@ def bpe_digest(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, lexicon: str
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the number of its token ids by the public vocabulary, the digest of the ids, and that of the text decoded from them; a null text is empty."""
     return bpe_digest(table(spark, sf_dir, "documents"))

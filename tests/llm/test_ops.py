@@ -285,6 +285,26 @@ def test_repair_leaves_no_frequent_pair():
         assert lengths.max() > 8
 
 
+def test_repair_counts_runs_without_overlap():
+    rules, seq, _ = token_store.repair(np.array([0, 1, 1, 1, 0, 1], np.uint32), np.arange(6) == 5, 2)
+    assert rules.tolist() == [[0, 1]] and seq.tolist() == [2, 1, 1, 2]
+    rng = np.random.default_rng(1)
+    for _ in range(20_000):
+        n, base = int(rng.integers(1, 24)), int(rng.integers(1, 4))
+        ids, last = rng.integers(0, base, n).astype(np.uint32), rng.random(n) < 0.1
+        last[-1] = True
+        rules, seq, ends = token_store.repair(ids, last, base)
+        assert (token_store.expand(seq, rules, token_store.lengths_of(rules, base), base) == ids).all()
+        counts, before = {}, None
+        for i in range(len(seq) - 1):
+            pair = (int(seq[i]), int(seq[i + 1]))
+            if ends[i] or before == (i - 1, pair):
+                continue
+            before = (i, pair)
+            counts[pair] = counts.get(pair, 0) + 1
+        assert max(counts.values(), default=0) < token_store.LEAST, (ids, last)
+
+
 def test_token_store_round_trip(spark, edge, empty, tmp_path):
     _, want = library([r[1] for r in EDGE])
     order = sorted(range(len(EDGE)), key=lambda i: (EDGE[i][0] is not None, EDGE[i][0] or 0))
@@ -543,6 +563,22 @@ def test_quality_keeps_clean_documents_of_a_rare_language(spark):
     assert all(got[i] for i in range(100, 108))
 
 
+def test_quality_folds_are_even_with_few_trusted_documents(spark):
+    words = {"en": "the river house green walks over under small garden bright morning people".split(), "xx": "ñandú žluť kůň œuvre ßtraß łódź ærø ðan þorn ğül".split()}
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(rng.choice(words["en"], 80)), "en") for i in range(120)] + [(1000 + i, " ".join(rng.choice(words["xx"], 80)), "xx") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    of = {r.doc_id: r.f for r in df.select("doc_id", kneser_ney.fold_of().alias("f")).collect()}
+    # All trusted documents of a language have one hash fold.
+    four, three = [i for i in range(120) if of[i] == 0][:4], [i for i in range(1000, 1060) if of[i] == 0][:3]
+    mark = lambda ids: spark.createDataFrame([(i, 1) for i in ids], "doc_id long, quality int")
+    english = kneser_ney.quality(df.where("lang = 'en'"), mark(four)).collect()
+    assert sum(r.kept for r in english) >= 0.95 * len(english) and max(r.perplexity for r in english) < 12
+    both = kneser_ney.quality(df, mark([*range(60), *three])).collect()
+    rare = [r for r in both if r.lang == "xx"]
+    assert all(r.kept for r in rare) and max(r.perplexity for r in rare) < 3 * min(r.perplexity for r in rare) and rare[0].hi < 12
+
+
 def test_mixing_meets_targets(spark, docs, edge, empty):
     rows = mixing.mix(docs, bucket=4, fan=2).collect()
     by = {}
@@ -624,6 +660,27 @@ def test_pipeline_runs_and_filters(spark, docs, labels):
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(r.doc_id for r in out.collect())
 
 
+def test_pipeline_stages_tell_rows_apart(spark, tmp_path):
+    """Junk under the id of a clean document, or under none, goes alone; repeated rows with columns of any type leave one."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(9)
+    words = "the river house green walks over under small garden bright morning people".split()
+    text = lambda: " ".join(rng.choice(words, 80))
+    junk = "#$%& 0x93 @@@ ~~ ]]}} ^^ |" * 20
+    rows = [(i, text(), "en", "a", 1, {"k": i}) for i in range(120)]
+    rows += [(3, junk, "en", "a", 1, {"k": 0}), (None, junk, "en", "a", 1, None), (None, rows[5][1][::-1], "en", "a", 1, None), (7, *rows[7][1:]), (7, *rows[7][1:5], {"other": 2})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, extra map<string,int>").selectExpr("*", "named_struct('m', extra) AS _hash", "parse_json('[1]') AS hash")
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 120, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = corpus_pipeline.quality_stage(spark, docs, str(tmp_path))
+    got = left.select("doc_id", "text").collect()
+    assert left.columns == docs.columns and not any(r.text == junk for r in got) and [r.doc_id for r in got].count(3) == 1
+    assert len(got) >= 118
+    once = corpus_pipeline.minhash_stage(spark, docs, str(tmp_path))
+    ids = [r.doc_id for r in once.select("doc_id").collect()]
+    assert once.columns == docs.columns and ids.count(7) == 1 and ids.count(None) == 2 and ids.count(3) == 2
+
+
 def test_pipeline_edges(spark, docs, labels, empty, tmp_path):
     """Nulls in any column, empty and repeated rows, one id with two texts, clashing columns, an empty table."""
     import corpus_pipeline
