@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuloom.llm.bpe import bpe_digest
 from corpuloom.llm.kneser_ney import quality
@@ -13,44 +14,70 @@ from corpuloom.llm.toxicity import keep_harmless
 from corpuloom.session import clear_scratch, cut, scratch_path, scratch_paths, table
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not in `gone` (doc_id); null ids stay."""
-    ids = gone.select(F.col("doc_id").alias("_gone")).distinct().alias("gone")
-    return docs.join(ids.hint("merge"), docs["doc_id"] == F.col("gone._gone"), "left_anti")
+def _rows(docs: DataFrame) -> DataFrame:
+    """row (all columns, whatever their names), and id and hash (of the text), which tell documents apart."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"]).alias("hash"))
+
+
+def _without(rows: DataFrame, gone: DataFrame, same: list[str]) -> DataFrame:
+    """The rows that agree with none of `gone` in the columns `same`; nulls agree with nulls."""
+    gone = gone.select(*same).distinct().alias("gone")
+    on = F.lit(True)
+    for c in same:
+        on = on & rows[c].eqNullSafe(F.col(f"gone.{c}"))
+    return rows.join(gone.hint("merge"), on, "left_anti")
+
+
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _orderable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, T.MapType | T.VariantType)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the toxicity model does not reject; null and empty texts, repeated rows and null ids stay as keep_harmless() says."""
     return keep_harmless(docs, table(spark, sf_dir, "labels"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose perplexity is within their language's bounds; null and empty texts have none and go.
+
+    Each row is judged by its own id, text and language, a null id like any other, so that a
+    rejected text takes no other row of its id along. Repeated rows stay or go together.
+    """
     verdict = quality(docs, table(spark, sf_dir, "labels"))
-    return without(docs, verdict.where("not kept and doc_id is not null"))
+    gone = verdict.where("not kept").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "lang")
+    rows = _rows(docs).withColumn("lang", F.col("row.lang").cast("string"))
+    return _without(rows, gone, ["id", "hash", "lang"]).select("row.*")
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates by five-word shingles; of repeated rows one.
 
     Rows are told apart by doc_id and text, so one id with different texts loses only the rows that are copies.
+    Of rows that agree in both, the one whose other columns come first by hash stays; columns of any type do.
+    Rows without an id all stay, as do texts without a word, which are near to nothing.
     """
-    found = cut(minhash_dedup(docs, k=5, num=80, den=100), "verdicts")
-    hashed, gone = F.xxhash64("text"), found.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_hash")).distinct().alias("gone")
-    left = docs.join(gone.hint("merge"), (docs["doc_id"] == F.col("gone._gone")) & (hashed == F.col("gone._gone_hash")), "left_anti")
-    again = found.where("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if again.isEmpty():
-        return left
-    # Of rows that agree in doc_id and text, the first by the other columns; groups are rows, not windows.
-    numbered = left.withColumn("_hash", hashed)
-    others = [F.col(f"`{c}`") for c in left.columns]
-    one = numbered.where("doc_id is not null").groupBy("doc_id", "_hash").agg(F.min(F.struct(*others)).alias("_row")).select("_row.*")
-    return one.unionByName(left.where("doc_id is null"))
+    found = cut(minhash_dedup(docs, k=5, num=80, den=100), "verdicts").withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
+    left = _without(_rows(docs), found.where("not kept"), ["id", "hash"])
+    if found.where("id is not null").groupBy("id", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return left.select("row.*")
+    plain = [f.name for f in docs.schema.fields if _orderable(f.dataType)]
+    others = [f.name for f in docs.schema.fields if f.name not in plain]
+    key = [F.xxhash64(*[F.col("row").getField(c) for c in plain]), *[F.to_json(F.struct(F.col("row").getField(c).alias("c"))) for c in others]]
+    one = left.where("id is not null").groupBy("id", "hash").agg(F.min_by("row", F.struct(*key)).alias("row"))
+    return one.select("row.*").unionByName(left.where("id is null").select("row.*"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix of its source takes it; empty and null texts as mixed_documents() says."""
     return mixed_documents(docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row; a null text is empty."""
     return bpe_digest(docs)
 
 
@@ -67,7 +94,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the documents; each result is written as Parquet and read again."""
+    """All stages in order over the documents; each result is written as Parquet and read again.
+
+    Ids may be null or repeated, with equal texts or not; columns beyond those of documents are carried
+    along; an empty table gives an empty result.
+    """
     docs, since = table(spark, sf_dir, "documents"), len(scratch_paths(spark))
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name}")
