@@ -37,7 +37,7 @@ def punctuation_ratio(c: Column) -> Column:
 def noisy(c: Column, most: float = 0.18) -> Column:
     """A character six times in a row, case aside, too much punctuation, or nothing but white space."""
     c = F.coalesce(c, F.lit(""))
-    return c.rlike(r"(?i)(.)\1{5,}") | (punctuation_ratio(c) > most) | ~c.rlike(r"\S")
+    return c.rlike(r"(?iu)(.)\1{5,}") | (punctuation_ratio(c) > most) | ~c.rlike(r"\S")
 
 
 def grams(words: Column, n: int) -> Column:
@@ -114,7 +114,7 @@ def contains_cjk(c: Column) -> Column:
 
 def asks(c: Column, intent: str) -> Column:
     """A question mark, or a hit of the pattern."""
-    return c.contains("?") | F.lower(c).rlike(intent)
+    return c.contains("?") | F.lower(c).rlike(f"(?U){intent}")
 
 
 def grounded(evidence: Column, source: Column) -> Column:
@@ -137,8 +137,12 @@ def grounded_in_order(quote: Column, source: Column, least: int = 4) -> Column:
 
 def lexical_leak(question: Column, memory: Column, n: int = 5, coverage: float = 0.65, least: int = 4) -> Column:
     """Whether a question gives a memory away: it holds it whole, shares n words in a row, or covers most of its distinct words."""
-    q, m = tokens(question), tokens(memory)
-    shared = F.size(F.array_intersect(q, m)) / F.size(F.array_distinct(m))
+    return word_leak(question, memory, tokens(question), tokens(memory), n, coverage, least)
+
+
+def word_leak(question: Column, memory: Column, q: Column, m: Column, n: int = 5, coverage: float = 0.65, least: int = 4) -> Column:
+    """As lexical_leak, given columns of both texts' tokens, which an expression would compute again for each run of words."""
+    shared = F.when(F.size(m) > 0, F.size(F.array_intersect(q, m)) / F.size(F.array_distinct(m))).otherwise(0.0)
     return grounded(memory, question) | (F.size(F.array_intersect(grams(q, n), grams(m, n))) > 0) | ((F.size(F.array_distinct(m)) >= least) & (shared >= coverage))
 
 
@@ -203,11 +207,11 @@ def first_hit(c: Column, rules: list[tuple[str, str]], other: str) -> Column:
     """The first pattern, in order, that the lower-cased text matches."""
     out = None
     for name, pattern in rules:
-        hit = F.lower(c).rlike(pattern)
+        hit = F.lower(c).rlike(f"(?U){pattern}")
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return F.lit(other) if out is None else out.otherwise(other)
 
 
 def signal_families(c: Column, families: dict[str, str]) -> Column:
     """Names of the patterns that the lower-cased text matches."""
-    return F.array_compact(F.array(*[F.when(F.lower(c).rlike(p), F.lit(n)) for n, p in families.items()]))
+    return F.array_compact(F.array(*[F.when(F.lower(c).rlike(f"(?U){p}"), F.lit(n)) for n, p in families.items()]))

@@ -71,6 +71,8 @@ INSTRUCTION = (
 CODE_TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|\d+|[^\s\p{L}\p{N}_]"
 LIMITS = {"question_chars": (40, 2500), "answer_chars": (50, 6000), "question_tokens": 8, "answer_tokens": 8, "english": 0.75, "boilerplate": 0.65, "score": 65}
 MOST_PUNCTUATION, MOST_PUNCTUATION_CODE, LEAST_CONTAINED, WIDTH = 0.18, 0.45, 0.8, 10
+#: Patterns whatever the case; word boundaries are those of all of Unicode.
+ANY_CASE = "(?iU)"
 FAMILY_POINTS = (0, 20, 30, 35, 40)
 LENGTH_POINTS = ((80, 20), (40, 15), (20, 10), (8, 5))
 
@@ -93,10 +95,16 @@ def families(c: Column, domain: Column) -> Column:
     return F.when(domain == "general", own["general"]).when(domain == "coding", own["coding"]).otherwise(own["health_seed"])
 
 
+def code_tokens(c: Column) -> Column:
+    return F.regexp_extract_all(F.lower(c), F.lit(CODE_TOKEN), 0)
+
+
 def contained(question: Column, answer: Column, n: int = WIDTH) -> Column:
-    """Share of the answer's distinct runs of n code tokens that the question holds; 0 for shorter answers."""
-    runs = lambda c: X.grams(F.regexp_extract_all(F.lower(c), F.lit(CODE_TOKEN), 0), n)
-    return X.directed_overlap(runs(question), runs(answer))
+    """Share of the answer's distinct runs of n code tokens that the question holds, both given as columns of tokens; 0 for shorter answers.
+
+    An expression would be computed again for each run, so tokens have to be in columns.
+    """
+    return X.directed_overlap(X.grams(question, n), X.grams(answer, n))
 
 
 def complexity_points(n_families: Column, tokens: Column, n_sentences: Column, relations: Column) -> Column:
@@ -118,13 +126,15 @@ def assess(df: DataFrame) -> DataFrame:
     f = _once(df.select("id", "source_dataset", "domain", q.alias("q"), a.alias("a")))
     f = f.withColumns({
         "qt": F.size(X.tokens(F.col("q"))), "at": F.size(X.tokens(F.col("a"))), "content": F.size(X.tokens(boilerplate(F.col("a")))), "qs": sentences(F.col("q")), "as": sentences(F.col("a")),
-        "relations": F.regexp_count("q", F.lit(f"(?i){RELATION}")), "families": families(F.col("q"), F.col("domain")), "q_english": X.english_ratio(F.col("q")), "a_english": X.english_ratio(F.col("a")),
-        "asks": F.col("q").contains("?") | F.col("q").rlike(f"(?i){INTENT}") | ((F.col("domain") == "coding") & F.col("q").rlike(f"(?i){INSTRUCTION}")),
+        "relations": F.regexp_count("q", F.lit(f"{ANY_CASE}{RELATION}")), "families": families(F.col("q"), F.col("domain")), "q_english": X.english_ratio(F.col("q")), "a_english": X.english_ratio(F.col("a")),
+        "asks": F.col("q").contains("?") | F.col("q").rlike(f"{ANY_CASE}{INTENT}") | ((F.col("domain") == "coding") & F.col("q").rlike(f"{ANY_CASE}{INSTRUCTION}")),
     })
     f = _once(f)
     most = F.when(F.col("domain") == "coding", MOST_PUNCTUATION_CODE).otherwise(MOST_PUNCTUATION)
     f = f.withColumn("stock", F.when(F.col("at") > 0, F.greatest(F.lit(0.0), 1 - F.col("content") / F.col("at"))).otherwise(1.0)).withColumn("noise", X.noisy(F.col("q"), most) | X.noisy(F.col("a"), most))
-    f = _once(f.withColumn("contained", F.when(F.col("domain") == "coding", contained(F.col("q"), F.col("a"))))).withColumn("n_families", F.size("families"))
+    coding = F.col("domain") == "coding"
+    f = _once(f.withColumns({"q_code": F.when(coding, code_tokens(F.col("q"))), "a_code": F.when(coding, code_tokens(F.col("a")))}))
+    f = _once(f.withColumn("contained", F.when(coding, contained(F.col("q_code"), F.col("a_code")))).drop("q_code", "a_code")).withColumn("n_families", F.size("families"))
     size = lambda c: F.length(c)
     (q_lo, q_hi), (a_lo, a_hi) = LIMITS["question_chars"], LIMITS["answer_chars"]
     rules = {
@@ -141,7 +151,7 @@ def assess(df: DataFrame) -> DataFrame:
         steps = F.when(F.col("content") >= least, points) if steps is None else steps.when(F.col("content") >= least, points)
     parts = {
         "question_informativeness": F.least(F.lit(25), F.bround(15 * F.least("qt", F.lit(80)) / 80).cast("int") + one(F.col("qs") >= 2, 5) + one(F.col("relations") >= 2, 5)),
-        "answer_substance": F.least(F.lit(25), steps.otherwise(0) + one(F.col("a").rlike(f"(?i){SUBSTANCE}"), 5) + one(F.col("as") >= 2, 5)),
+        "answer_substance": F.least(F.lit(25), steps.otherwise(0) + one(F.col("a").rlike(f"{ANY_CASE}{SUBSTANCE}"), 5) + one(F.col("as") >= 2, 5)),
         "memory_suitability": F.element_at(F.array(*map(F.lit, FAMILY_POINTS)), F.least(F.col("n_families") + 1, F.lit(len(FAMILY_POINTS)))),
         "cleanliness_coherence": one((F.col("q_english") >= 0.9) & (F.col("a_english") >= 0.9), 4) + one(F.col("stock") <= 0.25, 3) + one(~F.col("noise"), 3),
     }
@@ -161,7 +171,7 @@ def overlap_similarity(a: Column, b: Column, stop: tuple[str, ...] = ()) -> Colu
         c = F.lower(X.normalise(F.coalesce(c, F.lit(""))))
         c = F.regexp_replace(c, r"[^\p{L}\p{N}_]+", " ")
         for w in stop:
-            c = F.replace(F.regexp_replace(c, rf"\b{w}\b", " "), F.lit(w), F.lit(" "))
+            c = F.replace(F.regexp_replace(c, rf"(?U)\b{w}\b", " "), F.lit(w), F.lit(" "))
         return X.normalise(c)
 
     def units(c):

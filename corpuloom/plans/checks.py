@@ -8,7 +8,7 @@ from corpuloom.functions import text as X
 from corpuloom.operators import merges as M
 from corpuloom.operators import validation as V
 from corpuloom.operators.latent import overlap_components
-from corpuloom.plans.selection import V_PAIRS, pairs
+from corpuloom.plans.selection import V_PAIRS, pairs, plain
 from corpuloom.plans.views import J, V_ATOMS, V_ATTEMPTS, V_SAMPLES, V_SOURCES, atoms, attempts, judgments, query, requests, samples, sources
 from corpuloom.session import table
 from corpuloom.streaming import resume as I
@@ -49,10 +49,10 @@ def question_leakage(spark, d):
     p = pairs(spark, d)
     memory = F.when(F.length("id") % 2 == 0, F.substring("raw_question", 10, 60)).otherwise(F.coalesce("answer", F.lit("")))
     p = p.select("id", "raw_question", memory.alias("m"))
-    q, m = X.tokens(F.col("raw_question")), X.tokens(F.col("m"))
-    words = F.array_distinct(m)
-    cover = F.when(F.size(words) > 0, F.size(F.array_intersect(q, m)) / F.size(words)).otherwise(0.0)
-    leak = X.grounded(F.col("m"), F.col("raw_question")) | (F.size(F.array_intersect(X.grams(q, 5), X.grams(m, 5))) > 0) | ((F.size(words) >= 4) & (cover >= 0.65))
+    # Exploding one row of all columns keeps the tokens from being computed again for each run of words.
+    row = F.struct("id", "raw_question", "m", X.tokens(F.col("raw_question")).alias("q_words"), X.tokens(F.col("m")).alias("m_words"))
+    p = p.select(F.explode(F.array(row)).alias("r")).select("r.*")
+    leak = X.word_leak(F.col("raw_question"), F.col("m"), F.col("q_words"), F.col("m_words"))
     return p.select("id", leak.alias("leaks"))
 
 
@@ -60,7 +60,7 @@ _TOPICS = (("care", ("tablet", "asthma", "test")), ("money", ("budget", "afford"
 
 
 @query(f"""WITH {V_PAIRS} SELECT id, CASE {" ".join(f"WHEN {' OR '.join(f'contains(lower(raw_question), {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{n}'" for n, ws in _TOPICS)} ELSE 'other' END AS by_word,
-  CASE {" ".join(f"WHEN regexp_matches(lower(raw_question), '\\b({'|'.join(ws)})\\b') THEN '{n}'" for n, ws in _TOPICS)} ELSE 'other' END AS by_pattern FROM v_pairs""")
+  CASE {" ".join(f"WHEN regexp_matches({plain('lower(raw_question)')}, '\\b({'|'.join(ws)})\\b') THEN '{n}'" for n, ws in _TOPICS)} ELSE 'other' END AS by_pattern FROM v_pairs""")
 def topic_rules(spark, d):
     """Topics by the first rule with a keyword in the text, and by the first whose pattern matches."""
     p = pairs(spark, d)

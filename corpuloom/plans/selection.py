@@ -25,12 +25,9 @@ _DOMAINS = ("health_seed", "general", "coding")
 
 
 def pairs(spark, d):
-    """Answers with the question before them, as records of three domains.
-
-    Letters beyond ASCII stand as x in the prose, since the engines that are compared differ on word boundaries beside them.
-    """
+    """Answers with the question before them, as records of three domains."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    t = table(spark, d, "conversations").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "x")).withColumn("q", F.lag("text").over(w)).withColumn("asked", F.lag("role").over(w)).where("role = 'assistant' and asked = 'user'")
+    t = table(spark, d, "conversations").withColumn("q", F.lag("text").over(w)).withColumn("asked", F.lag("role").over(w)).where("role = 'assistant' and asked = 'user'")
     pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n + 1).cast("int"))
     by = F.col("conv_id")
     return t.select(
@@ -39,6 +36,11 @@ def pairs(spark, d):
     )
 
 
+def plain(c: str) -> str:
+    """SQL of a text whose word characters beyond ASCII are underscores, so that word boundaries of ASCII patterns are those of Unicode."""
+    return f"array_to_string(list_transform(string_split({c}, ''), lambda x: CASE WHEN unicode(x) > 127 AND regexp_matches(x, '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}]') THEN '_' ELSE x END), '')"
+
+
 def _quoted(x) -> str:
     return "'" + str(x).replace("'", "''") + "'"
 
@@ -47,7 +49,7 @@ def _list(values) -> str:
     return "[" + ", ".join(map(_quoted, values)) + "]"
 
 
-V_PAIRS = f"""v_plain AS (SELECT * REPLACE (regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g') AS text) FROM conversations), v_turns AS (SELECT *, lag(text) OVER w AS q, lag(role) OVER w AS asked FROM v_plain WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+V_PAIRS = f"""v_turns AS (SELECT *, lag(text) OVER w AS q, lag(role) OVER w AS asked FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 v_pairs AS (SELECT concat_ws('-', conv_id, turn) AS id, CASE WHEN conv_id % 17 > 0 THEN 'chat' ELSE '' END AS source_dataset, ({_list(_DOMAINS)})[conv_id % 3 + 1] AS domain,
   q || ({_list(_QUESTIONS)})[conv_id % 5 + 1] AS raw_question, CASE WHEN conv_id % 13 > 0 THEN text || ({_list(_ANSWERS)})[conv_id // 5 % 3 + 1] END AS answer FROM v_turns WHERE role = 'assistant' AND asked = 'user')"""
 
@@ -55,13 +57,13 @@ v_pairs AS (SELECT concat_ws('-', conv_id, turn) AS id, CASE WHEN conv_id % 17 >
 def _assessment_sql() -> str:
     words = lambda c: f"len(regexp_extract_all(lower({c}), '[a-z]+(?:''[a-z]+)?|[0-9]+(?:\\.[0-9]+)?'))"
     solid = lambda c: f"regexp_replace({c}, '\\s+', '', 'g')"
-    plain = "a"
+    bare = "a"
     for p in A.BOILERPLATE:
-        plain = f"regexp_replace({plain}, {_quoted('(?i)' + p)}, ' ', 'g')"
+        bare = f"regexp_replace({bare}, {_quoted('(?i)' + p)}, ' ', 'g')"
     letters = lambda c: f"length(regexp_replace({c}, '[^\\p{{L}}]', '', 'g'))"
     english = lambda c: f"CASE WHEN {letters(c)} > 0 THEN length(regexp_replace({c}, '[^A-Za-z]', '', 'g')) / {letters(c)} ELSE 0 END"
     count = lambda c: f"greatest(1, len(list_filter(string_split_regex({c}, {_quoted(A.SENTENCE)}), lambda x: regexp_matches(x, '\\S'))))"
-    named = lambda k: "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(q), {_quoted(p)}) THEN {_quoted(n)} END" for n, p in A.SIGNALS[k].items()) + "], lambda x: x IS NOT NULL)"
+    named = lambda k: "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(qp), {_quoted(p)}) THEN {_quoted(n)} END" for n, p in A.SIGNALS[k].items()) + "], lambda x: x IS NOT NULL)"
     noise = lambda c: (
         f"(len(list_filter(range(1, length({c}) - 4), lambda i: lower({c})[i] <> chr(10) AND lower({c})[i:i+5] = repeat(lower({c})[i], 6))) > 0 OR length({solid(c)}) = 0"
         f" OR length(regexp_replace({solid(c)}, '[\\p{{L}}\\p{{N}}]', '', 'g')) / nullif(length({solid(c)}), 0) > CASE domain WHEN 'coding' THEN {A.MOST_PUNCTUATION_CODE}::DOUBLE ELSE {A.MOST_PUNCTUATION}::DOUBLE END)"
@@ -78,13 +80,14 @@ def _assessment_sql() -> str:
     reasons = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in rules.items()) + "], lambda x: x IS NOT NULL)"
     steps = " ".join(f"WHEN content >= {n} THEN {p}" for n, p in A.LENGTH_POINTS)
     return f"""WITH {V_PAIRS}, f0 AS (SELECT id, source_dataset, domain, trim(coalesce(raw_question, '')) AS q, trim(coalesce(answer, '')) AS a FROM v_pairs),
-f1 AS (SELECT *, {words("q")} AS qt, {words("a")} AS at_, {words(plain)} AS content, {count("q")} AS qs, {count("a")} AS as_, len(regexp_extract_all(q, {_quoted("(?i)" + A.RELATION)})) AS relations,
+fp AS (SELECT *, {plain("q")} AS qp, {plain("a")} AS ap FROM f0),
+f1 AS (SELECT *, {words("q")} AS qt, {words("a")} AS at_, {words(bare)} AS content, {count("q")} AS qs, {count("a")} AS as_, len(regexp_extract_all(qp, {_quoted("(?i)" + A.RELATION)})) AS relations,
   CASE domain WHEN 'general' THEN {named("general")} WHEN 'coding' THEN {named("coding")} ELSE {named("health_seed")} END AS families, {english("q")} AS q_english, {english("a")} AS a_english,
-  contains(q, '?') OR regexp_matches(q, {_quoted("(?i)" + A.INTENT)}) OR (domain = 'coding' AND regexp_matches(q, {_quoted("(?i)" + A.INSTRUCTION)})) AS asks, {noise("q")} OR {noise("a")} AS noise,
-  regexp_extract_all(lower(q), {_quoted(A.CODE_TOKEN)}) AS qc, regexp_extract_all(lower(a), {_quoted(A.CODE_TOKEN)}) AS ac FROM f0),
+  contains(q, '?') OR regexp_matches(qp, {_quoted("(?i)" + A.INTENT)}) OR (domain = 'coding' AND regexp_matches(qp, {_quoted("(?i)" + A.INSTRUCTION)})) AS asks, {noise("q")} OR {noise("a")} AS noise,
+  regexp_extract_all(lower(q), {_quoted(A.CODE_TOKEN)}) AS qc, regexp_extract_all(lower(a), {_quoted(A.CODE_TOKEN)}) AS ac FROM fp),
 f2 AS (SELECT *, CASE WHEN at_ > 0 THEN greatest(0, 1 - content / at_) ELSE 1 END AS stock, CASE WHEN len(ac) >= {A.WIDTH} THEN len(list_intersect({runs("ac")}, {runs("qc")})) / len({runs("ac")}) ELSE 0 END AS contained FROM f1),
 f3 AS (SELECT *, {reasons} AS reasons, least(25, round_even(15 * least(qt, 80) / 80, 0)::INT + 5 * (qs >= 2)::INT + 5 * (relations >= 2)::INT) AS question_informativeness,
-  least(25, (CASE {steps} ELSE 0 END) + 5 * regexp_matches(a, {_quoted("(?i)" + A.SUBSTANCE)})::INT + 5 * (as_ >= 2)::INT) AS answer_substance, ({list(A.FAMILY_POINTS)})[least(len(families) + 1, {len(A.FAMILY_POINTS)})] AS memory_suitability,
+  least(25, (CASE {steps} ELSE 0 END) + 5 * regexp_matches(ap, {_quoted("(?i)" + A.SUBSTANCE)})::INT + 5 * (as_ >= 2)::INT) AS answer_substance, ({list(A.FAMILY_POINTS)})[least(len(families) + 1, {len(A.FAMILY_POINTS)})] AS memory_suitability,
   4 * (q_english >= 0.9::DOUBLE AND a_english >= 0.9::DOUBLE)::INT + 3 * (stock <= 0.25)::INT + 3 * (NOT noise)::INT AS cleanliness_coherence,
   least(len(families), 6) + (qt >= 50)::INT + (qt >= 100)::INT + (qs >= 3)::INT + (relations >= 2)::INT AS complexity_points FROM f2),
 f4 AS (SELECT *, least(100, question_informativeness + answer_substance + memory_suitability + cleanliness_coherence) AS quality_score FROM f3),
