@@ -1,11 +1,10 @@
-"""Iterative and resampling statistics. What reaches the driver is bounded by the number of models."""
+"""Iterative statistics. What reaches the driver is bounded by the number of models."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +21,9 @@ def sign_test(wins: int, losses: int) -> float:
     return min(1.0, 2 * math.fsum(map(math.exp, logs)))
 
 
-#: Fixed values of the published estimators: rounds and tolerance of the pairwise fit; rounds, tolerance, ridge and clips of the Rasch fit; replicates and seed of the bootstrap.
+#: Fixed values of the published estimators: rounds and tolerance of the pairwise fit; rounds, tolerance, ridge and clips of the Rasch fit.
 PAIR_ROUNDS, PAIR_TOLERANCE = 10_000, 1e-12
 RASCH_ROUNDS, RASCH_TOLERANCE, RASCH_RIDGE, RASCH_CLIP, RASCH_ETA = 500, 1e-8, 1e-3, 8.0, 20.0
-REPLICATES, SEED = 2000, 20260720
 
 
 def bradley_terry(pairs: DataFrame, rounds: int = PAIR_ROUNDS, tol: float = PAIR_TOLERANCE) -> DataFrame:
@@ -84,35 +82,6 @@ def rasch(outcomes: DataFrame, item: list[str], rounds: int = RASCH_ROUNDS, ridg
     return outcomes.sparkSession.createDataFrame(out, "model string, theta double, standard_error double, items long")
 
 
-def bootstrap_ratio(rows: DataFrame, by: list[str], cluster: str, num: str, den: str, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
-    """Ratio of sums with a 95 % interval over resampled clusters.
-
-    Each replicate weighs a cluster by a Poisson(1) draw, the limit of drawing as many clusters as there are, from a generator that seed and cluster
-    alone start: no cluster is gathered, and every group of `by` sees the same resample, which pairs the
-    comparisons. A task adds its clusters' draws up, so one row for each group and replicate leaves it.
-    """
-    sums = rows.groupBy(cluster, F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in by]).alias("group_")).agg(F.sum(num).cast("double").alias("num_"), F.sum(den).cast("double").alias("den_"))
-    each = sums.groupBy(cluster).agg(F.collect_list(F.struct("group_", "num_", "den_")).alias("groups_"))
-
-    def run(batches):
-        total: dict[str, np.ndarray] = {}
-        for b in batches:
-            for key, groups in zip(b.column("key_").to_pylist(), b.column("groups_").to_pylist(), strict=True):
-                w = np.random.Generator(np.random.Philox(key=[seed, key & 0xFFFFFFFFFFFFFFFF])).poisson(1.0, replicates)
-                for g in groups:
-                    own = total.setdefault(g["group_"], np.zeros((2, replicates)))
-                    own[0] += w * g["num_"]
-                    own[1] += w * g["den_"]
-        for g, own in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([g] * replicates), pa.array(np.arange(replicates)), pa.array(own[0]), pa.array(own[1])], ["group_", "replicate", "num_", "den_"])
-
-    drawn = each.select(F.xxhash64(cluster).alias("key_"), "groups_").mapInArrow(run, "group_ string, replicate long, num_ double, den_ double")
-    ratios = drawn.groupBy("group_", "replicate").agg(F.try_divide(F.sum("num_"), F.sum("den_")).alias("x"))
-    ends = ratios.groupBy("group_").agg(F.percentile("x", 0.025).alias("lo"), F.percentile("x", 0.975).alias("hi"), F.count("x").alias("replicates"))
-    name = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in by])
-    return rows.groupBy(*by).agg(F.try_divide(F.sum(num), F.sum(den)).alias("ratio")).withColumn("group_", name).join(ends, "group_").drop("group_")
-
-
 def overlap_components(pairs: DataFrame) -> DataFrame:
     """id, component of records' overlapping items: links a, b within a record; label propagation with pointer jumping."""
     both = cut(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "overlaps")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuloom.operators import calibration as C
+from corpuloom.operators import resampling as R
 from corpuloom.plans.views import J, V_SAMPLES, judgments, level_of, levels, query, samples, v_judgments
 
 KEY = "model, condition"
@@ -223,44 +224,36 @@ def rasch_ability(spark, d):
 
 def cluster_bootstrap(spark, d):
     """Accuracy by model and condition with its interval over resampled samples."""
-    from corpuloom.operators.latent import bootstrap_ratio
-
     per = _j(spark, d).groupBy("model", "condition", "sample_id").agg(F.sum((F.col("g") == F.col("p")).cast("long")).alias("num"), F.count(F.lit(1)).alias("den"))
-    return bootstrap_ratio(per, ["model", "condition"], "sample_id", "num", "den")
+    return R.bootstrap_ratio(per, ["model", "condition"], "sample_id", {"accuracy": ("num", "den")}).drop("metric")
 
 
 def directional_bootstrap(spark, d):
     """Pooled over-use and under-use rates by model and condition with their intervals over resampled samples."""
-    from corpuloom.operators.latent import bootstrap_ratio
-
     flag = lambda c: F.sum(c.cast("long"))
     per = _j(spark, d).groupBy("model", "condition", "sample_id").agg(
         flag(F.col("over") > 0).alias("over_num"), flag(F.col("g") < 2).alias("over_den"), flag(F.col("under") > 0).alias("under_num"), flag(F.col("g") > 0).alias("under_den")
     )
-    out = None
-    for metric in ("over", "under"):
-        own = bootstrap_ratio(per.withColumn("metric", F.lit(metric)), ["model", "condition", "metric"], "sample_id", f"{metric}_num", f"{metric}_den")
-        out = own if out is None else out.union(own)
-    return out
+    return R.bootstrap_ratio(per, ["model", "condition"], "sample_id", {m: (f"{m}_num", f"{m}_den") for m in ("over", "under")})
 
 
 def headline_bootstrap(spark, d):
     """Mean sample score, and the shares of samples with over-use, with under-use and exact ones, with intervals over resampled samples."""
-    from corpuloom.operators.latent import bootstrap_ratio
-
-    s = C.sample_scores(_j(spark, d))
-    long = s.select("model", "condition", "sample_id", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(c).cast("double").alias("num")) for n, c in (("scs", "scs_50"), ("sopb", "any_over"), ("supb", "any_under"), ("exact", "exact"))])).alias("x"))
-    return bootstrap_ratio(long.select("model", "condition", "sample_id", "x.*").withColumn("den", F.lit(1)), ["model", "condition", "metric"], "sample_id", "num", "den")
+    s = C.sample_scores(_j(spark, d)).withColumn("one", F.lit(1))
+    return R.bootstrap_ratio(s, ["model", "condition"], "sample_id", {"scs": ("scs_50", "one"), "sopb": ("any_over", "one"), "supb": ("any_under", "one"), "exact": ("exact", "one")})
 
 
 def paired_delta_bootstrap(spark, d):
     """Accuracy with memory less that without, by model, over the same atoms, with an interval over resampled samples."""
-    from corpuloom.operators.latent import bootstrap_ratio
-
     right = (F.col("g") == F.col("p")).cast("long")
     gain = F.when(F.col("condition") == "full_memory", right).otherwise(-right)
     per = _j(spark, d).groupBy("model", "sample_id").agg(F.sum(gain).alias("num"), (F.count(F.lit(1)) / 2).alias("den"))
-    return bootstrap_ratio(per, ["model"], "sample_id", "num", "den")
+    return R.bootstrap_ratio(per, ["model"], "sample_id", {"gain": ("num", "den")}).drop("metric")
+
+
+def candidate_bootstrap(spark, d):
+    """Twelve metrics of each model with their intervals over resampled samples."""
+    return R.candidate_bootstrap(_j(spark, d))
 
 
 def sign_tests(spark, d):
@@ -271,4 +264,4 @@ def sign_tests(spark, d):
     return spark.createDataFrame([(*r, sign_test(r.wins, r.losses)) for r in rows], "left_model string, right_model string, wins long, losses long, ties long, p_value double")
 
 
-NO_SQL = {f.__name__: f for f in (bradley_terry, rasch_ability, cluster_bootstrap, directional_bootstrap, headline_bootstrap, paired_delta_bootstrap, sign_tests)}
+NO_SQL = {f.__name__: f for f in (bradley_terry, rasch_ability, cluster_bootstrap, directional_bootstrap, headline_bootstrap, paired_delta_bootstrap, candidate_bootstrap, sign_tests)}

@@ -120,19 +120,6 @@ def test_rasch_equals_a_plain_version(spark):
         assert abs(got[f"m{m}"][0] - theta[m]) < 1e-6 and abs(got[f"m{m}"][1] - 1 / math.sqrt((q * (1 - q)).sum() + 1e-3)) < 1e-6 and got[f"m{m}"][2] == 60
 
 
-def test_bootstrap_interval_is_that_of_drawn_clusters(spark):
-    rng = np.random.default_rng(3)
-    k = rng.integers(0, 6, 300)
-    df = spark.createDataFrame([("g", i, int(x), 6) for i, x in enumerate(k)] + [(None, 1, 1, 2)], "g string, c long, num long, den long")
-    rows = {r.g: r for r in latent.bootstrap_ratio(df, ["g"], "c", "num", "den").collect()}
-    draws = k[rng.integers(0, 300, (4000, 300))].sum(axis=1) / 1800
-    got = rows["g"]
-    assert got.ratio == k.sum() / 1800 and got.replicates == 2000
-    assert abs(got.lo - np.quantile(draws, 0.025)) < 0.01 and abs(got.hi - np.quantile(draws, 0.975)) < 0.01
-    again = {r.g: r for r in latent.bootstrap_ratio(df.repartition(7), ["g"], "c", "num", "den").collect()}["g"]
-    assert abs(again.lo - got.lo) < 1e-12 and abs(again.hi - got.hi) < 1e-12
-
-
 def test_sign_test_and_overlap_components(spark):
     assert latent.sign_test(0, 0) == 1.0 and abs(latent.sign_test(8, 2) - 2 * (1 + 10 + 45) / 1024) < 1e-12 and latent.sign_test(5, 5) == 1.0
     links = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (10, 9)], "a long, b long")
