@@ -14,12 +14,12 @@ def hash_rank(df: DataFrame, seed: str, key: str, strata: list[str]) -> DataFram
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*strata).orderBy(order, key)))
 
 
-def spread_rank(df: DataFrame, seed: str, key: str, strata: list[str]) -> DataFrame:
+def spread_rank(df: DataFrame, seed: str, key: str, strata: list[str], order: Column | None = None) -> DataFrame:
     """As hash_rank, for all ranks of strata of any size: rows are range partitioned, ranked within partitions, and what stands before a partition is added.
 
-    A stratum that holds most of the rows is spread over all tasks.
+    `order` replaces the hash of seed and key. A stratum that holds most of the rows is spread over all tasks.
     """
-    order = F.sha2(F.concat_ws(":", F.lit(seed), key), 256)
+    order = F.sha2(F.concat_ws(":", F.lit(seed), key), 256) if order is None else order
     dealt = cut(df.withColumn("order_", order).repartitionByRange(*strata, "order_", key).withColumn("part_", F.spark_partition_id()), "ranks")
     counts = dealt.groupBy(*strata, "part_").agg(F.count(F.lit(1)).alias("many_"))
     before = F.coalesce(F.sum("many_").over(Window.partitionBy(*strata).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuloom.operators import sampling as S
+from corpuloom.operators import scenes as N
 from corpuloom.operators import subsets as U
 from corpuloom.plans.views import query
 from corpuloom.session import cut, table
@@ -159,3 +160,47 @@ def review_queue(spark, d):
     queue = U.review_fill(rows, "must", FILL, SEED).join(rows.select("id", "structure"), "id")
     order = queue.withColumns({"late": F.col("pick").isNotNull(), "even": ~F.col("structure"), "hash": F.sha2(F.concat_ws(":", F.lit("queue"), "id"), 256)})
     return S.ordered_place(order, ["late", "even", "hash", "id"]).select("id", "pick", F.col("place").cast("long").alias("position"))
+
+
+_OBJECTS, _MODIFIERS, _PLACES, _MONTHS = ["kettle", "ring", "widget", "lamp", "bolt", "gear box"], ["small", "amber", "large", "quiet"], ["by the pier", "at the depot", "in the attic"], ["March", "July"]
+_PERIOD = len(_OBJECTS) * len(_MODIFIERS)
+
+
+def _texts(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+@query(f"""WITH RECURSIVE phrases AS (SELECT r, ({_texts(_MODIFIERS)})[(r // {len(_OBJECTS)} + 1)::INT] || ' ' || ({_texts(_OBJECTS)})[(r % {len(_OBJECTS)} + 1)::INT] AS phrase FROM range({_PERIOD}) t(r)),
+seq AS MATERIALIZED (SELECT p_partkey, row_number() OVER (ORDER BY sha256('scene-order:' || p_partkey)) AS i, (SELECT list(len(list_intersect(regexp_extract_all(lower(p_name), '[a-z]{{4,}}'), regexp_extract_all(lower(phrase), '[a-z]{{4,}}'))) = 0 ORDER BY r) FROM phrases) AS free FROM part),
+walk AS (SELECT 0::BIGINT AS i, 0::BIGINT AS at_, NULL::BIGINT AS id UNION ALL
+  SELECT s.i, at_ + list_position(list_concat(free[(at_ % {_PERIOD} + 1)::INT:], free), true), p_partkey FROM walk w JOIN seq s ON s.i = w.i + 1),
+n AS (SELECT id, at_ - 1 AS scene_index, (at_ - 1) // {_PERIOD} AS beyond FROM walk WHERE i > 0)
+SELECT id, scene_index, phrase AS object_phrase, ({_texts(_PLACES)})[(beyond % {len(_PLACES)} + 1)::INT] AS setting_phrase,
+  ({_texts(_MONTHS)})[(beyond // {len(_PLACES)} % {len(_MONTHS)} + 1)::INT] || ' ' || (2008 + beyond // {len(_PLACES)} // {len(_MONTHS)})::VARCHAR AS time_phrase FROM n JOIN phrases ON r = scene_index % {_PERIOD}""")
+def scene_assignment(spark, d):
+    """A scene of its own for every part, without a word of the part's name in its object."""
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name")
+    order = F.sha2(F.concat(F.lit("scene-order:"), F.col("id").cast("string")), 256)
+    return N.assign_scenes(rows, order, "p_name", _OBJECTS, _MODIFIERS, _PLACES, _MONTHS, 2008).drop("p_name")
+
+
+def hierarchical_split(spark, d):
+    """Train, dev and test of the records by domain, difficulty, profile and secondary cells; a hundredth of them are locked in test, and a pilot is drawn from train."""
+    from corpuloom.operators.splits import named_split, select_partition
+
+    given = lambda c, name: F.when(F.col(c) > 0, name)
+    n = F.col("atoms")
+    rows = records(spark, d).select(
+        "id", F.col("source").alias("domain"), F.col("topic").alias("level"), F.concat_ws("", given("n_a", "A"), given("n_b", "B"), given("n_c", "C")).alias("labels"), F.when(F.col("safety"), "has_correct").otherwise("no_correct").alias("correct"),
+        F.col("complexity").alias("dataset"), F.when(n <= 2, "00-02").when(n <= 5, "03-05").otherwise("06+").alias("atom_bucket"), (F.pmod(F.xxhash64("id"), F.lit(100)) == 0).alias("locked"),
+    )
+    rows = cut(rows, "records")
+    tree = {"domain": "domain", "level": "level", "profile": ["labels", "correct"], "secondary": ["dataset", "atom_bucket"]}
+    total = rows.count()
+    split = cut(named_split(rows, {"test": total // 10, "dev": total // 10}, int(SEED), "train", "locked", **tree), "split")
+    train = rows.join(split.where("split = 'train'").select("id"), "id", "left_semi")
+    pilot = select_partition(train, total // 30, int(SEED) + 2, **tree).withColumn("pilot", F.lit(True))
+    return split.join(pilot, "id", "left").select("id", "split", F.coalesce("pilot", F.lit(False)).alias("pilot"))
+
+
+NO_SQL = {"hierarchical_split": hierarchical_split}

@@ -13,7 +13,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return dict(views.QUERIES) | analytics.NO_SQL | construction.NO_SQL
+    return dict(views.QUERIES) | analytics.NO_SQL | construction.NO_SQL | subsets.NO_SQL
 
 
 def oracle_sql() -> dict:
