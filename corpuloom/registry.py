@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuloom.plans import analytics, checks, construction, records, selection, subsets, views  # noqa: F401
+from corpuloom.plans import analytics, checks, construction, evidence, records, selection, subsets, views  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,7 +13,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return dict(views.QUERIES) | analytics.NO_SQL | construction.NO_SQL | subsets.NO_SQL
+    return dict(views.QUERIES) | analytics.NO_SQL | construction.NO_SQL | subsets.NO_SQL | evidence.NO_SQL
 
 
 def oracle_sql() -> dict:
