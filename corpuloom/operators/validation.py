@@ -45,18 +45,18 @@ def judgment_codes(judgments: DataFrame, expected: DataFrame, answer: list[str])
     judgments: answer columns, atom_id, predicted, task_quality; expected: sample_id, atom_id.
     """
     labels = F.col("predicted").isin("A", "B", "C")
-    got = judgments.join(expected.select("sample_id", "atom_id").distinct().withColumn("known_", F.lit(1)), ["sample_id", "atom_id"], "left")
-    per = got.groupBy(*answer).agg(
-        F.count(F.lit(1)).alias("rows_"), F.count_distinct("atom_id").alias("atoms_"), F.count_distinct(F.when(F.col("known_") == 1, F.col("atom_id"))).alias("met_"), F.count_if(F.col("known_").isNull()).alias("strange_"),
-        F.count_if(~F.coalesce(labels, F.lit(False))).alias("bad_"), F.count_if(~F.coalesce(F.col("task_quality").between(0, 4), F.lit(False))).alias("quality_"),
+    # An answer's atoms and a sample's are few: sets of them are compared, instead of joining every judgment.
+    per = judgments.groupBy(*answer).agg(
+        F.count(F.lit(1)).alias("rows_"), F.collect_set("atom_id").alias("atoms_"), F.count_if(~F.coalesce(labels, F.lit(False))).alias("bad_"), F.count_if(~F.coalesce(F.col("task_quality").between(0, 4), F.lit(False))).alias("quality_"),
+        F.count_if(F.col("atom_id").isNull()).alias("none_"),
     )
-    want = expected.groupBy("sample_id").agg(F.count_distinct("atom_id").alias("want_"))
+    want = expected.groupBy("sample_id").agg(F.collect_set("atom_id").alias("want_"))
     per = per.join(want, "sample_id", "left")
     rules = {
         "unknown_sample": F.col("want_").isNull(),
-        "missing_atoms": F.col("met_") < F.col("want_"),
-        "unknown_atom": F.col("strange_") > 0,
-        "repeated_atom": F.col("rows_") > F.col("atoms_"),
+        "missing_atoms": F.size(F.array_except("want_", "atoms_")) > 0,
+        "unknown_atom": F.col("want_").isNull() | (F.size(F.array_except("atoms_", "want_")) > 0) | (F.col("none_") > 0),
+        "repeated_atom": F.col("rows_") > F.size("atoms_"),
         "bad_label": F.col("bad_") > 0,
         "bad_quality": F.col("quality_") > 0,
     }

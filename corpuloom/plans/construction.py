@@ -75,13 +75,13 @@ def richest_question_dedup(spark, d):
 @query(f"""WITH {V_SOURCES}, w AS (SELECT id, {_TOK.format('raw_question')} AS t FROM v_source),
 g AS (SELECT id, unnest(list_distinct(list_transform(range(1, len(t) - 8), lambda i: array_to_string(t[i:i+9], ' ')))) AS g FROM w WHERE len(t) >= 10),
 b AS (SELECT item_id, {_TOK.format('text')} AS t FROM benchmark), h AS (SELECT DISTINCT unnest(list_transform(range(1, len(t) - 8), lambda i: array_to_string(t[i:i+9], ' '))) AS g FROM b WHERE len(t) >= 10)
-SELECT id, count(*) AS n_grams, count(h.g) AS n_hits, count(h.g) / count(*) AS containment FROM g LEFT JOIN h ON g.g = h.g GROUP BY id""")
+SELECT s.id, count(g.g) AS n_grams, count(h.g) AS n_hits, coalesce(count(h.g) / nullif(count(g.g), 0), 0) AS containment FROM v_source s LEFT JOIN g ON s.id = g.id LEFT JOIN h ON g.g = h.g GROUP BY s.id""")
 def ngram_containment(spark, d):
-    """Share of a text's ten-word runs that occur in a benchmark item."""
+    """Share of a text's ten-word runs that occur in a benchmark item; 0 for texts without any."""
     # Exploding the one token array keeps it from being computed again for each run of words.
-    own = sources(spark, d).select("id", F.explode(F.array(X.tokens(F.col("raw_question")))).alias("t")).select("id", F.explode(X.grams(F.col("t"), 10)).alias("g"))
+    own = sources(spark, d).select("id", F.explode(F.array(X.tokens(F.coalesce("raw_question", F.lit(""))))).alias("t")).select("id", F.explode_outer(X.grams(F.col("t"), 10)).alias("g"))
     known = table(spark, d, "benchmark").select(F.explode(F.array(X.tokens(F.col("text")))).alias("t")).select(F.explode(X.grams(F.col("t"), 10)).alias("g")).distinct().withColumn("hit", F.lit(1))
-    return own.join(known, "g", "left").groupBy("id").agg(F.count(F.lit(1)).alias("n_grams"), F.count("hit").alias("n_hits"), (F.count("hit") / F.count(F.lit(1))).alias("containment"))
+    return own.join(known, "g", "left").groupBy("id").agg(F.count("g").alias("n_grams"), F.count("hit").alias("n_hits"), F.coalesce(F.try_divide(F.count("hit"), F.count("g")), F.lit(0.0)).alias("containment"))
 
 
 @query(f"""WITH {V_SOURCES}, c AS (SELECT domain, topic, count(*) AS n FROM v_source GROUP BY ALL), f AS (SELECT *, (100 * n) // sum(n) OVER () AS base, (100 * n) % sum(n) OVER () AS rest FROM c)

@@ -122,7 +122,7 @@ g AS (SELECT sample_id, model, condition, count(*) AS n, count(DISTINCT atom_id)
 SELECT sample_id, model, condition, list_filter([CASE WHEN want IS NULL THEN 'unknown_sample' END, CASE WHEN met < want THEN 'missing_atoms' END, CASE WHEN strange > 0 THEN 'unknown_atom' END, CASE WHEN n > atoms THEN 'repeated_atom' END,
   CASE WHEN bad > 0 THEN 'bad_label' END, CASE WHEN quality > 0 THEN 'bad_quality' END], lambda x: x IS NOT NULL) AS errors FROM g LEFT JOIN w USING (sample_id)""")
 def judgment_validation(spark, d):
-    """Error codes of each answer's judgments, among which the view plants unknown samples and atoms, repeated atoms, bad labels and bad qualities; samples that lost an unscorable atom miss it."""
+    """Error codes of each answer's judgments, among which the view plants unknown samples and atoms, repeated atoms, bad labels and bad qualities; samples with a renamed atom miss it."""
     every = lambda n: F.pmod("h", F.lit(n)) == 0
     j = judgments(spark, d).withColumn("copy", F.explode(F.when(every(79), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     j = j.withColumns({

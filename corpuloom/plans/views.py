@@ -49,9 +49,8 @@ def atoms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def judgments(spark: SparkSession, d: str, salt: str = "", also: str | None = None) -> DataFrame:
-    """Every scorable atom judged for each model and condition; predictions follow a stable hash. `also`: the salt of a second rater, whose labels become the column also."""
-    base = atoms(spark, d).where(F.pmod(hash_int(F.lit("scorable"), "sample_id", "atom_id"), F.lit(20)) > 0)
-    cells = base.withColumn("model", F.explode(F.array(*map(F.lit, MODELS)))).withColumn("condition", F.explode(F.array(*map(F.lit, CONDITIONS))))
+    """Every atom judged for each model and condition; predictions follow a stable hash. `also`: the salt of a second rater, whose labels become the column also."""
+    cells = atoms(spark, d).withColumn("model", F.explode(F.array(*map(F.lit, MODELS)))).withColumn("condition", F.explode(F.array(*map(F.lit, CONDITIONS))))
     def predicted(h):
         other = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.pmod(h, F.lit(3)) + 1).cast("int"))
         return F.when(F.pmod(h, F.lit(10)) < 6, F.col("gold")).otherwise(other)
@@ -100,8 +99,7 @@ V_ATOMS = "v_atoms AS (SELECT l_orderkey AS sample_id, concat_ws('_', l_linenumb
 
 def v_judgments(name: str = "v_judgments", salt: str = "") -> str:
     h = _h(*([f"'{salt}'"] if salt else []), "sample_id", "atom_id", "model", "condition")
-    return f"""{name}_h AS (SELECT *, {h} AS h FROM v_atoms CROSS JOIN (SELECT unnest({list(MODELS)}) AS model) CROSS JOIN (SELECT unnest({list(CONDITIONS)}) AS condition)
-  WHERE {_h("'scorable'", "sample_id", "atom_id")} % 20 > 0),
+    return f"""{name}_h AS (SELECT *, {h} AS h FROM v_atoms CROSS JOIN (SELECT unnest({list(MODELS)}) AS model) CROSS JOIN (SELECT unnest({list(CONDITIONS)}) AS condition)),
 {name}_p AS (SELECT *, CASE WHEN h % 10 < 6 THEN gold ELSE (['A','B','C'])[(h % 3) + 1] END AS predicted FROM {name}_h),
 {name} AS (SELECT *, greatest(p - g, 0) AS over, greatest(g - p, 0) AS under FROM (SELECT *, CASE gold WHEN 'A' THEN 0 WHEN 'B' THEN 1 ELSE 2 END AS g, CASE predicted WHEN 'A' THEN 0 WHEN 'B' THEN 1 ELSE 2 END AS p FROM {name}_p))"""
 

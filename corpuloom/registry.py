@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuloom.plans import analytics, checks, construction, evidence, records, rules, selection, subsets, views  # noqa: F401
+from corpuloom.plans import analytics, checks, construction, evidence, records, release, rules, selection, subsets, views  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
