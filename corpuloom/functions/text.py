@@ -215,3 +215,31 @@ def first_hit(c: Column, rules: list[tuple[str, str]], other: str) -> Column:
 def signal_families(c: Column, families: dict[str, str]) -> Column:
     """Names of the patterns that the lower-cased text matches."""
     return F.array_compact(F.array(*[F.when(F.lower(c).rlike(f"(?U){p}"), F.lit(n)) for n, p in families.items()]))
+
+
+# Fixed values of the published checks: openings of a memory in the first person, and numbers as words.
+FIRST_PERSON = r"^\s*(?:i|i'm|i’ve|i've|i am|my|me|mine|we|we're|we are|our)\b"
+FIRST_PERSON_PREFIXES = ("我", "我的", "本人", "我们", "咱们")
+NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
+
+
+def first_person(c: Column) -> Column:
+    """Whether a stored memory opens in the first person, in English or Chinese; null and empty texts don't."""
+    c = normalise(c)
+    hit = c.rlike(f"(?iU){FIRST_PERSON}")
+    for p in FIRST_PERSON_PREFIXES:
+        hit = hit | c.startswith(p)
+    return hit
+
+
+def literal_present(token: Column, text: Column) -> Column:
+    """Whether a token (lower-case) is in a text as it is: a word between word boundaries, anything else anywhere; numbers up to twenty and ranges of them as words too."""
+    c, word = F.lower(normalise(text)), lambda t: F.concat(F.lit("(?U)(?<!\\w)\\Q"), t, F.lit("\\E(?!\\w)"))
+    edged = token.rlike(r"(?s)^[\p{L}\p{N}].*[\p{L}\p{N}]$|^[\p{L}\p{N}]$")
+    words = F.array(*map(F.lit, NUMBER_WORDS))
+    named = lambda part: F.get(words, part.try_cast("int"))
+    number = F.when(token.rlike("^[0-9]{1,2}$"), named(token))
+    left, right = F.regexp_extract(token, "^([0-9]{1,2})-([0-9]{1,2})$", 1), F.regexp_extract(token, "^([0-9]{1,2})-([0-9]{1,2})$", 2)
+    span = F.when(token.rlike("^[0-9]{1,2}-[0-9]{1,2}$"), F.concat(F.lit("(?U)(?<!\\w)"), named(left), F.lit("(?:\\s+(?:to|or|through)\\s+|[-–—])"), named(right), F.lit("(?!\\w)")))
+    plain = F.when(edged, F.rlike(c, word(token))).otherwise(c.contains(token))
+    return F.coalesce(plain, F.lit(False)) | F.coalesce(F.rlike(c, word(number)), F.lit(False)) | F.coalesce(F.rlike(c, span), F.lit(False))

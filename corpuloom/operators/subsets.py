@@ -100,17 +100,18 @@ def margin(rows: DataFrame, column: str, total: int) -> dict[str, int]:
     return {r[column]: r.quota for r in largest_remainder(counts, total, [column]).collect()}
 
 
-def cell_quotas(rows: DataFrame, margins: dict[str, dict[str, int]]) -> DataFrame:
+def cell_quotas(rows: DataFrame, margins: dict[str, dict[str, int]], spare_share: bool = False) -> DataFrame:
     """The margins' columns, n and quota: how many rows each cell of a cross table gives, so that every margin is met exactly.
 
     Place after place goes to the cell whose values lack the largest shares of their targets, with a little for
     spare rows, ties to the last cell by its columns from the last. Cells are at most the margins' values
-    multiplied. ValueError where the margins don't agree, or can't be met this way.
+    multiplied. spare_share: spare rows count by their share of all rows of the cells, instead of up to a thousand of them in millionths. ValueError where the margins don't agree, or can't be met this way.
     """
     columns, total = list(margins), sum(next(iter(margins.values())).values())
     if any(sum(m.values()) != total for m in margins.values()):
         raise ValueError("margins must have the same sum")
     known = rows.where(_all(F.col(c).isin(*m) for c, m in margins.items()))
+    whole = rows.count() if spare_share else 0
     cells = sorted(known.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: tuple(r[c] for c in reversed(columns)))
     n = np.array([r.n for r in cells], np.int64)
     at, left, want = [], [], []
@@ -125,7 +126,7 @@ def cell_quotas(rows: DataFrame, margins: dict[str, dict[str, int]]) -> DataFram
         score = lacking[0] / np.maximum(want[0][at[0]], 1)
         for k in range(1, len(columns)):
             score = score + lacking[k] / np.maximum(want[k][at[k]], 1)
-        score = score + np.minimum(n - quota, 1000) / 1_000_000
+        score = score + ((n - quota) / max(whole, 1) if spare_share else np.minimum(n - quota, 1000) / 1_000_000)
         score[(quota >= n) | (np.min(lacking, axis=0) <= 0)] = -np.inf
         if not len(score) or score.max() == -np.inf:
             raise ValueError(f"margins can't be met: {int(quota.sum())} of {total} places are taken")

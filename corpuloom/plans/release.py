@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuloom.functions import text as X
+from corpuloom.operators import merges as M
 from corpuloom.operators import release as L
 from corpuloom.plans.subsets import V_RECORDS, records
-from corpuloom.plans.views import query
+from corpuloom.plans.views import V_ATTEMPTS, attempts, query, requests
 from corpuloom.session import table
 
 _HASH = "sha256(concat_ws(':', '{0}', {1}))"
@@ -136,3 +137,49 @@ def merged_parents(spark, d):
     return each.select(
         "id", "b.parent_memory_id", (F.col("at") + 1).cast("long").alias("place"), "b.memory_text", F.array_join("b.atom_ids", " ").alias("atom_ids"), F.array_join("b.labels", "").alias("labels"), "b.label_mode", "b.u_star", F.col("b.merged").cast("long").alias("merged")
     )
+
+
+@query(f"""WITH {V_ATTEMPTS}, p AS (SELECT request_id, state, tokens FROM v_attempts WHERE attempt = 1), r AS (SELECT request_id, state, tokens FROM v_attempts WHERE attempt = 2 AND request_id IN (SELECT request_id FROM p WHERE state = 'invalid'))
+SELECT *, 'prior' AS part FROM p WHERE request_id NOT IN (SELECT request_id FROM r) UNION ALL SELECT *, 'retry' FROM r""")
+def bucket_merge(spark, d):
+    """First attempts, but for invalid ones that were tried again, whose second attempt counts."""
+    a = attempts(spark, d)
+    first = a.where("attempt = 1").select("request_id", "state", "tokens")
+    again = a.where("attempt = 2").select("request_id", "state", "tokens").join(first.where("state = 'invalid'").select("request_id"), "request_id", "left_semi")
+    return M.bucket_merge(first, again, "request_id")
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS topic, o_totalprice + (o_orderstatus = 'F')::INT AS price, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE 'pending' END AS channel FROM orders")
+def group_merge(spark, d):
+    """Orders put together from groups of one status each, one of which changed prices, checked against all orders."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("topic"), F.col("o_totalprice").alias("price"), "o_orderstatus")
+    own = lambda s: rows.where(F.col("o_orderstatus") == s).drop("o_orderstatus")
+    return M.group_merge(rows.drop("o_orderstatus"), {"finished": own("F").withColumn("price", F.col("price") + 1), "open": own("O"), "pending": own("P")}, "id", same=["topic"])
+
+
+@query("SELECT doc_id AS id, lang, md5(CASE WHEN lang = 'de' THEN reverse(text) ELSE text END) AS text_md5, coalesce(lang = 'de', false) AS replaced FROM documents")
+def domain_replacement(spark, d):
+    """Documents with those of one language replaced by a later version."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
+    out = M.replace_domain(docs, docs.where("lang = 'de'").withColumn("text", F.reverse("text")), "id", "lang", "de")
+    return out.select("id", "lang", F.md5("text").alias("text_md5"), "replaced")
+
+
+@query(f"""WITH {V_ATTEMPTS}, v AS (SELECT request_id, tokens FROM v_attempts WHERE attempt = 1 AND state = 'valid'),
+s AS (SELECT request_id, attempt, tokens, row_number() OVER (PARTITION BY request_id ORDER BY (state = 'invalid')::INT, -tokens, 'a' || attempt) AS i FROM v_attempts WHERE attempt > 1)
+SELECT request_id, CASE WHEN v.tokens IS NOT NULL THEN 'validated' WHEN s.attempt IS NOT NULL THEN 'salvaged_a' || s.attempt ELSE 'baseline_fallback' END AS channel, coalesce(v.tokens, s.tokens, -1)::BIGINT AS row FROM v_requests LEFT JOIN v USING (request_id) LEFT JOIN (SELECT * FROM s WHERE i = 1) s USING (request_id)""")
+def candidate_merge(spark, d):
+    """A result for every request: a valid first attempt, else the best later one, else the baseline's."""
+    a, asked = attempts(spark, d), requests(spark, d).select("request_id")
+    valid = a.where("attempt = 1 and state = 'valid'").select("request_id", F.col("tokens").alias("row"))
+    later = a.where("attempt > 1").select("request_id", (F.col("state") == "invalid").cast("int").alias("penalty"), F.col("tokens").alias("length"), F.concat(F.lit("a"), F.col("attempt").cast("string")).alias("name"), F.col("tokens").alias("row"))
+    return M.candidate_merge(asked, valid, later, asked.withColumn("row", F.lit(-1).cast("long")), "request_id")
+
+
+@query("""WITH c AS (SELECT event_type AS outer_key, substr(json_extract_string(props, '$.k'), 1, 1) AS inner_key, count(*) AS n FROM events GROUP BY ALL) SELECT *, n / sum(n) OVER (PARTITION BY outer_key) AS share FROM c""")
+def nested_counts(spark, d):
+    """Counts of a key within another, with their share of the outer key's rows."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("outer_key"), F.substring(F.get_json_object("props", "$.k"), 1, 1).alias("inner_key"))
+    counts = e.groupBy("outer_key", "inner_key").agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.groupBy("outer_key").agg(F.sum("n").alias("all_"))
+    return counts.join(whole, "outer_key").select("outer_key", "inner_key", "n", (F.col("n") / F.col("all_")).alias("share"))

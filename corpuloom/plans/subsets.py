@@ -204,3 +204,22 @@ def hierarchical_split(spark, d):
 
 
 NO_SQL = {"hierarchical_split": hierarchical_split}
+
+
+_BUCKETS = "CASE WHEN atoms <= 2 THEN '0-2' WHEN atoms <= 5 THEN '3-5' ELSE '6+' END"
+_TWO = [f"SELECT '{c}' AS col, {c} AS v, count(*) AS n FROM v GROUP BY ALL" for c in ("source", "bucket")]
+
+
+@query(f"""WITH RECURSIVE {V_RECORDS}, v AS (SELECT source, {_BUCKETS} AS bucket FROM v_records), m0 AS ({" UNION ALL ".join(_TWO)}), m1 AS (SELECT *, ({SIZE} * n) // sum(n) OVER w AS base, ({SIZE} * n) % sum(n) OVER w AS rest FROM m0 WINDOW w AS (PARTITION BY col)),
+m AS (SELECT col, v, (base + (row_number() OVER (PARTITION BY col ORDER BY rest DESC, v) <= {SIZE} - sum(base) OVER (PARTITION BY col))::INT)::BIGINT AS t FROM m1),
+cells AS (SELECT source, bucket, count(*) AS n, sum(count(*)) OVER () AS whole FROM v GROUP BY ALL),
+steps AS (SELECT 0 AS step, c.*, 0 AS q, a.t AS ra, a.t AS ta, b.t AS rb, b.t AS tb FROM cells c JOIN m a ON a.col = 'source' AND a.v = source JOIN m b ON b.col = 'bucket' AND b.v = bucket
+  UNION ALL SELECT step + 1, source, bucket, n, whole, q + (i = 1)::INT, ra - (source = f1)::INT, ta, rb - (bucket = f2)::INT, tb FROM (
+    SELECT *, row_number() OVER w AS i, first_value(source) OVER w AS f1, first_value(bucket) OVER w AS f2 FROM (
+      SELECT *, CASE WHEN q < n AND ra > 0 AND rb > 0 THEN ra / ta + rb / tb + (n - q) / whole END AS score FROM steps WHERE step < {SIZE}) WINDOW w AS (ORDER BY score DESC NULLS LAST, bucket DESC, source DESC)))
+SELECT source, bucket, n, q::BIGINT AS quota FROM steps WHERE step = {SIZE}""")
+def source_bucket_quotas(spark, d):
+    """Places of each source and bucket of sizes under both margins."""
+    n = F.col("atoms")
+    rows = records(spark, d).withColumn("bucket", F.when(n <= 2, "0-2").when(n <= 5, "3-5").otherwise("6+"))
+    return U.cell_quotas(rows, {c: U.margin(rows, c, SIZE) for c in ("source", "bucket")}, spare_share=True)
