@@ -447,6 +447,66 @@ def test_toxicity_recall_of_labels(spark):
     assert sum(got[i] for i, t in marks.items() if not t) <= 0.01 * len(marks)
 
 
+def test_toxicity_of_held_out_labels(spark):
+    """Documents whose labels the fit never sees: most toxic ones are caught, hardly any other is."""
+    d = D.replace("0.001", "0.01")
+    labels_ = spark.read.parquet(f"{d}/labels.parquet")
+    out = {r.doc_id: r.toxic for r in labels_.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
+    seen = labels_.where(~labels_.doc_id.isin(list(out)))
+    got = {r.doc_id: r for r in toxicity.toxicity(spark.read.parquet(f"{d}/documents.parquet"), seen).collect()}
+    toxic = [i for i, t in out.items() if t]
+    assert len(toxic) >= 5 and sum(got[i].rejected for i in toxic) >= 0.7 * len(toxic)
+    assert sum(got[i].rejected for i, t in out.items() if not t) <= 0.02 * len(out)
+    assert np.mean([got[i].severity for i in toxic]) > 5 * np.mean([got[i].severity for i, t in out.items() if not t])
+
+
+def plain_toxicity(rows, marks, ridge):
+    """Probabilities by a fit of its own: features and chi-square by counting, Newton steps on the penalised likelihood of two grades."""
+    edge = ".,;:!?\"'()[]{}<>%*#$&|-_/\\=+~`^@0123456789"
+
+    def features(text):
+        out = set()
+        for w in (text or "").lower().split():
+            core = w.strip(edge)
+            out |= ({core, "^" + core[:5]} if len(core) > 5 else {core}) - {""}
+        return out
+
+    data = {(frozenset(features(t)), marks[i]) for i, t in rows if i in marks}
+    n, pos = len(data), sum(y for _, y in data)
+    strong = []
+    for w in sorted({w for f, _ in data for w in f}):
+        every, bad = sum(w in f for f, _ in data), sum(w in f and y for f, y in data)
+        expected = every * pos / n
+        spread = expected * (1 - every / n) * (1 - pos / n)
+        if every >= toxicity.LEAST_TEXTS and spread > 0 and (bad - expected) ** 2 / spread >= toxicity.LEAST_CHI2:
+            strong.append(w)
+    rows_of = lambda texts: np.array([[w in f for w in strong] + [True] for f in texts], float)
+    x, y = rows_of([f for f, _ in data]), np.array([v for _, v in data], float)
+    theta, penalty = np.zeros(x.shape[1]), np.append(np.full(len(strong), 2 * ridge), 1e-9)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ theta))
+        theta = theta - np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(penalty), x.T @ (p - y) + penalty * theta)
+    return dict(zip([i for i, _ in rows], 1 / (1 + np.exp(-rows_of([features(t) for _, t in rows]) @ theta)), strict=True))
+
+
+def test_toxicity_equals_an_independent_fit(spark):
+    rng = np.random.default_rng(3)
+    words, bad = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)], ["zork", "blargh", "quuxes!"]
+    rows = []
+    for i in range(400):
+        own = [words[int(k)] for k in rng.integers(0, 60, 12)]
+        if rng.random() < 0.35:
+            own[int(rng.integers(12))] = bad[i % 3]
+        rows.append((i, " ".join(own)))
+    rows += [(900, None), (901, ""), (902, "zork " * 20_000)]
+    marks = {i: int(any(b in t for b in bad) != (i % 29 == 0)) for i, t in rows[:300]}
+    got = {r.doc_id: r for r in toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(marks.items()), "doc_id long, toxic int")).collect()}
+    want = plain_toxicity(rows, marks, toxicity.RIDGE)
+    assert max(abs(got[i].probability - want[i]) for i, _ in rows) < 0.02
+    assert all(got[i].rejected == (want[i] >= toxicity.REJECT) for i, _ in rows if abs(want[i] - toxicity.REJECT) > 0.02)
+    assert all(abs(r.severity - r.probability) < 1e-12 for r in got.values())
+
+
 class BruteKneserNey:
     """Interpolated modified Kneser-Ney over characters, by plain counting."""
 
