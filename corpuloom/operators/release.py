@@ -75,12 +75,13 @@ def judge_requests(answers: DataFrame, samples: DataFrame, role: str, judge: str
     """request_id, sample_id, model, condition, judge, payload (JSON) and expected (JSON of atom ids and labels) for each answer.
 
     answers: request_id, sample_id, model, condition, response; samples: sample_id, question, blocks (array of parent_memory_id, memory_text)
-    and atoms (array of atom_id, parent_memory_id, text, u_star). Answers without a sample are left out.
+    and atoms (array of atom_id, parent_memory_id, text, u_star). Of atoms with one id the last label is expected. Answers without a sample are left out.
     """
     payload = F.to_json(F.struct(
         F.col("question").alias("current_query"), F.col("blocks").alias("model_facing_memory"), F.col("condition").alias("answer_condition"), F.col("response").alias("model_response"), F.col("atoms").alias("atomic_rubrics"),
     ), {"ignoreNullFields": "false"})
-    expected = F.to_json(F.map_from_entries(F.transform("atoms", lambda a: F.struct(a["atom_id"], a["u_star"]))))
+    last = lambda i: F.element_at(F.filter("atoms", lambda a: a["atom_id"] == i), -1)["u_star"]
+    expected = F.to_json(F.map_from_entries(F.transform(F.array_distinct(F.transform("atoms", lambda a: a["atom_id"])), lambda i: F.struct(i, last(i)))))
     return answers.join(samples, "sample_id").select(
         F.concat_ws(":", F.lit("judge"), F.lit(role), "request_id").alias("request_id"), "sample_id", "model", "condition", F.lit(judge).alias("judge"), payload.alias("payload"), expected.alias("expected")
     )

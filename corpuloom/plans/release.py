@@ -31,12 +31,12 @@ _KEY = "lower(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r\\f\\x0B]+', '
 
 @query(f"""WITH c AS (SELECT doc_id AS id, source, {_KEY} AS key, coalesce(length(text), 0) AS quality, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS locked FROM documents),
 f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY quality DESC, id) AS i FROM c WHERE NOT locked AND key NOT IN (SELECT key FROM c WHERE locked)),
-r AS (SELECT id, source, md5(key) AS key_md5, row_number() OVER (PARTITION BY source ORDER BY {_HASH.format('extension', 'id')}, id) AS rank FROM f WHERE i = 1) SELECT * FROM r WHERE rank <= 3""")
+r AS (SELECT id, source, md5(key) AS key_md5, row_number() OVER (PARTITION BY source ORDER BY {_HASH.format('extension', 'id')}, id) AS rank FROM f WHERE i = 1) SELECT * FROM r WHERE rank <= 2""")
 def pool_extension(spark, d):
-    """Three new documents of each source beside those of good quality, whose ids and texts they don't repeat."""
+    """Two new documents of each source beside those of good quality, whose ids and texts they don't repeat."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", F.lower(X.normalise(F.col("text"))).alias("key"), F.coalesce(F.length("text"), F.lit(0)).alias("quality"))
     good = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id")).distinct()
-    return L.pool_extension(docs.join(good, "id", "left_semi").select("id", "key"), docs, 3, "extension").select("id", "source", F.md5("key").alias("key_md5"), "rank")
+    return L.pool_extension(docs.join(good, "id", "left_semi").select("id", "key"), docs, 2, "extension").select("id", "source", F.md5("key").alias("key_md5"), "rank")
 
 
 _STATE = "CASE WHEN quality = 1 AND toxic = 0 THEN 'strict_pass' WHEN quality = 1 OR toxic = 0 THEN 'review' ELSE 'reject' END"
@@ -71,7 +71,7 @@ def adaptive_admission(spark, d):
   list(DISTINCT {'parent_memory_id': 'b' || l_suppkey % 4, 'memory_text': 'Supplier group ' || l_suppkey % 4} ORDER BY {'parent_memory_id': 'b' || l_suppkey % 4, 'memory_text': 'Supplier group ' || l_suppkey % 4}) AS blocks FROM lineitem GROUP BY ALL),
 a AS (SELECT o_orderkey AS id, o_orderstatus, unnest(['full_memory', 'no_memory']) AS condition FROM orders)
 SELECT 'judge:primary:r' || id || '-' || condition AS request_id, id AS sample_id, 'm0' AS model, condition, 'j' AS judge,
-  sha256(to_json({'current_query': 'Where is order ' || id || '?', 'model_facing_memory': blocks, 'answer_condition': condition, 'model_response': 'Status ' || o_orderstatus, 'atomic_rubrics': atoms})) AS payload_sha256, len(atoms)::BIGINT AS atoms FROM a JOIN l USING (id)""")
+  sha256(to_json({'current_query': 'Where is order ' || id || '?', 'model_facing_memory': blocks, 'answer_condition': condition, 'model_response': 'Status ' || o_orderstatus, 'atomic_rubrics': atoms})) AS payload_sha256, len(list_distinct(list_transform(atoms, lambda x: x.atom_id)))::BIGINT AS atoms FROM a JOIN l USING (id)""")
 def judge_requests(spark, d):
     """A judge's request for each answer: the digest of its payload, and its atoms."""
     key = F.concat(F.lit("b"), F.pmod("l_suppkey", F.lit(4)).cast("string"))
