@@ -212,23 +212,25 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST) ->
     while len(live):
         at, pair, bits = _sorted_pairs(seq, live, np.take(after, live), named, n)
         starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-        counts = np.diff(np.append(starts, len(pair)))
-        often = counts >= least
-        heads, counts = pair[starts[often]], counts[often]
-        at = at[np.repeat(often, np.diff(np.append(starts, len(pair))))]
-        if not len(at):
+        many = np.diff(starts, append=len(pair))
+        often = many >= least
+        heads, counts = pair[starts[often]], many[often]
+        if not len(counts):
             break
+        at = at[np.repeat(often, many)]
         first, second = (heads >> np.uint64(bits)).astype(np.uint32), (heads & np.uint64((1 << bits) - 1)).astype(np.uint32)
-        group = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        # Where each pair's places begin, and how many of them count.
+        begins, apart = np.cumsum(counts) - counts, counts
         follow, odd = np.take(after, at), np.empty(0, np.int64)
         same = first == second
         if same.any():
             # In a run of one symbol every second place counts and competes, from the left.
-            twins = np.flatnonzero(np.repeat(same, counts))
-            p = at[twins]
-            run = np.flatnonzero(np.concatenate([[True], (follow[twins[:-1]] != p[1:]) | (np.diff(group[twins]) != 0)]))
-            odd = twins[(np.arange(len(p)) - np.repeat(run, np.diff(np.append(run, len(p))))) % 2 == 1]
-        apart = counts - np.bincount(group[odd], minlength=len(counts))
+            twins, own = np.flatnonzero(np.repeat(same, counts)), counts[same]
+            p, pair_of = at[twins], np.repeat(np.arange(len(own)), own)
+            run = np.flatnonzero(np.concatenate([[True], (follow[twins[:-1]] != p[1:]) | (np.diff(pair_of) != 0)]))
+            is_odd = (np.arange(len(p)) - np.repeat(run, np.diff(run, append=len(p)))) % 2 == 1
+            odd, apart = twins[is_odd], counts.copy()
+            apart[same] -= np.bincount(pair_of[is_odd], minlength=len(own))
         by = np.sort((apart.astype(np.uint64) << np.uint64(32)) | np.arange(len(counts), dtype=np.uint64))
         rank = np.empty(len(counts), np.int32)
         rank[(by & np.uint64(0xFFFFFFFF)).astype(np.int64)] = np.arange(1, len(counts) + 1)
@@ -236,15 +238,17 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST) ->
         own = np.repeat(rank, counts)
         own[odd] = 0
         weight[at] = own
-        chosen = (own > np.take(weight, np.take(before, at))) & (own > np.take(weight, follow))
+        chosen = own > np.take(weight, np.take(before, at))
+        chosen &= own > np.take(weight, follow)
         weight[at] = 0
-        good = np.bincount(group[chosen], minlength=len(counts)) >= least
+        hits = np.add.reduceat(chosen, begins, dtype=np.int32)
+        good = hits >= least
         if not good.any():
             # The most frequent pair wins at all of its places, so now none is frequent.
             break
         chosen &= np.repeat(good, counts)
         where, second_at = at[chosen], follow[chosen]
-        seq[where] = np.repeat(np.cumsum(good) - 1 + named, np.bincount(group[chosen], minlength=len(counts)))
+        seq[where] = np.repeat(np.arange(named, named + int(good.sum()), dtype=np.uint32), hits[good])
         last[where] = last[second_at]
         gone[second_at] = True
         beyond = after[second_at]
