@@ -448,14 +448,14 @@ def test_toxicity_recall_of_labels(spark):
 
 
 def test_toxicity_of_held_out_labels(spark):
-    """Documents whose labels the fit never sees: most toxic ones are caught, hardly any other is."""
-    d = D.replace("0.001", "0.01")
+    """Documents whose labels the fit never sees: most toxic ones are caught, hardly any other is. The smaller tables hold out too few (14 at sf0.01) to tell."""
+    d = D.replace("0.001", "0.1")
     labels_ = spark.read.parquet(f"{d}/labels.parquet")
     out = {r.doc_id: r.toxic for r in labels_.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
     seen = labels_.where(~labels_.doc_id.isin(list(out)))
     got = {r.doc_id: r for r in toxicity.toxicity(spark.read.parquet(f"{d}/documents.parquet"), seen).collect()}
     toxic = [i for i, t in out.items() if t]
-    assert len(toxic) >= 5 and sum(got[i].rejected for i in toxic) >= 0.7 * len(toxic)
+    assert len(toxic) >= 100 and sum(got[i].rejected for i in toxic) >= 0.7 * len(toxic)
     assert sum(got[i].rejected for i, t in out.items() if not t) <= 0.02 * len(out)
     assert np.mean([got[i].severity for i in toxic]) > 5 * np.mean([got[i].severity for i, t in out.items() if not t])
 
