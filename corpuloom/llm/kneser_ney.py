@@ -34,6 +34,8 @@ START = 0x110000
 FOLD = 1 << (2 * BITS)
 #: Bytes of text in a chunk whose n-grams are looked up together.
 CHUNK = 6 << 20
+#: Keys that a table looks up at a time.
+BLOCK = 1 << 17
 #: Rows of the model (24 bytes each) that are broadcast at most.
 BROADCAST_ROWS = 2_500_000
 #: Trusted document ids (8 bytes each) that are broadcast at most.
@@ -71,38 +73,43 @@ def ngrams(texts: list[str], folds: np.ndarray, order: int) -> tuple[np.ndarray,
     Within a list of texts an n-gram is a number of its characters' places among those that occur, which fits a
     long for up to 4,096 different ones; with more, ranks of its halves do. Equal lists give equal numbers.
     """
-    start = np.full(order - 1, START, np.int32)
-    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.int32) for t in texts]
-    sizes = np.array(list(map(len, codes)), np.int64)
+    start = np.full(order - 1, START, np.int32).tobytes()
+    codes = [t.encode("utf-32-le", "surrogatepass") for t in texts]
+    sizes = np.array([len(c) // 4 for c in codes], np.int64)
     if not sizes.sum():
         none = np.empty(0, np.int64)
         return none, none, none, none, sizes
-    flat = np.concatenate([x for c in codes for x in (start, c)])
-    # Where each text's characters are, after the starts before it.
-    at = np.arange(int(sizes.sum()), dtype=np.int32) + np.repeat(np.arange(1, len(sizes) + 1, dtype=np.int32) * (order - 1), sizes)
-    fold = np.repeat(np.asarray(folds, np.int64), sizes)
+    # Each text comes after its starts, so the windows that end at a character are its n-grams.
+    flat = np.frombuffer(b"".join(x for c in codes for x in (start, c)), np.int32)
+    del codes
     present = np.zeros(START + 1, bool)
     present[flat] = True
     chars = np.flatnonzero(present)
-    place = np.zeros(START + 1, np.int32)
+    place = np.zeros(START + 1, np.uint16 if len(chars) <= 0x10000 else np.int32)
     place[chars] = np.arange(len(chars))
-    local, bits = place[flat], max(1, (len(chars) - 1).bit_length())
+    local, ends, bits = place[flat], flat[order - 1 :] != START, max(1, (len(chars) - 1).bit_length())
+    del flat
+    fold = np.repeat(np.asarray(folds, np.int8), sizes + order - 1)[order - 1 :]
+
+    def windows(out: np.ndarray, offsets: range) -> np.ndarray:
+        for j in offsets:
+            out <<= bits
+            out |= local[j : j + len(ends)]
+        return out[ends]
+
     if order * bits < 62:
-        keys = fold
-        for j in range(order):
-            keys = (keys << bits) | local[at - (order - 1 - j)]
+        keys = windows(fold.astype(np.int64), range(order))
+        del fold, local, ends
         found, counts = np.unique(keys, return_counts=True)
         of = [chars[(found >> (bits * (order - 1 - j))) & ((1 << bits) - 1)] for j in range(order)]
         own = found >> (bits * order)
     else:
-        first, last = fold, np.zeros(len(at), np.int64)
-        for j in range(order - 1, -1, -1):
-            if j > 2:
-                first = (first << bits) | local[at - j]
-            else:
-                last = (last << bits) | local[at - j]
+        first = windows(fold.astype(np.int64), range(max(0, order - 3)))
+        last = windows(np.zeros(len(ends), np.int64), range(max(0, order - 3), order))
+        del fold, local, ends
         firsts, lasts = np.unique(first), np.unique(last)
         keys = np.searchsorted(firsts, first) * len(lasts) + np.searchsorted(lasts, last)
+        del first, last
         found, counts = np.unique(keys, return_counts=True)
         one, two = firsts[found // len(lasts)], lasts[found % len(lasts)]
         of = [chars[((one >> (bits * (order - 4 - j))) if j < order - 3 else (two >> (bits * (order - 1 - j)))) & ((1 << bits) - 1)] for j in range(order)]
@@ -137,14 +144,18 @@ class Lookup:
         return ((keys.astype(np.uint64) * _ODD) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Places of keys, -1 for those that are not there."""
-        slot = self._slot(keys)
-        out = self.places[slot]
-        left = np.flatnonzero((out >= 0) & (self.given[out] != keys))
-        while len(left):
-            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
-            out[left] = self.places[slot[left]]
-            left = left[(out[left] >= 0) & (self.given[out[left]] != keys[left])]
+        """Places of keys, -1 for those that are not there; a block at a time, so that what it needs besides the places is bounded."""
+        out = np.empty(len(keys), np.int32)
+        for i in range(0, len(keys), BLOCK):
+            part = keys[i : i + BLOCK]
+            slot = self._slot(part)
+            at = self.places[slot]
+            left = np.flatnonzero((at >= 0) & (self.given[at] != part))
+            while len(left):
+                slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+                at[left] = self.places[slot[left]]
+                left = left[(at[left] >= 0) & (self.given[at[left]] != part[left])]
+            out[i : i + BLOCK] = at
         return out
 
 
@@ -299,7 +310,10 @@ def _packed(b: pa.RecordBatch) -> bytes:
 
 
 def _sums(b: pa.RecordBatch, log: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
-    sums = np.diff(np.concatenate([[0.0], np.cumsum(log[at])])[np.concatenate([[0], np.cumsum(sizes)])])
+    run = log[at]
+    np.cumsum(run, out=run)
+    ends = np.cumsum(sizes)
+    sums = np.diff(np.where(ends > 0, run[ends - 1], 0.0) if len(run) else np.zeros(len(ends)), prepend=0.0)
     return pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "lang", "text_hash")), pa.array(sizes), pa.array(sums)], ["doc_id", "lang", "text_hash", "n_chars", "total"])
 
 

@@ -586,6 +586,23 @@ def test_ngrams_of_many_characters():
             assert got == want and len(set(want)) == len(hi)
 
 
+@pytest.mark.parametrize("top", [60, 9000])
+def test_ngrams_of_a_chunk_take_little_memory(top):
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    texts = ["".join(map(chr, rng.integers(97, 97 + top, 400))) for _ in range(25)] * 200
+    tracemalloc.start()
+    try:
+        *_, at, sizes = kneser_ney.ngrams(texts, np.arange(len(texts)) % 2, kneser_ney.ORDER)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(at) == sizes.sum() == 2_000_000
+    # Keys, their sorted copy and the results; far more filled an executor whose tasks hold a chunk each.
+    assert peak < 45 * len(at)
+
+
 def test_quality_edges(edge, empty, labels, spark):
     rows = kneser_ney.quality(edge, labels).collect()
     got = {r.doc_id: r for r in rows}
