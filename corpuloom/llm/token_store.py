@@ -32,6 +32,8 @@ END_ID = 2
 SHARD_IDS = 1_500_000
 #: A pair is replaced if it occurs so often in the shard; 2 goes on until no pair repeats.
 LEAST = 2
+#: Passes of Re-Pair over less than this fraction of the symbols link them instead of closing gaps.
+LINKED = 8
 SHARD_SCHEMA = (
     "part int, shard int, n_docs int, n_ids long, base int, doc_ids array<long>, doc_tokens binary, doc_symbols binary, rules binary, lengths binary, symbols binary"
 )
@@ -141,7 +143,9 @@ class LibraryEncoder:
         pieces = pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)])
         lone = np.searchsorted(edges, offsets[whole])
         found = pieces.dictionary_encode()
-        values = pa.array(self._values(found.dictionary.to_pylist(), set(found.indices.to_numpy()[lone].tolist())), pa.binary())
+        # By way of numpy: to_pylist() makes a scalar of each piece.
+        distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        values = pa.array(self._values(distinct, set(found.indices.to_numpy()[lone].tolist())), pa.binary())
         out = values.take(found.indices)
         ends = np.frombuffer(out.buffers()[1], np.int32)[: len(edges)] // 4
         ids = np.frombuffer(out.buffers()[2], np.uint32)[: ends[-1]]
@@ -198,19 +202,23 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST) ->
     last: which ids end a document; no pair spans two documents. A pass counts pairs over the whole
     shard and replaces a pair at each place where it is more frequent than the pairs that overlap it; passes go on
     until no pair occurs `least` times without overlap. A pair of old symbols that is rare once stays rare, so
-    later passes look only at places of frequent pairs and at neighbours of replaced ones; symbols are linked to
+    later passes look only at places of frequent pairs and at neighbours of replaced ones. While these are many,
+    each pass closes the gaps it made, so neighbours stand side by side; once they are few, symbols are linked to
     the next and the previous one, and those that are gone are left out at the end.
     """
     seq, last, n = ids.astype(np.uint32), last.copy(), len(ids)
-    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
-    gone, mark = np.zeros(n, bool), np.zeros(n, bool)
-    # How strongly a place competes; the last one stands for no place.
-    weight = np.zeros(n + 1, np.int32)
+    linked = False
     rules = [np.empty((0, 2), np.uint32)]
     named = base
     live = np.flatnonzero(~last[:-1]).astype(np.int32)
     while len(live):
-        at, pair, bits = _sorted_pairs(seq, live, np.take(after, live), named, n)
+        if not linked and len(live) < n // LINKED:
+            linked = True
+            after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+            gone, mark = np.zeros(n, bool), np.zeros(n, bool)
+            # How strongly a place competes; the last one stands for no place.
+            weight = np.zeros(n + 1, np.int32)
+        at, pair, bits = _sorted_pairs(seq, live, np.take(after, live) if linked else live + 1, named, n)
         starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
         many = np.diff(starts, append=len(pair))
         often = many >= least
@@ -221,7 +229,7 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST) ->
         first, second = (heads >> np.uint64(bits)).astype(np.uint32), (heads & np.uint64((1 << bits) - 1)).astype(np.uint32)
         # Where each pair's places begin, and how many of them count.
         begins, apart = np.cumsum(counts) - counts, counts
-        follow, odd = np.take(after, at), np.empty(0, np.int64)
+        follow, odd = np.take(after, at) if linked else at + 1, np.empty(0, np.int64)
         same = first == second
         if same.any():
             # In a run of one symbol every second place counts and competes, from the left.
@@ -237,10 +245,17 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST) ->
         rank[apart < least] = 0
         own = np.repeat(rank, counts)
         own[odd] = 0
-        weight[at] = own
-        chosen = own > np.take(weight, np.take(before, at))
-        chosen &= own > np.take(weight, follow)
-        weight[at] = 0
+        if linked:
+            weight[at] = own
+            chosen = own > np.take(weight, np.take(before, at))
+            chosen &= own > np.take(weight, follow)
+            weight[at] = 0
+        else:
+            weight = np.zeros(n + 2, np.int32)
+            weight[at + 1] = own
+            strongest = weight[1:-1] > weight[:-2]
+            strongest &= weight[1:-1] > weight[2:]
+            chosen = np.take(strongest, at)
         hits = np.add.reduceat(chosen, begins, dtype=np.int32)
         good = hits >= least
         if not good.any():
@@ -250,6 +265,17 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST) ->
         where, second_at = at[chosen], follow[chosen]
         seq[where] = np.repeat(np.arange(named, named + int(good.sum()), dtype=np.uint32), hits[good])
         last[where] = last[second_at]
+        rules.append(np.stack([first[good], second[good]], axis=1))
+        named += len(rules[-1])
+        if not linked:
+            near, new, stay = np.zeros(n, bool), np.zeros(n, bool), np.ones(n, bool)
+            near[at], new[where], stay[second_at] = True, True, False
+            seq, last, near, new = seq[stay], last[stay], near[stay], new[stay]
+            near |= new
+            near[:-1] |= new[1:]
+            near &= ~last
+            n, live = len(seq), np.flatnonzero(near).astype(np.int32)
+            continue
         gone[second_at] = True
         beyond = after[second_at]
         after[where] = beyond
@@ -259,13 +285,12 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST) ->
         left = before[where]
         mark[left[left >= 0]] = True
         mark[where] = True
-        rules.append(np.stack([first[good], second[good]], axis=1))
-        named += len(rules[-1])
         live = np.flatnonzero(mark).astype(np.int32)
         mark[live] = False
         live = live[~last[live]]
-    stay = ~gone
-    return np.concatenate(rules), seq[stay], last[stay]
+    if linked:
+        seq, last = seq[~gone], last[~gone]
+    return np.concatenate(rules), seq, last
 
 
 def _sorted_pairs(seq: np.ndarray, live: np.ndarray, follow: np.ndarray, named: int, n: int) -> tuple[np.ndarray, np.ndarray, int]:

@@ -285,6 +285,21 @@ def test_repair_leaves_no_frequent_pair():
         assert lengths.max() > 8
 
 
+def test_repair_is_the_same_with_links_and_with_closed_gaps(monkeypatch):
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n, base = int(rng.integers(1, 400)), int(rng.integers(1, 12))
+        ids, last = rng.integers(0, base, n).astype(np.uint32), rng.random(n) < rng.choice([0, 0.02, 0.3])
+        last[-1] = True
+        got = []
+        for fraction in (1, token_store.LINKED, n + 1):  # links early, in between, never
+            monkeypatch.setattr(token_store, "LINKED", fraction)
+            got.append(token_store.repair(ids, last, base))
+        assert all(np.array_equal(a, b) for other in got[1:] for a, b in zip(got[0], other, strict=True))
+        rules, seq, _ = got[0]
+        assert np.array_equal(token_store.expand(seq, rules, token_store.lengths_of(rules, base), base), ids)
+
+
 def test_repair_counts_runs_without_overlap():
     rules, seq, _ = token_store.repair(np.array([0, 1, 1, 1, 0, 1], np.uint32), np.arange(6) == 5, 2)
     assert rules.tolist() == [[0, 1]] and seq.tolist() == [2, 1, 1, 2]
