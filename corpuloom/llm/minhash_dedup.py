@@ -5,8 +5,8 @@ into one class first, so exact copies cost one row each. Classes then descend
 a number of independent trees: a node's path picks one or two of the minwise
 coordinates, and the value there picks the child. Nodes of one class are
 dropped, small nodes are compared exhaustively by sketch, large nodes branch
-again, and what is still large at the last level is compared in square tiles,
-so that nothing is capped. Groups of alike sketches are confirmed on the full
+again, and what is still large at the last level, or would make few tiles, is
+compared in square tiles, so that nothing is capped. Groups of alike sketches are confirmed on the full
 sets, and each leaves a spanning star of links, never all its pairs.
 """
 
@@ -27,10 +27,10 @@ COORDS = 32
 TREES = 10
 #: Levels of branching.
 DEPTH = 3
-#: Classes in a node that is compared exhaustively, by sketches only.
-LEAF = 1024
-#: Classes that are compared with one pivot at once.
-CHUNK = 192
+#: Classes in a node that is compared exhaustively, by sketches only; tiles have half as many on a side.
+LEAF = 2048
+#: Members in one side of a tile of a group whose full sets are compared at once.
+SIDE = 2048
 #: Shingles in one side of a tile of a group whose full sets are compared at once (8 bytes each).
 TILE = 1 << 19
 #: Pairs of sketches that are compared at once.
@@ -101,12 +101,12 @@ def _child(node, coord):
 
 
 def _branch(rows: DataFrame, coords: int) -> DataFrame:
-    """Children of each row's node: one coordinate by the node's hash, in a quarter of nodes a second one."""
+    """rep, node: children of each row's node, one coordinate by the node's hash, in a quarter of nodes a second one."""
     first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(coords)).cast("int")
     second = F.pmod(first + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(coords - 1)).cast("int"), F.lit(coords)).cast("int")
     two = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(4)) == 0
     kids = F.array(_child(F.col("node"), first), F.when(two, _child(F.col("node"), second)))
-    return rows.select("rep", "n_shingles", "sk", F.explode(kids).alias("node")).where("node is not null")
+    return rows.select("rep", F.explode(kids).alias("node")).where("node is not null")
 
 
 def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -125,55 +125,63 @@ def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _alike(threshold: float, coords: int):
-    """From nodes with their members, groups of members whose sketches may reach the threshold."""
-    least = max(1, int(np.floor(coords * threshold - 5 * np.sqrt(coords * threshold * (1 - threshold)))))
-
-    def groups(reps, sizes, sk, offsets):
-        """Groups among members offsets[0] to offsets[-1] of the nodes that offsets separate."""
-        base, counts = offsets[0], np.diff(offsets)
-        n = offsets[-1] - base
-        # All pairs of a node: each member with every later one, a bounded number at a time.
-        later = np.repeat(offsets[1:], counts) - np.arange(base, offsets[-1]) - 1
+    """From nodes with their members, groups of members whose sketches may reach the threshold, and the members' sizes."""
+    # Sketches are compared by one byte of each coordinate, eight at once; what is padded always agrees.
+    pad = -coords % 8
+    least = pad + max(1, int(np.floor(coords * threshold - 5 * np.sqrt(coords * threshold * (1 - threshold)))))
+
+    def groups(reps, sizes, sk, ends):
+        """Groups among members; members are sorted by size within a node, and each may reach the threshold with those up to its end only."""
+        n = len(reps)
+        later = ends - np.arange(n) - 1
         upto = np.cumsum(later)
-        left, right, at = [], [], 0
+        root, at = np.arange(n), 0
         while at < n:
             end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
             own = later[at:end]
             i = np.repeat(np.arange(at, end), own)
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
-            x, y = sizes[base + i], sizes[base + j]
-            fit = np.minimum(x, y) >= threshold * np.maximum(x, y) - 1e-9
-            i, j = i[fit], j[fit]
-            ok = (sk[base + i] == sk[base + j]).sum(axis=1) >= least
-            left.append(i[ok])
-            right.append(j[ok])
+            equal = (sk[i] == sk[j]).view(np.uint64)
+            agree = equal[:, 0].copy()
+            for c in range(1, equal.shape[1]):
+                agree += equal[:, c]
+            ok = (agree * np.uint64(0x0101010101010101)) >> np.uint64(56) >= least
+            if ok.any():
+                root = _labels(n, np.concatenate([i[ok], np.arange(n)]), np.concatenate([j[ok], root]))
             at = end
-        root = _labels(n, np.concatenate(left), np.concatenate(right)) if left else np.arange(n)
-        order = np.lexsort((reps[base : base + n], root))
+        order = np.lexsort((reps, root))
         bounds = np.flatnonzero(np.diff(root[order], prepend=-1))
-        for part in np.split(order, bounds[1:]):
-            if len(part) > 1:
-                yield reps[base + part]
+        return [part for part in np.split(order, bounds[1:]) if len(part) > 1]
 
     def run(batches):
         for batch in batches:
             nodes = batch.column(0)
-            offsets = nodes.offsets.to_numpy()
+            offsets = nodes.offsets.to_numpy().astype(np.int64)
             flat = nodes.values
-            if not len(flat):
+            if offsets[-1] == offsets[0]:
                 continue
-            reps, sizes = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-            sk = flat.field(2).values.to_numpy().reshape(-1, coords)
-            out, start, pairs = [], 0, 0
-            for k in range(len(offsets) - 1):
-                m = offsets[k + 1] - offsets[k]
-                pairs += m * (m - 1) // 2
-                if pairs > PAIRS or k == len(offsets) - 2:
-                    out += groups(reps, sizes, sk, offsets[start : k + 2])
-                    start, pairs = k + 1, 0
-            if out:
-                lens = np.cumsum([0, *map(len, out)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(lens), pa.array(np.concatenate(out)))], ["members"])
+            own = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+            part = slice(int(offsets[0]), int(offsets[-1]))
+            offsets = offsets - offsets[0]
+            sizes = flat.field(1).to_numpy()[part]
+            order = np.lexsort((sizes, own))
+            reps, sizes = flat.field(0).to_numpy()[part][order], sizes[order]
+            sk = flat.field(2).flatten().to_numpy().reshape(-1, coords)[part][order].astype(np.uint8)
+            sk = np.pad(sk, ((0, 0), (0, pad)))
+            # Places behind the last member of the same node that is not too large.
+            most = ((sizes + 1e-6) / threshold).astype(np.int64)
+            span = int(most.max()) + 1
+            ends = np.searchsorted(own * span + sizes, own * span + most, "right")
+            upto = np.concatenate([[0], np.cumsum(ends - np.arange(len(ends)) - 1)])[offsets]
+            found, start = [], 0
+            while start < len(offsets) - 1:
+                end = max(start + 1, int(np.searchsorted(upto, upto[start] + PAIRS, "right")) - 1)
+                lo, hi = offsets[start], offsets[end]
+                found += [lo + x for x in groups(reps[lo:hi], sizes[lo:hi], sk[lo:hi], ends[lo:hi] - lo)]
+                start = end
+            if found:
+                lens, at = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32)), np.concatenate(found)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(lens, pa.array(x[at].astype(np.int64))) for x in (reps, sizes)], ["members", "sizes"])
 
     return run
 
@@ -258,25 +266,61 @@ def _confirm(num: int, den: int):
 
 
 def _to_pivot(num: int, den: int):
-    """From chunks of classes with their pivot, links of those that reach num/den with it."""
+    """From classes beside their pivots, links of those that reach num/den; rows of one pivot that follow each other are compared at once."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "shingles"):
+                ids, pivots = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                if not len(ids):
+                    continue
+                own, to = batch.column(2), batch.column(3)
+                bounds = np.flatnonzero(np.concatenate([[True], pivots[1:] != pivots[:-1], [True]]))
+                linked = []
+                for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    sets = [np.frombuffer(x, np.uint64) for x in own.slice(lo, hi - lo).to_pylist()]
+                    pivot = np.frombuffer(to[lo].as_py(), np.uint64)
+                    inter = _shared(pivot, sets)
+                    linked.append(inter * den >= num * (np.array([len(x) for x in sets]) + len(pivot) - inter))
+                linked = np.concatenate(linked)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(pivots[linked])], ["a", "b"])
+
+    return run
+
+
+def _open(tile: int, side: int):
+    """From groups with their members, those in several components, in tiles in which each member outside the largest one meets all others.
+
+    `rows` blocks of such members times `columns` blocks of all. A group within the bounds is one tile, so that its
+    rows are its members; only large groups and those of very long texts have more.
+    """
+
+    def blocks(size, n):
+        return max(-(-int(size) // tile), -(-n // side))
 
     def run(batches):
         for batch in batches:
-            pivots, lists = batch.column(0).to_pylist(), batch.column(1)
+            gids, lists = batch.column(0).to_numpy(), batch.column(1)
             offsets, flat = lists.offsets.to_numpy(), lists.values
-            reps = flat.field(0).to_numpy()
-            a, b = [], []
-            for pivot, lo, hi in zip(pivots, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                own = [np.frombuffer(x, np.uint64) for x in flat.field(1).slice(lo, hi - lo).to_pylist()]
-                ids = reps[lo:hi]
-                at = int(np.flatnonzero(ids == pivot)[0])
-                inter = _shared(own[at], own)
-                union = np.array([len(o) for o in own]) + len(own[at]) - inter
-                linked = (inter * den >= num * union) & (ids != pivot)
-                a.append(ids[linked])
-                b.append(np.full(int(linked.sum()), pivot, np.int64))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            reps, comps, sizes = (flat.field(k).to_numpy() for k in range(3))
+            out = []
+            for gid, lo, hi in zip(gids.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                rep, comp, size = reps[lo:hi], comps[lo:hi], sizes[lo:hi]
+                found, n = np.unique(comp, return_counts=True)
+                if len(found) < 2:
+                    continue
+                outside = comp != found[np.argmax(n)]
+                rows, columns = blocks(size[outside].sum(), int(outside.sum())), blocks(size.sum(), hi - lo)
+                at, tiles = np.arange(hi - lo), np.zeros(hi - lo, np.int64)
+                if columns > 1:
+                    h = mix(rep.astype(np.uint64))
+                    i, j = (h % np.uint64(rows)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(columns)).astype(np.int64)
+                    down, along = np.repeat(at, rows), np.repeat(at[outside], columns)
+                    both = np.stack([np.concatenate([down, along]), np.concatenate([np.tile(np.arange(rows), hi - lo) * columns + j[down], i[along] * columns + np.tile(np.arange(columns), int(outside.sum()))])])
+                    at, tiles = np.unique(both, axis=1)
+                out.append((np.full(len(at), gid), rep[at], comp[at], tiles))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["gid", "rep", "comp", "tile"])
 
     return run
 
@@ -285,22 +329,18 @@ def _sets(k: int):
     def run(batches):
         for whole in batches:
             for b in slices(whole, "text"):
-                sets = [shingle_set(t, k, _HASH) for t in b.column("text").to_pylist()]
-                d1, d2 = zip(*map(digests, sets), strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["doc_id", "d1", "d2", "size", "shingles"],
-                )
+                sets = [shingle_set(t, k, _HASH).tobytes() for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(sets, pa.binary())], ["rep", "shingles"])
 
     return run
 
 
-def _tiles(many: str, side: int, everywhere: Column) -> Column:
-    """Explodes members into square tiles of their node, so that any two members share a tile of at most twice `side`.
+def _tiles(many: str, leaf: int, side: int, everywhere: Column) -> Column:
+    """Explodes members of nodes over `leaf` into square tiles of their node, so that any two members share a tile of at most twice `side`.
 
     A member for which `everywhere` holds joins every tile.
     """
-    of = F.ceil(F.col(many) / side).cast("int")
+    of = F.when(F.col(many) <= leaf, 1).otherwise(F.ceil(F.col(many) / side).cast("int"))
     own = F.pmod(F.xxhash64("rep", F.lit(11)), of).cast("int")
     upto = F.sequence(F.lit(0), of - 1)
     tiles = F.transform(upto, lambda j: F.least(j, own) * of + F.greatest(j, own))
@@ -308,97 +348,82 @@ def _tiles(many: str, side: int, everywhere: Column) -> Column:
     return F.explode(F.when(everywhere, every).otherwise(tiles)).alias("tile")
 
 
-def _rectangles() -> Column:
-    """Explodes a group's members into tiles in which each member outside the component `main` meets all others.
-
-    `rows` blocks of such members times `columns` blocks of all. A group within the bound is one tile, so that its
-    rows are its members; only groups of very long texts have more.
-    """
-    block = lambda seed, of: F.pmod(F.xxhash64("rep", F.lit(seed)), of).cast("int")
-    rows, columns = F.col("rows"), F.col("columns")
-    i, j = block(12, rows), block(13, columns)
-    down = F.transform(F.sequence(F.lit(0), rows - 1), lambda r: r * columns + j)
-    along = F.transform(F.sequence(F.lit(0), columns - 1), lambda c: i * columns + c)
-    return F.explode(F.when(columns == 1, F.array(F.lit(0))).when(F.col("comp") == F.col("main"), down).otherwise(F.array_distinct(F.concat(down, along)))).alias("tile")
-
-
 def similar_groups(classes: DataFrame, threshold: float, trees: int = TREES, coords: int = COORDS, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """members (array of rep): groups of classes whose sketches may reach the threshold.
+    """gid, members (array of rep) and their sizes: groups of classes whose sketches may reach the threshold.
 
-    classes: rep, n_shingles, sk. A group has up to twice `leaf` members.
+    classes: rep, n_shingles, sk. A group has up to `leaf` members, or somewhat more by chance of hashing.
     """
     kids = []
     rng = np.random.default_rng(7)
     for t in range(trees):
         for c in rng.permutation(coords)[: 1 + (t % 4 == 0)]:
             kids.append(F.xxhash64(F.lit(t), F.lit(int(c)), F.get("sk", F.lit(int(c)))))
-    rows = classes.select("rep", "n_shingles", "sk", F.explode(F.array(*kids)).alias("node"))
-    compare = _alike(threshold, coords)
-    found = None
+    thin = classes.select("rep", F.explode(F.array(*kids)).alias("node"))
+    compare, side = _alike(threshold, coords), leaf // 2
+    found, budget = None, 0
     for level in range(1, depth + 1):
-        thin = rows.select("node", "rep")
         # A table of its own, so that a node with many rows is an ordinary skewed join.
         counts = cut(thin.groupBy("node").agg(F.count(F.lit(1)).alias("many"), F.min("rep").alias("low")).where("many > 1"), "counts")
+        large = F.col("many") > leaf
+        n = counts.agg(F.sum("many").alias("rows"), F.sum(F.when(large, F.col("many") * F.ceil(F.col("many") / side))).alias("tiled")).first()
+        # Tiles give up branching, so they may make as many rows as the first level has.
+        budget = budget or n.rows or 0
+        last = n.tiled is None or level == depth or n.tiled <= budget
         kept = thin.join(counts.hint("merge"), "node")
-        if level < depth:
+        if n.tiled is None or not last:
             kept = kept.select("node", "rep", "many", F.lit(0).alias("tile"))
         else:
             # The node's smallest class joins every tile, as the pivot that its groups share.
-            kept = kept.select("node", "rep", "many", _tiles("many", leaf, F.col("rep") == F.col("low")))
+            kept = kept.select("node", "rep", "many", _tiles("many", leaf, side, F.col("rep") == F.col("low")))
         kept = cut(kept.join(classes.hint("merge"), "rep"), "nodes")
-        small = kept if level == depth else kept.where(F.col("many") <= leaf)
+        small = kept if last else kept.where(~large)
         lists = small.groupBy("node", "tile").agg(F.collect_list(F.struct("rep", "n_shingles", "sk")).alias("m")).select("m")
-        groups = lists.mapInArrow(compare, "members array<long>")
+        groups = lists.mapInArrow(compare, "members array<long>, sizes array<long>")
         found = groups if found is None else found.union(groups)
-        rows = kept.where(F.col("many") > leaf)
-        if level == depth or rows.isEmpty():
+        if last:
             break
-        rows = _branch(rows, coords)
-    return found.groupBy(F.xxhash64("members").alias("gid")).agg(F.first("members").alias("members"))
+        # Written, since both the counts and the join read it.
+        thin = cut(_branch(kept.where(large), coords), "branches")
+    return found.groupBy(F.xxhash64("members").alias("gid")).agg(F.first("members").alias("members"), F.first("sizes").alias("sizes"))
 
 
-def pivot_links(groups: DataFrame, sets: DataFrame, num: int, den: int, chunk: int = CHUNK) -> DataFrame:
+def pivot_links(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """a, b: confirmed links of groups' members to two pivots, the smallest and the smallest by hash, which groups that overlap share."""
     by_hash = lambda seed: F.array_min(F.transform("members", lambda x: F.struct(F.xxhash64(x, F.lit(seed)).alias("h"), x.alias("x"))))["x"]
     pivots = F.array_distinct(F.array(F.get("members", F.lit(0)), by_hash(21)))
     pairs = groups.select("members", F.explode(pivots).alias("pivot")).select("pivot", F.explode("members").alias("rep")).where("rep <> pivot").distinct()
-    pairs = cut(pairs, "pairs")
-    chunks = cut(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")), "chunks")
-    rows = pairs.join(chunks.hint("merge"), "pivot").select("pivot", F.pmod(F.xxhash64("rep", F.lit(23)), F.col("chunks")).cast("int").alias("chunk"), "rep")
-    own = chunks.select("pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("pivot").alias("rep"))
-    lists = rows.union(own).join(sets.hint("merge"), "rep").groupBy("pivot", "chunk").agg(F.collect_list(F.struct("rep", "shingles")).alias("m")).select("pivot", "m")
-    return lists.mapInArrow(_to_pivot(num, den), "a long, b long")
+    # The pivots' sets are unique, so a pivot of many is an ordinary skewed join.
+    both = pairs.join(sets.hint("merge"), "rep").join(sets.select(F.col("rep").alias("pivot"), F.col("shingles").alias("to")).hint("merge"), "pivot")
+    return both.select("rep", "pivot", "shingles", "to").mapInArrow(_to_pivot(num, den), "a long, b long")
+
+
+def _near_components(links: DataFrame) -> DataFrame:
+    """id, component: the smallest linked id, and from there the smallest once more; ids of one component are connected, though not all connected ids share one."""
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("c")), "labels")
+    return labels.join(labels.select(F.col("id").alias("c"), F.col("c").alias("component")).hint("merge"), "c").select("id", "component")
 
 
-def minhash_components(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, tile: int = TILE, **params) -> DataFrame:
-    """id, component of the classes (rep, low, d1, d2, n_shingles, sk) that have a link at num/den or more.
+def minhash_components(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, tile: int = TILE, side: int = SIDE, **params) -> DataFrame:
+    """id, component of the classes (rep, low, text_hash, d1, d2, n_shingles, sk) that have a link at num/den or more.
 
-    Groups are linked to pivots first; only groups that stay in several components are then
+    Groups are linked to pivots first; only groups that these links leave in several components are then
     compared in full, and of those only pairs across components.
     """
     groups = cut(similar_groups(classes.select("rep", "n_shingles", "sk"), num / den, **params), "groups")
-    members = groups.select("gid", F.explode("members").alias("rep"))
-    wanted = cut(members.select("rep").distinct().join(classes.select("rep", F.col("low").alias("doc_id"), "d1", "d2").hint("merge"), "rep"), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets(k), "doc_id long, d1 long, d2 long, size long, shingles binary").join(wanted.hint("merge"), ["doc_id", "d1", "d2"])
-    sets = cut(sets.select("rep", "size", "shingles").dropDuplicates(["rep"]), "sets")
-    links = cut(pivot_links(groups, sets.select("rep", "shingles"), num, den), "links")
-    first = cut(connected_components(links), "components")
-    placed = members.join(first.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").join(sets.select("rep", "size").hint("merge"), "rep")
-    placed = cut(placed.select("gid", "rep", "size", F.coalesce("component", "rep").alias("comp")), "placed")
+    members = groups.select("gid", F.explode(F.arrays_zip("members", "sizes")).alias("m")).select("gid", F.col("m.members").alias("rep"), F.col("m.sizes").alias("size"))
+    # One row of documents (or equal ones) for each class.
+    wanted = cut(members.select("rep").distinct().join(classes.select("rep", F.col("low").alias("doc_id"), "text_hash").hint("merge"), "rep"), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").join(wanted.hint("merge"), ["doc_id", "text_hash"])
+    sets = texts.select("rep", "text").mapInArrow(_sets(k), "rep long, shingles binary")
+    sets = cut(sets.dropDuplicates(["rep"]), "sets")
+    links = cut(pivot_links(groups, sets, num, den), "links")
+    placed = members.join(_near_components(links).withColumnRenamed("id", "rep").hint("merge"), "rep", "left")
+    placed = placed.groupBy("gid").agg(F.collect_list(F.struct("rep", F.coalesce("component", "rep").alias("comp"), "size")).alias("m"))
     # Of a group in several components, every pair to compare has a member outside the largest one.
-    parts = placed.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
-    largest = F.max(F.struct("n", "comp", "size"))
-    blocks = lambda size: F.ceil(size / tile).cast("int")
-    open_ = parts.groupBy("gid").agg(largest.alias("top"), F.count(F.lit(1)).alias("components"), F.sum("size").alias("all")).where("components > 1")
-    open_ = cut(open_.select("gid", F.col("top.comp").alias("main"), blocks(F.col("all") - F.col("top.size")).alias("rows"), blocks(F.col("all")).alias("columns")), "open")
-    tiles = placed.join(open_.hint("merge"), "gid").select("gid", "rep", "comp", _rectangles())
-    lists = tiles.join(sets.select("rep", "shingles").hint("merge"), "rep").groupBy("gid", "tile").agg(F.collect_list(F.struct("rep", "comp", "shingles")).alias("m")).select("m")
-    rest = cut(lists.mapInArrow(_confirm(num, den), "a long, b long"), "links")
-    if rest.isEmpty():
-        return first
-    # Stars of the components so far with the links across them.
-    return connected_components(rest.union(first.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+    tiles = placed.mapInArrow(_open(tile, side), "gid long, rep long, comp long, tile long")
+    lists = tiles.join(sets.hint("merge"), "rep").groupBy("gid", "tile").agg(F.collect_list(F.struct("rep", "comp", "shingles")).alias("m")).select("m")
+    return connected_components(links.union(lists.mapInArrow(_confirm(num, den), "a long, b long")))
 
 
 def minhash_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, **params) -> DataFrame:
@@ -412,11 +437,11 @@ def minhash_dedup(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, **
     kept. Extra columns are ignored; an empty table gives an empty result.
     """
     sig = cut(signatures(docs, k), "signatures")
-    classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("low"), F.first("sk").alias("sk"))
+    classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("sk").alias("sk"))
     # Numbers that hold once they are written; the smallest doc_id may belong to several classes.
-    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    comp = cut(minhash_components(docs, classes, k, num, den, **params).join(classes.select(F.col("rep").alias("id"), "low").hint("merge"), "id"), "components")
-    lowest = cut(comp.groupBy("component").agg(F.min("low").alias("component_id")), "lowest")
+    classes = cut(classes.select("d1", "d2", "n_shingles", F.col("first.doc_id").alias("low"), F.col("first.text_hash").alias("text_hash"), "sk", F.monotonically_increasing_id().alias("rep")), "classes")
+    comp = minhash_components(docs, classes, k, num, den, **params)
+    lowest = cut(comp.join(classes.select(F.col("rep").alias("id"), "low").hint("merge"), "id").groupBy("component").agg(F.min("low").alias("component_id")), "lowest")
     named = comp.select("id", "component").join(lowest.hint("merge"), "component").select(F.col("id").alias("rep"), "component_id")
     final = classes.select("d1", "d2", "n_shingles", "rep", "low").join(named.hint("merge"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component_id", "low").alias("component_id"))
     out = sig.select("doc_id", "text_hash", "n_shingles", "d1", "d2").join(final.hint("merge"), ["d1", "d2", "n_shingles"], "left")

@@ -93,6 +93,18 @@ def test_minhash_groups_with_outsiders(spark, tile):
     assert got == brute(rows, 4)
 
 
+def test_minhash_few_passes(spark, monkeypatch):
+    """Each shuffle costs a task for each partition, however few the rows: components are found once, and no more tables are written than are read twice."""
+    made, calls, cut, components = [], [], minhash_dedup.cut, minhash_dedup.connected_components
+    monkeypatch.setattr(minhash_dedup, "cut", lambda df, name="cut": made.append(name) or cut(df, name))
+    monkeypatch.setattr(minhash_dedup, "connected_components", lambda links: calls.append(1) or components(links))
+    words = [f"v{i}" for i in range(80)]
+    rows = [(i, " ".join(words[:70] + [f"n{j}" for j in range(i, i + 10)])) for i in range(40)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert got == brute(rows, 4)
+    assert len(calls) == 1 and len(made) <= 10
+
+
 def test_intersections_of_few_and_many():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 300 if i % 2 else 90, 60).astype(np.uint64)) for i in range(90)] + [np.array([10**6], np.uint64)]
