@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpuloom.llm import bpe, embedding_dedup, kneser_ney, language_id, license_scan, minhash_dedup, mixing, quality_rules, token_store, toxicity
@@ -93,6 +94,27 @@ def test_minhash_groups_with_outsiders(spark, tile):
     assert got == brute(rows, 4)
 
 
+@pytest.mark.parametrize("leaf, branches", [(60, 0), (6, 1)])
+def test_minhash_common_line(spark, monkeypatch, leaf, branches):
+    """Nodes of a common line: few tiles at once instead of branches; where nodes branch, their children are made once for both reads."""
+    made, cut = [], minhash_dedup.cut
+    monkeypatch.setattr(minhash_dedup, "cut", lambda df, name="cut": made.append(name) or cut(df, name))
+    line = " ".join(f"c{j}" for j in range(12))
+    rows = [(i, f"{line} " + " ".join(f"d{i // 3}x{j}" for j in range(5 + i % 40 // 3 * 3)) + (f" e{i}" if i % 3 else "")) for i in range(120)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 4, leaf=leaf, depth=2).collect()}
+    assert got == brute(rows, 4)
+    assert made.count("branches") == branches and made.count("counts") == 1 + branches
+
+
+def test_minhash_sizes_that_cannot_match():
+    """Members of a node meet those whose size may fit only, and groups tell their members' sizes."""
+    sizes = np.array([10, 80, 8, 100, 30], np.int64)
+    sk = pa.array([list(range(32))] * 5, pa.list_(pa.int32()))
+    node = pa.ListArray.from_arrays(pa.array([0, 5], pa.int32()), pa.StructArray.from_arrays([pa.array([5, 4, 3, 2, 1]), pa.array(sizes), sk], ["rep", "n_shingles", "sk"]))
+    (found,) = minhash_dedup._alike(0.8, 32)([pa.RecordBatch.from_arrays([node], ["m"])])
+    assert sorted(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)) == [([2, 4], [100, 80]), ([3, 5], [8, 10])]
+
+
 def test_minhash_few_passes(spark, monkeypatch):
     """Each shuffle costs a task for each partition, however few the rows: components are found once, and no more tables are written than are read twice."""
     made, calls, cut, components = [], [], minhash_dedup.cut, minhash_dedup.connected_components
