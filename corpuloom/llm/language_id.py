@@ -45,27 +45,64 @@ def pieces(path: str) -> dict[str, int]:
     return {p: i for i, p in enumerate(sorted(p for p in found if p == "▁" or p.lstrip("▁").isalpha()))}
 
 
+class Trie:
+    """Beginnings of pieces as states, 0 for none yet; those that go on have the lowest numbers. All places of many words step together."""
+
+    #: Characters with a column of their own in the table of steps; rarer ones are searched.
+    COMMON = 128
+
+    def __init__(self, vocabulary: dict[str, int]):
+        begun = {p[:k] for p in vocabulary for k in range(1, len(p) + 1)}
+        inner = {b[:-1] for b in begun}
+        state = {b: i for i, b in enumerate(["", *sorted(inner - {""}), *sorted(begun - inner)])}
+        self.inner = max(1, len(inner))
+        self.piece = np.array([vocabulary.get(b, -1) for b in state], np.int32)
+        chars = {c: i for i, (c, _) in enumerate(Counter(b[-1] for b in begun).most_common())}
+        self.char = np.full(0x110000, -1, np.int32)
+        self.char[[ord(c) for c in chars]] = list(chars.values())
+        steps = [(state[b[:-1]], chars[b[-1]], state[b]) for b in begun]
+        self.table = np.full((self.inner, self.COMMON), -1, np.int32)
+        for s, c, to in steps:
+            if c < self.COMMON:
+                self.table[s, c] = to
+        rare = sorted((s << 32 | c, to) for s, c, to in steps if c >= self.COMMON)
+        self.keys, self.to = (np.array([r[k] for r in rare], np.int64) for k in (0, 1))
+
+    def step(self, states: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The states after one more character, -1 for none."""
+        common = (chars >= 0) & (chars < self.COMMON)
+        out = np.where(common, self.table[states, np.where(common, chars, 0)], np.int32(-1))
+        if len(self.keys) and len(rare := np.flatnonzero(chars >= self.COMMON)):
+            key = states[rare].astype(np.int64) << 32 | chars[rare]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out[rare] = np.where(self.keys[at] == key, self.to[at], -1)
+        return out
+
+
 @lru_cache(maxsize=1)
-def beginnings(path: str) -> frozenset[str]:
-    """All beginnings of pieces: where a run of characters is none, no longer one is a piece."""
-    return frozenset(p[:k] for p in pieces(path) for k in range(1, len(p) + 1))
+def trie(path: str) -> Trie:
+    return Trie(pieces(path))
 
 
-def lattice(words: list[str], vocabulary: dict[str, int], longest: int, starts: frozenset[str] | None = None) -> np.ndarray:
-    """For words of one length (with the start mark): the piece number of each [word, start, length - 1], -1 for none."""
+def lattice(words: list[str], vocabulary: dict[str, int], longest: int, known: Trie | None = None) -> np.ndarray:
+    """For words of one length (with the start mark): the piece number of each [word, start, length - 1], -1 for none. known: the vocabulary's trie."""
     n, size = len(words), len(words[0])
-    out = np.full((n, size, min(longest, size)), -1, np.int32)
-    get = vocabulary.get
-    for i, w in enumerate(words):
-        for s in range(size):
-            for k in range(1, min(longest, size - s) + 1):
-                part = w[s : s + k]
-                p = get(part)
-                if p is not None:
-                    out[i, s, k - 1] = p
-                elif starts is not None and part not in starts:
-                    break
-    return out
+    width = min(longest, size)
+    known = known or Trie(vocabulary)
+    chars = known.char[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    out = np.full((n * size, width), -1, np.int32)
+    at, states = np.arange(n * size), np.zeros(n * size, np.int32)
+    for k in range(width):
+        # Places whose run of k characters begins a longer piece, and whose word has another character.
+        on = (states < known.inner) & (at % size + k < size)
+        at, states = at[on], states[on]
+        states = known.step(states, chars[at + k])
+        found = states >= 0
+        at, states = at[found], states[found]
+        if not len(at):
+            break
+        out[at, k] = known.piece[states]
+    return out.reshape(n, size, width)
 
 
 def forward(lat: np.ndarray, prob: np.ndarray) -> np.ndarray:
@@ -152,7 +189,7 @@ class Model:
                 continue
             for j in range(0, len(at), 20_000):
                 part = at[j : j + 20_000]
-                lat = lattice([marked[i] for i in part], vocabulary, longest, beginnings(self.path))
+                lat = lattice([marked[i] for i in part], vocabulary, longest, trie(self.path))
                 for k in blocks:
                     out[part, k : k + BLOCK] = np.log(np.maximum(forward(lat, self.prob[:, k : k + BLOCK])[:, size], 1e-300))
         return out
@@ -184,7 +221,7 @@ def _fit_block(words_of: list[Counter], path: str, passes: int) -> np.ndarray:
     for size, at in sorted(by_length(words).items()):
         for j in range(0, len(at), 20_000):
             part = at[j : j + 20_000]
-            groups.append((lattice([words[i] for i in part], vocabulary, longest, beginnings(path)), weight[part]))
+            groups.append((lattice([words[i] for i in part], vocabulary, longest, trie(path)), weight[part]))
     # Longer pieces start less likely, so that the first pass does not prefer single characters.
     prob = np.repeat(np.array([[0.1 ** min(4, len(p))] for p in vocabulary]), langs, axis=1)
     prob = prob / prob.sum(axis=0)

@@ -374,6 +374,19 @@ def test_token_store_round_trip(spark, edge, empty, tmp_path):
     assert token_store.read_tokens(spark, path + "2").collect() == []
 
 
+def test_language_lattice_by_trie():
+    """All places of words step through the trie at once, by a table or, for rare characters, by search: the same pieces as by looking up every part."""
+    vocabulary = language_id.pieces(language_id.VOCABULARY)
+    longest, rng = max(map(len, vocabulary)), np.random.default_rng(8)
+    rare = sorted({c for p in vocabulary for c in p})
+    words = ["▁" + w for w in ("straßen", "unknown", "日本語日本語日", "qqqqqqq", "\U0001f600abcdef", "élément")] + ["".join(rng.choice(rare, 8)) for _ in range(200)] + [("▁" + p + "zzzzzzzz")[:8] for p in list(vocabulary)[::40]]
+    words = [w.ljust(8, "x")[:8] for w in words]
+    for width in (longest, 3):
+        own = {p: i for p, i in vocabulary.items() if len(p) <= width}
+        want = [[[own.get(w[s : s + k], -1) if s + k <= 8 else -1 for k in range(1, min(width, 8) + 1)] for s in range(8)] for w in words]
+        assert (language_id.lattice(words, own, width, language_id.Trie(own)) == want).all()
+
+
 def test_language_id_held_out_accuracy(spark, docs, edge, empty):
     model = language_id.fit(docs)
     got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()}
