@@ -109,3 +109,14 @@ def test_every_request_has_a_status(spark):
 def test_reconcile_tells_unexpected_ids(spark):
     asked, came = spark.createDataFrame([(7,), (8,)], "k long"), spark.createDataFrame([(8,), (9,)], "k long")
     assert {r.k: r.status for r in merges.reconcile(asked, came, "k").collect()} == {7: "missing", 8: "ok", 9: "unexpected"}
+
+
+def test_critical_tokens_end_at_letters_beyond_ascii(spark, tmp_path):
+    texts = ["ciónñSSñ and GPUé", "ñ12 12ñ 1.2ñ 3,4", "é7b x٣ 日本AB日", "`a \x0b b` `c  d`", None, "_AB A_B AB- -CD +x1+ A1."]
+    rows = [(3 * i + 2, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view benchmark as select * from '{tmp_path}/benchmark.parquet/*.parquet'")
+    want = dict(con.execute(registry.oracle_sql()["critical_tokens"]).fetchall())
+    assert {r.item_id: r.tokens for r in registry.queries()["critical_tokens"](spark, str(tmp_path)).collect()} == want
+    assert want[2] == "gpu|ss" and want[5] == "1.2|12|3,4"
