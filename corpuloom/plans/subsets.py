@@ -157,7 +157,10 @@ def review_queue(spark, d):
     given = lambda c, name: F.when(F.col(c) > 0, name)
     must = (F.col("n_large") >= 2) | ((F.col("n_large") > 0) & (F.col("n_free") > 1))
     rows = r.select("id", "topic", "complexity", F.col("mixed").alias("structure"), F.concat_ws("+", given("n_a", "A"), given("n_b", "B"), given("n_c", "C")).alias("signature"), F.col("safety").alias("repaired"), must.alias("must"))
-    queue = U.review_fill(rows, "must", FILL, SEED).join(rows.select("id", "structure"), "id")
+    filled = U.review_fill(rows, "must", FILL, SEED).where("pick IS NOT NULL")
+    # The structure comes along without a join of all records, whose files are small enough for Spark to send them to the driver.
+    others = rows.join(F.broadcast(filled), "id").select("id", "pick", "structure")
+    queue = rows.where("must").select("id", F.lit(None).cast("long").alias("pick"), "structure").unionByName(others)
     order = queue.withColumns({"late": F.col("pick").isNotNull(), "even": ~F.col("structure"), "hash": F.sha2(F.concat_ws(":", F.lit("queue"), "id"), 256)})
     return S.ordered_place(order, ["late", "even", "hash", "id"]).select("id", "pick", F.col("place").cast("long").alias("position"))
 

@@ -176,3 +176,13 @@ def test_review_fill_balances(frame, rows, held):
 def test_equal_rows_are_folded_before_they_are_candidates(spark):
     rows = spark.range(5000).select("id", F.lit("a").alias("kind"), F.sha2(F.col("id").cast("string"), 256).alias("tie"))
     assert U.folded(rows, ["kind"], ["tie"], 7).count() == 7
+
+
+def test_review_queue_sends_only_its_filled_places_to_the_records(spark, monkeypatch):
+    from corpuloom.plans import subsets as P
+
+    seen = []
+    monkeypatch.setattr(P.S, "ordered_place", lambda df, order: seen.append(df) or df.withColumn("place", F.lit(1)))
+    P.review_queue(spark, "/root/testdata/sf0.001")
+    joins = [line for line in seen[0]._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert len(joins) == 1 and "rightHint=(strategy=broadcast)" in joins[0]
