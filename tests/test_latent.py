@@ -176,3 +176,14 @@ def test_capacity_quota_equals_a_plain_version(spark):
         for w in (weight, dict.fromkeys(cap, 0.0)):
             df = spark.createDataFrame([(k, c, w[k]) for k, c in cap.items()], "k string, n long, w double")
             assert {r.k: r.quota for r in sampling.capacity_quota(df, total, F.col("w"), ["k"]).collect()} == plain_quota(total, w, cap)
+
+
+def test_candidates_of_unlike_lengths_do_not_meet(spark):
+    passage = " ".join(f"shared{chr(97 + i)}" for i in range(20))
+    texts = [(1, passage), (2, f"{passage} end"), (3, f"{passage} {' '.join('xyz'[i % 3] + chr(97 + i % 26) for i in range(60))}"), (4, None), (5, "")]
+    sig = clustering.signatures(spark.createDataFrame(texts, "i long, t string"), "i", "t")
+    got = {r.id: r for r in sig.collect()}
+    assert got[1].sig == clustering.signature(passage.encode()) == sorted(signature(passage)) and (got[1].size, got[1].distinct, got[4].size, got[5].size) == (20, 20, None, 0)
+    every = {tuple(r) for r in clustering.candidate_pairs(sig).collect()}
+    assert {tuple(r) for r in clustering.candidate_pairs(sig, 0.88).collect()} == {(1, 2)} <= every
+    assert [tuple(r)[:2] for r in clustering.similar_pairs(sig, spark.createDataFrame(texts, "id long, text string")).collect()] == [(1, 2)]
