@@ -120,3 +120,10 @@ def test_critical_tokens_end_at_letters_beyond_ascii(spark, tmp_path):
     want = dict(con.execute(registry.oracle_sql()["critical_tokens"]).fetchall())
     assert {r.item_id: r.tokens for r in registry.queries()["critical_tokens"](spark, str(tmp_path)).collect()} == want
     assert want[2] == "gpu|ss" and want[5] == "1.2|12|3,4"
+
+
+@pytest.mark.parametrize("name", ["condition_metrics"])
+def test_atoms_not_judgments_are_shuffled_by_sample(spark, name):
+    plan = registry.queries()[name](spark, D)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and ("sample_id" in line or "planted" in line)]
+    assert dealt and all("REPARTITION_BY_COL" in line for line in dealt)
