@@ -122,7 +122,7 @@ def test_critical_tokens_end_at_letters_beyond_ascii(spark, tmp_path):
     assert want[2] == "gpu|ss" and want[5] == "1.2|12|3,4"
 
 
-@pytest.mark.parametrize("name", ["condition_metrics"])
+@pytest.mark.parametrize("name", ["condition_metrics", "mixed_block_accuracy"])
 def test_atoms_not_judgments_are_shuffled_by_sample(spark, name):
     plan = registry.queries()[name](spark, D)._jdf.queryExecution().executedPlan().toString()
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and ("sample_id" in line or "planted" in line)]
