@@ -124,9 +124,14 @@ SELECT sample_id, model, condition, list_filter([CASE WHEN want IS NULL THEN 'un
 def judgment_validation(spark, d):
     """Error codes of each answer's judgments, among which the view plants unknown samples and atoms, repeated atoms, bad labels and bad qualities; samples with a renamed atom miss it."""
     every = lambda n: F.pmod("h", F.lit(n)) == 0
-    j = judgments(spark, d).withColumn("copy", F.explode(F.when(every(79), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    # Atoms are dealt by the sample that their answers name: no judgment is shuffled. An atom becomes ten judgments, which
+    # their task sorts, so there are ten times as many parts.
+    parts = len(MODELS) * len(CONDITIONS) * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named = F.when(F.col("sample_id") % 101 == 0, -F.col("sample_id")).otherwise(F.col("sample_id"))
+    j = judgments(spark, d, cells=atoms(spark, d).withColumn("planted", named).repartition(parts, "planted"))
+    j = j.withColumn("copy", F.explode(F.when(every(79), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     j = j.withColumns({
-        "sample_id": F.when(F.col("sample_id") % 101 == 0, -F.col("sample_id")).otherwise(F.col("sample_id")), "atom_id": F.concat("atom_id", F.when(every(83), "_x").otherwise("")),
+        "sample_id": F.col("planted"), "atom_id": F.concat("atom_id", F.when(every(83), "_x").otherwise("")),
         "predicted": F.when(every(97), "X").otherwise(F.col("predicted")), "task_quality": F.when(every(89), 7).otherwise(F.pmod("h", F.lit(5))),
     })
     return V.judgment_codes(j, atoms(spark, d), ["sample_id", "model", "condition"])

@@ -127,3 +127,10 @@ def test_atoms_not_judgments_are_shuffled_by_sample(spark, name):
     plan = registry.queries()[name](spark, D)._jdf.queryExecution().executedPlan().toString()
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and ("sample_id" in line or "planted" in line)]
     assert dealt and all("REPARTITION_BY_COL" in line for line in dealt)
+
+
+def test_judgment_validation_shuffles_no_judgment(spark):
+    plan = registry.queries()["judgment_validation"](spark, D)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    # The atoms as they are dealt, and the sets of atoms that are wanted.
+    assert len(dealt) == 2 and "REPARTITION_BY_NUM" in dealt[0] and "condition" not in "".join(dealt)
